@@ -54,6 +54,97 @@ signals AS (
 )"""
 
 
+LEARN_CHAIN = """,
+pmr AS (
+  SELECT drug_a, drug_b, max(risk_score) AS max_risk, CAST(max(pair_total) AS BIGINT) AS total_reports,
+         ln(1 + greatest(max(risk_score), 0.0)) AS log_max_risk
+  FROM signals GROUP BY drug_a, drug_b
+),
+dfreq AS (
+  SELECT drug, CAST(count(*) AS BIGINT) AS freq
+  FROM (SELECT drug_a AS drug FROM signals UNION ALL SELECT drug_b AS drug FROM signals) GROUP BY drug
+),
+dmean AS (
+  SELECT drug, avg(m) AS mean_risk FROM (
+    SELECT drug_a AS drug, avg(max_risk) AS m FROM pmr GROUP BY drug_a
+    UNION ALL SELECT drug_b AS drug, avg(max_risk) AS m FROM pmr GROUP BY drug_b) GROUP BY drug
+),
+feat0 AS (
+  SELECT p.drug_a, p.drug_b, p.max_risk, p.total_reports, p.log_max_risk,
+         CAST(coalesce(fa.freq, 0) AS BIGINT) AS drug_a_freq, CAST(coalesce(fb.freq, 0) AS BIGINT) AS drug_b_freq,
+         CAST(coalesce(ma.mean_risk, 0) AS DOUBLE) AS drug_a_mean_risk,
+         CAST(coalesce(mb.mean_risk, 0) AS DOUBLE) AS drug_b_mean_risk
+  FROM pmr p
+  LEFT JOIN dfreq fa ON fa.drug = p.drug_a LEFT JOIN dfreq fb ON fb.drug = p.drug_b
+  LEFT JOIN dmean ma ON ma.drug = p.drug_a LEFT JOIN dmean mb ON mb.drug = p.drug_b
+),
+feat AS (
+  SELECT *, drug_a_mean_risk * drug_b_mean_risk AS combined_risk_interaction,
+         abs(drug_a_mean_risk - drug_b_mean_risk) AS risk_difference,
+         least(drug_a_freq, drug_b_freq)::DOUBLE / (greatest(drug_a_freq, drug_b_freq)::DOUBLE + 1e-6::DOUBLE) AS freq_ratio,
+         ln(1 + drug_a_freq::DOUBLE) AS drug_a_log_freq, ln(1 + drug_b_freq::DOUBLE) AS drug_b_log_freq,
+         ln(1 + greatest(drug_a_mean_risk * drug_b_mean_risk, 0.0)) AS log_combined_risk,
+         ln(1 + greatest(abs(drug_a_mean_risk - drug_b_mean_risk), 0.0)) AS log_risk_difference,
+         (CAST(('0x' || substr(md5(concat_ws('#', drug_a, drug_b)), 1, 8)) AS BIGINT) % 100) AS bucket
+  FROM feat0
+),
+scored AS (
+  SELECT *, ln(1 + greatest((drug_a_mean_risk + drug_b_mean_risk) / 2, 0.0)) AS baseline
+  FROM feat WHERE bucket >= 80
+),
+conf AS (
+  SELECT CAST(count(*) FILTER (WHERE exp(log_max_risk) - 1 > 3.0 AND exp(baseline) - 1 > 3.0) AS BIGINT) AS tp,
+         CAST(count(*) FILTER (WHERE NOT exp(log_max_risk) - 1 > 3.0 AND exp(baseline) - 1 > 3.0) AS BIGINT) AS fp,
+         CAST(count(*) FILTER (WHERE exp(log_max_risk) - 1 > 3.0 AND NOT exp(baseline) - 1 > 3.0) AS BIGINT) AS fn,
+         CAST(count(*) FILTER (WHERE NOT exp(log_max_risk) - 1 > 3.0 AND NOT exp(baseline) - 1 > 3.0) AS BIGINT) AS tn
+  FROM scored
+),
+cat AS (SELECT drug_a AS drug FROM feat UNION SELECT drug_b AS drug FROM feat),
+node_a AS (SELECT drug_a AS drug, max(drug_a_freq) AS fa, max(drug_a_mean_risk) AS ma FROM feat GROUP BY drug_a),
+node_b AS (SELECT drug_b AS drug, max(drug_b_freq) AS fb, max(drug_b_mean_risk) AS mb FROM feat GROUP BY drug_b),
+nf AS (
+  SELECT c.drug,
+         CAST(CASE WHEN coalesce(fa, 0) = 0 THEN coalesce(fb, 0) ELSE fa END AS DOUBLE) AS freq,
+         CAST(CASE WHEN coalesce(fa, 0) = 0 THEN coalesce(mb, 0) ELSE ma END AS DOUBLE) AS mean_risk
+  FROM cat c LEFT JOIN node_a a ON a.drug = c.drug LEFT JOIN node_b b ON b.drug = c.drug
+),
+nodes AS (
+  SELECT CAST(row_number() OVER (ORDER BY drug) - 1 AS BIGINT) AS idx, drug, freq, mean_risk,
+         (freq - avg(freq) OVER ()) / (stddev_samp(freq) OVER () + 1e-6::DOUBLE) AS freq_z,
+         (mean_risk - avg(mean_risk) OVER ()) / (stddev_samp(mean_risk) OVER () + 1e-6::DOUBLE) AS risk_z
+  FROM nf
+),
+edges0 AS (
+  SELECT na.idx AS src, nb.idx AS dst, f.log_max_risk AS w
+  FROM feat f JOIN nodes na ON na.drug = f.drug_a JOIN nodes nb ON nb.drug = f.drug_b
+),
+edges AS (SELECT src, dst, w FROM edges0 UNION ALL SELECT dst AS src, src AS dst, w FROM edges0),
+hop1 AS (
+  SELECT n.idx, coalesce(avg(m.freq_z), 0.0) AS freq_z, coalesce(avg(m.risk_z), 0.0) AS risk_z
+  FROM nodes n LEFT JOIN edges e ON e.dst = n.idx LEFT JOIN nodes m ON m.idx = e.src GROUP BY n.idx
+),
+hop2 AS (
+  SELECT n.idx, coalesce(avg(h.freq_z), 0.0) AS freq_z, coalesce(avg(h.risk_z), 0.0) AS risk_z
+  FROM nodes n LEFT JOIN edges e ON e.dst = n.idx LEFT JOIN hop1 h ON h.idx = e.src GROUP BY n.idx
+)"""
+
+FEATURE_COLS = ["drug_a_freq", "drug_b_freq", "drug_a_mean_risk", "drug_b_mean_risk",
+                "combined_risk_interaction", "risk_difference", "freq_ratio",
+                "drug_a_log_freq", "drug_b_log_freq", "log_combined_risk", "log_risk_difference"]
+
+
+def with_learn(select: str) -> str:
+    return "WITH " + BASE_CHAIN + LEARN_CHAIN + "\n" + select
+
+
+def _r2_sql(mse: str, var: str) -> str:
+    return f"CASE WHEN {var} > 0 THEN 1 - {mse} / {var} WHEN {mse} = 0 THEN 1.0 ELSE 0.0 END"
+
+
+def _ratio_sql(num: str, den: str) -> str:
+    return f"coalesce(CAST({num} AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0), 0.0)"
+
+
 def with_chain(select: str) -> str:
     return "WITH " + BASE_CHAIN + "\n" + select
 
@@ -85,3 +176,61 @@ ORACLE: dict[str, str] = {
     "batch_totals": with_chain(
         "SELECT quarter, CAST(count(*) AS BIGINT) AS n FROM pair_events GROUP BY quarter"),
 }
+
+_REG = """SELECT CAST(n AS BIGINT) AS n, round(log_mse, 6) AS log_mse, round(""" + _r2_sql("log_mse", "vl") + """, 6) AS log_r2,
+  round(orig_mse, 6) AS orig_mse, round(""" + _r2_sql("orig_mse", "vo") + """, 6) AS orig_r2
+FROM (SELECT count(*) AS n, avg((log_max_risk - baseline) * (log_max_risk - baseline)) AS log_mse,
+  var_pop(log_max_risk) AS vl,
+  avg(((exp(log_max_risk) - 1) - (exp(baseline) - 1)) * ((exp(log_max_risk) - 1) - (exp(baseline) - 1))) AS orig_mse,
+  var_pop(exp(log_max_risk) - 1) AS vo FROM scored)"""
+
+_BIN = ("SELECT round(" + _ratio_sql("tp + tn", "tp + fp + fn + tn") + ", 6) AS acc, round("
+        + _ratio_sql("tp", "tp + fp") + ", 6) AS prec, round(" + _ratio_sql("tp", "tp + fn")
+        + ", 6) AS rec, round(" + _ratio_sql("2 * tp", "2 * tp + fp + fn") + ", 6) AS f1 FROM conf")
+
+
+def _class_rows() -> str:
+    p0, r0, f0 = _ratio_sql("tn", "tn + fn"), _ratio_sql("tn", "tn + fp"), _ratio_sql("2 * tn", "2 * tn + fn + fp")
+    p1, r1, f1 = _ratio_sql("tp", "tp + fp"), _ratio_sql("tp", "tp + fn"), _ratio_sql("2 * tp", "2 * tp + fp + fn")
+    n = "(tp + fp + fn + tn)"
+    s0, s1 = "(tn + fp)", "(tp + fn)"
+    w0, w1 = _ratio_sql(s0, n), _ratio_sql(s1, n)
+    acc = _ratio_sql("tp + tn", n)
+    rows = [
+        ("'LOW RISK'", p0, r0, f0, s0),
+        ("'SIGNIFICANT RISK'", p1, r1, f1, s1),
+        ("'accuracy'", "NULL", "NULL", acc, n),
+        ("'macro avg'", f"({p0} + {p1}) / 2", f"({r0} + {r1}) / 2", f"({f0} + {f1}) / 2", n),
+        ("'weighted avg'", f"{p0} * {w0} + {p1} * {w1}", f"{r0} * {w0} + {r1} * {w1}",
+         f"{f0} * {w0} + {f1} * {w1}", n),
+    ]
+    parts = [f"SELECT {c} AS class, round(CAST({p} AS DOUBLE), 6) AS precision, round(CAST({r} AS DOUBLE), 6) AS recall, "
+             f"round(CAST({f} AS DOUBLE), 6) AS f1, CAST({s} AS BIGINT) AS support FROM conf"
+             for c, p, r, f, s in rows]
+    return " UNION ALL ".join(parts)
+
+
+_FEAT_SELECT = ("SELECT drug_a, drug_b, " + r6("max_risk") + ", total_reports, " + r6("log_max_risk") + ", "
+                + ", ".join(c if c.endswith("_freq") and "log" not in c else r6(c) for c in FEATURE_COLS)
+                + " FROM feat")
+
+ORACLE.update({
+    "pair_max_risk": with_learn("SELECT drug_a, drug_b, " + r6("max_risk") + ", total_reports, "
+                                + r6("log_max_risk") + " FROM pmr"),
+    "drug_freq": with_learn("SELECT drug, freq FROM dfreq"),
+    "drug_mean_risk": with_learn("SELECT drug, " + r6("mean_risk") + " FROM dmean"),
+    "pair_features": with_learn(_FEAT_SELECT),
+    "hash_split": with_learn("SELECT drug_a, drug_b, CAST(bucket AS BIGINT) AS bucket, "
+                             "CASE WHEN bucket < 80 THEN 'train' ELSE 'test' END AS split FROM feat"),
+    "regression_metrics": with_learn(_REG),
+    "binary_metrics": with_learn(_BIN),
+    "class_report": with_learn(_class_rows()),
+    "graph_nodes": with_learn("SELECT idx, drug, " + ", ".join(r6(c) for c in ["freq", "mean_risk", "freq_z", "risk_z"])
+                              + " FROM nodes"),
+    "graph_edges": with_learn("SELECT src, dst, " + r6("w") + " FROM edges"),
+    "neighbor_mean_1hop": with_learn("SELECT n.idx, n.drug, round(h.freq_z, 6) AS h1_freq_z, round(h.risk_z, 6) AS h1_risk_z "
+                                     "FROM nodes n JOIN hop1 h ON h.idx = n.idx"),
+    "neighbor_mean_2hop": with_learn("SELECT n.idx, n.drug, round(h1.freq_z, 6) AS h1_freq_z, round(h1.risk_z, 6) AS h1_risk_z, "
+                                     "round(h2.freq_z, 6) AS h2_freq_z, round(h2.risk_z, 6) AS h2_risk_z "
+                                     "FROM nodes n JOIN hop1 h1 ON h1.idx = n.idx JOIN hop2 h2 ON h2.idx = n.idx"),
+})
