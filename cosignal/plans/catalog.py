@@ -15,6 +15,8 @@ from cosignal.functions.names import clean_name
 from cosignal.operators import features as FE
 from cosignal.operators import graph as G
 from cosignal.operators import metrics as M
+from cosignal.operators import report as RP
+from cosignal.functions import presentation as X
 from cosignal.operators.split import hash_split as _hash_split
 from cosignal.operators.split import split_bucket
 from cosignal.operators import counts as C
@@ -22,7 +24,7 @@ from cosignal.operators import pairs as P
 from cosignal.operators import signals as S
 from cosignal.plans.common import round_doubles
 from cosignal.session import cut_lineage
-from cosignal.sources.proxy import proxy_reports, table
+from cosignal.sources.proxy import pair_requests, proxy_reports, table
 from cosignal.streaming import counters as R
 
 MIN_SUPPORT = 3
@@ -163,6 +165,90 @@ def neighbor_mean_2hop(spark, sf_dir):
         "idx", "drug", "h1_freq_z", "h1_risk_z", "h2_freq_z", "h2_risk_z"))
 
 
+SEARCH_TEXT = "ring"
+
+
+def _evidence(spark, sf_dir, k=10):
+    return RP.topk_events(stage_signals(spark, sf_dir), k)
+
+
+def topk_events_per_pair(spark, sf_dir):
+    return round_doubles(_evidence(spark, sf_dir))
+
+
+def top3_events_per_pair(spark, sf_dir):
+    return round_doubles(_evidence(spark, sf_dir, 3))
+
+
+def pair_summary(spark, sf_dir):
+    return round_doubles(RP.pair_summary(stage_signals(spark, sf_dir)))
+
+
+def prr_bands(spark, sf_dir):
+    return RP.prr_bands(_evidence(spark, sf_dir))
+
+
+def band_histogram(spark, sf_dir):
+    return RP.band_histogram(_evidence(spark, sf_dir))
+
+
+def peak_signal(spark, sf_dir):
+    return round_doubles(RP.peak_signal(_evidence(spark, sf_dir)))
+
+
+def explanations(spark, sf_dir):
+    return RP.explanations(stage_signals(spark, sf_dir))
+
+
+def evidence_display(spark, sf_dir):
+    return round_doubles(RP.evidence_display(_evidence(spark, sf_dir, 8))
+                         .withColumn("is_signal", F.col("is_signal").cast("int")))
+
+
+def risk_labels(spark, sf_dir):
+    f = build_features(spark, sf_dir)
+    return round_doubles(f.select(
+        "drug_a", "drug_b", "max_risk", X.risk_label("max_risk").alias("risk_label"),
+        X.risk_colour("max_risk").alias("risk_colour"),
+        X.signal_flag("max_risk").cast("int").alias("is_signal")))
+
+
+def _two_scores(spark, sf_dir):
+    """Per pair: its observed max risk and the encoding baseline (mean of the two drugs'
+    mean risks), plus whether the pair has historical evidence."""
+    f = build_features(spark, sf_dir)
+    ev = RP.pair_summary(stage_signals(spark, sf_dir)).select("drug_a", "drug_b", "unique_events")
+    base = F.greatest((F.col("drug_a_mean_risk") + F.col("drug_b_mean_risk")) / 2, F.lit(0.0))
+    return (f.join(ev, ["drug_a", "drug_b"], "left")
+            .select("drug_a", "drug_b", F.col("max_risk").alias("observed"), base.alias("baseline"),
+                    F.coalesce(F.col("unique_events"), F.lit(0)).alias("evidence_count")))
+
+
+def composite_score(spark, sf_dir):
+    s = _two_scores(spark, sf_dir).withColumn("has_evidence", F.col("evidence_count") > 0)
+    return RP.composite(s, "observed", "baseline", "has_evidence").select(
+        "drug_a", "drug_b", "composite", "composite_label", "composite_colour", "advice")
+
+
+def model_agreement(spark, sf_dir):
+    s = (_two_scores(spark, sf_dir)
+         .withColumn("la", X.risk_label("observed", 3.0, 2.0))
+         .withColumn("lb", X.risk_label("baseline", 3.0, 2.0)))
+    return RP.model_agreement(s, "la", "lb")
+
+
+def drug_catalog(spark, sf_dir):
+    return RP.drug_catalog(stage_signals(spark, sf_dir))
+
+
+def drug_search(spark, sf_dir):
+    return RP.drug_search(RP.drug_catalog(stage_signals(spark, sf_dir)), SEARCH_TEXT)
+
+
+def pair_lookup(spark, sf_dir):
+    return round_doubles(RP.pair_lookup(pair_requests(spark, sf_dir), stage_signals(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "clean_names": clean_names,
     "pair_events": pair_events,
@@ -186,4 +272,18 @@ QUERIES: dict[str, Query] = {
     "graph_edges": graph_edges,
     "neighbor_mean_1hop": neighbor_mean_1hop,
     "neighbor_mean_2hop": neighbor_mean_2hop,
+    "topk_events_per_pair": topk_events_per_pair,
+    "top3_events_per_pair": top3_events_per_pair,
+    "pair_summary": pair_summary,
+    "prr_bands": prr_bands,
+    "band_histogram": band_histogram,
+    "peak_signal": peak_signal,
+    "explanations": explanations,
+    "evidence_display": evidence_display,
+    "risk_labels": risk_labels,
+    "composite_score": composite_score,
+    "model_agreement": model_agreement,
+    "drug_catalog": drug_catalog,
+    "drug_search": drug_search,
+    "pair_lookup": pair_lookup,
 }

@@ -7,7 +7,7 @@ Doubles are rounded to 6 digits, counts cast to BIGINT.
 
 from __future__ import annotations
 
-from cosignal.sources.proxy import PROXY_SQL
+from cosignal.sources.proxy import PROXY_SQL, REQUESTS_SQL
 
 CLEAN = "trim(regexp_replace(regexp_replace(upper({x}), '[[:punct:]]', '', 'g'), '\\s+', ' ', 'g'))"
 
@@ -234,3 +234,124 @@ ORACLE.update({
                                      "round(h2.freq_z, 6) AS h2_freq_z, round(h2.risk_z, 6) AS h2_risk_z "
                                      "FROM nodes n JOIN hop1 h1 ON h1.idx = n.idx JOIN hop2 h2 ON h2.idx = n.idx"),
 })
+
+
+def _label(x: str, hi: float = 10.0, mid: float = 5.0) -> str:
+    return (f"CASE WHEN {x} > {hi} THEN 'HIGH RISK' WHEN {x} > {mid} THEN 'MEDIUM RISK' "
+            "ELSE 'LOW RISK' END")
+
+
+def _map100(x: str) -> str:
+    return (f"CASE WHEN {x} >= 20 THEN least(100.0, 90 + ({x} - 20)) "
+            f"WHEN {x} >= 10 THEN 75 + (({x} - 10) / 10) * 15 "
+            f"WHEN {x} >= 5 THEN 40 + (({x} - 5) / 5) * 35 ELSE ({x} / 5) * 40 END")
+
+
+def _band(x: str) -> str:
+    return f"CASE WHEN {x} > 10.0 THEN 'HIGH' WHEN {x} > 2.0 THEN 'MOD' ELSE 'LOW' END"
+
+
+REPORT_CHAIN = """,
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY drug_a, drug_b ORDER BY round(risk_score, 9) DESC, event) AS BIGINT) AS rank
+  FROM signals
+),
+ev AS (
+  SELECT drug_a, drug_b, rank, lpad(CAST(rank AS VARCHAR), 2, '0') AS rank_label, event,
+         a AS co_occurrences, PRR, ROR, risk_score FROM ranked
+),
+summ AS (
+  SELECT drug_a, drug_b, CAST(max(pair_total) AS BIGINT) AS total_reports, CAST(count(*) AS BIGINT) AS unique_events,
+         max(risk_score) AS max_risk, """ + _label("max(risk_score)") + """ AS risk_label
+  FROM signals GROUP BY drug_a, drug_b
+),
+two AS (
+  SELECT f.drug_a, f.drug_b, f.max_risk AS observed,
+         greatest((f.drug_a_mean_risk + f.drug_b_mean_risk) / 2, 0.0) AS baseline,
+         coalesce(s.unique_events, 0) AS evidence_count
+  FROM feat f LEFT JOIN summ s ON s.drug_a = f.drug_a AND s.drug_b = f.drug_b
+),
+comp AS (
+  SELECT drug_a, drug_b, evidence_count > 0 AS has_evidence,
+         CAST(floor((""" + _map100("observed") + " + " + _map100("baseline") + """) / 2 + 0.5) AS BIGINT) AS composite
+  FROM two
+),
+""" + REQUESTS_SQL + """,
+req AS (
+  SELECT request_id,
+         least(""" + CLEAN.format(x="drug_a") + ", " + CLEAN.format(x="drug_b") + """) AS drug_a,
+         greatest(""" + CLEAN.format(x="drug_a") + ", " + CLEAN.format(x="drug_b") + """) AS drug_b
+  FROM requests
+)"""
+
+
+def with_report(select: str) -> str:
+    return "WITH " + BASE_CHAIN + LEARN_CHAIN + REPORT_CHAIN + "\n" + select
+
+
+_ADVICE = {
+    ("HIGH", True): "Significant interaction risk detected. Clinical review strongly recommended before co-prescribing. Consider therapeutic alternatives or enhanced monitoring.",
+    ("HIGH", False): "Theoretical risk inferred via ML based on individual drug profiles. No historical FAERS co-occurrences exist. Clinical review recommended.",
+    ("MODERATE", True): "Moderate interaction signal. Prescriber awareness advised. Monitor for adverse effects and consider dose adjustments where applicable.",
+    ("MODERATE", False): "Theoretical moderate signal inferred via ML. No historical FAERS data exists.",
+    ("LOW", True): "Low interaction signal from current FAERS data. Standard clinical monitoring applies. See Statistical Analysis tab for the full PRR breakdown.",
+    ("LOW", False): "Low theoretical interaction signal from ML. No historical FAERS data exists.",
+}
+
+
+def _advice_sql() -> str:
+    lvl = "CASE WHEN composite > 75 THEN 'HIGH' WHEN composite > 40 THEN 'MODERATE' ELSE 'LOW' END"
+    parts = [f"WHEN {lvl} = '{k[0]}' AND has_evidence = {str(k[1]).upper()} THEN '{v}'"
+             for k, v in _ADVICE.items()]
+    return "CASE " + " ".join(parts) + " END"
+
+
+_EV_COLS = "drug_a, drug_b, rank, rank_label, event, co_occurrences, " + ", ".join(r6(c) for c in ["PRR", "ROR", "risk_score"])
+
+ORACLE.update({
+    "topk_events_per_pair": with_report(f"SELECT {_EV_COLS} FROM ev WHERE rank <= 10"),
+    "top3_events_per_pair": with_report(f"SELECT {_EV_COLS} FROM ev WHERE rank <= 3"),
+    "pair_summary": with_report("SELECT drug_a, drug_b, total_reports, unique_events, " + r6("max_risk")
+                                + ", risk_label FROM summ"),
+    "prr_bands": with_report("SELECT drug_a, drug_b, " + _band("PRR") + " AS band, CAST(count(*) AS BIGINT) AS n "
+                             "FROM ev WHERE rank <= 10 GROUP BY ALL HAVING count(*) > 0"),
+    "band_histogram": with_report(
+        "SELECT drug_a, drug_b, CAST(count(*) FILTER (WHERE PRR > 10.0) AS BIGINT) AS high_prr, "
+        "CAST(count(*) FILTER (WHERE PRR > 2.0 AND PRR <= 10.0) AS BIGINT) AS mod_prr, "
+        "CAST(count(*) FILTER (WHERE PRR <= 2.0) AS BIGINT) AS low_prr FROM ev WHERE rank <= 10 GROUP BY drug_a, drug_b"),
+    "peak_signal": with_report(
+        "SELECT drug_a, drug_b, arg_min(event, rank) AS top_event, round(arg_min(PRR, rank), 6) AS peak_prr, "
+        "CAST(count(*) AS BIGINT) AS evidence_count, CAST(greatest(count(*) - 3, 0) AS BIGINT) AS more "
+        "FROM ev WHERE rank <= 10 GROUP BY drug_a, drug_b"),
+    "explanations": with_report(
+        "SELECT drug_a, drug_b, event AS top_event, printf('%s was reported %d times when %s and %s were taken "
+        "together; PRR %.2f, ROR %.2f.', event, co_occurrences, drug_a, drug_b, PRR, ROR) AS explanation "
+        "FROM ev WHERE rank = 1"),
+    "evidence_display": with_report(
+        "SELECT drug_a, drug_b, rank, rank_label, CASE WHEN length(event) > 20 THEN substr(event, 1, 20) || '…' "
+        "ELSE event END AS event_label, format('{:,}', co_occurrences) AS co_occurrences_text, "
+        + _band("PRR") + " AS band, round(least(100.0, PRR / 20.0 * 100), 6) AS bar_width, "
+        "CAST(risk_score > 5.0 AS INTEGER) AS is_signal FROM ev WHERE rank <= 8"),
+    "risk_labels": with_report(
+        "SELECT drug_a, drug_b, " + r6("max_risk") + ", " + _label("max_risk") + " AS risk_label, "
+        "CASE WHEN max_risk > 10.0 THEN '#ef4444' WHEN max_risk > 5.0 THEN '#f59e0b' ELSE '#10b981' END AS risk_colour, "
+        "CAST(max_risk > 5.0 AS INTEGER) AS is_signal FROM feat"),
+    "composite_score": with_report(
+        "SELECT drug_a, drug_b, composite, CASE WHEN composite > 75 THEN 'HIGH RISK' WHEN composite > 40 "
+        "THEN 'MODERATE RISK' ELSE 'LOW RISK' END AS composite_label, CASE WHEN composite > 75 THEN '#ef4444' "
+        "WHEN composite > 40 THEN '#f59e0b' ELSE '#3b82f6' END AS composite_colour, " + _advice_sql()
+        + " AS advice FROM comp"),
+    "model_agreement": with_report(
+        "SELECT label_a, label_b, CAST(count(*) AS BIGINT) AS n, CAST(label_a = label_b AS INTEGER) AS agree FROM ("
+        "SELECT " + _label("observed", 3.0, 2.0) + " AS label_a, " + _label("baseline", 3.0, 2.0)
+        + " AS label_b FROM two) GROUP BY label_a, label_b"),
+    "drug_catalog": with_report("SELECT drug FROM (SELECT drug_a AS drug FROM signals UNION SELECT drug_b FROM signals) "
+                                "WHERE drug IS NOT NULL"),
+    "drug_search": with_report("SELECT drug FROM (SELECT drug_a AS drug FROM signals UNION SELECT drug_b FROM signals) "
+                               "WHERE drug IS NOT NULL AND contains(lower(drug), 'ring')"),
+    "pair_lookup": with_report(
+        "SELECT r.request_id, r.drug_a, r.drug_b, CASE WHEN r.drug_a = '' OR r.drug_b = '' THEN 'missing_drug' "
+        "WHEN r.drug_a = r.drug_b THEN 'same_drug' WHEN s.total_reports IS NULL THEN 'no_evidence' ELSE 'ok' END AS status, "
+        "s.total_reports, s.unique_events, round(s.max_risk, 6) AS max_risk, s.risk_label "
+        "FROM req r LEFT JOIN summ s ON s.drug_a = r.drug_a AND s.drug_b = r.drug_b"),
+})

@@ -69,3 +69,29 @@ demo AS (SELECT quarter, PRIMARYID, AGE, SEX FROM proxy_orders),
 drug AS (SELECT quarter, PRIMARYID, p_name AS DRUGNAME FROM proxy_lines),
 reac AS (SELECT quarter, PRIMARYID, concat_ws(' ', p_brand, p_type) AS PT FROM proxy_lines)
 """
+
+
+def pair_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested pairs as raw text: per order, the part names of line 2 and line 1.
+
+    Names are raw (not normalised) and in no particular order, like user input; orders
+    with a repeated part give a same-drug request.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    l1 = (li.filter(F.col("l_linenumber") == 1).join(names, F.col("l_partkey") == F.col("p_partkey"))
+          .select("l_orderkey", F.col("p_name").alias("drug_b")))
+    l2 = (li.filter(F.col("l_linenumber") == 2).join(names, F.col("l_partkey") == F.col("p_partkey"))
+          .select("l_orderkey", F.col("p_name").alias("drug_a")))
+    return l2.join(l1, "l_orderkey").select(F.col("l_orderkey").alias("request_id"), "drug_a", "drug_b")
+
+
+REQUESTS_SQL = """
+requests AS (
+  SELECT l1.l_orderkey AS request_id, p2.p_name AS drug_a, p1.p_name AS drug_b
+  FROM lineitem l1 JOIN part p1 ON l1.l_partkey = p1.p_partkey
+  JOIN lineitem l2 ON l2.l_orderkey = l1.l_orderkey
+  JOIN part p2 ON l2.l_partkey = p2.p_partkey
+  WHERE l1.l_linenumber = 1 AND l2.l_linenumber = 2
+)
+"""
