@@ -15,7 +15,9 @@ from cosignal.functions.names import clean_name
 from cosignal.operators import features as FE
 from cosignal.operators import graph as G
 from cosignal.operators import metrics as M
+from cosignal.operators import learn as L
 from cosignal.operators import report as RP
+from cosignal.operators import score as SC
 from cosignal.functions import presentation as X
 from cosignal.operators.split import hash_split as _hash_split
 from cosignal.operators.split import split_bucket
@@ -249,6 +251,71 @@ def pair_lookup(spark, sf_dir):
     return round_doubles(RP.pair_lookup(pair_requests(spark, sf_dir), stage_signals(spark, sf_dir)))
 
 
+def pair_report(spark, sf_dir):
+    """Per requested pair: lookup status and summary, plus the sentence on its top event."""
+    sig = stage_signals(spark, sf_dir)
+    look = RP.pair_lookup(pair_requests(spark, sf_dir), sig)
+    return round_doubles(look.join(RP.explanations(sig), ["drug_a", "drug_b"], "left"))
+
+
+def _tree(spark, sf_dir):
+    f = build_features(spark, sf_dir)
+    model, _, test = L.fit_tree_model(f)
+    return f, model, test
+
+
+def gbt_regression(spark, sf_dir):
+    _, model, test = _tree(spark, sf_dir)
+    return L.predict(model, test).select("drug_a", "drug_b", FE.TARGET, "prediction")
+
+
+def gbt_iteration_errors(spark, sf_dir):
+    _, model, test = _tree(spark, sf_dir)
+    return L.per_iteration_errors(model, test)
+
+
+def node_embeddings(spark, sf_dir):
+    _, _, emb = L.graph_embeddings(build_features(spark, sf_dir))
+    return emb
+
+
+def _edge(spark, sf_dir):
+    f = build_features(spark, sf_dir)
+    _, _, emb = L.graph_embeddings(f)
+    model, _, test = L.fit_edge_model(f, emb)
+    return f, emb, model, test
+
+
+def edge_regression(spark, sf_dir):
+    _, _, model, test = _edge(spark, sf_dir)
+    return L.predict(model, test).select("drug_a", "drug_b", FE.TARGET, "prediction")
+
+
+def model_metrics(spark, sf_dir):
+    _, tree, ttest = _tree(spark, sf_dir)
+    _, _, edge, etest = _edge(spark, sf_dir)
+    return (L.evaluate(tree, ttest, EVAL_THRESHOLD, "boosted_trees")
+            .unionByName(L.evaluate(edge, etest, EVAL_THRESHOLD, "edge_regressor")))
+
+
+def _scored(spark, sf_dir):
+    sig = stage_signals(spark, sf_dir)
+    f = cut_lineage(FE.pair_features(sig))
+    tree, _, _ = L.fit_tree_model(f)
+    _, _, emb = L.graph_embeddings(f)
+    edge, _, _ = L.fit_edge_model(f, emb)
+    enc = FE.drug_encoders(sig)
+    return SC.score_pairs(pair_requests(spark, sf_dir), enc, tree, emb, edge, sig)
+
+
+def score_pairs(spark, sf_dir):
+    return _scored(spark, sf_dir)
+
+
+def batch_report_json(spark, sf_dir):
+    return SC.score_json(_scored(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "clean_names": clean_names,
     "pair_events": pair_events,
@@ -286,4 +353,12 @@ QUERIES: dict[str, Query] = {
     "drug_catalog": drug_catalog,
     "drug_search": drug_search,
     "pair_lookup": pair_lookup,
+    "pair_report": pair_report,
+    "gbt_regression": gbt_regression,
+    "gbt_iteration_errors": gbt_iteration_errors,
+    "node_embeddings": node_embeddings,
+    "edge_regression": edge_regression,
+    "model_metrics": model_metrics,
+    "score_pairs": score_pairs,
+    "batch_report_json": batch_report_json,
 }

@@ -355,3 +355,12 @@ ORACLE.update({
         "s.total_reports, s.unique_events, round(s.max_risk, 6) AS max_risk, s.risk_label "
         "FROM req r LEFT JOIN summ s ON s.drug_a = r.drug_a AND s.drug_b = r.drug_b"),
 })
+
+ORACLE["pair_report"] = with_report(
+    "SELECT r.request_id, r.drug_a, r.drug_b, CASE WHEN r.drug_a = '' OR r.drug_b = '' THEN 'missing_drug' "
+    "WHEN r.drug_a = r.drug_b THEN 'same_drug' WHEN s.total_reports IS NULL THEN 'no_evidence' ELSE 'ok' END AS status, "
+    "s.total_reports, s.unique_events, round(s.max_risk, 6) AS max_risk, s.risk_label, e.event AS top_event, "
+    "printf('%s was reported %d times when %s and %s were taken together; PRR %.2f, ROR %.2f.', e.event, "
+    "e.co_occurrences, e.drug_a, e.drug_b, e.PRR, e.ROR) AS explanation "
+    "FROM req r LEFT JOIN summ s ON s.drug_a = r.drug_a AND s.drug_b = r.drug_b "
+    "LEFT JOIN (SELECT * FROM ev WHERE rank = 1) e ON e.drug_a = r.drug_a AND e.drug_b = r.drug_b")
