@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cosignal.operators.pairs import (DEFAULT_CELL_DRUGS, REPORT, clean_drugs, drug_pairs,
-                                      multi_drug_reports, report_event_weights, spread_to_cells)
+                                      multi_drug_reports, report_event_weights,
+                                      spread_weights)
+from cosignal.session import cut_lineage
 from cosignal.sources.reports import Reports
 
 PAIR = ["drug_a", "drug_b"]
@@ -39,7 +41,7 @@ def pair_event_counts(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAU
     drugs = clean_drugs(rep.drug, mode)
     reports = multi_drug_reports(drugs, cell_drugs)
     pairs = drug_pairs(drugs, reports).drop("g")
-    weights = spread_to_cells(report_event_weights(rep, reports), reports)
+    weights = spread_weights(report_event_weights(rep, reports))
     keys = (["quarter"] if by_batch else []) + PAIR + ["event"]
     return (pairs.join(weights, CELL_KEYS)
             .groupBy(*keys).agg(F.sum("w").cast("bigint").alias("a")))
@@ -54,9 +56,16 @@ def totals_from_pair_events(pec: DataFrame) -> Counts:
 
 
 def count_pair_events(rep: Reports, mode: str = "clean",
-                      cell_drugs: int = DEFAULT_CELL_DRUGS) -> Counts:
-    """One-scan plan: the pair explosion is aggregated once."""
-    return totals_from_pair_events(pair_event_counts(rep, mode, cell_drugs))
+                      cell_drugs: int = DEFAULT_CELL_DRUGS, materialize: bool = True) -> Counts:
+    """One-scan plan: the pair explosion is aggregated once.
+
+    With ``materialize`` the unfiltered pair-event counts are written once into the
+    checkpoint folder (the stage boundary where the original pipeline also stored its
+    counters); pair totals, event totals, N and the signal table then read that table
+    instead of re-planning and re-running the explosion for each of them.
+    """
+    pec = pair_event_counts(rep, mode, cell_drugs)
+    return totals_from_pair_events(cut_lineage(pec) if materialize else pec)
 
 
 def count_rows(pair_events: DataFrame) -> Counts:
@@ -72,15 +81,14 @@ def count_factored(rep: Reports, mode: str = "clean",
     reports = multi_drug_reports(drugs, cell_drugs)
     weights = report_event_weights(rep, reports)
     n_pairs = (F.col("k") * (F.col("k") - 1) / 2).cast("bigint")
-    per_event = weights.join(reports.select(*REPORT, "k"), REPORT)
-    event = per_event.groupBy("event").agg(
+    event = weights.groupBy("event").agg(
         F.sum(F.col("w") * n_pairs).cast("bigint").alias("event_total"))
-    n = per_event.agg(F.sum(F.col("w") * n_pairs).cast("bigint")).scalar()
+    n = weights.agg(F.sum(F.col("w") * n_pairs).cast("bigint")).scalar()
     pairs = drug_pairs(drugs, reports).drop("g")
-    per_report = weights.groupBy(*REPORT).agg(F.sum("w").alias("w"))
-    pair = (pairs.join(spread_to_cells(per_report, reports), CELL_KEYS)
+    per_report = weights.groupBy(*REPORT, "g").agg(F.sum("w").alias("w")).withColumn("event", F.lit(None).cast("string"))
+    pair = (pairs.join(spread_weights(per_report).drop("event"), CELL_KEYS)
             .groupBy(*PAIR).agg(F.sum("w").cast("bigint").alias("pair_total")))
-    pec = (pairs.join(spread_to_cells(weights, reports), CELL_KEYS)
+    pec = (pairs.join(spread_weights(weights), CELL_KEYS)
            .groupBy(*PAIR, "event").agg(F.sum("w").cast("bigint").alias("a")))
     return Counts(pair_event=pec, pair=pair, event=event, n=n)
 
@@ -89,6 +97,6 @@ def batch_totals(rep: Reports, mode: str = "clean") -> DataFrame:
     """Pair-event rows per quarter (the per-batch running total), without any explosion."""
     drugs = clean_drugs(rep.drug, mode)
     reports = multi_drug_reports(drugs)
-    weights = report_event_weights(rep, reports).join(reports.select(*REPORT, "k"), REPORT)
+    weights = report_event_weights(rep, reports)
     return weights.groupBy("quarter").agg(
         F.sum(F.col("w") * (F.col("k") * (F.col("k") - 1) / 2).cast("bigint")).cast("bigint").alias("n"))

@@ -86,15 +86,25 @@ def pair_events(rep: Reports, mode: str = "clean",
 
 
 def report_event_weights(rep: Reports, reports: DataFrame) -> DataFrame:
-    """Per report and event: w = (reaction rows with that event) x (demographic rows).
+    """Per report and event: w = (reaction rows with that event) x (demographic rows),
+    for reports with at least two drugs; carries the report's grid size ``g``.
 
     This pre-aggregates the reaction x demographic product of each report, so the pair
-    explosion is joined with one row per (report, event) instead of every raw row.
+    explosion is joined with one row per (report, event) instead of every raw row. Both
+    counts are partial aggregations before their shuffle, so a report with very many
+    reaction rows is combined map-side.
     """
     reac = (rep.reac.filter(F.col("PRIMARYID").isNotNull())
-            .join(reports.select(*REPORT), REPORT, "left_semi")
             .groupBy(*REPORT, F.col("PT").alias("event")).agg(F.count(F.lit(1)).alias("r")))
     demo = (rep.demo.filter(F.col("PRIMARYID").isNotNull())
-            .join(reports.select(*REPORT), REPORT, "left_semi")
             .groupBy(*REPORT).agg(F.count(F.lit(1)).alias("m")))
-    return reac.join(demo, REPORT).select(*REPORT, "event", (F.col("r") * F.col("m")).alias("w"))
+    return (reac.join(demo, REPORT).join(reports.select(*REPORT, "k", "g"), REPORT)
+            .select(*REPORT, "event", (F.col("r") * F.col("m")).alias("w"), "k", "g"))
+
+
+def spread_weights(weights: DataFrame) -> DataFrame:
+    """Copy each (report, event) weight to every grid cell of its report (once when g = 1)."""
+    cell = F.explode(F.sequence(F.lit(0), F.col("g") * F.col("g") - 1))
+    return (weights.select(*REPORT, "event", "w", "g", cell.alias("_cell"))
+            .select(*REPORT, "event", "w", (F.col("_cell") / F.col("g")).cast("int").alias("cell_a"),
+                    F.pmod(F.col("_cell"), F.col("g")).alias("cell_b")))
