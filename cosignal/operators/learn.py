@@ -8,10 +8,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cosignal.operators import graph as G
@@ -66,13 +66,25 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 def per_iteration_errors(model: PipelineModel, test: DataFrame) -> DataFrame:
     """Held-out squared error after each tree (the training log of the reference)."""
     gbt = [s for s in model.stages if isinstance(s, GBTRegressionModel)][0]
-    assembled = model.stages[0].transform(test) if len(model.stages) > 1 else test
+    assembled = test
+    for stage in model.stages:
+        if stage is not gbt:
+            assembled = stage.transform(assembled)
     errs = gbt.evaluateEachIteration(assembled, "squared")  # one float per tree
     spark = test.sparkSession
     return spark.createDataFrame([(i + 1, float(e)) for i, e in enumerate(errs)],
                                  "iteration int, squared_error double")
 
 
+def feature_importances(model: PipelineModel, names=FEATURES) -> DataFrame:
+    """name, importance of each input feature (one number per feature, from the model)."""
+    gbt = [s for s in model.stages if isinstance(s, GBTRegressionModel)][0]
+    imp = gbt.featureImportances.toArray().tolist()
+    spark = SparkSession.getActiveSession()
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)],
+                                 "name string, importance double")
+
+
 def evaluate(model: PipelineModel, test: DataFrame, threshold: float = 5.0,
              name: str = "model", label: str = TARGET) -> DataFrame:
     """One metrics row for held-out rows (log and original scale, thresholded)."""
@@ -105,19 +117,27 @@ def with_edge_vectors(df: DataFrame) -> DataFrame:
             .withColumn("z_b_vec", array_to_vector("z_b")))
 
 
-def edge_pipeline(params: TreeParams | None = None, label: str = TARGET) -> Pipeline:
-    """Concatenate both ends' embeddings (in the given order) and regress the edge weight."""
+def edge_pipeline(dim: int, params: TreeParams | None = None, label: str = TARGET) -> Pipeline:
+    """Concatenate both ends' embeddings (in the given order) and regress the edge weight.
+    ``dim`` is the embedding width, declared so the pipeline also applies to empty input."""
     p = params or TreeParams()
-    return Pipeline(stages=[VectorAssembler(inputCols=["z_a_vec", "z_b_vec"], outputCol="edge_features"),
+    return Pipeline(stages=[VectorSizeHint(inputCol="z_a_vec", size=dim),
+                            VectorSizeHint(inputCol="z_b_vec", size=dim),
+                            VectorAssembler(inputCols=["z_a_vec", "z_b_vec"], outputCol="edge_features"),
                             _gbt(p, "edge_features", label)])
 
 
+def embedding_width(emb: DataFrame) -> int:
+    """Width of the embedding arrays (all rows have the same width); reads one row."""
+    return int(emb.select(F.size("z")).first()[0])
+
+
 def fit_edge_model(features: DataFrame, emb: DataFrame, params: TreeParams | None = None,
                    train_pct: int = 80) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Both directions of a pair fall on the same side of the split (undirected hash)."""
     data = with_edge_vectors(edge_dataset(features, emb))
     train, test = hash_split(data, train_pct)
-    return edge_pipeline(params).fit(train), train, test
+    return edge_pipeline(embedding_width(emb), params).fit(train), train, test
 
 
 def graph_embeddings(features: DataFrame, hops: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:

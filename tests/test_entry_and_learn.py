@@ -1,3 +1,4 @@
+import sys
 import tempfile
 
 from pyspark.sql import functions as F
@@ -45,3 +46,26 @@ def test_learn_and_score(spark, sf_dir):
     assert scored.filter("status = 'same_drug'").filter(F.col("tree").isNotNull()).count() == 0
     js = SC.score_json(scored).first().json
     assert '"phase2_xgb"' in js and '"historical_evidence"' in js
+
+
+def test_batch_build_end_to_end(spark):
+    import os
+    from cosignal.plans.build import build
+    from cosignal.sources import tables as T
+    from tests.test_worked_example import make_reports
+    out = tempfile.mkdtemp(prefix="cosignal-build-")
+    paths = build(spark, make_reports(spark), out, min_support=1,
+                  tree_params=L.TreeParams(max_iter=2, max_depth=2), hops=1)
+    sig = spark.read.parquet(paths["signals"])
+    assert sig.count() == 8
+    first = sig.first()
+    assert (first.drug_a, first.drug_b, first.event) == ("ASPIRIN", "WARFARIN", "Bleeding")
+    assert T.read_pair_events(spark, paths["pair_events"], ["2025q1"]).count() == 11
+    assert spark.read.parquet(paths["features"]).count() == 3
+    nodes, edges = T.read_graph(spark, paths["graph"])
+    assert nodes.count() == 3 and edges.count() == 6
+    assert spark.read.json(paths["metrics"]).count() == 2
+    assert T.first_existing(spark, [out + "/missing", paths["signals"]]) == paths["signals"]
+    imp = L.feature_importances(L.load_model(paths["models/tree"]))
+    assert imp.count() == 11
+    assert T.example_pairs(spark).count() == 6
