@@ -25,7 +25,11 @@ from cosignal.operators import counts as C
 from cosignal.operators import pairs as P
 from cosignal.operators import signals as S
 from cosignal.plans.common import round_doubles
-from cosignal.session import cut_lineage
+import uuid
+
+from cosignal.session import cut_lineage, scratch_path
+from cosignal.sources import reports as RS
+from cosignal.sources import tables as T
 from cosignal.sources.proxy import pair_requests, proxy_reports, table
 from cosignal.streaming import counters as R
 
@@ -94,8 +98,9 @@ def stage_signals(spark, sf_dir) -> DataFrame:
     return cut_lineage(build_signals(spark, sf_dir))
 
 
-def build_features(spark, sf_dir) -> DataFrame:
-    return cut_lineage(FE.pair_features(stage_signals(spark, sf_dir)))
+def build_features(spark, sf_dir, signals: DataFrame | None = None) -> DataFrame:
+    sig = signals if signals is not None else stage_signals(spark, sf_dir)
+    return cut_lineage(FE.pair_features(sig))
 
 
 def pair_max_risk(spark, sf_dir):
@@ -218,8 +223,9 @@ def risk_labels(spark, sf_dir):
 def _two_scores(spark, sf_dir):
     """Per pair: its observed max risk and the encoding baseline (mean of the two drugs'
     mean risks), plus whether the pair has historical evidence."""
-    f = build_features(spark, sf_dir)
-    ev = RP.pair_summary(stage_signals(spark, sf_dir)).select("drug_a", "drug_b", "unique_events")
+    sig = stage_signals(spark, sf_dir)
+    f = build_features(spark, sf_dir, sig)
+    ev = RP.pair_summary(sig).select("drug_a", "drug_b", "unique_events")
     base = F.greatest((F.col("drug_a_mean_risk") + F.col("drug_b_mean_risk")) / 2, F.lit(0.0))
     return (f.join(ev, ["drug_a", "drug_b"], "left")
             .select("drug_a", "drug_b", F.col("max_risk").alias("observed"), base.alias("baseline"),
@@ -258,8 +264,8 @@ def pair_report(spark, sf_dir):
     return round_doubles(look.join(RP.explanations(sig), ["drug_a", "drug_b"], "left"))
 
 
-def _tree(spark, sf_dir):
-    f = build_features(spark, sf_dir)
+def _tree(spark, sf_dir, features: DataFrame | None = None):
+    f = features if features is not None else build_features(spark, sf_dir)
     model, _, test = L.fit_tree_model(f)
     return f, model, test
 
@@ -279,8 +285,8 @@ def node_embeddings(spark, sf_dir):
     return emb
 
 
-def _edge(spark, sf_dir):
-    f = build_features(spark, sf_dir)
+def _edge(spark, sf_dir, features: DataFrame | None = None):
+    f = features if features is not None else build_features(spark, sf_dir)
     _, _, emb = L.graph_embeddings(f)
     model, _, test = L.fit_edge_model(f, emb)
     return f, emb, model, test
@@ -292,15 +298,15 @@ def edge_regression(spark, sf_dir):
 
 
 def model_metrics(spark, sf_dir):
-    _, tree, ttest = _tree(spark, sf_dir)
-    _, _, edge, etest = _edge(spark, sf_dir)
+    f, tree, ttest = _tree(spark, sf_dir)
+    _, _, edge, etest = _edge(spark, sf_dir, f)
     return (L.evaluate(tree, ttest, EVAL_THRESHOLD, "boosted_trees")
             .unionByName(L.evaluate(edge, etest, EVAL_THRESHOLD, "edge_regressor")))
 
 
 def _scored(spark, sf_dir):
     sig = stage_signals(spark, sf_dir)
-    f = cut_lineage(FE.pair_features(sig))
+    f = build_features(spark, sf_dir, sig)
     tree, _, _ = L.fit_tree_model(f)
     _, _, emb = L.graph_embeddings(f)
     edge, _, _ = L.fit_edge_model(f, emb)
@@ -316,6 +322,65 @@ def batch_report_json(spark, sf_dir):
     return SC.score_json(_scored(spark, sf_dir))
 
 
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder for tables a query writes."""
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def signals_from_text(spark, sf_dir):
+    """Report tables written as `$`-delimited latin-1 text per quarter, discovered and
+    read back through the text reader, then the whole signal computation."""
+    base = _scratch(spark, "reports-text")
+    RS.write_quarters(proxy_reports(spark, sf_dir), base)
+    rep = RS.read_quarters(spark, base, RS.written_quarters(spark, base), layout=RS.TEXT_LAYOUT)
+    return round_doubles(S.signals(C.count_pair_events(rep), min_support=MIN_SUPPORT))
+
+
+def signals_from_pair_event_files(spark, sf_dir):
+    """Pair-event rows written partitioned by quarter, scanned back, counted, measured."""
+    path = _scratch(spark, "pair-events")
+    T.write_pair_events(P.pair_events(proxy_reports(spark, sf_dir)), path)
+    rows = T.read_pair_events(spark, path)
+    return round_doubles(S.signals(C.count_rows(rows), min_support=MIN_SUPPORT))
+
+
+def streamed_counters(spark, sf_dir):
+    """Pair-event files consumed by the Structured Streaming counter job (availableNow),
+    then merged; the support filter comes after the merge."""
+    base = _scratch(spark, "stream")
+    rows = P.pair_events(proxy_reports(spark, sf_dir))
+    rows.write.parquet(f"{base}/in")
+    R.stream_counters(spark, f"{base}/in", rows.schema, f"{base}/counters", f"{base}/ckpt")
+    merged = R.merge_counters(R.read_counters(spark, f"{base}/counters"))
+    return merged.pair_event.filter(F.col("a") >= MIN_SUPPORT)
+
+
+def pair_counts_factored(spark, sf_dir):
+    return C.count_factored(proxy_reports(spark, sf_dir)).pair
+
+
+def event_counts_factored(spark, sf_dir):
+    return C.count_factored(proxy_reports(spark, sf_dir)).event
+
+
+def total_rows_factored(spark, sf_dir):
+    return spark.range(1).select(C.count_factored(proxy_reports(spark, sf_dir)).n.alias("n"))
+
+
+def drug_encoders(spark, sf_dir):
+    return round_doubles(FE.drug_encoders(stage_signals(spark, sf_dir)))
+
+
+def neighbor_mean_3hop(spark, sf_dir):
+    cols = ["idx", "drug"] + [f"h{k}_{c}" for k in (1, 2, 3) for c in ("freq_z", "risk_z")]
+    return round_doubles(_propagated(spark, sf_dir, 3).select(*cols))
+
+
+def feature_importances(spark, sf_dir):
+    _, model, _ = _tree(spark, sf_dir)
+    return L.feature_importances(model)
+
+
 QUERIES: dict[str, Query] = {
     "clean_names": clean_names,
     "pair_events": pair_events,
@@ -361,4 +426,13 @@ QUERIES: dict[str, Query] = {
     "model_metrics": model_metrics,
     "score_pairs": score_pairs,
     "batch_report_json": batch_report_json,
+    "signals_from_text": signals_from_text,
+    "signals_from_pair_event_files": signals_from_pair_event_files,
+    "streamed_counters": streamed_counters,
+    "pair_counts_factored": pair_counts_factored,
+    "event_counts_factored": event_counts_factored,
+    "total_rows_factored": total_rows_factored,
+    "drug_encoders": drug_encoders,
+    "neighbor_mean_3hop": neighbor_mean_3hop,
+    "feature_importances": feature_importances,
 }

@@ -126,6 +126,10 @@ hop1 AS (
 hop2 AS (
   SELECT n.idx, coalesce(avg(h.freq_z), 0.0) AS freq_z, coalesce(avg(h.risk_z), 0.0) AS risk_z
   FROM nodes n LEFT JOIN edges e ON e.dst = n.idx LEFT JOIN hop1 h ON h.idx = e.src GROUP BY n.idx
+),
+hop3 AS (
+  SELECT n.idx, coalesce(avg(h.freq_z), 0.0) AS freq_z, coalesce(avg(h.risk_z), 0.0) AS risk_z
+  FROM nodes n LEFT JOIN edges e ON e.dst = n.idx LEFT JOIN hop2 h ON h.idx = e.src GROUP BY n.idx
 )"""
 
 FEATURE_COLS = ["drug_a_freq", "drug_b_freq", "drug_a_mean_risk", "drug_b_mean_risk",
@@ -364,3 +368,18 @@ ORACLE["pair_report"] = with_report(
     "e.co_occurrences, e.drug_a, e.drug_b, e.PRR, e.ROR) AS explanation "
     "FROM req r LEFT JOIN summ s ON s.drug_a = r.drug_a AND s.drug_b = r.drug_b "
     "LEFT JOIN (SELECT * FROM ev WHERE rank = 1) e ON e.drug_a = r.drug_a AND e.drug_b = r.drug_b")
+
+ORACLE.update({
+    "signals_from_text": ORACLE["signals"],
+    "signals_from_pair_event_files": ORACLE["signals"],
+    "streamed_counters": ORACLE["pair_event_counts"],
+    "pair_counts_factored": ORACLE["pair_counts"],
+    "event_counts_factored": ORACLE["event_counts"],
+    "total_rows_factored": ORACLE["total_rows"],
+    "drug_encoders": with_learn("SELECT coalesce(f.drug, m.drug) AS drug, f.freq, round(m.mean_risk, 6) AS mean_risk "
+                                "FROM dfreq f FULL OUTER JOIN dmean m ON f.drug = m.drug"),
+    "neighbor_mean_3hop": with_learn(
+        "SELECT n.idx, n.drug, " + ", ".join(
+            f"round(h{k}.freq_z, 6) AS h{k}_freq_z, round(h{k}.risk_z, 6) AS h{k}_risk_z" for k in (1, 2, 3))
+        + " FROM nodes n JOIN hop1 h1 ON h1.idx = n.idx JOIN hop2 h2 ON h2.idx = n.idx JOIN hop3 h3 ON h3.idx = n.idx"),
+})

@@ -7,6 +7,7 @@ quarters is two different reports.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,22 +48,49 @@ def na_to_null(c: Column) -> Column:
     return F.when(c.isin(NA_STRINGS), F.lit(None).cast("string")).otherwise(c)
 
 
-def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
-    # Spark reads only the first line of the first file to name the columns.
-    return (spark.read.option("header", True).option("sep", sep)
-            .option("encoding", encoding).csv(path).columns)
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
 
+def _data_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Files matched by a glob; a matched folder contributes the files inside it."""
+    jvm, p, fs = _hadoop(spark, pattern)
+    out = []
+    for st in fs.globStatus(p) or []:
+        sts = fs.listStatus(st.getPath()) if st.isDirectory() else [st]
+        out += [x.getPath().toString() for x in sts
+                if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    return sorted(out)
 
-def read_delimited(spark: SparkSession, path: str, sep: str = "$",
-                   encoding: str = "ISO-8859-1") -> DataFrame:
+
+def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
+    """Column names from the first line of the first file (read directly, no job)."""
+    files = _data_files(spark, path)
+    if not files:
+        return []
+    jvm, p, fs = _hadoop(spark, files[0])
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), encoding))
+    try:
+        line = reader.readLine() or ""
+    finally:
+        reader.close()
+    return [c.strip().strip('"') for c in line.rstrip("\r").split(sep)]
+
+
+def read_delimited(spark: SparkSession, path, sep: str = "$",
+                   encoding: str = "ISO-8859-1", header: list[str] | None = None) -> DataFrame:
     """Scan a delimited file with a header; every column is a string, names upper-cased.
 
     Line rules of the original reader: a line with more fields than the header is
     skipped, a line with fewer fields is kept and padded with nulls. One extra
     trailing column in the schema makes both rules hold whatever columns a query
-    later prunes to. Quotes are honoured within one line only.
+    later prunes to. Quotes are honoured within one line only. ``path`` may be a list of
+    paths that share one header.
     """
-    cols = [c.upper() for c in _header(spark, path, sep, encoding)]
+    first = path[0] if isinstance(path, (list, tuple)) else path
+    cols = [c.upper() for c in (header or _header(spark, first, sep, encoding))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in cols]
                           + [T.StructField(EXTRA_COL, T.StringType())])
     df = (spark.read.schema(schema)
@@ -73,18 +101,33 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "$",
     return df.filter(F.col(EXTRA_COL).isNull() | (F.col(EXTRA_COL) == "")).drop(EXTRA_COL)
 
 
-def _typed(kind: str, df: DataFrame, quarter: str) -> DataFrame:
+def _typed(kind: str, df: DataFrame, quarter) -> DataFrame:
     _, keep = KINDS[kind]
     cols = {c: na_to_null(F.col(c)) for c in keep}
-    out = df.select(F.lit(quarter).alias("quarter"),
+    q = F.lit(quarter) if isinstance(quarter, str) else quarter
+    out = df.select(q.alias("quarter"),
                     cols["PRIMARYID"].try_cast("bigint").alias("PRIMARYID"),
                     *[(cols[c].try_cast("double") if c == "AGE" else cols[c]).alias(c)
                       for c in keep[1:]])
     return out
 
 
-def _kind_glob(base: str, quarter: str, prefix: str) -> str:
-    return f"{base.rstrip('/')}/{quarter}/ASCII/{prefix}*.txt"
+# Where a kind's files sit: base folder, quarter folder, then the kind's file prefix.
+DEFAULT_LAYOUT = "{base}/{quarter}/ASCII/{prefix}*.txt"
+
+
+def _kind_glob(base: str, quarter: str, prefix: str, layout: str = DEFAULT_LAYOUT) -> str:
+    return layout.format(base=base.rstrip("/"), quarter=quarter, prefix=prefix)
+
+
+def discover_quarters(spark: SparkSession, base: str) -> list[str]:
+    """Names of the quarter folders under ``base`` (a directory listing, sorted)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(base)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return sorted(st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory())
 
 
 def _exists(spark: SparkSession, pattern: str) -> bool:
@@ -95,31 +138,54 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_quarters(spark: SparkSession, base: str, quarters: list[str],
-                  sep: str = "$", encoding: str = "ISO-8859-1") -> Reports:
+def _quarter_regex(layout: str, prefix: str) -> str:
+    """Java regex capturing the (URI-encoded) quarter folder of a file path in ``layout``."""
+    suffix = layout.split("{base}", 1)[1]
+    head, tail = suffix.split("{quarter}", 1)
+
+    def lit(x: str) -> str:
+        return re.escape(x.replace("{prefix}", prefix)).replace("\\*", "[^/]*")
+    return lit(head) + "([^/]+)" + lit(tail) + "(/.*)?$"
+
+
+def read_quarters(spark: SparkSession, base: str, quarters: list[str] | None = None,
+                  sep: str = "$", encoding: str = "ISO-8859-1",
+                  layout: str = DEFAULT_LAYOUT) -> Reports:
     """Find DEMO*/DRUG*/REAC*.txt under ``base/<quarter>/ASCII`` and read them.
 
-    A quarter whose folder or any of the three members is missing is skipped, as is
-    the original behaviour. Each quarter is read on its own (its header may differ)
-    and the quarters are stacked by name.
+    Without a quarter list, every folder under ``base`` is a quarter. A quarter whose
+    folder or any of the three members is missing is skipped, as is the original
+    behaviour. Quarters whose files share a header are read in one scan (the header
+    of each quarter is read directly, one line, no job); the quarter of each row comes
+    from its file path. So many quarters cost a few scans, not one per quarter.
     """
-    parts = {k: [] for k in KINDS}
-    for q in quarters:
-        globs = {k: _kind_glob(base, q, prefix) for k, (prefix, _) in KINDS.items()}
-        if not all(_exists(spark, g) for g in globs.values()):
-            continue
-        for k, g in globs.items():
-            parts[k].append(_typed(k, read_delimited(spark, g, sep, encoding), q))
+    qs = quarters if quarters is not None else discover_quarters(spark, base)
+    jvm = spark.sparkContext._jvm
+    valid = [q for q in qs
+             if all(_exists(spark, _kind_glob(base, q, prefix, layout)) for prefix, _ in KINDS.values())]
     schemas = {"demo": DEMO_SCHEMA, "drug": DRUG_SCHEMA, "reac": REAC_SCHEMA}
     out = {}
-    for k, dfs in parts.items():
-        if not dfs:
-            out[k] = spark.createDataFrame([], schemas[k])
+    for kind, (prefix, _) in KINDS.items():
+        groups: dict[tuple, list[str]] = {}
+        for q in valid:
+            g = _kind_glob(base, q, prefix, layout)
+            groups.setdefault(tuple(_header(spark, g, sep, encoding)), []).append(q)
+        frames = []
+        for header, group in groups.items():
+            paths = [_kind_glob(base, q, prefix, layout) for q in group]
+            df = read_delimited(spark, paths, sep, encoding, list(header))
+            # Encoded folder name (as it appears in file paths) -> quarter name.
+            enc = {jvm.java.net.URI(None, None, q, None).getRawPath(): q for q in group}
+            names = F.create_map(*[F.lit(x) for kv in enc.items() for x in kv])
+            folder = F.regexp_extract(F.col("_metadata.file_path"), _quarter_regex(layout, prefix), 1)
+            frames.append(_typed(kind, df.withColumn("_q", names[folder]), F.col("_q")))
+        if not frames:
+            out[kind] = spark.createDataFrame([], schemas[kind])
             continue
-        acc = dfs[0]
-        for d in dfs[1:]:
+        acc = frames[0]
+        for d in frames[1:]:
             acc = acc.unionByName(d)
-        out[k] = acc
+        out[kind] = acc
     return Reports(**out)
 
 
@@ -128,3 +194,23 @@ def reports_from_tables(demo: DataFrame, drug: DataFrame, reac: DataFrame) -> Re
     return Reports(demo=demo.select("quarter", "PRIMARYID", "AGE", "SEX"),
                    drug=drug.select("quarter", "PRIMARYID", "DRUGNAME"),
                    reac=reac.select("quarter", "PRIMARYID", "PT"))
+
+
+# Layout written by ``write_quarters``: one folder per kind, one sub-folder per quarter.
+TEXT_LAYOUT = "{base}/{prefix}/quarter={quarter}/*.csv"
+
+
+def write_quarters(rep: Reports, base: str, sep: str = "$", encoding: str = "ISO-8859-1") -> None:
+    """Write report tables as delimited text files with a header line, in
+    ``TEXT_LAYOUT`` (one partitioned write per kind)."""
+    for kind, df in (("demo", rep.demo), ("drug", rep.drug), ("reac", rep.reac)):
+        prefix, cols = KINDS[kind]
+        (df.select("quarter", *cols).write.mode("overwrite").partitionBy("quarter")
+         .option("header", True).option("sep", sep).option("encoding", encoding)
+         .csv(f"{base.rstrip('/')}/{prefix}"))
+
+
+def written_quarters(spark: SparkSession, base: str) -> list[str]:
+    """Quarters present in a ``TEXT_LAYOUT`` folder (listed from the demographics kind)."""
+    names = discover_quarters(spark, f"{base.rstrip('/')}/{KINDS['demo'][0]}")
+    return [n.split("=", 1)[1] for n in names if n.startswith("quarter=")]

@@ -59,3 +59,17 @@ def test_read_quarters_skips_incomplete(spark):
     assert demo == [("2025q1", 1, 70.0, "M"), ("2025q1", 2, None, "F")]
     assert rep.drug.count() == 2 and rep.reac.count() == 1
     assert rep.drug.schema["PRIMARYID"].dataType.simpleString() == "bigint"
+
+
+def test_read_quarters_mixed_headers_and_discovery(spark):
+    base = tempfile.mkdtemp(prefix="cosignal-mixed-")
+    for q, demo_header, demo_row in (("2024q4", b"primaryid$age$sex", b"7$40$F"),
+                                     ("2025q1", b"sex$PRIMARYID$age", b"M$8$50")):
+        d = os.path.join(base, q, "ASCII")
+        _write(os.path.join(d, f"DEMO{q}.txt"), [demo_header, demo_row])
+        _write(os.path.join(d, f"DRUG{q}.txt"), [b"primaryid$drugname", demo_row[:0] + b"1$a"])
+        _write(os.path.join(d, f"REAC{q}.txt"), [b"primaryid$pt", b"1$x"])
+    rep = read_quarters(spark, base)          # quarters discovered from the folder names
+    demo = sorted(tuple(r) for r in rep.demo.collect())
+    assert demo == [("2024q4", 7, 40.0, "F"), ("2025q1", 8, 50.0, "M")]
+    assert sorted(r.quarter for r in rep.drug.collect()) == ["2024q4", "2025q1"]
