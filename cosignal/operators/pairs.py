@@ -48,11 +48,14 @@ def drug_pairs(drugs: DataFrame, reports: DataFrame) -> DataFrame:
     seq = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     left = d.select(*REPORT, "g", F.col("drug").alias("drug_a"),
                     _cell("drug").alias("cell_a"), seq.alias("cell_b"))
-    right = d.select(*REPORT, F.col("drug").alias("drug_b"),
-                     seq.alias("cell_a"), _cell("drug").alias("cell_b"))
-    keys = REPORT + ["cell_a", "cell_b"]
-    cond = [left[k] == right[k] for k in keys] + [left["drug_a"] < right["drug_b"]]
-    return left.join(right, cond).select(*[left[k] for k in keys], "g", "drug_a", "drug_b")
+    # The right side gets its own key names, so the self-join never compares a column
+    # with itself.
+    right = d.select(F.col("quarter").alias("_rq"), F.col("PRIMARYID").alias("_rp"),
+                     F.col("drug").alias("drug_b"), seq.alias("_ra"), _cell("drug").alias("_rb"))
+    cond = ((F.col("quarter") == F.col("_rq")) & (F.col("PRIMARYID") == F.col("_rp"))
+            & (F.col("cell_a") == F.col("_ra")) & (F.col("cell_b") == F.col("_rb"))
+            & (F.col("drug_a") < F.col("drug_b")))
+    return left.join(right, cond).select(*REPORT, "cell_a", "cell_b", "g", "drug_a", "drug_b")
 
 
 def spread_to_cells(df: DataFrame, reports: DataFrame) -> DataFrame:
