@@ -85,8 +85,8 @@ def count_factored(rep: Reports, mode: str = "clean",
         F.sum(F.col("w") * n_pairs).cast("bigint").alias("event_total"))
     n = weights.agg(F.sum(F.col("w") * n_pairs).cast("bigint")).scalar()
     pairs = drug_pairs(drugs, reports).drop("g")
-    per_report = weights.groupBy(*REPORT, "g").agg(F.sum("w").alias("w")).withColumn("event", F.lit(None).cast("string"))
-    pair = (pairs.join(spread_weights(per_report).drop("event"), CELL_KEYS)
+    per_report = weights.groupBy(*REPORT, "g").agg(F.sum("w").alias("w"))
+    pair = (pairs.join(spread_weights(per_report), CELL_KEYS)
             .groupBy(*PAIR).agg(F.sum("w").cast("bigint").alias("pair_total")))
     pec = (pairs.join(spread_weights(weights), CELL_KEYS)
            .groupBy(*PAIR, "event").agg(F.sum("w").cast("bigint").alias("a")))

@@ -106,8 +106,10 @@ def report_event_weights(rep: Reports, reports: DataFrame) -> DataFrame:
 
 
 def spread_weights(weights: DataFrame) -> DataFrame:
-    """Copy each (report, event) weight to every grid cell of its report (once when g = 1)."""
+    """Copy each per-report row to every grid cell of its report (once when g = 1); keeps
+    all columns but ``k`` and ``g`` and adds ``cell_a``, ``cell_b``."""
+    keep = [c for c in weights.columns if c not in ("k", "g")]
     cell = F.explode(F.sequence(F.lit(0), F.col("g") * F.col("g") - 1))
-    return (weights.select(*REPORT, "event", "w", "g", cell.alias("_cell"))
-            .select(*REPORT, "event", "w", (F.col("_cell") / F.col("g")).cast("int").alias("cell_a"),
+    return (weights.select(*keep, "g", cell.alias("_cell"))
+            .select(*keep, (F.col("_cell") / F.col("g")).cast("int").alias("cell_a"),
                     F.pmod(F.col("_cell"), F.col("g")).alias("cell_b")))

@@ -69,7 +69,7 @@ def main() -> None:
     ap.add_argument("--quarters", required=True)
     ap.add_argument("--min-support", type=int, default=3)
     a = ap.parse_args()
-    spark = get_spark()
+    spark = get_spark(profile="cluster")
     rep = read_quarters(spark, a.raw, a.quarters.split(","))
     build(spark, rep, a.out.rstrip("/"), a.min_support)
 

@@ -38,11 +38,10 @@ cells AS (
          pec.a + 0.5::DOUBLE AS ca,
          (pc.pair_total - pec.a) + 0.5::DOUBLE AS cb,
          (ec.event_total - pec.a) + 0.5::DOUBLE AS cc,
-         (tot.n - pc.pair_total - ec.event_total + pec.a) + 0.5::DOUBLE AS cd
+         ((SELECT n FROM tot) - pc.pair_total - ec.event_total + pec.a) + 0.5::DOUBLE AS cd
   FROM pec_all pec
   JOIN pc ON pec.drug_a = pc.drug_a AND pec.drug_b = pc.drug_b
   JOIN ec ON pec.event = ec.event
-  JOIN tot ON TRUE
   WHERE pec.a >= 3
 ),
 signals AS (

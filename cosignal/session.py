@@ -23,17 +23,35 @@ DEFAULT_CONF = {
 }
 
 
+# Sizing for large inputs (tens of TB on hundreds of executors): start with many shuffle
+# partitions and let AQE coalesce them towards the advisory size, so no partition
+# outgrows executor memory; read input splits of at most 256 MB; split skewed join
+# partitions above 512 MB. Scale shuffle partitions with the input (about one per
+# 256 MB of the largest shuffle).
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+}
+
+
 def get_spark(master: str | None = None, app_name: str = "cosignal",
-              shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None, extra: dict | None = None,
+              profile: str = "default") -> SparkSession:
     """Create or fetch the session with the library's defaults.
 
     ``master`` is only for local runs and tests; on a cluster leave it ``None`` and let
-    ``spark-submit`` decide.
+    ``spark-submit`` decide. ``profile='cluster'`` adds ``CLUSTER_CONF``.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
