@@ -152,6 +152,12 @@ def graph_nodes(spark, sf_dir):
     return round_doubles(G.graph_nodes(build_features(spark, sf_dir)))
 
 
+def node_zscore(spark, sf_dir):
+    """Standardised node features: (x - mean) / (sample std + 1e-6) per column."""
+    return round_doubles(G.graph_nodes(build_features(spark, sf_dir))
+                         .select("idx", "drug", "freq_z", "risk_z"))
+
+
 def graph_edges(spark, sf_dir):
     f = build_features(spark, sf_dir)
     return round_doubles(G.graph_edges(f, G.graph_nodes(f)))
@@ -401,6 +407,7 @@ QUERIES: dict[str, Query] = {
     "binary_metrics": binary_metrics,
     "class_report": class_report,
     "graph_nodes": graph_nodes,
+    "node_zscore": node_zscore,
     "graph_edges": graph_edges,
     "neighbor_mean_1hop": neighbor_mean_1hop,
     "neighbor_mean_2hop": neighbor_mean_2hop,

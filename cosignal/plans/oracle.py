@@ -382,3 +382,5 @@ ORACLE.update({
             f"round(h{k}.freq_z, 6) AS h{k}_freq_z, round(h{k}.risk_z, 6) AS h{k}_risk_z" for k in (1, 2, 3))
         + " FROM nodes n JOIN hop1 h1 ON h1.idx = n.idx JOIN hop2 h2 ON h2.idx = n.idx JOIN hop3 h3 ON h3.idx = n.idx"),
 })
+
+ORACLE["node_zscore"] = with_learn("SELECT idx, drug, " + ", ".join(r6(c) for c in ["freq_z", "risk_z"]) + " FROM nodes")

@@ -66,7 +66,7 @@ def main():
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = get_spark("local[8]", shuffle_partitions=8, extra={"spark.driver.memory": os.environ.get("DRIVER_MEM", "8g"), "spark.ui.showConsoleProgress": "false"})
+    spark = get_spark("local[8]", shuffle_partitions=int(os.environ.get("SHUFFLE_PARTITIONS", "8")), extra={"spark.driver.memory": os.environ.get("DRIVER_MEM", "8g"), "spark.ui.showConsoleProgress": "false"})
     con = duck(sf_dir)
     qs, sqls = queries(), oracle_sql()
     bad = 0
