@@ -32,6 +32,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def drop_table(spark: SparkSession, path: str) -> bool:
+    """Remove a stage table the caller owns (e.g. merged-away batch counters), like
+    ``DROP TABLE IF EXISTS``; returns whether something was removed."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p) and fs.delete(p, True))
+
+
 def first_existing(spark: SparkSession, paths: list[str]) -> str:
     """The first path the file system reports (e.g. full table, else the sample table)."""
     for p in paths:

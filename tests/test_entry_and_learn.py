@@ -69,3 +69,5 @@ def test_batch_build_end_to_end(spark):
     imp = L.feature_importances(L.load_model(paths["models/tree"]))
     assert imp.count() == 11
     assert T.example_pairs(spark).count() == 6
+    assert T.drop_table(spark, paths["counters"]) and not T.path_exists(spark, paths["counters"])
+    assert not T.drop_table(spark, paths["counters"])
