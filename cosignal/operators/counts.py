@@ -17,9 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cosignal.operators.pairs import (DEFAULT_CELL_DRUGS, REPORT, clean_drugs, drug_pairs,
-                                      multi_drug_reports, report_event_weights,
-                                      spread_weights)
+from cosignal.operators.pairs import (DEFAULT_CELL_DRUGS, DEFAULT_CELL_ROWS, REPORT,
+                                      clean_drugs, drug_pairs, multi_drug_reports,
+                                      report_event_weights, spread_weights, weighted_pairs)
 from cosignal.session import cut_lineage
 from cosignal.sources.reports import Reports
 
@@ -36,14 +36,14 @@ class Counts:
 
 
 def pair_event_counts(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
-                      by_batch: bool = False) -> DataFrame:
-    """drug_a, drug_b, event, a (optionally per quarter) straight from the reports."""
-    drugs = clean_drugs(rep.drug, mode)
-    reports = multi_drug_reports(drugs, cell_drugs)
-    pairs = drug_pairs(drugs, reports).drop("g")
-    weights = spread_weights(report_event_weights(rep, reports))
+                      by_batch: bool = False, cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
+    """drug_a, drug_b, event, a (optionally per quarter) straight from the reports.
+
+    Ordinary reports are processed co-partitioned by report, hot ones through the grid
+    (see ``weighted_pairs``); the aggregation is partial before its shuffle.
+    """
     keys = (["quarter"] if by_batch else []) + PAIR + ["event"]
-    return (pairs.join(weights, CELL_KEYS)
+    return (weighted_pairs(rep, mode, cell_drugs, cell_rows)
             .groupBy(*keys).agg(F.sum("w").cast("bigint").alias("a")))
 
 
@@ -55,8 +55,8 @@ def totals_from_pair_events(pec: DataFrame) -> Counts:
     return Counts(pair_event=pec, pair=pair, event=event, n=n)
 
 
-def count_pair_events(rep: Reports, mode: str = "clean",
-                      cell_drugs: int = DEFAULT_CELL_DRUGS, materialize: bool = True) -> Counts:
+def count_pair_events(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
+                      materialize: bool = True, cell_rows: int = DEFAULT_CELL_ROWS) -> Counts:
     """One-scan plan: the pair explosion is aggregated once.
 
     With ``materialize`` the unfiltered pair-event counts are written once into the
@@ -64,7 +64,7 @@ def count_pair_events(rep: Reports, mode: str = "clean",
     counters); pair totals, event totals, N and the signal table then read that table
     instead of re-planning and re-running the explosion for each of them.
     """
-    pec = pair_event_counts(rep, mode, cell_drugs)
+    pec = pair_event_counts(rep, mode, cell_drugs, cell_rows=cell_rows)
     return totals_from_pair_events(cut_lineage(pec) if materialize else pec)
 
 

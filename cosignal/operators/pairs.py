@@ -1,15 +1,22 @@
-"""Reports -> canonical drug pairs -> pair-event rows.
+"""Reports -> canonical drug pairs -> pair-event rows and weights.
 
 A report (quarter, PRIMARYID) with ``k`` distinct drugs yields ``k(k-1)/2`` pairs; every
 pair is combined with each of the report's reaction rows and demographic rows.
 
-Skew: one report may hold a large share of all drug rows. The self-join is keyed by
-(quarter, PRIMARYID, cell_a, cell_b): a report with more than ``cell_drugs`` drugs is cut
-into a ``g x g`` grid (g = ceil(k / cell_drugs)); a drug lands in grid row
-``hash(drug) % g`` on the left side and grid column ``hash(drug) % g`` on the right side,
-so every pair of the report meets in exactly one cell and no task handles more than
-about ``cell_drugs^2`` comparisons of one report. Ordinary reports have g = 1 and are
-not replicated at all.
+Two physical paths give the same rows:
+
+* co-partitioned (ordinary reports): the drug, reaction and demographic rows are
+  hash-partitioned by report once; de-duplication, the drug count, the pair self-join
+  and the weight joins then need no further shuffle;
+* grid (hot reports, any size): the self-join is keyed by (quarter, PRIMARYID, cell_a,
+  cell_b). A report with more than ``cell_drugs`` drugs is cut into a ``g x g`` grid
+  (g = ceil(k / cell_drugs)); a drug lands in grid row ``hash(drug) % g`` on the left side
+  and grid column ``hash(drug) % g`` on the right side, so every pair of the report meets
+  in exactly one cell and no task handles more than about ``cell_drugs^2`` comparisons of
+  one report. Reaction and demographic rows are pre-aggregated map-side before their
+  shuffles.
+
+``weighted_pairs`` finds the hot reports first and sends each report down its path.
 """
 
 from __future__ import annotations
@@ -22,6 +29,10 @@ from cosignal.sources.reports import Reports
 
 REPORT = ["quarter", "PRIMARYID"]
 DEFAULT_CELL_DRUGS = 2000
+# A report with more reaction or demographic rows than this is also treated as hot.
+DEFAULT_CELL_ROWS = 100_000
+# Hot-report keys are broadcast to split the input only up to this many (counted first).
+HOT_KEYS_BROADCAST_LIMIT = 1_000_000
 
 
 def clean_drugs(drug: DataFrame, mode: str = "clean") -> DataFrame:
@@ -113,3 +124,84 @@ def spread_weights(weights: DataFrame) -> DataFrame:
     return (weights.select(*keep, "g", cell.alias("_cell"))
             .select(*keep, (F.col("_cell") / F.col("g")).cast("int").alias("cell_a"),
                     F.pmod(F.col("_cell"), F.col("g")).alias("cell_b")))
+
+
+def hot_reports(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
+                cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
+    """(quarter, PRIMARYID) of reports too large for one task: more than ``cell_drugs``
+    drug rows, or more than ``cell_rows`` reaction or demographic rows. Counted with
+    partial aggregation, so a huge report is combined map-side."""
+    def sizes(df, name):
+        return (df.filter(F.col("PRIMARYID").isNotNull())
+                .groupBy(*REPORT).agg(F.count(F.lit(1)).alias(name)))
+    drug = rep.drug.filter(normalise("DRUGNAME", mode) != "")
+    big_d = sizes(drug, "n").filter(F.col("n") > cell_drugs).select(*REPORT)
+    big_r = sizes(rep.reac, "n").filter(F.col("n") > cell_rows).select(*REPORT)
+    big_m = sizes(rep.demo, "n").filter(F.col("n") > cell_rows).select(*REPORT)
+    return big_d.union(big_r).union(big_m).distinct()
+
+
+def split_reports(rep: Reports, hot: DataFrame) -> tuple[Reports, Reports]:
+    """(ordinary, hot) report tables. ``hot`` must have been counted below
+    ``HOT_KEYS_BROADCAST_LIMIT``: it is broadcast to every task."""
+    keys = F.broadcast(hot.select(*REPORT))
+    def part(how):
+        return Reports(demo=rep.demo.join(keys, REPORT, how), drug=rep.drug.join(keys, REPORT, how),
+                       reac=rep.reac.join(keys, REPORT, how))
+    return part("left_anti"), part("left_semi")
+
+
+def weighted_pairs_copartitioned(rep: Reports, mode: str = "clean") -> DataFrame:
+    """(quarter, PRIMARYID, drug_a, drug_b, event, w) for ordinary reports.
+
+    All three inputs are hash-partitioned by report once; de-duplication, the drug count,
+    the pair self-join and the joins with the per-report weights then run inside those
+    partitions without further shuffles. Only for reports known not to be hot.
+    """
+    drugs = (rep.drug.select(*REPORT, normalise("DRUGNAME", mode).alias("drug"))
+             .filter(F.col("PRIMARYID").isNotNull() & (F.col("drug") != ""))
+             .repartition(*REPORT).dropDuplicates(REPORT + ["drug"]))
+    multi = drugs.groupBy(*REPORT).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= 2)
+    drugs = drugs.join(multi, REPORT, "left_semi")
+    left = drugs.select(*REPORT, F.col("drug").alias("drug_a"))
+    right = drugs.select(F.col("quarter").alias("_rq"), F.col("PRIMARYID").alias("_rp"),
+                         F.col("drug").alias("drug_b"))
+    pairs = left.join(right, (F.col("quarter") == F.col("_rq")) & (F.col("PRIMARYID") == F.col("_rp"))
+                      & (F.col("drug_a") < F.col("drug_b"))).select(*REPORT, "drug_a", "drug_b")
+    reac = (rep.reac.filter(F.col("PRIMARYID").isNotNull()).repartition(*REPORT)
+            .groupBy(*REPORT, F.col("PT").alias("event")).agg(F.count(F.lit(1)).alias("r")))
+    demo = (rep.demo.filter(F.col("PRIMARYID").isNotNull()).repartition(*REPORT)
+            .groupBy(*REPORT).agg(F.count(F.lit(1)).alias("m")))
+    weights = reac.join(demo, REPORT).select(*REPORT, "event", (F.col("r") * F.col("m")).alias("w"))
+    return pairs.join(weights, REPORT).select(*REPORT, "drug_a", "drug_b", "event", "w")
+
+
+def weighted_pairs_grid(rep: Reports, mode: str = "clean",
+                        cell_drugs: int = DEFAULT_CELL_DRUGS) -> DataFrame:
+    """(quarter, PRIMARYID, drug_a, drug_b, event, w) through the g x g grid; safe for
+    reports of any size."""
+    drugs = clean_drugs(rep.drug, mode)
+    reports = multi_drug_reports(drugs, cell_drugs)
+    pairs = drug_pairs(drugs, reports).drop("g")
+    weights = spread_weights(report_event_weights(rep, reports))
+    keys = REPORT + ["cell_a", "cell_b"]
+    return pairs.join(weights, keys).select(*REPORT, "drug_a", "drug_b", "event", "w")
+
+
+def weighted_pairs(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
+                   cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
+    """Pair x event weights of every report, each report through the cheapest safe path.
+
+    Hot reports are found first (a small counting job). None: every report runs
+    co-partitioned. Up to ``HOT_KEYS_BROADCAST_LIMIT``: their keys are broadcast, they run
+    through the grid and the rest co-partitioned. More: everything runs through the grid.
+    """
+    hot = hot_reports(rep, mode, cell_drugs, cell_rows)
+    n_hot = hot.limit(HOT_KEYS_BROADCAST_LIMIT + 1).count()
+    if n_hot == 0:
+        return weighted_pairs_copartitioned(rep, mode)
+    if n_hot <= HOT_KEYS_BROADCAST_LIMIT:
+        ordinary, big = split_reports(rep, hot)
+        return (weighted_pairs_copartitioned(ordinary, mode)
+                .unionByName(weighted_pairs_grid(big, mode, cell_drugs)))
+    return weighted_pairs_grid(rep, mode, cell_drugs)

@@ -46,3 +46,15 @@ def test_batch_split_invariance(spark, sf_dir):
     assert merged.pair_event.exceptAll(direct.pair_event).count() == 0
     assert merged.pair.exceptAll(direct.pair).count() == 0
     assert spark.range(1).select(merged.n).first()[0] == 64079
+
+
+def test_all_three_paths_agree(spark, sf_dir, monkeypatch):
+    from cosignal.operators import pairs as P
+    rep = proxy_reports(spark, sf_dir)
+    base = C.pair_event_counts(rep)                              # no hot report: co-partitioned
+    mixed = C.pair_event_counts(rep, cell_drugs=3)               # some hot: both paths, unioned
+    assert P.hot_reports(rep, cell_drugs=3).count() > 0
+    monkeypatch.setattr(P, "HOT_KEYS_BROADCAST_LIMIT", 0)
+    grid = C.pair_event_counts(rep, cell_drugs=3)                # too many hot keys: grid only
+    for other in (mixed, grid):
+        assert base.exceptAll(other).count() == 0 and other.exceptAll(base).count() == 0
