@@ -36,14 +36,15 @@ class Counts:
 
 
 def pair_event_counts(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
-                      by_batch: bool = False, cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
+                      by_batch: bool = False, cell_rows: int = DEFAULT_CELL_ROWS,
+                      strategy: str = "grid") -> DataFrame:
     """drug_a, drug_b, event, a (optionally per quarter) straight from the reports.
 
-    Ordinary reports are processed co-partitioned by report, hot ones through the grid
-    (see ``weighted_pairs``); the aggregation is partial before its shuffle.
+    ``strategy`` picks the physical path of the pair explosion (see ``weighted_pairs``);
+    the aggregation is partial before its shuffle either way.
     """
     keys = (["quarter"] if by_batch else []) + PAIR + ["event"]
-    return (weighted_pairs(rep, mode, cell_drugs, cell_rows)
+    return (weighted_pairs(rep, mode, cell_drugs, cell_rows, strategy)
             .groupBy(*keys).agg(F.sum("w").cast("bigint").alias("a")))
 
 
@@ -56,7 +57,8 @@ def totals_from_pair_events(pec: DataFrame) -> Counts:
 
 
 def count_pair_events(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
-                      materialize: bool = True, cell_rows: int = DEFAULT_CELL_ROWS) -> Counts:
+                      materialize: bool = True, cell_rows: int = DEFAULT_CELL_ROWS,
+                      strategy: str = "grid") -> Counts:
     """One-scan plan: the pair explosion is aggregated once.
 
     With ``materialize`` the unfiltered pair-event counts are written once into the
@@ -64,7 +66,7 @@ def count_pair_events(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAU
     counters); pair totals, event totals, N and the signal table then read that table
     instead of re-planning and re-running the explosion for each of them.
     """
-    pec = pair_event_counts(rep, mode, cell_drugs, cell_rows=cell_rows)
+    pec = pair_event_counts(rep, mode, cell_drugs, cell_rows=cell_rows, strategy=strategy)
     return totals_from_pair_events(cut_lineage(pec) if materialize else pec)
 
 

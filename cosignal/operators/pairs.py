@@ -129,16 +129,18 @@ def spread_weights(weights: DataFrame) -> DataFrame:
 def hot_reports(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
                 cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
     """(quarter, PRIMARYID) of reports too large for one task: more than ``cell_drugs``
-    drug rows, or more than ``cell_rows`` reaction or demographic rows. Counted with
-    partial aggregation, so a huge report is combined map-side."""
-    def sizes(df, name):
-        return (df.filter(F.col("PRIMARYID").isNotNull())
-                .groupBy(*REPORT).agg(F.count(F.lit(1)).alias(name)))
-    drug = rep.drug.filter(normalise("DRUGNAME", mode) != "")
-    big_d = sizes(drug, "n").filter(F.col("n") > cell_drugs).select(*REPORT)
-    big_r = sizes(rep.reac, "n").filter(F.col("n") > cell_rows).select(*REPORT)
-    big_m = sizes(rep.demo, "n").filter(F.col("n") > cell_rows).select(*REPORT)
-    return big_d.union(big_r).union(big_m).distinct()
+    drug rows (raw rows, an upper bound of the distinct drugs), or more than
+    ``cell_rows`` reaction or demographic rows. One aggregation over the three inputs'
+    report keys, partial per task before its shuffle, so a huge report is combined
+    map-side. ``mode`` is accepted for symmetry; raw rows need no name cleaning."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    keys = (rep.drug.select(*REPORT, one.alias("d"), zero.alias("r"), zero.alias("m"))
+            .unionByName(rep.reac.select(*REPORT, zero.alias("d"), one.alias("r"), zero.alias("m")))
+            .unionByName(rep.demo.select(*REPORT, zero.alias("d"), zero.alias("r"), one.alias("m")))
+            .filter(F.col("PRIMARYID").isNotNull()))
+    sizes = keys.groupBy(*REPORT).agg(F.sum("d").alias("d"), F.sum("r").alias("r"), F.sum("m").alias("m"))
+    return sizes.filter((F.col("d") > cell_drugs) | (F.col("r") > cell_rows)
+                        | (F.col("m") > cell_rows)).select(*REPORT)
 
 
 def split_reports(rep: Reports, hot: DataFrame) -> tuple[Reports, Reports]:
@@ -158,9 +160,12 @@ def weighted_pairs_copartitioned(rep: Reports, mode: str = "clean") -> DataFrame
     the pair self-join and the joins with the per-report weights then run inside those
     partitions without further shuffles. Only for reports known not to be hot.
     """
+    # One explicit partition count for all three inputs: the shuffles must line up for
+    # the joins to need no further exchange, and AQE must not merge them into a few tasks.
+    n = int(rep.drug.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drugs = (rep.drug.select(*REPORT, normalise("DRUGNAME", mode).alias("drug"))
              .filter(F.col("PRIMARYID").isNotNull() & (F.col("drug") != ""))
-             .repartition(*REPORT).dropDuplicates(REPORT + ["drug"]))
+             .repartition(n, *REPORT).dropDuplicates(REPORT + ["drug"]))
     multi = drugs.groupBy(*REPORT).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= 2)
     drugs = drugs.join(multi, REPORT, "left_semi")
     left = drugs.select(*REPORT, F.col("drug").alias("drug_a"))
@@ -168,9 +173,9 @@ def weighted_pairs_copartitioned(rep: Reports, mode: str = "clean") -> DataFrame
                          F.col("drug").alias("drug_b"))
     pairs = left.join(right, (F.col("quarter") == F.col("_rq")) & (F.col("PRIMARYID") == F.col("_rp"))
                       & (F.col("drug_a") < F.col("drug_b"))).select(*REPORT, "drug_a", "drug_b")
-    reac = (rep.reac.filter(F.col("PRIMARYID").isNotNull()).repartition(*REPORT)
+    reac = (rep.reac.filter(F.col("PRIMARYID").isNotNull()).repartition(n, *REPORT)
             .groupBy(*REPORT, F.col("PT").alias("event")).agg(F.count(F.lit(1)).alias("r")))
-    demo = (rep.demo.filter(F.col("PRIMARYID").isNotNull()).repartition(*REPORT)
+    demo = (rep.demo.filter(F.col("PRIMARYID").isNotNull()).repartition(n, *REPORT)
             .groupBy(*REPORT).agg(F.count(F.lit(1)).alias("m")))
     weights = reac.join(demo, REPORT).select(*REPORT, "event", (F.col("r") * F.col("m")).alias("w"))
     return pairs.join(weights, REPORT).select(*REPORT, "drug_a", "drug_b", "event", "w")
@@ -189,13 +194,21 @@ def weighted_pairs_grid(rep: Reports, mode: str = "clean",
 
 
 def weighted_pairs(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
-                   cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
-    """Pair x event weights of every report, each report through the cheapest safe path.
-
-    Hot reports are found first (a small counting job). None: every report runs
-    co-partitioned. Up to ``HOT_KEYS_BROADCAST_LIMIT``: their keys are broadcast, they run
-    through the grid and the rest co-partitioned. More: everything runs through the grid.
+                   cell_rows: int = DEFAULT_CELL_ROWS, strategy: str = "grid") -> DataFrame:
+    """Pair x event weights of every report. Both strategies are exact and skew-safe.
+
+    ``strategy='grid'``: every report through the grid (no extra job; fastest on small
+    inputs, where a detection job costs more than the shuffles it saves).
+    ``strategy='auto'``: hot reports are found first (a counting job over the report keys).
+    None: every report runs co-partitioned. Up to ``HOT_KEYS_BROADCAST_LIMIT``: their keys
+    are broadcast, they run through the grid and the rest co-partitioned. More:
+    everything runs through the grid. Use it on large inputs, where the co-partitioned
+    path saves three shuffles of the drug rows and one of the reaction rows.
     """
+    if strategy == "grid":
+        return weighted_pairs_grid(rep, mode, cell_drugs)
+    if strategy != "auto":
+        raise ValueError(f"unknown strategy {strategy!r}")
     hot = hot_reports(rep, mode, cell_drugs, cell_rows)
     n_hot = hot.limit(HOT_KEYS_BROADCAST_LIMIT + 1).count()
     if n_hot == 0:

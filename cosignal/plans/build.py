@@ -30,13 +30,13 @@ from cosignal.streaming import counters as R
 
 def build(spark: SparkSession, rep: Reports, out: str, min_support: int = 3,
           tree_params: L.TreeParams | None = None, hops: int = 3, threshold: float = 5.0,
-          write_rows: bool = True) -> dict[str, str]:
+          write_rows: bool = True, strategy: str = "auto") -> dict[str, str]:
     paths = {k: f"{out}/{k}" for k in ("pair_events", "counters", "signals", "signals_by_pair",
                                           "features", "encoders", "graph", "embeddings",
                                           "models/tree", "models/edge", "metrics")}
     if write_rows:
         T.write_pair_events(P.pair_events(rep), paths["pair_events"])
-    R.write_counters(R.report_batch_counters(rep), paths["counters"])
+    R.write_counters(R.report_batch_counters(rep, strategy=strategy), paths["counters"])
     counts = R.merge_counters(R.read_counters(spark, paths["counters"]))
     S.write_signals(S.signals(counts, min_support=min_support), paths["signals"], layout="score")
     signals = spark.read.parquet(paths["signals"])

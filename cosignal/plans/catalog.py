@@ -361,6 +361,13 @@ def streamed_counters(spark, sf_dir):
     return merged.pair_event.filter(F.col("a") >= MIN_SUPPORT)
 
 
+def signals_auto_strategy(spark, sf_dir):
+    """The signal table with the pair explosion planned by hot-report detection: reports
+    over the size limits through the grid, all others co-partitioned by report."""
+    counts = C.count_pair_events(proxy_reports(spark, sf_dir), strategy="auto")
+    return round_doubles(S.signals(counts, min_support=MIN_SUPPORT))
+
+
 def pair_counts_factored(spark, sf_dir):
     return C.count_factored(proxy_reports(spark, sf_dir)).pair
 
@@ -436,6 +443,7 @@ QUERIES: dict[str, Query] = {
     "signals_from_text": signals_from_text,
     "signals_from_pair_event_files": signals_from_pair_event_files,
     "streamed_counters": streamed_counters,
+    "signals_auto_strategy": signals_auto_strategy,
     "pair_counts_factored": pair_counts_factored,
     "event_counts_factored": event_counts_factored,
     "total_rows_factored": total_rows_factored,

@@ -372,6 +372,7 @@ ORACLE.update({
     "signals_from_text": ORACLE["signals"],
     "signals_from_pair_event_files": ORACLE["signals"],
     "streamed_counters": ORACLE["pair_event_counts"],
+    "signals_auto_strategy": ORACLE["signals"],
     "pair_counts_factored": ORACLE["pair_counts"],
     "event_counts_factored": ORACLE["event_counts"],
     "total_rows_factored": ORACLE["total_rows"],

@@ -27,10 +27,11 @@ def batch_counters(pec_by_batch: DataFrame) -> dict[str, DataFrame]:
     return {"pair_event_agg": pec_by_batch, "pair_agg": pair, "event_agg": event, "batch_rows": rows}
 
 
-def report_batch_counters(rep: Reports, mode: str = "clean",
-                          cell_drugs: int = DEFAULT_CELL_DRUGS) -> dict[str, DataFrame]:
+def report_batch_counters(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
+                          strategy: str = "grid") -> dict[str, DataFrame]:
     """Per-quarter counters straight from the report tables (quarter = batch)."""
-    pec = pair_event_counts(rep, mode, cell_drugs, by_batch=True).withColumnRenamed("quarter", "batch")
+    pec = (pair_event_counts(rep, mode, cell_drugs, by_batch=True, strategy=strategy)
+           .withColumnRenamed("quarter", "batch"))
     return batch_counters(pec)
 
 

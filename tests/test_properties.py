@@ -51,10 +51,11 @@ def test_batch_split_invariance(spark, sf_dir):
 def test_all_three_paths_agree(spark, sf_dir, monkeypatch):
     from cosignal.operators import pairs as P
     rep = proxy_reports(spark, sf_dir)
-    base = C.pair_event_counts(rep)                              # no hot report: co-partitioned
-    mixed = C.pair_event_counts(rep, cell_drugs=3)               # some hot: both paths, unioned
+    base = C.pair_event_counts(rep)                                  # grid for every report
+    copart = C.pair_event_counts(rep, strategy="auto")               # no hot report: co-partitioned
+    mixed = C.pair_event_counts(rep, cell_drugs=3, strategy="auto")  # some hot: both paths
     assert P.hot_reports(rep, cell_drugs=3).count() > 0
     monkeypatch.setattr(P, "HOT_KEYS_BROADCAST_LIMIT", 0)
-    grid = C.pair_event_counts(rep, cell_drugs=3)                # too many hot keys: grid only
-    for other in (mixed, grid):
+    fallback = C.pair_event_counts(rep, cell_drugs=3, strategy="auto")  # too many hot keys
+    for other in (copart, mixed, fallback):
         assert base.exceptAll(other).count() == 0 and other.exceptAll(base).count() == 0
