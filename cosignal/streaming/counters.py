@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cosignal.operators.counts import PAIR, Counts
-from cosignal.sources.reports import Reports
+from cosignal.operators.counts import PAIR, Counts, pair_event_counts
 from cosignal.operators.pairs import DEFAULT_CELL_DRUGS
-from cosignal.operators.counts import pair_event_counts
+from cosignal.sources.reports import Reports
 
 COUNTER_TABLES = ("pair_event_agg", "pair_agg", "event_agg", "batch_rows")
 
