@@ -16,6 +16,7 @@ from cosignal.functions import presentation as X
 from cosignal.operators.features import with_encodings
 from cosignal.operators.learn import predict, with_edge_vectors
 from cosignal.operators.report import rank_events, request_status
+from cosignal.session import cut_lineage
 
 PAIR = ["drug_a", "drug_b"]
 
@@ -67,7 +68,9 @@ def score_pairs(requests: DataFrame, encoders: DataFrame, tree_model: PipelineMo
     ``mode='upper_trim'`` normalises names with upper case and trim only, as the
     reference's service did; the default uses the full name cleaner.
     """
-    req = request_status(requests, mode=mode)
+    # The canonical requests feed four branches (tree, graph, evidence, final join);
+    # store them once instead of recomputing the request table for each.
+    req = cut_lineage(request_status(requests, mode=mode), "requests")
     ok = req.filter(F.col("status") == "ok").select(*PAIR).distinct()
     tree = tree_scores(ok, encoders, tree_model)
     graph = graph_scores(ok, emb, edge_model)

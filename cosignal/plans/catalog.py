@@ -181,7 +181,8 @@ SEARCH_TEXT = "ring"
 
 
 def _evidence(spark, sf_dir, k=10):
-    return RP.topk_events(stage_signals(spark, sf_dir), k)
+    # Single use of the signal table: no need to store it a second time.
+    return RP.topk_events(build_signals(spark, sf_dir), k)
 
 
 def topk_events_per_pair(spark, sf_dir):
@@ -193,7 +194,7 @@ def top3_events_per_pair(spark, sf_dir):
 
 
 def pair_summary(spark, sf_dir):
-    return round_doubles(RP.pair_summary(stage_signals(spark, sf_dir)))
+    return round_doubles(RP.pair_summary(build_signals(spark, sf_dir)))
 
 
 def prr_bands(spark, sf_dir):
@@ -209,7 +210,7 @@ def peak_signal(spark, sf_dir):
 
 
 def explanations(spark, sf_dir):
-    return RP.explanations(stage_signals(spark, sf_dir))
+    return RP.explanations(build_signals(spark, sf_dir))
 
 
 def evidence_display(spark, sf_dir):
@@ -251,15 +252,15 @@ def model_agreement(spark, sf_dir):
 
 
 def drug_catalog(spark, sf_dir):
-    return RP.drug_catalog(stage_signals(spark, sf_dir))
+    return RP.drug_catalog(build_signals(spark, sf_dir))
 
 
 def drug_search(spark, sf_dir):
-    return RP.drug_search(RP.drug_catalog(stage_signals(spark, sf_dir)), SEARCH_TEXT)
+    return RP.drug_search(RP.drug_catalog(build_signals(spark, sf_dir)), SEARCH_TEXT)
 
 
 def pair_lookup(spark, sf_dir):
-    return round_doubles(RP.pair_lookup(pair_requests(spark, sf_dir), stage_signals(spark, sf_dir)))
+    return round_doubles(RP.pair_lookup(pair_requests(spark, sf_dir), build_signals(spark, sf_dir)))
 
 
 def pair_report(spark, sf_dir):
