@@ -115,7 +115,8 @@ def drug_mean_risk(spark, sf_dir):
 
 
 def pair_features(spark, sf_dir):
-    return round_doubles(build_features(spark, sf_dir))
+    # Single use of the feature table: no need to store it.
+    return round_doubles(FE.pair_features(stage_signals(spark, sf_dir)))
 
 
 def hash_split(spark, sf_dir):
@@ -164,7 +165,7 @@ def graph_edges(spark, sf_dir):
 
 def _propagated(spark, sf_dir, hops):
     f = build_features(spark, sf_dir)
-    nodes = cut_lineage(G.graph_nodes(f))
+    nodes = G.graph_nodes(f)   # ids already stored by the dense index
     return G.propagate(nodes, G.graph_edges(f, nodes), ["freq_z", "risk_z"], hops)
 
 
