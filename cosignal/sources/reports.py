@@ -71,7 +71,13 @@ def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str
     if not files:
         return []
     jvm, p, fs = _hadoop(spark, files[0])
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), encoding))
+    stream = fs.open(p)
+    # Compressed files (.gz, .bz2, ...) are read through their codec, as Spark does.
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(
+        spark.sparkContext._jsc.hadoopConfiguration()).getCodec(p)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding))
     try:
         line = reader.readLine() or ""
     finally:

@@ -73,3 +73,13 @@ def test_read_quarters_mixed_headers_and_discovery(spark):
     demo = sorted(tuple(r) for r in rep.demo.collect())
     assert demo == [("2024q4", 7, 40.0, "F"), ("2025q1", 8, 50.0, "M")]
     assert sorted(r.quarter for r in rep.drug.collect()) == ["2024q4", "2025q1"]
+
+
+def test_gzip_report_file(spark):
+    import gzip
+    d = tempfile.mkdtemp(prefix="cosignal-gz-")
+    with gzip.open(os.path.join(d, "DRUG25Q1.txt.gz"), "wb") as f:
+        f.write(b"primaryid$drugname\n1$asp\xe9rin\n2$x$y\n")
+    df = read_delimited(spark, os.path.join(d, "DRUG25Q1.txt.gz"))
+    assert df.columns == ["PRIMARYID", "DRUGNAME"]
+    assert [tuple(r) for r in df.collect()] == [("1", "asp\xe9rin")]
