@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Stage checkpoints are removed once nothing references them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
