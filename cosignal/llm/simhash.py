@@ -39,7 +39,7 @@ SHINGLE = 4
 TAU = 4
 SEED = 42
 SAMPLE = 4096           # fingerprints the plan is estimated from, at most
-PARTS = (2, 3, 4)       # numbers of parts the plan may choose from
+PARTS = 3               # parts of the bits; fixed, so probes grow in step with the rows
 MAX_PROBES = 400        # values one fingerprint may probe in one part
 BUCKET_ROWS = 4096      # larger buckets are cut into blocks
 PAIRS_AT_ONCE = 2_000_000
@@ -130,32 +130,29 @@ def allocate(costs: list[list[float]], tau: int) -> tuple[float, tuple[int, ...]
     return best.get(tau + 1, (float("inf"), ()))
 
 
-def make_plan(sample: np.ndarray, total: int, tau: int = TAU) -> Plan:
+def make_plan(sample: np.ndarray, total: int, tau: int = TAU, m: int = PARTS) -> Plan:
     """The cheapest plan for ``total`` distinct fingerprints, judged on ``sample``
     (distinct int64 fingerprints, at most ``SAMPLE``)."""
     raw = sample.astype("<i8").view(np.uint8).reshape(-1, 8)
     bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.float64)
-    n, choices = len(sample), []
-    for m in PARTS:
-        parts, costs = group_bits(bits, m) if n > 1 else [list(range(i, BITS, m)) for i in range(m)], []
-        for part in parts:
-            x = bits[:, part]
-            ones = x.sum(axis=1)
-            apart = (ones[:, None] + ones[None, :] - 2 * (x @ x.T)).round().astype(np.int64)
-            seen = np.bincount(apart[np.triu_indices(n, 1)], minlength=tau + 1)
-            row, probes = [0.0], 0
-            for t in range(tau + 1):
-                probes += comb(len(part), t)
-                if probes > MAX_PROBES:
-                    break
-                # Pairs at most t apart in this part, never estimated below chance.
-                share = max(seen[:t + 1].sum() / max(1, n * (n - 1) / 2), probes / 2.0 ** len(part))
-                row.append(total * probes + share * total * (total - 1) / 2)
-            costs.append(row)
-        cost, thresholds = allocate(costs, tau)
-        choices.append((cost, m, tuple(map(tuple, parts)), thresholds))
-    _, _, parts, thresholds = min(choices)
-    return Plan(parts, thresholds)
+    n = len(sample)
+    parts = group_bits(bits, m) if n > 1 else [list(range(i, BITS, m)) for i in range(m)]
+    costs = []
+    for part in parts:
+        x = bits[:, part]
+        ones = x.sum(axis=1)
+        apart = (ones[:, None] + ones[None, :] - 2 * (x @ x.T)).round().astype(np.int64)
+        seen = np.bincount(apart[np.triu_indices(n, 1)], minlength=tau + 1)
+        row, probes = [0.0], 0
+        for t in range(tau + 1):
+            probes += comb(len(part), t)
+            if probes > MAX_PROBES:
+                break
+            # Pairs at most t apart in this part, never estimated below chance.
+            share = max(seen[:t + 1].sum() / max(1, n * (n - 1) / 2), probes / 2.0 ** len(part))
+            row.append(total * probes + share * total * (total - 1) / 2)
+        costs.append(row)
+    return Plan(tuple(map(tuple, parts)), allocate(costs, tau)[1])
 
 
 def plan(fps: DataFrame, tau: int = TAU, sample: int = SAMPLE) -> Plan:
@@ -197,8 +194,9 @@ def cut_buckets(rows: DataFrame, limit: int = BUCKET_ROWS) -> DataFrame:
     larger bucket is cut by hash into blocks, and a row joins every pair of blocks that
     contains its own."""
     sizes = rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
-    large = sizes.select(F.col("part").alias("_p"), F.col("value").alias("_v"),
-                         F.ceil(F.col("n") / limit).cast("int").alias("_blocks"))
+    # Stored, so its real size (usually next to nothing) decides how it is joined.
+    large = stage(sizes.select(F.col("part").alias("_p"), F.col("value").alias("_v"),
+                               F.ceil(F.col("n") / limit).cast("int").alias("_blocks")), "large-buckets")
     at = rows.join(large, (rows.part == large._p) & (rows.value == large._v), "left")
     own = F.pmod(F.xxhash64("fp"), F.col("_blocks")).cast("int")
     at = at.withColumn("_own", F.when(F.col("_blocks").isNull(), F.lit(0)).otherwise(own))
