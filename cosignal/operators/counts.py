@@ -18,13 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cosignal.operators.pairs import (DEFAULT_CELL_DRUGS, DEFAULT_CELL_ROWS, REPORT,
-                                      clean_drugs, drug_pairs, multi_drug_reports,
-                                      report_event_weights, spread_weights, weighted_pairs)
+                                      clean_drugs, explode_pairs, multi_drug_reports,
+                                      report_event_weights, weighted_pairs)
 from cosignal.session import cut_lineage
 from cosignal.sources.reports import Reports
 
 PAIR = ["drug_a", "drug_b"]
-CELL_KEYS = REPORT + ["cell_a", "cell_b"]
 
 
 @dataclass
@@ -36,15 +35,11 @@ class Counts:
 
 
 def pair_event_counts(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
-                      by_batch: bool = False, cell_rows: int = DEFAULT_CELL_ROWS,
-                      strategy: str = "grid") -> DataFrame:
-    """drug_a, drug_b, event, a (optionally per quarter) straight from the reports.
-
-    ``strategy`` picks the physical path of the pair explosion (see ``weighted_pairs``);
-    the aggregation is partial before its shuffle either way.
-    """
+                      by_batch: bool = False, cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
+    """drug_a, drug_b, event, a (optionally per quarter) straight from the reports; the
+    aggregation is partial before its shuffle."""
     keys = (["quarter"] if by_batch else []) + PAIR + ["event"]
-    return (weighted_pairs(rep, mode, cell_drugs, cell_rows, strategy)
+    return (weighted_pairs(rep, mode, cell_drugs, cell_rows)
             .groupBy(*keys).agg(F.sum("w").cast("bigint").alias("a")))
 
 
@@ -57,42 +52,50 @@ def totals_from_pair_events(pec: DataFrame) -> Counts:
 
 
 def count_pair_events(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
-                      materialize: bool = True, cell_rows: int = DEFAULT_CELL_ROWS,
-                      strategy: str = "grid") -> Counts:
+                      materialize: bool = True, cell_rows: int = DEFAULT_CELL_ROWS) -> Counts:
     """One-scan plan: the pair explosion is aggregated once.
 
-    With ``materialize`` the unfiltered pair-event counts are written once into the
-    checkpoint folder (the stage boundary where the original pipeline also stored its
-    counters); pair totals, event totals, N and the signal table then read that table
-    instead of re-planning and re-running the explosion for each of them.
+    With ``materialize`` the unfiltered pair-event counts are written once as Parquet in
+    the checkpoint folder (the stage boundary where the original pipeline also stored its
+    counters); pair totals, event totals, N and the signal table then read that table,
+    each only its columns.
     """
-    pec = pair_event_counts(rep, mode, cell_drugs, cell_rows=cell_rows, strategy=strategy)
-    return totals_from_pair_events(cut_lineage(pec) if materialize else pec)
+    pec = pair_event_counts(rep, mode, cell_drugs, cell_rows=cell_rows)
+    return totals_from_pair_events(cut_lineage(pec, "pair-event-counts") if materialize else pec)
 
 
 def count_rows(pair_events: DataFrame) -> Counts:
-    """Counters from materialised pair-event rows (drug_a, drug_b, event, ...)."""
+    """Counters from materialised pair-event rows (drug_a, drug_b, event, ...): the rows are
+    scanned and shuffled once, everything else comes from the stored counts."""
     pec = pair_events.groupBy(*PAIR, "event").agg(F.count(F.lit(1)).alias("a"))
-    return totals_from_pair_events(pec)
+    return totals_from_pair_events(cut_lineage(pec, "pair-event-counts"))
 
 
-def count_factored(rep: Reports, mode: str = "clean",
-                   cell_drugs: int = DEFAULT_CELL_DRUGS) -> Counts:
-    """Factored plan: event totals and N from per-report sums, no pair explosion."""
-    drugs = clean_drugs(rep.drug, mode)
-    reports = multi_drug_reports(drugs, cell_drugs)
-    weights = report_event_weights(rep, reports)
+def event_totals_factored(rep: Reports, mode: str = "clean") -> tuple[DataFrame, Column]:
+    """(event, event_total) and N from sums per report, without any pair explosion."""
+    weights = report_event_weights(rep, multi_drug_reports(clean_drugs(rep.drug, mode)))
     n_pairs = (F.col("k") * (F.col("k") - 1) / 2).cast("bigint")
     event = weights.groupBy("event").agg(
         F.sum(F.col("w") * n_pairs).cast("bigint").alias("event_total"))
-    n = weights.agg(F.sum(F.col("w") * n_pairs).cast("bigint")).scalar()
-    pairs = drug_pairs(drugs, reports).drop("g")
-    per_report = weights.groupBy(*REPORT, "g").agg(F.sum("w").alias("w"))
-    pair = (pairs.join(spread_weights(per_report), CELL_KEYS)
+    return event, weights.agg(F.sum(F.col("w") * n_pairs).cast("bigint")).scalar()
+
+
+def pair_totals_factored(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
+                         cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
+    """(drug_a, drug_b, pair_total): every pair meets one weight per report, not its events."""
+    drugs = clean_drugs(rep.drug, mode)
+    weights = report_event_weights(rep, multi_drug_reports(drugs))
+    per_report = weights.groupBy(*REPORT).agg(F.sum("w").alias("w"))
+    return (explode_pairs(drugs, per_report, REPORT, cell_drugs, cell_rows)
             .groupBy(*PAIR).agg(F.sum("w").cast("bigint").alias("pair_total")))
-    pec = (pairs.join(spread_weights(weights), CELL_KEYS)
-           .groupBy(*PAIR, "event").agg(F.sum("w").cast("bigint").alias("a")))
-    return Counts(pair_event=pec, pair=pair, event=event, n=n)
+
+
+def count_factored(rep: Reports, mode: str = "clean",
+                   cell_drugs: int = DEFAULT_CELL_DRUGS) -> Counts:
+    """Factored plan: event totals and N from per-report sums, no pair explosion."""
+    event, n = event_totals_factored(rep, mode)
+    return Counts(pair_event=pair_event_counts(rep, mode, cell_drugs),
+                  pair=pair_totals_factored(rep, mode, cell_drugs), event=event, n=n)
 
 
 def batch_totals(rep: Reports, mode: str = "clean") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cosignal.session import cut_lineage
 
 STD_GUARD = 1e-6
+ROWS_PER_RANGE = 100_000
 _POS_BITS = 33  # monotonically_increasing_id keeps the row position in the low 33 bits
 
 
@@ -30,11 +31,13 @@ def dense_index(df: DataFrame, col: str, idx_col: str = "idx",
     into running offsets and add them back. The tagged rows are checkpointed so the ids
     stay fixed however often the result is read.
     """
-    spark = df.sparkSession
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tagged = (df.repartitionByRange(n, col).sortWithinPartitions(col)
+    if partitions is None:
+        # One partition per ROWS_PER_RANGE rows, whatever the session's shuffle setting.
+        df = cut_lineage(df, "to-index")
+        partitions = -(-df.count() // ROWS_PER_RANGE)
+    tagged = (df.repartitionByRange(max(1, partitions), col).sortWithinPartitions(col)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = cut_lineage(tagged)
+    tagged = cut_lineage(tagged, "indexed")
     part = F.shiftright(F.col("_mid"), _POS_BITS)
     pos = F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
     tagged = tagged.withColumn("_part", part).withColumn("_pos", pos)

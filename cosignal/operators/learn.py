@@ -142,12 +142,22 @@ def fit_edge_model(features: DataFrame, emb: DataFrame, params: TreeParams | Non
 
 def graph_embeddings(features: DataFrame, hops: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, embeddings) from the pair feature table, each materialised."""
-    nodes = cut_lineage(G.graph_nodes(features))
-    edges = cut_lineage(G.graph_edges(features, nodes))
-    emb = cut_lineage(node_embeddings(nodes, edges, hops))
+    nodes = cut_lineage(G.graph_nodes(features), "nodes")
+    edges = cut_lineage(G.graph_edges(features, nodes), "edges")
+    emb = cut_lineage(node_embeddings(nodes, edges, hops), "embeddings")
     return nodes, edges, emb
 
 
+def write_graph_tables(features: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
+    """Write nodes, then the edges over the stored nodes, each once; returns both as read
+    back from ``base``."""
+    spark = features.sparkSession
+    G.graph_nodes(features).write.mode("overwrite").parquet(f"{base}/nodes")
+    nodes = spark.read.parquet(f"{base}/nodes")
+    G.graph_edges(features, nodes).write.mode("overwrite").parquet(f"{base}/edges")
+    return nodes, spark.read.parquet(f"{base}/edges")
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

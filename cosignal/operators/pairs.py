@@ -1,22 +1,16 @@
 """Reports -> canonical drug pairs -> pair-event rows and weights.
 
 A report (quarter, PRIMARYID) with ``k`` distinct drugs yields ``k(k-1)/2`` pairs; every
-pair is combined with each of the report's reaction rows and demographic rows.
-
-Two physical paths give the same rows:
-
-* co-partitioned (ordinary reports): the drug, reaction and demographic rows are
-  hash-partitioned by report once; de-duplication, the drug count, the pair self-join
-  and the weight joins then need no further shuffle;
-* grid (hot reports, any size): the self-join is keyed by (quarter, PRIMARYID, cell_a,
-  cell_b). A report with more than ``cell_drugs`` drugs is cut into a ``g x g`` grid
-  (g = ceil(k / cell_drugs)); a drug lands in grid row ``hash(drug) % g`` on the left side
-  and grid column ``hash(drug) % g`` on the right side, so every pair of the report meets
-  in exactly one cell and no task handles more than about ``cell_drugs^2`` comparisons of
-  one report. Reaction and demographic rows are pre-aggregated map-side before their
-  shuffles.
-
-``weighted_pairs`` finds the hot reports first and sends each report down its path.
+pair is combined with each of the report's facts (reaction rows, or one row per event).
+
+One plan serves reports of any size. Its unit of work is a cell, (drug row, drug column,
+fact slice) of one report: drugs are dealt by hash over ``g`` rows on the left side and ``g``
+columns on the right, facts over ``s`` slices, so every (pair, fact) meets in exactly one
+cell. ``g`` and ``s`` follow from the report's product of pairs and facts: a cell holds at
+most about ``cell_drugs`` drugs a side and yields at most about ``cell_rows`` rows. An
+ordinary report is one cell; a huge one is spread over many tasks. The three sides are
+shuffled by the cell once, and both joins run on that partitioning. Everything counted per
+report is aggregated before its shuffle.
 """
 
 from __future__ import annotations
@@ -28,11 +22,9 @@ from cosignal.functions.names import normalise
 from cosignal.sources.reports import Reports
 
 REPORT = ["quarter", "PRIMARYID"]
-DEFAULT_CELL_DRUGS = 2000
-# A report with more reaction or demographic rows than this is also treated as hot.
-DEFAULT_CELL_ROWS = 100_000
-# Hot-report keys are broadcast to split the input only up to this many (counted first).
-HOT_KEYS_BROADCAST_LIMIT = 1_000_000
+CELL = REPORT + ["cell_a", "cell_b", "cell_s"]
+DEFAULT_CELL_DRUGS = 512
+DEFAULT_CELL_ROWS = 1_000_000
 
 
 def clean_drugs(drug: DataFrame, mode: str = "clean") -> DataFrame:
@@ -42,179 +34,108 @@ def clean_drugs(drug: DataFrame, mode: str = "clean") -> DataFrame:
             .dropDuplicates(REPORT + ["drug"]))
 
 
-def multi_drug_reports(drugs: DataFrame, cell_drugs: int = DEFAULT_CELL_DRUGS) -> DataFrame:
-    """Reports with at least two distinct drugs, with their grid size ``g``."""
-    return (drugs.groupBy(*REPORT).agg(F.count(F.lit(1)).alias("k"))
-            .filter(F.col("k") >= 2)
-            .withColumn("g", F.greatest(F.lit(1), F.ceil(F.col("k") / F.lit(cell_drugs))).cast("int")))
+def multi_drug_reports(drugs: DataFrame) -> DataFrame:
+    """Reports with at least two distinct drugs, and their number ``k``."""
+    return drugs.groupBy(*REPORT).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= 2)
 
 
-def _cell(col: str) -> F.Column:
-    return F.pmod(F.xxhash64(col), F.col("g").cast("long")).cast("int")
+def event_counts_of_reports(rep: Reports) -> DataFrame:
+    """quarter, PRIMARYID, event, r: reaction rows per report and event."""
+    return (rep.reac.filter(F.col("PRIMARYID").isNotNull())
+            .groupBy(*REPORT, F.col("PT").alias("event")).agg(F.count(F.lit(1)).alias("r")))
+
+
+def demographic_counts(rep: Reports) -> DataFrame:
+    """quarter, PRIMARYID, m: demographic rows per report."""
+    return (rep.demo.filter(F.col("PRIMARYID").isNotNull())
+            .groupBy(*REPORT).agg(F.count(F.lit(1)).alias("m")))
 
 
-def drug_pairs(drugs: DataFrame, reports: DataFrame) -> DataFrame:
-    """(quarter, PRIMARYID, cell_a, cell_b, drug_a, drug_b, g) with drug_a < drug_b."""
-    d = drugs.join(reports.select(*REPORT, "g"), REPORT)
-    seq = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    left = d.select(*REPORT, "g", F.col("drug").alias("drug_a"),
-                    _cell("drug").alias("cell_a"), seq.alias("cell_b"))
-    # The right side gets its own key names, so the self-join never compares a column
-    # with itself.
-    right = d.select(F.col("quarter").alias("_rq"), F.col("PRIMARYID").alias("_rp"),
-                     F.col("drug").alias("drug_b"), seq.alias("_ra"), _cell("drug").alias("_rb"))
-    cond = ((F.col("quarter") == F.col("_rq")) & (F.col("PRIMARYID") == F.col("_rp"))
-            & (F.col("cell_a") == F.col("_ra")) & (F.col("cell_b") == F.col("_rb"))
-            & (F.col("drug_a") < F.col("drug_b")))
-    return left.join(right, cond).select(*REPORT, "cell_a", "cell_b", "g", "drug_a", "drug_b")
+def report_event_weights(rep: Reports, reports: DataFrame) -> DataFrame:
+    """Per report of ``reports`` and event: w = (reaction rows with that event) x
+    (demographic rows), and the columns of ``reports``. Reports without a reaction or
+    demographic row drop out."""
+    per_report = reports.join(demographic_counts(rep), REPORT)
+    return (event_counts_of_reports(rep).join(per_report, REPORT)
+            .withColumn("w", F.col("r") * F.col("m")).drop("r", "m"))
+
+
+def cell_plan(drugs: DataFrame, facts: DataFrame, cell_drugs: int = DEFAULT_CELL_DRUGS,
+              cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
+    """quarter, PRIMARYID, g, s for reports with two drugs and a fact at least."""
+    sizes = multi_drug_reports(drugs).join(
+        facts.groupBy(*REPORT).agg(F.count(F.lit(1)).alias("e")), REPORT)
+    side = F.least(F.col("k"), F.lit(cell_drugs)).cast("double")
+    return sizes.select(
+        *REPORT, F.ceil(F.col("k") / cell_drugs).cast("int").alias("g"),
+        F.least(F.col("e"), F.ceil(side * side / 2 * F.col("e") / cell_rows)).cast("int").alias("s"))
+
+
+def _deal(n: str, *cols: str) -> F.Column:
+    return F.pmod(F.xxhash64(*cols), F.col(n).cast("long")).cast("int")
+
+
+def explode_pairs(drugs: DataFrame, facts: DataFrame, deal_by: list[str],
+                  cell_drugs: int = DEFAULT_CELL_DRUGS, cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
+    """quarter, PRIMARYID, drug_a, drug_b (drug_a < drug_b) and the columns of ``facts``:
+    every pair of a report with every fact of it. ``deal_by`` are the fact columns whose
+    hash picks the slice."""
+    plan = cell_plan(drugs, facts, cell_drugs, cell_rows)
+    payload = [c for c in facts.columns if c not in REPORT]
+
+    def copies(n: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    sided = drugs.join(plan, REPORT).withColumn("cell_s", copies("s"))
+    left = sided.select(*REPORT, F.col("drug").alias("drug_a"), _deal("g", "drug").alias("cell_a"),
+                        copies("g").alias("cell_b"), "cell_s")
+    # The right side and the facts get key names of their own, so no join compares a
+    # column with itself.
+    right = sided.select(F.col("quarter").alias("_q"), F.col("PRIMARYID").alias("_p"),
+                         F.col("drug").alias("drug_b"), copies("g").alias("_a"),
+                         _deal("g", "drug").alias("_b"), F.col("cell_s").alias("_s"))
+    dealt = (facts.join(plan, REPORT).withColumn("cell_s", _deal("s", *deal_by))
+             .withColumn("cell_a", copies("g")).withColumn("cell_b", copies("g"))
+             .select(*CELL, *payload))
+    # A cell's work is its output, not its input: adaptive execution would merge many small
+    # inputs into one task, so the number of partitions is stated.
+    n = int(drugs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = ("_q", "_p", "_a", "_b", "_s")
+    left, right, dealt = left.repartition(n, *CELL), right.repartition(n, *own), dealt.repartition(n, *CELL)
+    on = [F.col(x) == F.col(y) for x, y in zip(CELL, own)]
+    pairs = left.join(right, [*on, F.col("drug_a") < F.col("drug_b")]).select(*CELL, "drug_a", "drug_b")
+    return pairs.join(dealt, CELL).select(*REPORT, "drug_a", "drug_b", *payload)
 
 
-def spread_to_cells(df: DataFrame, reports: DataFrame) -> DataFrame:
-    """Copy per-report rows to every grid cell of their report (once when g = 1)."""
-    return (df.join(reports.select(*REPORT, "g"), REPORT)
-            .withColumn("_cell", F.explode(F.sequence(F.lit(0), F.col("g") * F.col("g") - 1)))
-            .withColumn("cell_a", (F.col("_cell") / F.col("g")).cast("int"))
-            .withColumn("cell_b", F.pmod(F.col("_cell"), F.col("g")))
-            .drop("_cell", "g"))
+def weighted_pairs(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
+                   cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
+    """quarter, PRIMARYID, drug_a, drug_b, event, w: one row per pair and distinct event of a
+    report; w = reaction rows with the event x demographic rows."""
+    drugs = clean_drugs(rep.drug, mode)
+    weights = event_counts_of_reports(rep).join(demographic_counts(rep), REPORT).select(
+        *REPORT, "event", (F.col("r") * F.col("m")).alias("w"))
+    return explode_pairs(drugs, weights, ["event"], cell_drugs, cell_rows)
 
 
-def pair_events(rep: Reports, mode: str = "clean",
-                cell_drugs: int = DEFAULT_CELL_DRUGS) -> DataFrame:
+def pair_events(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
+                cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
     """The pair-event rows: drug_a, drug_b, event, age, gender, quarter.
 
     One row per (pair of distinct drugs, reaction row, demographic row) of a report;
     reactions and demographics are not de-duplicated; reports without a reaction or
-    demographic row drop out (inner joins).
+    demographic row drop out (inner joins). Equal reaction and demographic rows of a report
+    travel once with their number, in chunks of at most ``cell_rows``, and are multiplied
+    out after the joins.
     """
     drugs = clean_drugs(rep.drug, mode)
-    reports = multi_drug_reports(drugs, cell_drugs)
-    pairs = drug_pairs(drugs, reports)
-    reac = rep.reac.filter(F.col("PRIMARYID").isNotNull()).select(*REPORT, F.col("PT").alias("event"))
-    demo = rep.demo.filter(F.col("PRIMARYID").isNotNull()).select(
-        *REPORT, F.col("AGE").alias("age"), F.col("SEX").alias("gender"))
-    keys = REPORT + ["cell_a", "cell_b"]
-    reac_c = spread_to_cells(reac.join(reports.select(*REPORT), REPORT, "left_semi"), reports)
-    demo_c = spread_to_cells(demo.join(reports.select(*REPORT), REPORT, "left_semi"), reports)
-    return (pairs.drop("g").join(reac_c, keys).join(demo_c, keys)
-            .select("drug_a", "drug_b", "event", "age", "gender", "quarter"))
-
-
-def report_event_weights(rep: Reports, reports: DataFrame) -> DataFrame:
-    """Per report and event: w = (reaction rows with that event) x (demographic rows),
-    for reports with at least two drugs; carries the report's grid size ``g``.
-
-    This pre-aggregates the reaction x demographic product of each report, so the pair
-    explosion is joined with one row per (report, event) instead of every raw row. Both
-    counts are partial aggregations before their shuffle, so a report with very many
-    reaction rows is combined map-side.
-    """
-    reac = (rep.reac.filter(F.col("PRIMARYID").isNotNull())
-            .groupBy(*REPORT, F.col("PT").alias("event")).agg(F.count(F.lit(1)).alias("r")))
     demo = (rep.demo.filter(F.col("PRIMARYID").isNotNull())
-            .groupBy(*REPORT).agg(F.count(F.lit(1)).alias("m")))
-    return (reac.join(demo, REPORT).join(reports.select(*REPORT, "k", "g"), REPORT)
-            .select(*REPORT, "event", (F.col("r") * F.col("m")).alias("w"), "k", "g"))
-
-
-def spread_weights(weights: DataFrame) -> DataFrame:
-    """Copy each per-report row to every grid cell of its report (once when g = 1); keeps
-    all columns but ``k`` and ``g`` and adds ``cell_a``, ``cell_b``."""
-    keep = [c for c in weights.columns if c not in ("k", "g")]
-    cell = F.explode(F.sequence(F.lit(0), F.col("g") * F.col("g") - 1))
-    return (weights.select(*keep, "g", cell.alias("_cell"))
-            .select(*keep, (F.col("_cell") / F.col("g")).cast("int").alias("cell_a"),
-                    F.pmod(F.col("_cell"), F.col("g")).alias("cell_b")))
-
-
-def hot_reports(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
-                cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
-    """(quarter, PRIMARYID) of reports too large for one task: more than ``cell_drugs``
-    drug rows (raw rows, an upper bound of the distinct drugs), or more than
-    ``cell_rows`` reaction or demographic rows. One aggregation over the three inputs'
-    report keys, partial per task before its shuffle, so a huge report is combined
-    map-side. ``mode`` is accepted for symmetry; raw rows need no name cleaning."""
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    keys = (rep.drug.select(*REPORT, one.alias("d"), zero.alias("r"), zero.alias("m"))
-            .unionByName(rep.reac.select(*REPORT, zero.alias("d"), one.alias("r"), zero.alias("m")))
-            .unionByName(rep.demo.select(*REPORT, zero.alias("d"), zero.alias("r"), one.alias("m")))
-            .filter(F.col("PRIMARYID").isNotNull()))
-    sizes = keys.groupBy(*REPORT).agg(F.sum("d").alias("d"), F.sum("r").alias("r"), F.sum("m").alias("m"))
-    return sizes.filter((F.col("d") > cell_drugs) | (F.col("r") > cell_rows)
-                        | (F.col("m") > cell_rows)).select(*REPORT)
-
-
-def split_reports(rep: Reports, hot: DataFrame) -> tuple[Reports, Reports]:
-    """(ordinary, hot) report tables. ``hot`` must have been counted below
-    ``HOT_KEYS_BROADCAST_LIMIT``: it is broadcast to every task."""
-    keys = F.broadcast(hot.select(*REPORT))
-    def part(how):
-        return Reports(demo=rep.demo.join(keys, REPORT, how), drug=rep.drug.join(keys, REPORT, how),
-                       reac=rep.reac.join(keys, REPORT, how))
-    return part("left_anti"), part("left_semi")
-
-
-def weighted_pairs_copartitioned(rep: Reports, mode: str = "clean") -> DataFrame:
-    """(quarter, PRIMARYID, drug_a, drug_b, event, w) for ordinary reports.
-
-    All three inputs are hash-partitioned by report once; de-duplication, the drug count,
-    the pair self-join and the joins with the per-report weights then run inside those
-    partitions without further shuffles. Only for reports known not to be hot.
-    """
-    # One explicit partition count for all three inputs: the shuffles must line up for
-    # the joins to need no further exchange, and AQE must not merge them into a few tasks.
-    n = int(rep.drug.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drugs = (rep.drug.select(*REPORT, normalise("DRUGNAME", mode).alias("drug"))
-             .filter(F.col("PRIMARYID").isNotNull() & (F.col("drug") != ""))
-             .repartition(n, *REPORT).dropDuplicates(REPORT + ["drug"]))
-    multi = drugs.groupBy(*REPORT).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= 2)
-    drugs = drugs.join(multi, REPORT, "left_semi")
-    left = drugs.select(*REPORT, F.col("drug").alias("drug_a"))
-    right = drugs.select(F.col("quarter").alias("_rq"), F.col("PRIMARYID").alias("_rp"),
-                         F.col("drug").alias("drug_b"))
-    pairs = left.join(right, (F.col("quarter") == F.col("_rq")) & (F.col("PRIMARYID") == F.col("_rp"))
-                      & (F.col("drug_a") < F.col("drug_b"))).select(*REPORT, "drug_a", "drug_b")
-    reac = (rep.reac.filter(F.col("PRIMARYID").isNotNull()).repartition(n, *REPORT)
-            .groupBy(*REPORT, F.col("PT").alias("event")).agg(F.count(F.lit(1)).alias("r")))
-    demo = (rep.demo.filter(F.col("PRIMARYID").isNotNull()).repartition(n, *REPORT)
-            .groupBy(*REPORT).agg(F.count(F.lit(1)).alias("m")))
-    weights = reac.join(demo, REPORT).select(*REPORT, "event", (F.col("r") * F.col("m")).alias("w"))
-    return pairs.join(weights, REPORT).select(*REPORT, "drug_a", "drug_b", "event", "w")
-
-
-def weighted_pairs_grid(rep: Reports, mode: str = "clean",
-                        cell_drugs: int = DEFAULT_CELL_DRUGS) -> DataFrame:
-    """(quarter, PRIMARYID, drug_a, drug_b, event, w) through the g x g grid; safe for
-    reports of any size."""
-    drugs = clean_drugs(rep.drug, mode)
-    reports = multi_drug_reports(drugs, cell_drugs)
-    pairs = drug_pairs(drugs, reports).drop("g")
-    weights = spread_weights(report_event_weights(rep, reports))
-    keys = REPORT + ["cell_a", "cell_b"]
-    return pairs.join(weights, keys).select(*REPORT, "drug_a", "drug_b", "event", "w")
-
-
-def weighted_pairs(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
-                   cell_rows: int = DEFAULT_CELL_ROWS, strategy: str = "grid") -> DataFrame:
-    """Pair x event weights of every report. Both strategies are exact and skew-safe.
-
-    ``strategy='grid'``: every report through the grid (no extra job; fastest on small
-    inputs, where a detection job costs more than the shuffles it saves).
-    ``strategy='auto'``: hot reports are found first (a counting job over the report keys).
-    None: every report runs co-partitioned. Up to ``HOT_KEYS_BROADCAST_LIMIT``: their keys
-    are broadcast, they run through the grid and the rest co-partitioned. More:
-    everything runs through the grid. Use it on large inputs, where the co-partitioned
-    path saves three shuffles of the drug rows and one of the reaction rows.
-    """
-    if strategy == "grid":
-        return weighted_pairs_grid(rep, mode, cell_drugs)
-    if strategy != "auto":
-        raise ValueError(f"unknown strategy {strategy!r}")
-    hot = hot_reports(rep, mode, cell_drugs, cell_rows)
-    n_hot = hot.limit(HOT_KEYS_BROADCAST_LIMIT + 1).count()
-    if n_hot == 0:
-        return weighted_pairs_copartitioned(rep, mode)
-    if n_hot <= HOT_KEYS_BROADCAST_LIMIT:
-        ordinary, big = split_reports(rep, hot)
-        return (weighted_pairs_copartitioned(ordinary, mode)
-                .unionByName(weighted_pairs_grid(big, mode, cell_drugs)))
-    return weighted_pairs_grid(rep, mode, cell_drugs)
+            .groupBy(*REPORT, F.col("AGE").alias("age"), F.col("SEX").alias("gender"))
+            .agg(F.count(F.lit(1)).alias("m")))
+    facts = event_counts_of_reports(rep).join(demo, REPORT).withColumn("n", F.col("r") * F.col("m"))
+    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / cell_rows)))
+    facts = facts.withColumn("chunk", chunk).select(
+        *REPORT, "event", "age", "gender", "chunk",
+        F.least(F.lit(cell_rows), F.col("n") - F.col("chunk") * cell_rows).cast("int").alias("n"))
+    out = explode_pairs(drugs, facts, ["event", "age", "gender", "chunk"], cell_drugs, cell_rows)
+    return (out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+            .select("drug_a", "drug_b", "event", "age", "gender", "quarter"))

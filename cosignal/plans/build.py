@@ -1,10 +1,10 @@
 """End-to-end batch build: report files -> every stage table, each written once.
 
     python -m cosignal.plans.build --raw /data/reports --out /data/signals \
-        --quarters 2025q1,2025q2,2025q3,2025q4
+        --quarters 2025q1,2025q2,2025q3,2025q4 --trees 800 --depth 10 --learning-rate 0.03
 
 Stages (each a set of Spark jobs; the outputs are the inputs of the next stage):
-1. read the three report kinds of each quarter; write pair-event rows by quarter;
+1. read the three report kinds of each quarter (raw pair-event rows on request);
 2. per-quarter counters (idempotent partition overwrite) and their merge;
 3. the signal table in two layouts (by score, and by pair for lookups);
 4. pair features and the drug encoders;
@@ -22,21 +22,25 @@ from cosignal.operators import features as FE
 from cosignal.operators import learn as L
 from cosignal.operators import pairs as P
 from cosignal.operators import signals as S
-from cosignal.session import get_spark
+from cosignal.session import drop_scratch, get_spark
 from cosignal.sources import tables as T
-from cosignal.sources.reports import Reports, read_quarters
+from cosignal.sources.reports import (Reports, complete_quarters, discover_quarters,
+                                      read_quarters)
 from cosignal.streaming import counters as R
 
 
 def build(spark: SparkSession, rep: Reports, out: str, min_support: int = 3,
           tree_params: L.TreeParams | None = None, hops: int = 3, threshold: float = 5.0,
-          write_rows: bool = True, strategy: str = "auto") -> dict[str, str]:
+          write_rows: bool = False, quarters: list[str] | None = None) -> dict[str, str]:
+    """Write every stage table under ``out``. The pair explosion runs once, for the counters;
+    ``write_rows`` also stores the raw pair-event rows (a second, much larger explosion that
+    nothing here reads)."""
     paths = {k: f"{out}/{k}" for k in ("pair_events", "counters", "signals", "signals_by_pair",
                                           "features", "encoders", "graph", "embeddings",
                                           "models/tree", "models/edge", "metrics")}
     if write_rows:
         T.write_pair_events(P.pair_events(rep), paths["pair_events"])
-    R.write_counters(R.report_batch_counters(rep, strategy=strategy), paths["counters"])
+    R.write_counters(R.report_batch_counts(rep), paths["counters"], quarters)
     counts = R.merge_counters(R.read_counters(spark, paths["counters"]))
     S.write_signals(S.signals(counts, min_support=min_support), paths["signals"], layout="score")
     signals = spark.read.parquet(paths["signals"])
@@ -47,9 +51,8 @@ def build(spark: SparkSession, rep: Reports, out: str, min_support: int = 3,
     T.write_encoders(FE.drug_encoders(signals), paths["encoders"])
     features = spark.read.parquet(paths["features"])
 
-    nodes, edges, emb = L.graph_embeddings(features, hops)
-    T.write_graph(nodes, edges, paths["graph"])
-    T.write_embeddings(emb, paths["embeddings"])
+    nodes, edges = L.write_graph_tables(features, paths["graph"])
+    T.write_embeddings(L.node_embeddings(nodes, edges, hops), paths["embeddings"])
 
     tree, _, ttest = L.fit_tree_model(features, tree_params)
     L.save_model(tree, paths["models/tree"])
@@ -66,12 +69,27 @@ def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--raw", required=True)
     ap.add_argument("--out", required=True)
-    ap.add_argument("--quarters", required=True)
+    ap.add_argument("--quarters", help="comma list; default: every quarter folder under --raw")
     ap.add_argument("--min-support", type=int, default=3)
+    ap.add_argument("--write-rows", action="store_true", help="also store the raw pair-event rows")
+    ap.add_argument("--require-complete", action="store_true",
+                    help="fail if a quarter misses one of its three report kinds")
+    defaults = L.TreeParams()
+    ap.add_argument("--trees", type=int, default=defaults.max_iter)
+    ap.add_argument("--depth", type=int, default=defaults.max_depth)
+    ap.add_argument("--learning-rate", type=float, default=defaults.step_size)
     a = ap.parse_args()
     spark = get_spark(profile="cluster")
-    rep = read_quarters(spark, a.raw, a.quarters.split(","))
-    build(spark, rep, a.out.rstrip("/"), a.min_support)
+    wanted = a.quarters.split(",") if a.quarters else discover_quarters(spark, a.raw)
+    found, skipped = complete_quarters(spark, a.raw, wanted)
+    for q, kinds in skipped.items():
+        print(f"skipped quarter {q}: no {', '.join(kinds)} files")
+    if skipped and a.require_complete:
+        raise SystemExit("incomplete quarters")
+    params = L.TreeParams(max_iter=a.trees, max_depth=a.depth, step_size=a.learning_rate)
+    build(spark, read_quarters(spark, a.raw, found), a.out.rstrip("/"), a.min_support, params,
+          write_rows=a.write_rows, quarters=found)
+    drop_scratch(spark)
 
 
 if __name__ == "__main__":

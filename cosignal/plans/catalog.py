@@ -66,11 +66,12 @@ def pair_counts(spark, sf_dir):
 
 
 def event_counts(spark, sf_dir):
-    return build_counts(spark, sf_dir).event
+    """Event totals from per-report sums: no pair explosion."""
+    return C.event_totals_factored(proxy_reports(spark, sf_dir))[0]
 
 
 def total_rows(spark, sf_dir):
-    return spark.range(1).select(build_counts(spark, sf_dir).n.alias("n"))
+    return spark.range(1).select(C.event_totals_factored(proxy_reports(spark, sf_dir))[1].alias("n"))
 
 
 def signals(spark, sf_dir):
@@ -352,33 +353,44 @@ def signals_from_pair_event_files(spark, sf_dir):
 
 
 def streamed_counters(spark, sf_dir):
-    """Pair-event files consumed by the Structured Streaming counter job (availableNow),
-    then merged; the support filter comes after the merge."""
+    """Pair-event files consumed by the Structured Streaming counter job (availableNow) in
+    several micro-batches, then merged; the support filter comes after the merge."""
     base = _scratch(spark, "stream")
-    rows = P.pair_events(proxy_reports(spark, sf_dir))
-    rows.write.parquet(f"{base}/in")
-    R.stream_counters(spark, f"{base}/in", rows.schema, f"{base}/counters", f"{base}/ckpt")
+    T.write_pair_events(P.pair_events(proxy_reports(spark, sf_dir)), f"{base}/in", files_per_quarter=1)
+    schema = T.read_pair_events(spark, f"{base}/in").schema
+    R.stream_counters(spark, f"{base}/in", schema, f"{base}/counters", f"{base}/ckpt", max_files=6)
     merged = R.merge_counters(R.read_counters(spark, f"{base}/counters"))
     return merged.pair_event.filter(F.col("a") >= MIN_SUPPORT)
 
 
 def signals_auto_strategy(spark, sf_dir):
-    """The signal table with the pair explosion planned by hot-report detection: reports
-    over the size limits through the grid, all others co-partitioned by report."""
-    counts = C.count_pair_events(proxy_reports(spark, sf_dir), strategy="auto")
+    """The signal table with the default work budget per cell."""
+    counts = C.count_pair_events(proxy_reports(spark, sf_dir))
     return round_doubles(S.signals(counts, min_support=MIN_SUPPORT))
 
 
+def signals_split_cells(spark, sf_dir):
+    """The signal table with so small a budget (2 drugs a side, 4 rows) that most reports
+    are cut into several cells, in all three directions."""
+    counts = C.count_pair_events(proxy_reports(spark, sf_dir), cell_drugs=2, cell_rows=4)
+    return round_doubles(S.signals(counts, min_support=MIN_SUPPORT))
+
+
+def pair_events_split_cells(spark, sf_dir):
+    """The pair-event rows with the same small budget."""
+    return P.pair_events(proxy_reports(spark, sf_dir), cell_drugs=2, cell_rows=4)
+
+
 def pair_counts_factored(spark, sf_dir):
-    return C.count_factored(proxy_reports(spark, sf_dir)).pair
+    return C.pair_totals_factored(proxy_reports(spark, sf_dir))
 
 
 def event_counts_factored(spark, sf_dir):
-    return C.count_factored(proxy_reports(spark, sf_dir)).event
+    return C.event_totals_factored(proxy_reports(spark, sf_dir))[0]
 
 
 def total_rows_factored(spark, sf_dir):
-    return spark.range(1).select(C.count_factored(proxy_reports(spark, sf_dir)).n.alias("n"))
+    return spark.range(1).select(C.event_totals_factored(proxy_reports(spark, sf_dir))[1].alias("n"))
 
 
 def drug_encoders(spark, sf_dir):
@@ -445,6 +457,8 @@ QUERIES: dict[str, Query] = {
     "signals_from_pair_event_files": signals_from_pair_event_files,
     "streamed_counters": streamed_counters,
     "signals_auto_strategy": signals_auto_strategy,
+    "signals_split_cells": signals_split_cells,
+    "pair_events_split_cells": pair_events_split_cells,
     "pair_counts_factored": pair_counts_factored,
     "event_counts_factored": event_counts_factored,
     "total_rows_factored": total_rows_factored,

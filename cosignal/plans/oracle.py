@@ -373,6 +373,8 @@ ORACLE.update({
     "signals_from_pair_event_files": ORACLE["signals"],
     "streamed_counters": ORACLE["pair_event_counts"],
     "signals_auto_strategy": ORACLE["signals"],
+    "signals_split_cells": ORACLE["signals"],
+    "pair_events_split_cells": ORACLE["pair_events"],
     "pair_counts_factored": ORACLE["pair_counts"],
     "event_counts_factored": ORACLE["event_counts"],
     "total_rows_factored": ORACLE["total_rows"],

@@ -23,16 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _spread(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """The test files hold one Parquet row group each, so a scan is a single task; the
-    real sources (split text files, multi-row-group tables) are read in parallel. Spread
-    the stand-in rows round-robin so the jobs see a parallel input as well."""
-    return df.repartition(spark.sparkContext.defaultParallelism)
-
-
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _spread(spark, table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus"))
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
     return o.select(
         F.col("o_orderkey").alias("PRIMARYID"),
         F.concat(F.year("o_orderdate").cast("string"), F.lit("q"),
@@ -43,8 +36,8 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _spread(spark, table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("PRIMARYID"), F.col("l_partkey").alias("p_partkey")))
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("PRIMARYID"), F.col("l_partkey").alias("p_partkey"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     quarters = _orders(spark, sf_dir).select("PRIMARYID", "quarter")
     return li.join(part, "p_partkey").join(quarters, "PRIMARYID")

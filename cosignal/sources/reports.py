@@ -8,6 +8,7 @@ quarters is two different reports.
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +30,9 @@ KINDS = {
     "reac": ("REAC", ["PRIMARYID", "PT"]),
 }
 
-EXTRA_COL = "_extra"
+# Two more columns than the header: the first takes a trailing separator, the second shows
+# that a line has too many fields.
+EXTRA_COLS = ["_extra_1", "_extra_2"]
 
 DEMO_SCHEMA = "quarter string, PRIMARYID bigint, AGE double, SEX string"
 DRUG_SCHEMA = "quarter string, PRIMARYID bigint, DRUGNAME string"
@@ -66,11 +69,13 @@ def _data_files(spark: SparkSession, pattern: str) -> list[str]:
 
 
 def _header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
-    """Column names from the first line of the first file (read directly, no job)."""
+    """Column names from the first line of the first file matched (read directly, no job)."""
     files = _data_files(spark, path)
-    if not files:
-        return []
-    jvm, p, fs = _hadoop(spark, files[0])
+    return _file_header(spark, files[0], sep, encoding) if files else []
+
+
+def _file_header(spark: SparkSession, file: str, sep: str, encoding: str) -> list[str]:
+    jvm, p, fs = _hadoop(spark, file)
     stream = fs.open(p)
     # Compressed files (.gz, .bz2, ...) are read through their codec, as Spark does.
     codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(
@@ -90,21 +95,22 @@ def read_delimited(spark: SparkSession, path, sep: str = "$",
     """Scan a delimited file with a header; every column is a string, names upper-cased.
 
     Line rules of the original reader: a line with more fields than the header is
-    skipped, a line with fewer fields is kept and padded with nulls. One extra
-    trailing column in the schema makes both rules hold whatever columns a query
-    later prunes to. Quotes are honoured within one line only. ``path`` may be a list of
+    skipped, a line with fewer fields is kept and padded with nulls; one trailing
+    separator is no field. Two extra trailing columns in the schema make these rules hold
+    whatever columns a query later prunes to. Quotes are honoured within one line only. ``path`` may be a list of
     paths that share one header.
     """
     first = path[0] if isinstance(path, (list, tuple)) else path
     cols = [c.upper() for c in (header or _header(spark, first, sep, encoding))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in cols]
-                          + [T.StructField(EXTRA_COL, T.StringType())])
+                          + [T.StructField(c, T.StringType()) for c in EXTRA_COLS])
     df = (spark.read.schema(schema)
           .option("header", True).option("sep", sep).option("encoding", encoding)
           .option("mode", "PERMISSIVE").option("multiLine", False)
           .option("nullValue", "\u0000").option("emptyValue", "")
           .csv(path))
-    return df.filter(F.col(EXTRA_COL).isNull() | (F.col(EXTRA_COL) == "")).drop(EXTRA_COL)
+    first, second = map(F.col, EXTRA_COLS)
+    return df.filter(second.isNull() & (first.isNull() | (first == ""))).drop(*EXTRA_COLS)
 
 
 def _typed(kind: str, df: DataFrame, quarter) -> DataFrame:
@@ -136,12 +142,18 @@ def discover_quarters(spark: SparkSession, base: str) -> list[str]:
     return sorted(st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory())
 
 
-def _exists(spark: SparkSession, pattern: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(hpath)
-    return found is not None and len(found) > 0
+def complete_quarters(spark: SparkSession, base: str, quarters: list[str],
+                      layout: str = DEFAULT_LAYOUT) -> tuple[list[str], dict[str, list[str]]]:
+    """(quarters with files of all three kinds, {other quarter: file prefixes it lacks})."""
+    found, skipped = [], {}
+    for q in quarters:
+        lacking = [prefix for prefix, _ in KINDS.values()
+                   if not _data_files(spark, _kind_glob(base, q, prefix, layout))]
+        if lacking:
+            skipped[q] = lacking
+        else:
+            found.append(q)
+    return found, skipped
 
 
 def _quarter_regex(layout: str, prefix: str) -> str:
@@ -156,41 +168,40 @@ def _quarter_regex(layout: str, prefix: str) -> str:
 
 def read_quarters(spark: SparkSession, base: str, quarters: list[str] | None = None,
                   sep: str = "$", encoding: str = "ISO-8859-1",
-                  layout: str = DEFAULT_LAYOUT) -> Reports:
+                  layout: str = DEFAULT_LAYOUT, require_complete: bool = False) -> Reports:
     """Find DEMO*/DRUG*/REAC*.txt under ``base/<quarter>/ASCII`` and read them.
 
     Without a quarter list, every folder under ``base`` is a quarter. A quarter whose
-    folder or any of the three members is missing is skipped, as is the original
-    behaviour. Quarters whose files share a header are read in one scan (the header
-    of each quarter is read directly, one line, no job); the quarter of each row comes
-    from its file path. So many quarters cost a few scans, not one per quarter.
+    folder or any of the three members is missing is skipped with a warning, as is the
+    original behaviour; ``require_complete`` makes it an error. Each file is read by its
+    own header: files that share a header are read in one scan, so many files cost a few
+    scans (the headers are read directly, one line each, no job). The quarter of each row
+    comes from its file path.
     """
     qs = quarters if quarters is not None else discover_quarters(spark, base)
     jvm = spark.sparkContext._jvm
-    valid = [q for q in qs
-             if all(_exists(spark, _kind_glob(base, q, prefix, layout)) for prefix, _ in KINDS.values())]
+    valid, skipped = complete_quarters(spark, base, qs, layout)
+    if skipped:
+        said = "; ".join(f"{q} (no {', '.join(kinds)})" for q, kinds in skipped.items())
+        if require_complete:
+            raise FileNotFoundError(f"incomplete quarters: {said}")
+        warnings.warn(f"skipped incomplete quarters: {said}", stacklevel=2)
     schemas = {"demo": DEMO_SCHEMA, "drug": DRUG_SCHEMA, "reac": REAC_SCHEMA}
+    # Encoded folder name (as it appears in file paths) -> quarter name.
+    enc = {jvm.java.net.URI(None, None, q, None).getRawPath(): q for q in valid}
     out = {}
     for kind, (prefix, _) in KINDS.items():
         groups: dict[tuple, list[str]] = {}
         for q in valid:
-            g = _kind_glob(base, q, prefix, layout)
-            groups.setdefault(tuple(_header(spark, g, sep, encoding)), []).append(q)
-        frames = []
-        for header, group in groups.items():
-            paths = [_kind_glob(base, q, prefix, layout) for q in group]
-            df = read_delimited(spark, paths, sep, encoding, list(header))
-            # Encoded folder name (as it appears in file paths) -> quarter name.
-            enc = {jvm.java.net.URI(None, None, q, None).getRawPath(): q for q in group}
+            for file in _data_files(spark, _kind_glob(base, q, prefix, layout)):
+                groups.setdefault(tuple(_file_header(spark, file, sep, encoding)), []).append(file)
+        acc = spark.createDataFrame([], schemas[kind])
+        for i, (header, files) in enumerate(groups.items()):
+            df = read_delimited(spark, files, sep, encoding, list(header))
             names = F.create_map(*[F.lit(x) for kv in enc.items() for x in kv])
             folder = F.regexp_extract(F.col("_metadata.file_path"), _quarter_regex(layout, prefix), 1)
-            frames.append(_typed(kind, df.withColumn("_q", names[folder]), F.col("_q")))
-        if not frames:
-            out[kind] = spark.createDataFrame([], schemas[kind])
-            continue
-        acc = frames[0]
-        for d in frames[1:]:
-            acc = acc.unionByName(d)
+            typed = _typed(kind, df.withColumn("_q", names[folder]), F.col("_q"))
+            acc = acc.unionByName(typed) if i else typed
         out[kind] = acc
     return Reports(**out)
 

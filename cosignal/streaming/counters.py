@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from cosignal.operators.counts import PAIR, Counts, pair_event_counts
 from cosignal.operators.pairs import DEFAULT_CELL_DRUGS
+from cosignal.session import cut_lineage
 from cosignal.sources.reports import Reports
 
+FILES_PER_BATCH = 8          # files per batch and counter table, at most
+MAX_FILES_PER_TRIGGER = 64   # input files in one micro-batch
 COUNTER_TABLES = ("pair_event_agg", "pair_agg", "event_agg", "batch_rows")
 
 
@@ -26,27 +29,48 @@ def batch_counters(pec_by_batch: DataFrame) -> dict[str, DataFrame]:
     return {"pair_event_agg": pec_by_batch, "pair_agg": pair, "event_agg": event, "batch_rows": rows}
 
 
-def report_batch_counters(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
-                          strategy: str = "grid") -> dict[str, DataFrame]:
-    """Per-quarter counters straight from the report tables (quarter = batch)."""
-    pec = (pair_event_counts(rep, mode, cell_drugs, by_batch=True, strategy=strategy)
-           .withColumnRenamed("quarter", "batch"))
-    return batch_counters(pec)
+def report_batch_counts(rep: Reports, mode: str = "clean",
+                        cell_drugs: int = DEFAULT_CELL_DRUGS) -> DataFrame:
+    """(batch, drug_a, drug_b, event, a) straight from the report tables (quarter = batch)."""
+    return (pair_event_counts(rep, mode, cell_drugs, by_batch=True)
+            .withColumnRenamed("quarter", "batch"))
 
 
-def rows_batch_counters(pair_events: DataFrame, batch_col: str = "quarter") -> dict[str, DataFrame]:
-    """Per-batch counters from pair-event rows."""
-    pec = (pair_events.groupBy(F.col(batch_col).cast("string").alias("batch"), *PAIR, "event")
-           .agg(F.count(F.lit(1)).alias("a")))
-    return batch_counters(pec)
+def report_batch_counters(rep: Reports, mode: str = "clean",
+                          cell_drugs: int = DEFAULT_CELL_DRUGS) -> dict[str, DataFrame]:
+    """Per-quarter counters: the explosion runs once, into a stored table."""
+    return batch_counters(cut_lineage(report_batch_counts(rep, mode, cell_drugs), "batch-counts"))
 
 
-def write_counters(counters: dict[str, DataFrame], base: str) -> None:
-    """Overwrite the partitions of the batches present; other batches stay."""
-    for name in COUNTER_TABLES:
-        (counters[name].write.mode("overwrite").partitionBy("batch")
+def rows_batch_counts(pair_events: DataFrame, batch_col: str = "quarter") -> DataFrame:
+    """(batch, drug_a, drug_b, event, a) from pair-event rows."""
+    return (pair_events.groupBy(F.col(batch_col).cast("string").alias("batch"), *PAIR, "event")
+            .agg(F.count(F.lit(1)).alias("a")))
+
+
+def write_counters(pec_by_batch: DataFrame, base: str, batches: list[str] | None = None) -> None:
+    """Overwrite the partitions of the batches present; other batches stay.
+
+    ``pec_by_batch`` (see ``report_batch_counts``) is computed once, by the write of
+    ``pair_event_agg``; the other tables are derived from the stored partitions: those named
+    in ``batches``, or all. Rows are dealt by batch and a hash first, so a batch gets a
+    bounded number of files.
+    """
+    spark = pec_by_batch.sparkSession
+
+    def write(name: str, df: DataFrame) -> None:
+        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != "batch"]), F.lit(FILES_PER_BATCH))
+        (df.repartition(F.col("batch"), salt).write.mode("overwrite").partitionBy("batch")
          .option("partitionOverwriteMode", "dynamic").parquet(f"{base}/{name}"))
 
+    write("pair_event_agg", pec_by_batch)
+    stored = spark.read.schema(pec_by_batch.schema).parquet(f"{base}/pair_event_agg")
+    if batches is not None:
+        stored = stored.filter(F.col("batch").isin(batches))
+    for name, df in batch_counters(stored).items():
+        if name != "pair_event_agg":
+            write(name, df)
+
 
 def read_counters(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{base}/{name}") for name in COUNTER_TABLES}
@@ -64,18 +88,21 @@ def merge_counters(counters: dict[str, DataFrame]) -> Counts:
 
 
 def stream_counters(spark: SparkSession, pair_events_path: str, schema, out_base: str,
-                    checkpoint: str):
+                    checkpoint: str, max_files: int = MAX_FILES_PER_TRIGGER):
     """Structured Streaming: new pair-event files -> per-micro-batch counters.
 
-    Each micro-batch writes its partial counters into partition ``batch=<batch_id>`` by
-    dynamic overwrite, so a replay of a micro-batch after a failure rewrites the same
-    partition. Runs with ``availableNow`` and returns the finished query.
+    Each micro-batch (at most ``max_files`` files, so a backlog becomes many bounded ones)
+    reads its input once and writes its partial counters into partition
+    ``batch=<batch_id>`` by dynamic overwrite, so a replay of a micro-batch after a failure
+    rewrites the same partition. Runs with ``availableNow`` and returns the finished query.
     """
-    src = spark.readStream.schema(schema).parquet(pair_events_path)
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+           .parquet(pair_events_path))
 
     def _write(batch_df: DataFrame, batch_id: int) -> None:
-        batch_df = batch_df.withColumn("_batch", F.lit(f"{batch_id:08d}"))
-        write_counters(rows_batch_counters(batch_df, "_batch"), out_base)
+        name = f"{batch_id:08d}"
+        counted = rows_batch_counts(batch_df.withColumn("_batch", F.lit(name)), "_batch")
+        write_counters(counted, out_base, [name])
 
     q = (src.writeStream.foreachBatch(_write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

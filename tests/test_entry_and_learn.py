@@ -55,7 +55,7 @@ def test_batch_build_end_to_end(spark):
     from tests.test_worked_example import make_reports
     out = tempfile.mkdtemp(prefix="cosignal-build-")
     paths = build(spark, make_reports(spark), out, min_support=1,
-                  tree_params=L.TreeParams(max_iter=2, max_depth=2), hops=1)
+                  tree_params=L.TreeParams(max_iter=2, max_depth=2), hops=1, write_rows=True)
     sig = spark.read.parquet(paths["signals"])
     assert sig.count() == 8
     first = sig.first()

@@ -48,14 +48,55 @@ def test_batch_split_invariance(spark, sf_dir):
     assert spark.range(1).select(merged.n).first()[0] == 64079
 
 
-def test_all_three_paths_agree(spark, sf_dir, monkeypatch):
+def test_any_budget_gives_the_same_rows(spark, sf_dir):
     from cosignal.operators import pairs as P
     rep = proxy_reports(spark, sf_dir)
-    base = C.pair_event_counts(rep)                                  # grid for every report
-    copart = C.pair_event_counts(rep, strategy="auto")               # no hot report: co-partitioned
-    mixed = C.pair_event_counts(rep, cell_drugs=3, strategy="auto")  # some hot: both paths
-    assert P.hot_reports(rep, cell_drugs=3).count() > 0
-    monkeypatch.setattr(P, "HOT_KEYS_BROADCAST_LIMIT", 0)
-    fallback = C.pair_event_counts(rep, cell_drugs=3, strategy="auto")  # too many hot keys
-    for other in (copart, mixed, fallback):
+    base = C.pair_event_counts(rep)
+    for drugs, rows in ((2, 4), (3, 1_000_000), (512, 1)):
+        other = C.pair_event_counts(rep, cell_drugs=drugs, cell_rows=rows)
         assert base.exceptAll(other).count() == 0 and other.exceptAll(base).count() == 0
+    rows, small = P.pair_events(rep), P.pair_events(rep, cell_drugs=2, cell_rows=3)
+    assert rows.exceptAll(small).count() == 0 and small.exceptAll(rows).count() == 0
+
+
+def test_hot_report_is_spread(spark):
+    """One report with 40 drugs and 20,000 events: its 15.6 million rows come from many cells,
+    none much over the budget, and the sums are exact."""
+    from cosignal.operators import pairs as P
+    from cosignal.sources.reports import Reports
+    drug = spark.range(40).select(F.lit("q").alias("quarter"), F.lit(1).cast("long").alias("PRIMARYID"),
+                                  F.concat(F.lit("D"), F.col("id").cast("string")).alias("DRUGNAME"))
+    reac = spark.range(20_000).select(F.lit("q").alias("quarter"), F.lit(1).cast("long").alias("PRIMARYID"),
+                                      F.concat(F.lit("E"), F.col("id").cast("string")).alias("PT"))
+    demo = spark.createDataFrame([("q", 1, 40.0, "F")], "quarter string, PRIMARYID long, AGE double, SEX string")
+    rep = Reports(demo=demo, drug=drug, reac=reac)
+    facts = P.event_counts_of_reports(rep)
+    plan = P.cell_plan(P.clean_drugs(drug), facts, cell_rows=100_000).first()
+    assert plan.g == 1 and plan.s == 160
+    out = P.weighted_pairs(rep, cell_rows=100_000)
+    # The last joins run on the cells' partitioning: rows by task of that stage.
+    per_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 780 * 20_000 and len(per_task) >= 4
+    assert max(per_task) <= 0.5 * sum(per_task)
+
+
+def test_one_event_very_often(spark):
+    """A reaction repeated 50,000 times is cut into chunks and multiplied out exactly."""
+    from cosignal.operators import pairs as P
+    from cosignal.sources.reports import Reports
+    drug = spark.createDataFrame([("q", 1, x) for x in "abc"], "quarter string, PRIMARYID long, DRUGNAME string")
+    reac = spark.range(50_000).select(F.lit("q").alias("quarter"), F.lit(1).cast("long").alias("PRIMARYID"),
+                                      F.lit("Pain").alias("PT"))
+    demo = spark.createDataFrame([("q", 1, None, "F"), ("q", 1, None, "F")],
+                                 "quarter string, PRIMARYID long, AGE double, SEX string")
+    rep = Reports(demo=demo, drug=drug, reac=reac)
+    assert P.pair_events(rep, cell_rows=1000).groupBy("drug_a", "drug_b", "age").count().select("count").distinct().collect() == [(100_000,)]
+    assert C.pair_event_counts(rep, cell_rows=1000).agg(F.sum("a")).first()[0] == 300_000
+
+
+def test_build_explodes_once(spark, sf_dir):
+    """The counters come from one explosion: no other counter table reads the reports."""
+    counters = R.report_batch_counters(proxy_reports(spark, sf_dir))
+    for df in counters.values():
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan and "Generate" not in plan

@@ -1,10 +1,11 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from cosignal.functions.names import clean_name
-from cosignal.sources.reports import read_delimited, read_quarters
+from cosignal.sources.reports import complete_quarters, read_delimited, read_quarters
 
 LINES = [
     b"primaryid$drug_seq$drugname",
@@ -19,6 +20,7 @@ LINES = [
     b'8$1$"open q',
     b"9$1$zz",
     b"10$1$t$",
+    b"11$1$u$$junk",
 ]
 
 
@@ -75,6 +77,29 @@ def test_read_quarters_mixed_headers_and_discovery(spark):
     assert sorted(r.quarter for r in rep.drug.collect()) == ["2024q4", "2025q1"]
 
 
+def test_files_of_one_quarter_with_different_headers(spark):
+    base = tempfile.mkdtemp(prefix="cosignal-headers-")
+    d = os.path.join(base, "2025q1", "ASCII")
+    _write(os.path.join(d, "DEMO1.txt"), [b"primaryid$age$sex", b"7$40$F"])
+    _write(os.path.join(d, "DRUG1.txt"), [b"primaryid$drugname", b"7$alpha"])
+    _write(os.path.join(d, "DRUG2.txt"), [b"drugname$primaryid", b"beta$7"])
+    _write(os.path.join(d, "REAC1.txt"), [b"primaryid$pt", b"7$x"])
+    rep = read_quarters(spark, base)
+    assert sorted((r.PRIMARYID, r.DRUGNAME) for r in rep.drug.collect()) == [(7, "alpha"), (7, "beta")]
+
+
+def test_incomplete_quarters_are_reported(spark):
+    base = tempfile.mkdtemp(prefix="cosignal-incomplete-")
+    for q, kinds in (("2025q1", ("DEMO", "DRUG", "REAC")), ("2025q2", ("DEMO", "DRUG"))):
+        for kind in kinds:
+            _write(os.path.join(base, q, "ASCII", f"{kind}1.txt"), [b"primaryid$age$sex$drugname$pt", b"1$2$F$a$b"])
+    assert complete_quarters(spark, base, ["2025q1", "2025q2"]) == (["2025q1"], {"2025q2": ["REAC"]})
+    with pytest.warns(UserWarning, match="2025q2"):
+        assert {r.quarter for r in read_quarters(spark, base).demo.collect()} == {"2025q1"}
+    with pytest.raises(FileNotFoundError, match="REAC"):
+        read_quarters(spark, base, require_complete=True)
+
+
 def test_gzip_report_file(spark):
     import gzip
     d = tempfile.mkdtemp(prefix="cosignal-gz-")
