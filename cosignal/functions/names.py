@@ -30,9 +30,10 @@ def clean_name(c) -> Column:
 
 
 def upper_trim(c) -> Column:
-    """The lighter normalisation used by pair lookups: upper case and strip blanks."""
+    """The lighter normalisation used by pair lookups: upper case and strip blanks; null
+    becomes the empty string."""
     x = F.upper(_as_col(c))
-    return F.regexp_replace(x, "(?U)^[\\s\\x{1c}-\\x{1f}]+|[\\s\\x{1c}-\\x{1f}]+$", "")
+    return F.coalesce(F.regexp_replace(x, "(?U)^[\\s\\x{1c}-\\x{1f}]+|[\\s\\x{1c}-\\x{1f}]+$", ""), F.lit(""))
 
 
 def normalise(c, mode: str = "clean") -> Column:

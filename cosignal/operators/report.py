@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cosignal.functions import presentation as X
 from cosignal.functions.names import canonical_pair
+from cosignal.operators.graph import drug_catalog as distinct_drugs
 
 PAIR = ["drug_a", "drug_b"]
 RANK_DIGITS = 9
@@ -85,9 +86,13 @@ def evidence_display(evidence: DataFrame) -> DataFrame:
 
 def drug_catalog(signals: DataFrame) -> DataFrame:
     """Sorted distinct drug names over both pair columns, nulls dropped."""
-    names = signals.select(F.col("drug_a").alias("drug")).union(
-        signals.select(F.col("drug_b").alias("drug")))
-    return names.distinct().dropna().orderBy("drug")
+    return distinct_drugs(signals).orderBy("drug")
+
+
+def encoder_catalog(encoders: DataFrame) -> DataFrame:
+    """Sorted drug names of the stored encoders: the first choice for a catalog, the signal
+    table (``drug_catalog``) the second."""
+    return encoders.select("drug").distinct().dropna().orderBy("drug")
 
 
 def drug_search(catalog: DataFrame, query: str) -> DataFrame:
@@ -122,13 +127,30 @@ def request_status(requests: DataFrame, a: str = "drug_a", b: str = "drug_b",
             .withColumnRenamed("_a", "drug_a").withColumnRenamed("_b", "drug_b"))
 
 
-def pair_lookup(requests: DataFrame, signals: DataFrame) -> DataFrame:
+def of_requests(signals: DataFrame, requests: DataFrame) -> DataFrame:
+    """The signal rows of the requested pairs: a semi-join on the distinct canonical pairs,
+    below any aggregation or ranking. Read ``signals`` from the pair layout, so that a
+    small request table skips most row groups."""
+    wanted = requests.filter(F.col("status") == "ok").select(*PAIR).distinct()
+    return signals.join(wanted, PAIR, "left_semi")
+
+
+def pair_lookup(requests: DataFrame, signals: DataFrame, mode: str = "clean") -> DataFrame:
     """Per requested pair (raw names): canonical pair, status and its summary, or the
     'no evidence' status when the pair has no signal rows. An equi-join on the canonical
-    pair, never an OR of both orders."""
-    req = request_status(requests)
-    summ = pair_summary(signals)
+    pair, never an OR of both orders. ``mode='upper_trim'`` normalises names with upper
+    case and trim only."""
+    req = request_status(requests, mode=mode)
+    summ = pair_summary(of_requests(signals, req))
     j = req.join(summ, PAIR, "left")
     status = F.when((F.col("status") == "ok") & F.col("total_reports").isNull(), "no_evidence") \
         .otherwise(F.col("status"))
     return j.withColumn("status", status)
+
+
+def pair_reports(requests: DataFrame, signals: DataFrame, mode: str = "clean") -> DataFrame:
+    """``pair_lookup`` plus the sentence on each pair's top event; only requested pairs are
+    ranked."""
+    req = request_status(requests, mode=mode)
+    return pair_lookup(requests, signals, mode).join(
+        explanations(of_requests(signals, req)), PAIR, "left")

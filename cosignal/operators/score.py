@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from cosignal.functions import presentation as X
 from cosignal.operators.features import with_encodings
-from cosignal.operators.learn import predict, with_edge_vectors
-from cosignal.operators.report import rank_events, request_status
+from cosignal.operators.learn import load_model, predict, with_edge_vectors
+from cosignal.operators.report import model_agreement, rank_events, request_status
 from cosignal.session import cut_lineage
 
 PAIR = ["drug_a", "drug_b"]
@@ -81,6 +81,42 @@ def score_pairs(requests: DataFrame, encoders: DataFrame, tree_model: PipelineMo
     return out
 
 
+def score_stored(requests: DataFrame, paths: dict[str, str], k: int = 10, mode: str = "clean") -> DataFrame:
+    """Score a request table from what a build stored (``plans.build`` returns the paths):
+    models, encoders, embeddings and the signal table in pair layout are loaded, nothing is
+    fitted."""
+    spark = requests.sparkSession
+    return score_pairs(requests, spark.read.parquet(paths["encoders"]), load_model(paths["models/tree"]),
+                       spark.read.parquet(paths["embeddings"]), load_model(paths["models/edge"]),
+                       spark.read.parquet(paths["signals_by_pair"]), k, mode)
+
+
+def score_report(scored: DataFrame, k: int = 10) -> DataFrame:
+    """The report on the two model scores of every scored pair: composite score with label,
+    colour and advice, whether both models give the same label, the top event and the
+    number of evidence rows. Pairs that could not be scored have nulls there; a pair
+    outside the graph has graph score 0 and so never agrees (its label is not a risk)."""
+    ok = F.col("status") == "ok"
+    count = F.size("evidence")
+    composite = F.when(ok, X.composite_score("tree.score", "graph.score"))
+    return (scored.withColumn("composite", composite)
+            .select(*[c for c in ("request_id",) if c in scored.columns], *PAIR, "status",
+                    F.col("tree.score").alias("tree_score"), F.col("tree.label").alias("tree_label"),
+                    F.col("graph.score").alias("graph_score"), F.col("graph.label").alias("graph_label"),
+                    "composite",
+                    F.when(ok, X.composite_label("composite")).alias("composite_label"),
+                    F.when(ok, X.composite_colour("composite")).alias("composite_colour"),
+                    F.when(ok, X.advice_text("composite", count > 0)).alias("advice"),
+                    F.when(ok, F.col("tree.label") == F.col("graph.label")).alias("models_agree"),
+                    F.get("evidence", F.lit(0))["event"].alias("top_event"),
+                    F.when(ok, count).alias("evidence_count")))
+
+
+def score_agreement(report: DataFrame) -> DataFrame:
+    """Scored pairs per (tree label, graph label), and whether they agree."""
+    return model_agreement(report.filter(F.col("status") == "ok"), "tree_label", "graph_label")
+
+
 def score_json(scored: DataFrame) -> DataFrame:
     """One JSON document per scored pair, scores rounded to 2 decimals for display.
 

@@ -29,15 +29,20 @@ from cosignal.sources.reports import (Reports, complete_quarters, discover_quart
 from cosignal.streaming import counters as R
 
 
+def artefacts(out: str) -> dict[str, str]:
+    """Where a build keeps each of its tables and models."""
+    return {k: f"{out}/{k}" for k in ("pair_events", "counters", "signals", "signals_by_pair",
+                                      "features", "encoders", "graph", "embeddings",
+                                      "models/tree", "models/edge", "metrics")}
+
+
 def build(spark: SparkSession, rep: Reports, out: str, min_support: int = 3,
           tree_params: L.TreeParams | None = None, hops: int = 3, threshold: float = 5.0,
           write_rows: bool = False, quarters: list[str] | None = None) -> dict[str, str]:
     """Write every stage table under ``out``. The pair explosion runs once, for the counters;
     ``write_rows`` also stores the raw pair-event rows (a second, much larger explosion that
     nothing here reads)."""
-    paths = {k: f"{out}/{k}" for k in ("pair_events", "counters", "signals", "signals_by_pair",
-                                          "features", "encoders", "graph", "embeddings",
-                                          "models/tree", "models/edge", "metrics")}
+    paths = artefacts(out)
     if write_rows:
         T.write_pair_events(P.pair_events(rep), paths["pair_events"])
     R.write_counters(R.report_batch_counts(rep), paths["counters"], quarters)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cosignal.functions import presentation as X
@@ -25,6 +25,7 @@ from cosignal.operators import score as SC
 from cosignal.operators import signals as S
 from cosignal.operators.split import hash_split as _hash_split
 from cosignal.operators.split import split_bucket
+from cosignal.plans.build import artefacts
 from cosignal.plans.common import round_doubles
 from cosignal.session import cut_lineage, scratch_path
 from cosignal.sources import reports as RS
@@ -267,9 +268,28 @@ def pair_lookup(spark, sf_dir):
 
 def pair_report(spark, sf_dir):
     """Per requested pair: lookup status and summary, plus the sentence on its top event."""
-    sig = stage_signals(spark, sf_dir)
-    look = RP.pair_lookup(pair_requests(spark, sf_dir), sig)
-    return round_doubles(look.join(RP.explanations(sig), ["drug_a", "drug_b"], "left"))
+    return round_doubles(RP.pair_reports(pair_requests(spark, sf_dir), stage_signals(spark, sf_dir)))
+
+
+def display_texts(spark, sf_dir):
+    """Shortened labels and thousands separators on long part descriptions and order keys."""
+    part = table(spark, sf_dir, "part")
+    text = F.concat_ws(" ", "p_name", "p_brand", "p_type")
+    li = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
+        F.sum("l_quantity").cast("bigint").alias("q"))
+    return part.join(li, part.p_partkey == li.l_partkey).select(
+        "p_partkey", X.truncate_label(text).alias("label"), X.thousands(F.col("q") * 100).alias("quantity"))
+
+
+def advice_texts(spark, sf_dir):
+    """Composite score, label, colour and advice with line items as score pairs: quantity / 2
+    and discount * 200 as the two scores, odd lines with evidence."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity").cast("double") / 2).alias("a"),
+        (F.col("l_discount").cast("double") * 200).alias("b"), (F.col("l_linenumber") % 2 == 1).alias("ev"))
+    return RP.composite(li, "a", "b", "ev").groupBy(
+        "composite_label", "composite_colour", "advice").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("composite").cast("bigint").alias("composite_sum"))
 
 
 def _tree(spark, sf_dir, features: DataFrame | None = None):
@@ -289,8 +309,9 @@ def gbt_iteration_errors(spark, sf_dir):
 
 
 def node_embeddings(spark, sf_dir):
+    """One column per dimension: own features, then the neighbour means of three hops."""
     _, _, emb = L.graph_embeddings(build_features(spark, sf_dir))
-    return emb
+    return round_doubles(emb.select("idx", "drug", *[F.col("z")[i].alias(f"z{i}") for i in range(8)]))
 
 
 def _edge(spark, sf_dir, features: DataFrame | None = None):
@@ -313,23 +334,161 @@ def model_metrics(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    sig = stage_signals(spark, sf_dir)
-    f = build_features(spark, sf_dir, sig)
-    tree, _, _ = L.fit_tree_model(f)
-    _, _, emb = L.graph_embeddings(f)
-    edge, _, _ = L.fit_edge_model(f, emb)
-    enc = FE.drug_encoders(sig)
-    return SC.score_pairs(pair_requests(spark, sf_dir), enc, tree, emb, edge, sig)
+    """Requests scored from stored artefacts: the build's tables and models are written to
+    scratch, then loaded by the scorer."""
+    paths = artefacts(_scratch(spark, "artefacts"))
+    S.write_signals(build_signals(spark, sf_dir), paths["signals_by_pair"], layout="pair")
+    sig = spark.read.parquet(paths["signals_by_pair"])
+    T.write_features(FE.pair_features(sig), paths["features"])
+    T.write_encoders(FE.drug_encoders(sig), paths["encoders"])
+    f = spark.read.parquet(paths["features"])
+    nodes, edges = L.write_graph_tables(f, paths["graph"])
+    T.write_embeddings(L.node_embeddings(nodes, edges), paths["embeddings"])
+    L.save_model(L.fit_tree_model(f)[0], paths["models/tree"])
+    L.save_model(L.fit_edge_model(f, spark.read.parquet(paths["embeddings"]))[0], paths["models/edge"])
+    return SC.score_stored(pair_requests(spark, sf_dir), paths)
 
 
 def score_pairs(spark, sf_dir):
     return _scored(spark, sf_dir)
 
 
+def score_report(spark, sf_dir):
+    """Composite, advice, agreement, top event and evidence count on the model scores."""
+    return round_doubles(SC.score_report(_scored(spark, sf_dir)))
+
+
+def score_facts(spark, sf_dir):
+    """What a scored pair says besides the learned numbers: status, canonical pair, whether
+    both drugs are in the graph, feature drivers, evidence count and the evidence rows, and
+    that the scores are present exactly for valid pairs and finite."""
+    s = _scored(spark, sf_dir)
+    driver = lambda i, x: F.col("tree.feature_drivers")[i][x]
+    ev = F.get("evidence", F.lit(0))
+    finite = F.coalesce(F.abs(F.col("tree.score")) < float("inf"), F.lit(False)) \
+        & F.coalesce(F.abs(F.col("graph.score")) < float("inf"), F.lit(False))
+    return round_doubles(s.select(
+        "request_id", "drug_a", "drug_b", "status", finite.cast("int").alias("scored"),
+        (F.col("graph.label") == X.NOT_IN_GRAPH).cast("int").alias("outside_graph"),
+        *[driver(i, "normalized").alias(f"driver_{i}") for i in range(3)],
+        F.size("evidence").cast("bigint").alias("evidence_count"), ev["event"].alias("top_event"),
+        ev["co_occurrences"].alias("top_co_occurrences"), ev["PRR"].alias("top_prr"),
+        ev["risk_score"].alias("top_risk")))
+
+
+def score_agreement(spark, sf_dir):
+    return SC.score_agreement(SC.score_report(_scored(spark, sf_dir)))
+
+
 def batch_report_json(spark, sf_dir):
     return SC.score_json(_scored(spark, sf_dir))
 
 
+def encoder_catalog(spark, sf_dir):
+    """Drug names from stored encoders."""
+    path = _scratch(spark, "encoders")
+    T.write_encoders(FE.drug_encoders(stage_signals(spark, sf_dir)), path)
+    return RP.encoder_catalog(spark.read.parquet(path))
+
+
+def pair_lookup_upper_trim(spark, sf_dir):
+    """Lookups whose names are only upper-cased and trimmed."""
+    return round_doubles(RP.pair_lookup(pair_requests(spark, sf_dir), build_signals(spark, sf_dir), "upper_trim"))
+
+
+def model_facts(spark, sf_dir):
+    """Row sets and invariants of both regressors: held-out rows, distinct pairs, summed
+    target, and that every prediction is finite; importances sum to 1 and are none below 0;
+    one finite error per tree."""
+    f, tree, ttest = _tree(spark, sf_dir)
+    _, _, edge, etest = _edge(spark, sf_dir, f)
+
+    def facts(name, model, test):
+        p = L.predict(model, test)
+        return p.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"),
+                     F.count_distinct("drug_a", "drug_b").alias("pairs"),
+                     F.sum(FE.TARGET).alias("target_sum"),
+                     F.count_if(F.abs("prediction") < float("inf")).alias("finite"))
+
+    imp = L.feature_importances(tree).agg(
+        F.lit("importances").alias("model"), F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("pairs"),
+        F.sum("importance").alias("target_sum"), F.count_if(F.col("importance") >= 0).alias("finite"))
+    err = L.per_iteration_errors(tree, ttest).agg(
+        F.lit("iterations").alias("model"), F.count(F.lit(1)).alias("n"), F.count_distinct("iteration").alias("pairs"),
+        F.lit(0.0).alias("target_sum"), F.count_if(F.col("squared_error") >= 0).alias("finite"))
+    return round_doubles(facts("boosted_trees", tree, ttest).unionByName(facts("edge_regressor", edge, etest))
+                         .unionByName(imp).unionByName(err))
+
+
+def stored_features(spark, sf_dir):
+    """The feature table written in its stored order, read back with each row's place."""
+    path = _scratch(spark, "features")
+    T.write_features(FE.pair_features(stage_signals(spark, sf_dir)), path)
+    stored = spark.read.parquet(path).select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    before = Window.partitionBy("_file").orderBy("_row")
+    return round_doubles(stored.select(
+        "drug_a", "drug_b", "max_risk", "total_reports", "log_max_risk",
+        F.coalesce(F.lag("max_risk").over(before) >= F.col("max_risk"), F.lit(True)).cast("int").alias("in_order")))
+
+
+def stored_signals(spark, sf_dir):
+    """Both layouts of the signal table written and read back: rows, distinct keys, sums, and
+    rows that break the layout's order within a file."""
+    sig = stage_signals(spark, sf_dir)
+    out = []
+    for layout, order in (("score", [F.col("risk_score").desc()]), ("pair", [F.col("drug_a"), F.col("drug_b")])):
+        path = _scratch(spark, f"signals-{layout}")
+        S.write_signals(sig, path, layout)
+        stored = spark.read.parquet(path).select(
+            "*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+        w = Window.partitionBy("_file").orderBy("_row")
+        broken = (F.lag("risk_score").over(w) < F.col("risk_score")) if layout == "score" else \
+            (F.struct(F.lag("drug_a").over(w), F.lag("drug_b").over(w)) > F.struct("drug_a", "drug_b"))
+        out.append(stored.withColumn("_b", F.coalesce(broken, F.lit(False))).agg(
+            F.lit(layout).alias("layout"), F.count(F.lit(1)).alias("n"), F.sum("a").cast("bigint").alias("a"),
+            F.sum("risk_score").alias("risk_sum"), F.count_if("_b").alias("out_of_order")))
+    return round_doubles(out[0].unionByName(out[1]), 4)
+
+
+def stored_graph(spark, sf_dir):
+    """Nodes, edges and embeddings written and read back: rows and sums by table."""
+    base = _scratch(spark, "graph")
+    f = build_features(spark, sf_dir)
+    nodes, edges = L.write_graph_tables(f, base)
+    T.write_embeddings(L.node_embeddings(nodes, edges), f"{base}/embeddings")
+    nodes, edges = T.read_graph(spark, base)
+    emb = spark.read.parquet(f"{base}/embeddings")
+
+    def sums(name, df, key, value):
+        return df.agg(F.lit(name).alias("stored"), F.count(F.lit(1)).alias("n"),
+                      F.sum(key).cast("bigint").alias("keys"), F.sum(value).alias("total"))
+
+    return round_doubles(sums("nodes", nodes, "idx", "mean_risk")
+                         .unionByName(sums("edges", edges, F.col("src") * 3 + F.col("dst"), "w"))
+                         .unionByName(sums("embeddings", emb, "idx", F.col("z")[2] + F.col("z")[7])), 4)
+
+
+def stored_metrics(spark, sf_dir):
+    """Baseline metrics appended to the metrics log twice and read back."""
+    path = _scratch(spark, "metrics")
+    m = M.evaluation_report(baseline_scored(spark, sf_dir), FE.TARGET, "baseline", EVAL_THRESHOLD, "baseline")
+    for _ in range(2):
+        T.append_metrics(m, path)
+    back = spark.read.schema(m.schema).json(path)
+    return round_doubles(back.groupBy("model").agg(
+        F.count(F.lit(1)).alias("runs"), *[F.max(c).alias(c) for c in ("acc", "prec", "rec", "f1")]))
+
+
+def example_pair_lookup(spark, sf_dir):
+    """The literal example pairs looked up, from the first path that exists."""
+    path = _scratch(spark, "signals")
+    T.write_table(build_signals(spark, sf_dir), path)
+    sig = T.read_first(spark, [f"{path}-missing", path])
+    req = T.example_pairs(spark).select("drug_a", "drug_b", "level")
+    return round_doubles(RP.pair_lookup(req, sig).select("drug_a", "drug_b", "level", "status", "total_reports"))
+
+
 def _scratch(spark, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for tables a query writes."""
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
@@ -465,4 +624,17 @@ QUERIES: dict[str, Query] = {
     "drug_encoders": drug_encoders,
     "neighbor_mean_3hop": neighbor_mean_3hop,
     "feature_importances": feature_importances,
+    "display_texts": display_texts,
+    "advice_texts": advice_texts,
+    "score_report": score_report,
+    "score_facts": score_facts,
+    "score_agreement": score_agreement,
+    "encoder_catalog": encoder_catalog,
+    "pair_lookup_upper_trim": pair_lookup_upper_trim,
+    "model_facts": model_facts,
+    "stored_features": stored_features,
+    "stored_signals": stored_signals,
+    "stored_graph": stored_graph,
+    "stored_metrics": stored_metrics,
+    "example_pair_lookup": example_pair_lookup,
 }

@@ -7,7 +7,9 @@ Doubles are rounded to 6 digits, counts cast to BIGINT.
 
 from __future__ import annotations
 
+from cosignal.operators.learn import TreeParams
 from cosignal.sources.proxy import PROXY_SQL, REQUESTS_SQL
+from cosignal.sources.tables import EXAMPLE_PAIRS
 
 CLEAN = "trim(regexp_replace(regexp_replace(upper({x}), '[[:punct:]]', '', 'g'), '\\s+', ' ', 'g'))"
 
@@ -281,10 +283,13 @@ comp AS (
 ),
 """ + REQUESTS_SQL + """,
 req AS (
-  SELECT request_id,
-         least(""" + CLEAN.format(x="drug_a") + ", " + CLEAN.format(x="drug_b") + """) AS drug_a,
-         greatest(""" + CLEAN.format(x="drug_a") + ", " + CLEAN.format(x="drug_b") + """) AS drug_b
-  FROM requests
+  SELECT request_id, least(x, y) AS drug_a, greatest(x, y) AS drug_b FROM (
+    SELECT request_id, coalesce(""" + CLEAN.format(x="drug_a") + ", '') AS x, coalesce(" + CLEAN.format(x="drug_b") + """, '') AS y
+    FROM requests)
+),
+req_trim AS (
+  SELECT request_id, least(x, y) AS drug_a, greatest(x, y) AS drug_b FROM (
+    SELECT request_id, coalesce(trim(upper(drug_a)), '') AS x, coalesce(trim(upper(drug_b)), '') AS y FROM requests)
 )"""
 
 
@@ -387,3 +392,72 @@ ORACLE.update({
 })
 
 ORACLE["node_zscore"] = with_learn("SELECT idx, drug, " + ", ".join(r6(c) for c in ["freq_z", "risk_z"]) + " FROM nodes")
+
+_STATUS = ("CASE WHEN r.drug_a = '' OR r.drug_b = '' THEN 'missing_drug' WHEN r.drug_a = r.drug_b THEN 'same_drug' "
+           "{none} ELSE 'ok' END AS status")
+_NO_EVIDENCE = "WHEN s.total_reports IS NULL THEN 'no_evidence'"
+_LEVELS = ("CASE WHEN composite > 75 THEN 'HIGH RISK' WHEN composite > 40 THEN 'MODERATE RISK' ELSE 'LOW RISK' END AS composite_label, "
+           "CASE WHEN composite > 75 THEN '#ef4444' WHEN composite > 40 THEN '#f59e0b' ELSE '#3b82f6' END AS composite_colour")
+
+
+def _example_rows() -> str:
+    return ", ".join(f"('{a}', '{b}', '{level}')" for a, b, level, _ in EXAMPLE_PAIRS)
+
+
+ORACLE.update({
+    "pair_lookup_upper_trim": with_report(
+        "SELECT r.request_id, r.drug_a, r.drug_b, " + _STATUS.format(none=_NO_EVIDENCE) + ", s.total_reports, "
+        "s.unique_events, round(s.max_risk, 6) AS max_risk, s.risk_label "
+        "FROM req_trim r LEFT JOIN summ s ON s.drug_a = r.drug_a AND s.drug_b = r.drug_b"),
+    "display_texts": """SELECT p_partkey, CASE WHEN length(t) > 20 THEN substr(t, 1, 20) || '…' ELSE t END AS label,
+        format('{:,}', q * 100) AS quantity
+      FROM (SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_type) AS t, CAST(sum(l_quantity) AS BIGINT) AS q
+            FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY ALL)""",
+    "advice_texts": "SELECT composite_label, composite_colour, advice, count(*) AS n, CAST(sum(composite) AS BIGINT) AS composite_sum "
+                    "FROM (SELECT composite, " + _LEVELS + ", " + _advice_sql() + " AS advice FROM ("
+                    "SELECT CAST(floor((" + _map100("a") + " + " + _map100("b") + ") / 2 + 0.5) AS BIGINT) AS composite, has_evidence "
+                    "FROM (SELECT CAST(l_quantity AS DOUBLE) / 2 AS a, CAST(l_discount AS DOUBLE) * 200 AS b, "
+                    "l_linenumber % 2 = 1 AS has_evidence FROM lineitem))) GROUP BY ALL",
+    "node_embeddings": with_learn(
+        "SELECT n.idx, n.drug, " + ", ".join(
+            f"round({t}.{c}, 6) AS z{2 * i + j}" for i, t in enumerate(("n", "h1", "h2", "h3"))
+            for j, c in enumerate(("freq_z", "risk_z")))
+        + " FROM nodes n JOIN hop1 h1 ON h1.idx = n.idx JOIN hop2 h2 ON h2.idx = n.idx JOIN hop3 h3 ON h3.idx = n.idx"),
+    "score_facts": with_report(
+        "SELECT r.request_id, r.drug_a, r.drug_b, r.status, CAST(r.status = 'ok' AS INTEGER) AS scored, "
+        "CASE WHEN r.status = 'ok' THEN CAST(na.idx IS NULL OR nb.idx IS NULL AS INTEGER) END AS outside_graph, "
+        "CASE WHEN r.status = 'ok' THEN round(least(coalesce(fa.freq, 0), coalesce(fb.freq, 0)) / "
+        "(greatest(coalesce(fa.freq, 0), coalesce(fb.freq, 0))::DOUBLE + 1e-6::DOUBLE), 6) END AS driver_0, "
+        "CASE WHEN r.status = 'ok' THEN round(least(1.0, coalesce(ma.mean_risk, 0) * coalesce(mb.mean_risk, 0) / 100.0), 6) END AS driver_1, "
+        "CASE WHEN r.status = 'ok' THEN round(least(1.0, abs(coalesce(ma.mean_risk, 0) - coalesce(mb.mean_risk, 0)) / 50.0), 6) END AS driver_2, "
+        "CAST(least(coalesce(s.unique_events, 0), 10) AS BIGINT) AS evidence_count, e.event AS top_event, "
+        "e.co_occurrences AS top_co_occurrences, round(e.PRR, 6) AS top_prr, round(e.risk_score, 6) AS top_risk "
+        "FROM (SELECT *, " + _STATUS.format(none="") + " FROM req r) r "
+        "LEFT JOIN nodes na ON na.drug = r.drug_a LEFT JOIN nodes nb ON nb.drug = r.drug_b "
+        "LEFT JOIN dfreq fa ON fa.drug = r.drug_a LEFT JOIN dfreq fb ON fb.drug = r.drug_b "
+        "LEFT JOIN dmean ma ON ma.drug = r.drug_a LEFT JOIN dmean mb ON mb.drug = r.drug_b "
+        "LEFT JOIN summ s ON s.drug_a = r.drug_a AND s.drug_b = r.drug_b AND r.status = 'ok' "
+        "LEFT JOIN (SELECT * FROM ev WHERE rank = 1) e ON e.drug_a = r.drug_a AND e.drug_b = r.drug_b AND r.status = 'ok'"),
+    "encoder_catalog": with_learn("SELECT DISTINCT drug FROM dfreq"),
+    "model_facts": with_learn(
+        "SELECT 'boosted_trees' AS model, count(*) AS n, count(*) AS pairs, round(sum(log_max_risk), 6) AS target_sum, "
+        "count(*) AS finite FROM feat WHERE bucket >= 80 "
+        "UNION ALL SELECT 'edge_regressor', 2 * count(*), 2 * count(*), round(2 * sum(log_max_risk), 6), 2 * count(*) FROM feat WHERE bucket >= 80 "
+        f"UNION ALL SELECT 'importances', {len(FEATURE_COLS)}, {len(FEATURE_COLS)}, 1.0, {len(FEATURE_COLS)} "
+        f"UNION ALL SELECT 'iterations', {TreeParams().max_iter}, {TreeParams().max_iter}, 0.0, {TreeParams().max_iter}"),
+    "stored_features": with_learn("SELECT drug_a, drug_b, " + r6("max_risk") + ", total_reports, " + r6("log_max_risk")
+                                  + ", 1 AS in_order FROM feat"),
+    "stored_signals": with_chain(
+        "SELECT layout, count(*) AS n, CAST(sum(a) AS BIGINT) AS a, round(sum(risk_score), 4) AS risk_sum, "
+        "CAST(0 AS BIGINT) AS out_of_order FROM signals, (VALUES ('score'), ('pair')) l(layout) GROUP BY layout"),
+    "stored_graph": with_learn(
+        "SELECT 'nodes' AS stored, count(*) AS n, CAST(sum(idx) AS BIGINT) AS keys, round(sum(mean_risk), 4) AS total FROM nodes "
+        "UNION ALL SELECT 'edges', count(*), CAST(sum(src * 3 + dst) AS BIGINT), round(sum(w), 4) FROM edges "
+        "UNION ALL SELECT 'embeddings', count(*), CAST(sum(h1.idx) AS BIGINT), round(sum(h1.freq_z + h3.risk_z), 4) "
+        "FROM hop1 h1 JOIN hop3 h3 ON h3.idx = h1.idx"),
+    "stored_metrics": with_learn("SELECT 'baseline' AS model, CAST(2 AS BIGINT) AS runs, * FROM (" + _BIN + ")"),
+    "example_pair_lookup": with_report(
+        "SELECT r.drug_a, r.drug_b, r.level, " + _STATUS.format(none=_NO_EVIDENCE) + ", s.total_reports FROM ("
+        "SELECT least(x, y) AS drug_a, greatest(x, y) AS drug_b, level FROM (VALUES " + _example_rows() + ") v(x, y, level)) r "
+        "LEFT JOIN summ s ON s.drug_a = r.drug_a AND s.drug_b = r.drug_b"),
+})

@@ -13,7 +13,7 @@ This only produces rows in the report schema; all the work happens in the operat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cosignal.sources.reports import Reports
@@ -73,26 +73,31 @@ reac AS (SELECT quarter, PRIMARYID, concat_ws(' ', p_brand, p_type) AS PT FROM p
 
 
 def pair_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested pairs as raw text: per order, the part names of line 2 and line 1.
-
-    Names are raw (not normalised) and in no particular order, like user input; orders
-    with a repeated part give a same-drug request.
+    """Requested pairs as raw text, like user input: every line item's part name with the
+    next line's of its order (the last line has no partner: a missing name; a repeated part
+    gives a same-drug request), and every customer's name with a nation's (names no report
+    has). ``request_id`` is unique: a running number within the order, negative for
+    customers.
     """
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    l1 = (li.filter(F.col("l_linenumber") == 1).join(names, F.col("l_partkey") == F.col("p_partkey"))
-          .select("l_orderkey", F.col("p_name").alias("drug_b")))
-    l2 = (li.filter(F.col("l_linenumber") == 2).join(names, F.col("l_partkey") == F.col("p_partkey"))
-          .select("l_orderkey", F.col("p_name").alias("drug_a")))
-    return l2.join(l1, "l_orderkey").select(F.col("l_orderkey").alias("request_id"), "drug_a", "drug_b")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("drug_a"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = (li.join(names, "l_partkey").withColumn("n", F.row_number().over(order))
+             .withColumn("drug_b", F.lead("drug_a").over(order))
+             .select((F.col("l_orderkey") * 1000 + F.col("n")).cast("bigint").alias("request_id"), "drug_a", "drug_b"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("drug_b"))
+    unseen = (table(spark, sf_dir, "customer").join(nation, "c_nationkey")
+              .select((-F.col("c_custkey") - 1).cast("bigint").alias("request_id"), F.col("c_name").alias("drug_a"), "drug_b"))
+    return lines.unionByName(unseen)
 
 
 REQUESTS_SQL = """
 requests AS (
-  SELECT l1.l_orderkey AS request_id, p2.p_name AS drug_a, p1.p_name AS drug_b
-  FROM lineitem l1 JOIN part p1 ON l1.l_partkey = p1.p_partkey
-  JOIN lineitem l2 ON l2.l_orderkey = l1.l_orderkey
-  JOIN part p2 ON l2.l_partkey = p2.p_partkey
-  WHERE l1.l_linenumber = 1 AND l2.l_linenumber = 2
+  SELECT CAST(l_orderkey * 1000 + row_number() OVER w AS BIGINT) AS request_id, p_name AS drug_a,
+         lead(p_name) OVER w AS drug_b
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)
+  UNION ALL
+  SELECT CAST(-c_custkey - 1 AS BIGINT), c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
 )
 """

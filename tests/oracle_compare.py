@@ -1,7 +1,8 @@
 """Run registered queries in Spark and their oracle SQL in DuckDB and compare them.
 
 Usage: python tests/oracle_compare.py [sf_dir] [name ...]
-Checks row count, column names and types, and an order-insensitive hash of the values.
+Checks row count, column names, and an order-insensitive hash of the values as Python sees
+them (so an integer never equals a float or a string).
 """
 
 from __future__ import annotations

@@ -66,6 +66,19 @@ def test_batch_build_end_to_end(spark):
     assert nodes.count() == 3 and edges.count() == 6
     assert spark.read.json(paths["metrics"]).count() == 2
     assert T.first_existing(spark, [out + "/missing", paths["signals"]]) == paths["signals"]
+    # Scoring loads what the build stored and fits nothing.
+    req = spark.createDataFrame([(1, "Aspirin", "warfarin."), (2, "aspirin", "nobody"), (3, None, "x"), (4, "x", "X ")],
+                                "request_id long, drug_a string, drug_b string")
+    scored = SC.score_stored(req, paths).cache()
+    rep = {r.request_id: r for r in SC.score_report(scored).collect()}
+    assert [rep[i].status for i in (1, 2, 3, 4)] == ["ok", "ok", "missing_drug", "same_drug"]
+    assert rep[1].top_event == "Bleeding" and rep[1].evidence_count > 0 and rep[1].advice is not None
+    assert rep[2].graph_label.startswith("Not") or rep[2].graph_score == 0.0
+    assert rep[2].evidence_count == 0 and rep[2].models_agree is False
+    assert rep[3].composite is None and rep[3].advice is None
+    assert sum(r.n for r in SC.score_agreement(SC.score_report(scored)).collect()) == 2
+    upper = {r.request_id: r.status for r in SC.score_stored(req, paths, mode="upper_trim").collect()}
+    assert upper == {1: "ok", 2: "ok", 3: "missing_drug", 4: "same_drug"}
     imp = L.feature_importances(L.load_model(paths["models/tree"]))
     assert imp.count() == 11
     assert T.example_pairs(spark).count() == 6

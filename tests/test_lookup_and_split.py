@@ -37,3 +37,17 @@ def test_hash_split_is_undirected_and_stable(spark):
     n_train, n_test = train.count(), test.count()
     assert n_train + n_test == 2000 and 0.75 < n_train / 2000 < 0.85
     assert train.join(test, ["drug_a", "drug_b"]).count() == 0
+
+
+def test_lookup_prunes_before_it_summarises(spark):
+    sig = S.signals(C.count_pair_events(make_reports(spark)), min_support=1)
+    from cosignal.session import cut_lineage
+    stored = cut_lineage(sig)
+    req = spark.createDataFrame([(1, "warfarin", "aspirin")], "request_id long, drug_a string, drug_b string")
+    plan = RP.pair_reports(req, stored)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    semi = [i for i, x in enumerate(lines) if "Join LeftSemi" in x]
+    above = [i for i, x in enumerate(lines) if "Aggregate [drug_a" in x and "unique_events" in x]
+    ranked = [i for i, x in enumerate(lines) if "Window" in x]
+    assert semi and above and ranked
+    assert min(above) < semi[0] and min(ranked) < semi[-1]
