@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -106,6 +107,7 @@ PLAIN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 MARKS = frozenset(".,;:!?")
+ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # the same on printable ASCII
 CLOSE = "\x01"      # stands for the end of a word in the merge ranks
 
 
@@ -144,9 +146,9 @@ class Words:
     """Ids of whole texts by a tokenizer that drops blanks and never joins words across
     them: every distinct word is encoded once, then texts are put together by word number.
 
-    Where the vocabulary file has the plain text handling above, the letters of a word and
-    a closing mark go, many at a time, through the same merges held as ranks; any other
-    word is encoded by the library's full pipeline. Both give the ids of
+    Where the vocabulary file has the plain text handling above, printable ASCII words, and
+    words of letters alone or before one mark, are split and go, many at a time, through the
+    same merges held as ranks; any other word is encoded by the library's full pipeline. Both give the ids of
     ``Tokenizer.encode`` (tests compare them).
     """
 
@@ -188,6 +190,10 @@ class Words:
             elif w[-1] in MARKS and w[:-1].isalpha():
                 pieces += w[:-1], w[-1]
                 counts[i] = 2
+            elif w.isascii() and w.isprintable():
+                parts = ASCII_SPLIT.findall(w)
+                pieces += parts
+                counts[i] = len(parts)
         sizes = np.zeros(len(new), np.int64)
         plain = counts > 0
         ids = np.empty(0, np.uint32)

@@ -66,7 +66,8 @@ def test_awkward_rows(spark):
 
 
 TRICKY = ["a b　c\x0bd\x1ce\x85f don't I'LL x", "<|endoftext|> hi <|startoftext|> x</w>", "é ́x İstanbul ﬁ 12,5 a\u0085b c\u00a0d",
-          "한글 日本語テキスト ΟΔΟΣ Σ", "", "   ", "Cafe\u0301 CAFÉ K \u212a \u2126hm", "a.b. c.. d!? .e \x01 x\x01y", "🙂🙃 ok:"]
+          "한글 日本語テキスト ΟΔΟΣ Σ", "", "   ", "Cafe\u0301 CAFÉ K \u212a \u2126hm", "a.b. c.. d!? .e \x01 x\x01y", "🙂🙃 ok:",
+          "it's 'Tis we're I'd x'sy 3.14,15 a-b_c/d <s></w> #@!a1b2 ...''' don't've <|im_end|>"]
 
 
 def test_words_give_the_library_ids():
@@ -95,3 +96,13 @@ def test_differencing_balances():
     # Two-way differencing by hand: 8 7 6 5 4 -> difference 2 (16 and 14).
     load = np.bincount(P.differencing(np.array([8, 7, 6, 5, 4]), 2), [8, 7, 6, 5, 4])
     assert abs(load[0] - load[1]) == 2
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.characters(min_codepoint=32, max_codepoint=126), max_size=60))
+def test_any_ascii_gives_the_library_ids(text):
+    assert next(WORDS([text.encode()])).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+WORDS, LIBRARY = P.Words(open(tokenizer_path(), encoding="utf-8").read()), tokenizer()
+LIBRARY.encode_special_tokens = True
