@@ -38,7 +38,7 @@ BITS = 64
 SHINGLE = 4
 TAU = 4
 SEED = 42
-SAMPLE = 4096           # fingerprints the plan is estimated from, at most
+SAMPLE = 2048           # fingerprints the plan is estimated from, at most
 PARTS = 3               # parts of the bits; fixed, so probes grow in step with the rows
 MAX_PROBES = 400        # values one fingerprint may probe in one part
 BUCKET_ROWS = 4096      # larger buckets are cut into blocks
@@ -100,7 +100,7 @@ def group_bits(bits: np.ndarray, m: int) -> list[list[int]]:
     centred = bits - bits.mean(axis=0)
     scale = np.sqrt((centred ** 2).sum(axis=0))
     scale[scale == 0] = 1.0
-    corr = np.abs((centred / scale).T @ (centred / scale))
+    corr = np.abs((centred / scale).T @ (centred / scale)).astype(np.float64)
     np.fill_diagonal(corr, 0)
     free, parts = set(range(BITS)), []
     for i in range(m):
@@ -134,14 +134,14 @@ def make_plan(sample: np.ndarray, total: int, tau: int = TAU, m: int = PARTS) ->
     """The cheapest plan for ``total`` distinct fingerprints, judged on ``sample``
     (distinct int64 fingerprints, at most ``SAMPLE``)."""
     raw = sample.astype("<i8").view(np.uint8).reshape(-1, 8)
-    bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.float64)
+    bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.float32)
     n = len(sample)
     parts = group_bits(bits, m) if n > 1 else [list(range(i, BITS, m)) for i in range(m)]
     costs = []
     for part in parts:
         x = bits[:, part]
         ones = x.sum(axis=1)
-        apart = (ones[:, None] + ones[None, :] - 2 * (x @ x.T)).round().astype(np.int64)
+        apart = (ones[:, None] + ones[None, :] - 2 * (x @ x.T)).round().astype(np.int8)
         seen = np.bincount(apart[np.triu_indices(n, 1)], minlength=tau + 1)
         row, probes = [0.0], 0
         for t in range(tau + 1):
