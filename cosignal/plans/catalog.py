@@ -333,9 +333,8 @@ def model_metrics(spark, sf_dir):
             .unionByName(L.evaluate(edge, etest, EVAL_THRESHOLD, "edge_regressor")))
 
 
-def _scored(spark, sf_dir):
-    """Requests scored from stored artefacts: the build's tables and models are written to
-    scratch, then loaded by the scorer."""
+def store_artefacts(spark, sf_dir) -> dict[str, str]:
+    """What the scorer loads (tables and fitted models), written to scratch; returns the paths."""
     paths = artefacts(_scratch(spark, "artefacts"))
     S.write_signals(build_signals(spark, sf_dir), paths["signals_by_pair"], layout="pair")
     sig = spark.read.parquet(paths["signals_by_pair"])
@@ -346,7 +345,12 @@ def _scored(spark, sf_dir):
     T.write_embeddings(L.node_embeddings(nodes, edges), paths["embeddings"])
     L.save_model(L.fit_tree_model(f)[0], paths["models/tree"])
     L.save_model(L.fit_edge_model(f, spark.read.parquet(paths["embeddings"]))[0], paths["models/edge"])
-    return SC.score_stored(pair_requests(spark, sf_dir), paths)
+    return paths
+
+
+def _scored(spark, sf_dir):
+    """Requests scored from stored artefacts."""
+    return SC.score_stored(pair_requests(spark, sf_dir), store_artefacts(spark, sf_dir))
 
 
 def score_pairs(spark, sf_dir):
