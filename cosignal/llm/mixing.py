@@ -55,8 +55,7 @@ def fit_alpha(sources: DataFrame, target_entropy: float = TARGET_ENTROPY,
               max_passes: float = MAX_PASSES) -> float:
     """Alpha for the table ``sources`` (source, tokens > 0), rounded to 6 digits upwards so
     that the repetition limit holds. 1.0 for fewer than two sources."""
-    n, total, low, high = sources.agg(F.count(F.lit(1)), F.sum("tokens"), F.min("tokens"),
-                                      F.max("tokens")).first()
+    n, total = sources.agg(F.count(F.lit(1)), F.sum("tokens")).first()
     if n < 2:
         return 1.0
     share = F.col("tokens") / F.lit(total)
@@ -71,9 +70,9 @@ def fit_alpha(sources: DataFrame, target_entropy: float = TARGET_ENTROPY,
         # Passes are tokens^(alpha - 1) up to a factor, so the rarest source has the most.
         return F.pow(F.max("tokens") / F.min("tokens"), F.lit(1 - alpha)) > max_passes
 
-    by_entropy = bisect(sources, entropy_reached, 0.0, 1.0)
-    by_passes = bisect(sources, too_often, 0.0, 1.0) if (high / low) > max_passes else 0.0
-    return min(1.0, math.ceil(max(by_entropy, by_passes) * 1e6) / 1e6)
+    # Both hold up to some alpha and not beyond, so the larger of the two is where neither does.
+    found = bisect(sources, lambda alpha: entropy_reached(alpha) | too_often(alpha), 0.0, 1.0)
+    return min(1.0, math.ceil(found * 1e6) / 1e6)
 
 
 def plan_sources(tokens: DataFrame, target_entropy: float = TARGET_ENTROPY,
