@@ -6,7 +6,8 @@ its characters are kept up to date by adding the one that enters and removing th
 leaves. With f(n) = n log2 n the window's Shannon entropy is log2 W - (sum of f(count)) / W,
 so only the sum has to follow two counts per step. f is held in integers (units of 2^-32
 bit), so nothing drifts. Windows at or above the class's threshold are united into spans,
-unless the candidate is on the allow-list or a known format already covers the span.
+unless the whole candidate is on the allow-list, the window touches a placeholder or holds
+a ruler, or a known format already covers the span.
 
 DataFrame and SQL functions only; a row never leaves its task.
 """
@@ -43,11 +44,16 @@ CLASSES = (
     CharClass("entropy_hex", "0-9A-Fa-f", 20, 3.0),
     CharClass("entropy_base64", "A-Za-z0-9+/_=-", 24, 3.9),
 )
-#: Candidates that are no secrets: plain words, joined words, numbers, UUIDs, rulers,
-#: alphabets and documented placeholders.
-ALLOW = (r"\A[A-Za-z]+\z", r"\A[A-Za-z]+(?:[-_/=+][A-Za-z]+)*[-_/=+]*\z", r"\A[0-9]+\z", r"(.)\1{7}",
-         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-         r"(?i)example|placeholder|changeme|xxxx|0123456789abcdef|abcdefghijklmnop")
+#: Whole candidates that are no secrets: plain words, joined words, numbers.
+ALLOW = (r"\A[A-Za-z]+\z", r"\A[A-Za-z]+(?:[-_/=+][A-Za-z]+)*[-_/=+]*\z", r"\A[0-9]+\z")
+#: UUIDs, documented placeholders and alphabets inside a candidate: windows that touch one
+#: do not count, what stands beside it does.
+PLACEHOLDER = (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+               r"|(?i:example|placeholder|changeme|x{4,}|0123456789abcdef(?:ghijklmnop)?|abcdefghijklmnop)")
+#: Windows that hold a ruler do not count. A part of one adds no entropy, so windows that
+#: only touch it are left to their entropy.
+RULER_CHARS = 8
+RULER = rf"(.)\1{{{RULER_CHARS - 1}}}"
 LOW, HIGH = ord("+"), ord("z")     # all class characters lie in this ASCII range
 SCALE = 2 ** 32
 
@@ -81,16 +87,31 @@ def matches(text: str, pattern: str, group: int = 0) -> str:
       acc -> acc.out)"""
 
 
-def hot_spans(candidate: str, c: CharClass) -> str:
-    """SQL for the united hot windows of the string ``candidate``: array of (start, stop)."""
+def pieces(candidate: str, window: int) -> str:
+    """SQL for the parts of the string ``candidate`` between placeholders that hold a window
+    at least: array of (start, chars), ``chars`` an array of one-character strings."""
+    return f"""transform(filter(transform(
+        array({matches(candidate, PLACEHOLDER)}),
+        found -> zip_with(concat(array(0), transform(found, p -> p.stop)),
+                          concat(transform(found, p -> p.start), array(length({candidate}))),
+                          (a, b) -> named_struct('start', a, 'stop', b)))[0], p -> p.stop - p.start >= {window}),
+      p -> named_struct('start', p.start, 'chars', split(substr({candidate}, p.start + 1, p.stop - p.start), '')))"""
+
+
+def hot_spans(chars: str, c: CharClass) -> str:
+    """SQL for the united hot windows of ``chars``, an array of one-character strings: array
+    of (start, stop)."""
     w, table = c.window, "array(" + ",".join(f"{v}L" for v in _steps(c.window)) + ")"
     # Slot 0 takes the characters that leave before the window is full.
     slot = lambda ch: f"(ascii({ch}) - {LOW - 1})"
+    ruled = ""
+    if w >= RULER_CHARS and _steps(w)[RULER_CHARS] <= limit(w, c.bits):    # else such windows are never hot
+        ruled = f" and not rlike(array_join(slice({chars}, x.i - {w - 1}, {w}), ''), {_literal(RULER)})"
     push = "if(acc.stop > 0, concat(acc.out, array(named_struct('start', acc.start, 'stop', acc.stop))), acc.out)"
     return f"""aggregate(
-      transform(split({candidate}, ''), (ch, i) -> named_struct(
+      transform({chars}, (ch, i) -> named_struct(
         'i', i + 1, 'into', {slot('ch')},
-        'gone', if(i >= {w}, {slot(f"get(split({candidate}, ''), i - {w})")}, 0))),
+        'gone', if(i >= {w}, {slot(f"get({chars}, i - {w})")}, 0))),
       named_struct('n', array_repeat(0, {HIGH - LOW + 2}), 'sum', 0L, 'start', 0, 'stop', 0,
                    'out', cast(array() as array<struct<start:int,stop:int>>)),
       (was, x) -> element_at(transform(array(named_struct(
@@ -100,7 +121,7 @@ def hot_spans(candidate: str, c: CharClass) -> str:
             + {table}[was.n[x.into] - if(x.gone = x.into, 1, 0) + 1]
             - {table}[was.n[x.into] - if(x.gone = x.into, 1, 0)],
           'start', was.start, 'stop', was.stop, 'out', was.out)),
-        acc -> if(x.i >= {w} and acc.sum <= {limit(w, c.bits)}L,
+        acc -> if(x.i >= {w} and acc.sum <= {limit(w, c.bits)}L{ruled},
           if(acc.stop > 0 and x.i - {w} <= acc.stop,
             named_struct('n', acc.n, 'sum', acc.sum, 'start', acc.start, 'stop', x.i, 'out', acc.out),
             named_struct('n', acc.n, 'sum', acc.sum, 'start', x.i - {w}, 'stop', x.i, 'out', {push})),
@@ -132,8 +153,9 @@ def scan(docs: DataFrame, carry: list[str] = ("doc_id",), text: str = "text") ->
         allowed = " or ".join(f"rlike({candidate}, {_literal(p)})" for p in ALLOW)
         found = F.expr(f"""flatten(transform(
           filter({matches('_t', run)}, m -> not ({allowed})),
-          m -> transform({hot_spans(candidate, c)}, s -> named_struct(
-            'start', m.start + s.start, 'kind_no', {no}, 'kind', '{c.kind}', 'stop', m.start + s.stop))))""")
+          m -> flatten(transform({pieces(candidate, c.window)}, p -> transform({hot_spans('p.chars', c)}, s -> named_struct(
+            'start', m.start + p.start + s.start, 'kind_no', {no}, 'kind', '{c.kind}',
+            'stop', m.start + p.start + s.stop))))))""")
         given = given.withColumn(f"_{c.kind}", F.when(F.col("_t").rlike(run), found).otherwise(empty))
     more = F.filter(F.concat(*[F.col(f"_{c.kind}") for c in CLASSES]), lambda s: ~F.exists(
         "_base", lambda b: (b["start"] <= s["start"]) & (b["stop"] >= s["stop"])))

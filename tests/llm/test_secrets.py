@@ -66,3 +66,49 @@ def test_query_whole_table(spark):
         want = brute(texts[r.doc_id])
         assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w[1] == i for w in want) for i in range(3))
+
+
+def beside_placeholders(text):
+    """Hot windows of base64 and hex candidates, but those that touch a placeholder or hold
+    a ruler: every window on its own, then united."""
+    out = []
+    for no, c in enumerate(S.CLASSES, 3):
+        for m in re.finditer(f"[{c.chars}]{{{c.window},}}", text):
+            x, spans = m[0], []
+            if any(re.search(p.replace(r"\z", r"\Z"), x) for p in S.ALLOW):
+                continue
+            taken = {i for p in re.finditer(S.PLACEHOLDER, x) for i in range(*p.span())}
+            for i in range(len(x) - c.window + 1):
+                w = x[i:i + c.window]
+                total = sum(round(w.count(k) * math.log2(w.count(k)) * S.SCALE) for k in set(w))
+                if (total > S.limit(c.window, c.bits) or taken & set(range(i, i + c.window))
+                        or re.search(r"(.)\1{7}", w)):
+                    continue
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + c.window
+                else:
+                    spans.append([i, i + c.window])
+            out += [(m.start() + a, no, c.kind, m.start() + b) for a, b in spans]
+    return sorted(out)
+
+
+RANDOM = "a8Fk29dLx0PqRs7TuVwXyZ12bC"
+UUID = "550e8400-e29b-41d4-a716-446655440000"
+
+
+def test_allowed_parts_do_not_hide_what_stands_beside_them(spark):
+    hidden = [f"io/example/{RANDOM}", f"demo========{RANDOM}", f"{UUID}/{RANDOM}", f"{RANDOM}-changeme-{RANDOM}",
+              f"é {RANDOM}AAAAAAAA{RANDOM} {RANDOM}xxxxxx{RANDOM}", "00000000C9F8A7B6c5D4eE3F1a2B",
+              "kJ8s9dF7gH2jK3l4Z5x6C7v8B9n0M1qW2eR3" * 40 + "EXAMPLE" + "kJ8s9dF7gH2jK3l4Z5x6C7v8B9n0M1qW2eR3" * 40]
+    # No window of 24 characters stands free of a placeholder.
+    none = [f"id={UUID}", "0123456789ABCDEF" * 3, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+            "0123456789abcdefghijklmnopqrstuvwxyz", f"example-{RANDOM[:10]}-example-{RANDOM[:10]}", "0" * 8 + "9F8A7B6C5D4E"]
+    texts = hidden + none
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans if s.kind_no > 2]
+           for r in S.scan(df, ["doc_id"]).select("doc.*", "spans").collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == beside_placeholders(text), text[:60]
+    assert all(got[i] for i in range(len(hidden))) and not any(got[i] for i in range(len(hidden), len(texts)))
+    a, b = texts[0].index(RANDOM), texts[0].index(RANDOM) + len(RANDOM)
+    assert any(s[0] <= a + 1 and s[3] >= b for s in got[0])
