@@ -8,7 +8,8 @@
 3. A query visits leaves best-bin-first: a priority queue holds the nodes seen so far by
    the inner product of query and centre, and the best is opened next. How many leaves to
    visit is widened until the recall measured on calibration queries, whose exact
-   neighbours come from a pass over all vectors in blocks, reaches the target.
+   neighbours come from a pass over all vectors in blocks, reaches the target. A query whose
+   leaves hold fewer than k vectors besides its own goes on to further leaves.
 4. Queries meet the shards that hold their leaves; a task holds one shard and streams its
    queries, and each (query, shard) gives its own best k, which are merged at the end.
 
@@ -65,14 +66,17 @@ class Tree:
                 far = (c ** 2).sum(axis=1) - 2 * x[rows] @ c.T
                 node[rows] = self.first[parent] + far.argmin(axis=1)
 
-    def visit(self, q: np.ndarray, leaves: int) -> list[int]:
-        """The first ``leaves`` leaves that best-bin-first traversal reaches for ``q``."""
+    def visit(self, q: np.ndarray, leaves: int, size: np.ndarray | None = None,
+              least: int = 0) -> list[int]:
+        """The first ``leaves`` leaves that best-bin-first traversal reaches for ``q``, and
+        more until they hold ``least`` vectors, ``size`` being the vectors of each leaf."""
         worth = -(self.centres @ q)
-        queue, found = [(worth[0], 0)], []
-        while queue and len(found) < leaves:
+        queue, found, held = [(worth[0], 0)], [], 0
+        while queue and (len(found) < leaves or held < least):
             _, node = heapq.heappop(queue)
             if self.first[node] < 0:
                 found.append(int(self.leaf[node]))
+                held += 0 if size is None else int(size[self.leaf[node]])
             else:
                 for child in range(self.first[node], self.last[node]):
                     heapq.heappush(queue, (worth[child], child))
@@ -227,7 +231,7 @@ def search(table: DataFrame, queries_of, k: int = K, target: float = TARGET,
 
     is_query = queries_of(F.col("id"))
     cal_ids, cal = chosen(rows.filter(is_query), CALIBRATION)
-    visits = calibrate(index, tree, cal_ids, cal, k, target)
+    visits = calibrate(index, tree, size, cal_ids, cal, k, target)
 
     def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tree(*shared.value)
@@ -235,7 +239,7 @@ def search(table: DataFrame, queries_of, k: int = K, target: float = TARGET,
             out_row, out_shard, out_leaves = [], [], []
             for i, q in enumerate(_matrix(b.column("v")) if b.num_rows else ()):
                 wanted: dict[int, list[int]] = {}
-                for leaf in t.visit(q, visits):
+                for leaf in t.visit(q, visits, size, k + 1):     # the query itself may be among them
                     for part in range(parts[leaf]):
                         wanted.setdefault(int(first_shard[leaf]) + part, []).append(leaf)
                 for s, leaves in wanted.items():
@@ -350,16 +354,21 @@ def exact(table: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> DataFra
     return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
 
-def calibrate(index: DataFrame, tree: Tree, q_ids: np.ndarray, q: np.ndarray, k: int,
-              target: float) -> int:
-    """Leaves to visit: widened by a tenth at a time until the calibration queries find the
-    ``target`` share of their exact neighbours; all leaves if nothing less does."""
+def calibrate(index: DataFrame, tree: Tree, size: np.ndarray, q_ids: np.ndarray, q: np.ndarray,
+              k: int, target: float) -> int:
+    """Leaves to visit at least: widened by a tenth at a time until the calibration queries,
+    which go on as in ``search`` until their leaves hold k + 1 vectors, find the ``target``
+    share of their exact neighbours; all leaves if nothing less does."""
     if not len(q_ids):
         return tree.leaves
-    order = {int(i): {leaf: n for n, leaf in enumerate(tree.visit(v, tree.leaves))}
-             for i, v in zip(q_ids, q)}
-    need = np.array([order[r.query_id][r.leaf] for r in exact(index, q_ids, q, k).collect()])
+    order, least = {}, {}
+    for i, v in zip(q_ids, q):
+        order[int(i)] = {leaf: n for n, leaf in enumerate(tree.visit(v, tree.leaves))}
+        least[int(i)] = len(tree.visit(v, 0, size, k + 1))
+    found = exact(index, q_ids, q, k).collect()
+    need = np.array([order[r.query_id][r.leaf] for r in found])
+    anyway = np.array([least[r.query_id] for r in found])
     visits = 1
-    while visits < tree.leaves and len(need) and (need < visits).mean() < target:
+    while visits < tree.leaves and len(need) and (need < np.maximum(visits, anyway)).mean() < target:
         visits = max(visits + 1, visits * 11 // 10)
     return min(visits, tree.leaves)

@@ -77,3 +77,33 @@ def test_traversal_is_complete():
     assert sorted(order) == list(range(tree.leaves))
     x = rng.normal(size=(50, 4))
     assert ((0 <= tree.assign(x)) & (tree.assign(x) < tree.leaves)).all()
+
+
+def test_queries_in_tiny_leaves_find_k(spark, monkeypatch):
+    """Copies of one vector fill the calibration, so one leaf is enough for them; queries
+    that land in tiny leaves still get k rows."""
+    monkeypatch.setattr(A, "LEAF_SAMPLE", 8)
+    monkeypatch.setattr(A, "LEAF_ROWS", 8)
+    rng = np.random.default_rng(4)
+    outliers = rng.normal(size=(600, 8))
+    outliers[:, 0] = -1
+    x = np.vstack([np.tile([10.0, *[0.0] * 7], (1200, 1)), outliers])
+    visits = []
+    calibrate = A.calibrate
+    monkeypatch.setattr(A, "calibrate", lambda *a: visits.append(calibrate(*a)) or visits[-1])
+    df = spark.createDataFrame([(i, v.tolist(), "x", "y") for i, v in enumerate(x)], SCHEMA)
+    got = A.search(df, lambda i: (i < 300) | (i >= 1792)).groupBy("query_id").count().collect()
+    assert visits == [1]
+    assert {r.query_id: r["count"] for r in got} == {i: A.K for i in [*range(300), *range(1792, 1800)]}
+
+
+def test_traversal_goes_on_until_the_leaves_hold_enough():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 4))
+    tree = A.fit(x, 20, 4)
+    size = np.bincount(tree.assign(x), minlength=tree.leaves)
+    for q in rng.normal(size=(20, 4)):
+        some = tree.visit(q, 1, size, 60)
+        assert size[some].sum() >= 60 > size[some[:-1]].sum()
+        assert some == tree.visit(q, len(some))
+    assert len(tree.visit(q, 3, size, 0)) == 3 and len(tree.visit(q, 1, size, 10**6)) == tree.leaves
