@@ -358,11 +358,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU,
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, tau: int = TAU) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the one with the smallest
-    doc_id (one of its rows, if rows share it). A row without a doc_id stays only where its
-    whole component has none, one for each such component. Same columns as ``docs``."""
+    doc_id, then the smallest fingerprint, then the smallest row as JSON. A row without a
+    doc_id stays only where its whole component has none, one for each such component. Same
+    columns as ``docs``."""
     found = stage(near_duplicates(docs, shingle, tau), "near-duplicates")
-    ids = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(ids, docs.doc_id == ids._id, "left_semi").dropDuplicates(["doc_id"])
+    ids = (found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
+           .agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(F.expr("doc_id = component_id"), F.lit(False))).alias("least"))
+           .filter("least"))
+    own, shared = ids.filter("n = 1"), ids.filter("n > 1")
+    kept = docs.join(own, docs.doc_id == own._id, "left_semi")
+    if not shared.isEmpty():
+        # Rows that share a doc_id may lie in several components: told apart by fingerprint.
+        first = (found.filter("doc_id = component_id").groupBy("root")
+                 .agg(F.min(F.struct("doc_id", "fp")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.fp").alias("_fp")))
+        rows = (fingerprints(docs.join(shared, docs.doc_id == shared._id, "left_semi"), shingle, docs.columns)
+                .groupBy(F.col("doc.doc_id").alias("_doc_id"), "fp").agg(F.min_by("doc", F.to_json("doc")).alias("doc")))
+        kept = kept.unionByName(rows.join(first, (rows._doc_id == first._id) & (rows.fp == first._fp)).select("doc.*"))
     nameless = found.filter("component_id IS NULL").select(F.col("fp").alias("_fp"), "root").distinct()
     if nameless.isEmpty():
         return kept

@@ -105,3 +105,19 @@ def test_any_plan_is_exact(spark):
         want = want or got
         assert got == want
     assert df.filter(F.col("fp") == 0).count() == 1
+
+
+def test_rows_that_share_an_id(spark):
+    """Every component keeps one row, whatever the order of the rows."""
+    a, b, c, d = ("alpha beta gamma delta epsilon", "one two three four five six seven eight",
+                  "red orange yellow green blue indigo violet", "Red Orange yellow green blue indigo violet")
+    rows = [(7, a), (7, b), (3, c), (7, c), (8, "north east south west"), (8, "north east south west"), (9, d), (11, b)]
+    comp = brute_components([brute_fp(t) for _, t in rows])
+    assert len(set(comp)) == 4
+    for some in (rows, rows[::-1], rows * 2):
+        kept = S.keep_first(spark.createDataFrame(some, "doc_id long, text string").repartition(3)).collect()
+        assert sorted(map(tuple, kept)) == sorted([(7, a), (7, b), (3, c), (8, "north east south west")])
+    # Equal fingerprints, different texts: always the same row.
+    same = [(9, c), (9, d)]
+    for some in (same, same[::-1]):
+        assert [tuple(r) for r in S.keep_first(spark.createDataFrame(some, "doc_id long, text string")).collect()] == [(9, d)]
