@@ -149,7 +149,8 @@ class Words:
     Where the vocabulary file has the plain text handling above, printable ASCII words, and
     words of letters alone or before one mark, are split and go, many at a time, through the
     same merges held as ranks; any other word is encoded by the library's full pipeline. Both give the ids of
-    ``Tokenizer.encode`` (tests compare them).
+    ``Tokenizer.encode`` (tests compare them). Calling it takes control strings as plain text;
+    ``whole_texts`` gives them their own ids, as the library does by default.
     """
 
     def __init__(self, spec: str):
@@ -157,6 +158,7 @@ class Words:
         rules = json.loads(spec)
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
+        self.added = [t["content"].encode() for t in rules.get("added_tokens", [])]
         self.ranks = None
         if has_plain_words(rules):
             import tiktoken
@@ -234,6 +236,17 @@ class Words:
                 total = int(ends[-1]) if len(ends) else 0
                 yield self.flat[np.repeat(self.start[n] - (ends - size), size) + np.arange(total)]
 
+    def whole_texts(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """The ids (uint32) of each text by the library's defaults: a text that holds an
+        added token is encoded as it stands, where the token is a single id."""
+        held = [t is not None and any(a in t for a in self.added) for t in texts]
+        for text, whole, ids in zip(texts, held, self([None if h else t for t, h in zip(texts, held)])):
+            if whole:
+                self.tokenizer.encode_special_tokens = False
+                ids = np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+                self.tokenizer.encode_special_tokens = True
+            yield ids
+
 
 def pack(docs: DataFrame, tokenizer_path: str, carry: list[str] = ("doc_id",), text: str = "text",
          capacity: int = CAPACITY, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:
@@ -289,7 +302,7 @@ def pack(docs: DataFrame, tokenizer_path: str, carry: list[str] = ("doc_id",), t
         for batch in batches:
             full, at = [], []
             docs_held.append(batch.column("doc"))
-            for row, ids in enumerate(ids_of(batch.column("_text").to_pylist())):
+            for row, ids in enumerate(ids_of.whole_texts(batch.column("_text").to_pylist())):
                 total = len(ids) + 1
                 for start in range(0, total, capacity):
                     part = ids[start:start + capacity]

@@ -106,3 +106,14 @@ def test_any_ascii_gives_the_library_ids(text):
 
 WORDS, LIBRARY = P.Words(open(tokenizer_path(), encoding="utf-8").read()), tokenizer()
 LIBRARY.encode_special_tokens = True
+
+
+def test_control_strings_are_single_ids(spark):
+    """The ids of a plain encode(text, add_special_tokens=False), beside ordinary texts."""
+    texts = [*TRICKY, "<|endoftext|>", "a<|endoftext|>b  <|startoftext|> c", "<|ENDOFTEXT|> x <|endoftext|", None,
+             "Word " * 5000 + "<|endoftext|>" + " don't" * 3000]
+    t = tokenizer()
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, P.END_ID] for i, x in enumerate(texts)}
+    assert 49407 in want[1] and 49406 in want[1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    check([(r.doc.doc_id, r) for r in P.pack(docs, str(tokenizer_path())).collect()], want)
