@@ -3,12 +3,14 @@ parameters, to its whole table and derives the reported columns from the real ou
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cosignal.llm import (ann_tree, chat, langid, line_dedup, mixing, packing, quality, secrets,
-                          simhash, url_rules)
+from cosignal.llm import (ann_tree, chat, fill_middle, langid, line_dedup, main_text, mixing, packing,
+                          quality, secrets, simhash, url_rules, word_runs)
 from cosignal.llm.common import read
 
 
@@ -117,6 +119,37 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        hex_sha256(F.col("text")).alias("kept_sha256"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(read(spark, sf_dir, "documents"), ["doc_id"])
+    kept = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"]
+    back = fill_middle.restore(made.select("doc.doc_id", *kept[1:], "output"), kept, keep_text=False)
+    return back.select(*kept, "restored_sha256")
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = main_text.extract_pages(read(spark, sf_dir, "pages"), ["page_id", "url"])
+    return made.select("doc.page_id", "doc.url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
+
+
+def planted_period(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """The words of a document, periodic from some word on in about a tenth of them (a null id
+    hashes as the empty string)."""
+    h, n = zlib.crc32(b"" if doc_id is None else b"%d" % doc_id), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    whole, rest = divmod(n - a, p)
+    return words[:a] + words[a:a + p] * whole + words[a:a + rest]
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = word_runs.detect(read(spark, sf_dir, "documents"), ["doc_id"], edit=planted_period, keep_text=False)
+    return made.select("doc.doc_id", *[c for c in word_runs.COLUMNS if c != "n_words"])
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_chat_format, op3_mix_sources, op4_language_id, op5_ann_tree, op6_simhash,
-    op7_pack, op8_url_rules, op9_quality, op10_line_dedup)}
+    op7_pack, op8_url_rules, op9_quality, op10_line_dedup, op11_fill_middle, op12_main_text,
+    op13_word_runs)}
