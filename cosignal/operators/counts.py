@@ -1,11 +1,14 @@
 """Contingency counters: pair-event, pair, event and grand totals.
 
 All counts are over pair-event rows (pair x reaction row x demographic row of a report),
-not over reports. Two plans give the same numbers:
-
-* ``count_pair_events`` (one scan): aggregate the pair explosion once, keeping the
-  null-event group, then derive pair totals, event totals and N from that table.
-* ``count_factored``: event totals and N need no pair explosion at all,
+not over reports. Three plans give the same numbers:
+
+* ``count_pair_events``: names become ids, reports become stored cells (``cells``), and every
+  counter is one pass over the cells: the triples are shuffled as three integers; pair
+  totals meet one weight per cell, event totals and N the number of pairs.
+* ``count_frequent``: the same, with a count-min sketch that drops triples under the support
+  before their shuffle (``iceberg``).
+* ``count_factored``: straight from the report tables, names as keys:
   ``event_total(e) = sum_p C(k_p, 2) * r_p(e) * m_p`` and ``N = sum_p C(k_p, 2) * r_p * m_p``;
   pair totals join the pairs with one weight per report.
 """
@@ -17,9 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cosignal.operators import cells as CE
+from cosignal.operators.dictionary import Dictionary, build_dictionary, decode
+from cosignal.operators.iceberg import SketchSize, frequent
 from cosignal.operators.pairs import (DEFAULT_CELL_DRUGS, DEFAULT_CELL_ROWS, REPORT,
                                       clean_drugs, explode_pairs, multi_drug_reports,
-                                      report_event_weights, weighted_pairs)
+                                      report_event_weights)
 from cosignal.session import cut_lineage
 from cosignal.sources.reports import Reports
 
@@ -28,19 +34,27 @@ PAIR = ["drug_a", "drug_b"]
 
 @dataclass
 class Counts:
-    pair_event: DataFrame   # drug_a, drug_b, event, a  (all groups, null event included)
+    pair_event: DataFrame   # drug_a, drug_b, event, a  (null event included)
     pair: DataFrame         # drug_a, drug_b, pair_total
     event: DataFrame        # event, event_total
     n: Column               # scalar: number of pair-event rows
+    coded: Counts | None = None         # the same counters over the ids of ``names``
+    names: Dictionary | None = None
+
+
+def named(coded: Counts, names: Dictionary) -> Counts:
+    return Counts(*(decode(df, names) for df in (coded.pair_event, coded.pair, coded.event)), coded.n, coded, names)
 
 
-def pair_event_counts(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
-                      by_batch: bool = False, cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
-    """drug_a, drug_b, event, a (optionally per quarter) straight from the reports; the
-    aggregation is partial before its shuffle."""
+def pair_event_counts(rep: Reports, mode: str = "clean", cell_drugs: int = CE.CELL_DRUGS,
+                      by_batch: bool = False, cell_rows: int = CE.CELL_ROWS) -> DataFrame:
+    """drug_a, drug_b, event, a (optionally per quarter) from the reports; the aggregation is
+    over ids and partial before its shuffle, names come back after it."""
+    names = build_dictionary(rep, mode)
+    cells = CE.store_cells(rep, names, cell_drugs, cell_rows)
     keys = (["quarter"] if by_batch else []) + PAIR + ["event"]
-    return (weighted_pairs(rep, mode, cell_drugs, cell_rows)
-            .groupBy(*keys).agg(F.sum("w").cast("bigint").alias("a")))
+    counted = CE.triples(cells, by_batch).groupBy(*keys).agg(F.sum("w").cast("bigint").alias("a"))
+    return decode(counted, names)
 
 
 def totals_from_pair_events(pec: DataFrame) -> Counts:
@@ -51,17 +65,29 @@ def totals_from_pair_events(pec: DataFrame) -> Counts:
     return Counts(pair_event=pec, pair=pair, event=event, n=n)
 
 
-def count_pair_events(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
-                      materialize: bool = True, cell_rows: int = DEFAULT_CELL_ROWS) -> Counts:
-    """One-scan plan: the pair explosion is aggregated once.
+def count_cells(cells: CE.Cells, names: Dictionary, min_support: int | None = None,
+                sketch: SketchSize | None = None) -> Counts:
+    """All counters from stored cells. With ``min_support``, ``pair_event`` holds only
+    the groups that reach it (pruned by a ``sketch`` first, if one is given); the totals are
+    those of all rows either way."""
+    keys, rows = PAIR + ["event"], CE.triples(cells)
+    pec = (rows.groupBy(*keys).agg(F.sum("w").cast("bigint").alias("a")) if min_support is None
+           else frequent(rows, keys, "w", min_support, sketch))
+    return named(Counts(pec, CE.pair_totals(cells), CE.event_totals(cells), CE.grand_total(cells)), names)
+
+
+def count_pair_events(rep: Reports, mode: str = "clean", cell_drugs: int = CE.CELL_DRUGS,
+                      cell_rows: int = CE.CELL_ROWS) -> Counts:
+    """Counters over ids: the reports are scanned and joined once, into stored cells."""
+    names = build_dictionary(rep, mode)
+    return count_cells(CE.store_cells(rep, names, cell_drugs, cell_rows), names)
+
 
-    With ``materialize`` the unfiltered pair-event counts are written once as Parquet in
-    the checkpoint folder (the stage boundary where the original pipeline also stored its
-    counters); pair totals, event totals, N and the signal table then read that table,
-    each only its columns.
-    """
-    pec = pair_event_counts(rep, mode, cell_drugs, cell_rows=cell_rows)
-    return totals_from_pair_events(cut_lineage(pec, "pair-event-counts") if materialize else pec)
+def count_frequent(rep: Reports, min_support: int, sketch: SketchSize | None = SketchSize(),
+                   mode: str = "clean") -> Counts:
+    """As ``count_pair_events``, with only the pair-event groups of ``min_support`` or more."""
+    names = build_dictionary(rep, mode)
+    return count_cells(CE.store_cells(rep, names), names, min_support, sketch)
 
 
 def count_rows(pair_events: DataFrame) -> Counts:

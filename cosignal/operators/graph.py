@@ -22,9 +22,10 @@ def drug_catalog(df: DataFrame, cols=("drug_a", "drug_b")) -> DataFrame:
     return u.distinct().dropna()
 
 
-def dense_index(df: DataFrame, col: str, idx_col: str = "idx",
+def dense_index(df: DataFrame, col: str | list[str], idx_col: str = "idx",
                 partitions: int | None = None) -> DataFrame:
-    """0-based ids in ``col`` order without funnelling all rows through one task.
+    """0-based ids in ``col`` order (one column or several) without funnelling all rows
+    through one task.
 
     Range-partition and sort by ``col``, tag each row with its partition and position,
     count rows per partition (one row per partition, a bounded table), turn the counts
@@ -35,7 +36,11 @@ def dense_index(df: DataFrame, col: str, idx_col: str = "idx",
         # One partition per ROWS_PER_RANGE rows, whatever the session's shuffle setting.
         df = cut_lineage(df, "to-index")
         partitions = -(-df.count() // ROWS_PER_RANGE)
-    tagged = (df.repartitionByRange(max(1, partitions), col).sortWithinPartitions(col)
+    cols = [col] if isinstance(col, str) else col
+    if partitions <= 1:      # one range: the position is the id
+        return cut_lineage(df.coalesce(1).sortWithinPartitions(*cols).withColumn(
+            idx_col, F.monotonically_increasing_id()), "indexed")
+    tagged = (df.repartitionByRange(partitions, *cols).sortWithinPartitions(*cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
     tagged = cut_lineage(tagged, "indexed")
     part = F.shiftright(F.col("_mid"), _POS_BITS)

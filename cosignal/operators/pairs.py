@@ -107,16 +107,6 @@ def explode_pairs(drugs: DataFrame, facts: DataFrame, deal_by: list[str],
     return pairs.join(dealt, CELL).select(*REPORT, "drug_a", "drug_b", *payload)
 
 
-def weighted_pairs(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
-                   cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
-    """quarter, PRIMARYID, drug_a, drug_b, event, w: one row per pair and distinct event of a
-    report; w = reaction rows with the event x demographic rows."""
-    drugs = clean_drugs(rep.drug, mode)
-    weights = event_counts_of_reports(rep).join(demographic_counts(rep), REPORT).select(
-        *REPORT, "event", (F.col("r") * F.col("m")).alias("w"))
-    return explode_pairs(drugs, weights, ["event"], cell_drugs, cell_rows)
-
-
 def pair_events(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
                 cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
     """The pair-event rows: drug_a, drug_b, event, age, gender, quarter.

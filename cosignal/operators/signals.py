@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cosignal.functions.measures import DEFAULT_EPS, prr, risk_score, ror
 from cosignal.operators.counts import PAIR, Counts
+from cosignal.operators.dictionary import decode
 
 SIGNAL_COLS = ["drug_a", "drug_b", "event", "a", "pair_total", "event_total",
                "PRR", "ROR", "risk_score"]
@@ -25,12 +26,16 @@ def signal_order(rank_digits: int | None = None) -> list:
 def signals(counts: Counts, min_support: int = 3, eps: float = DEFAULT_EPS) -> DataFrame:
     """One row per (pair, event) with a >= min_support and a non-null event.
 
-    The support filter runs on the merged counts, before the joins. The event side is
-    small (one row per event term); AQE turns that join into a broadcast only when the
-    measured size is under the broadcast threshold.
+    The support filter runs on the merged counts, before the joins; counters over ids are
+    joined as ids and get their names last. The event side is small (one row per event term);
+    AQE turns that join into a broadcast only when the measured size is under the broadcast
+    threshold.
     """
-    pec = counts.pair_event.filter((F.col("a") >= min_support) & F.col("event").isNotNull())
-    j = pec.join(counts.pair, PAIR).join(counts.event, "event")
+    given = counts.coded or counts
+    pec = given.pair_event.filter((F.col("a") >= min_support) & F.col("event").isNotNull())
+    j = pec.join(given.pair, PAIR).join(given.event, "event")
+    if counts.coded:
+        j = decode(j, counts.names)
     p = prr("a", "pair_total", "event_total", counts.n, eps)
     return (j.withColumn("PRR", p)
             .withColumn("ROR", ror("a", "pair_total", "event_total", counts.n, eps))

@@ -23,6 +23,7 @@ from cosignal.operators import pairs as P
 from cosignal.operators import report as RP
 from cosignal.operators import score as SC
 from cosignal.operators import signals as S
+from cosignal.operators.iceberg import SketchSize
 from cosignal.operators.split import hash_split as _hash_split
 from cosignal.operators.split import split_bucket
 from cosignal.plans.build import artefacts
@@ -526,9 +527,15 @@ def streamed_counters(spark, sf_dir):
     return merged.pair_event.filter(F.col("a") >= MIN_SUPPORT)
 
 
-def signals_auto_strategy(spark, sf_dir):
-    """The signal table with the default work budget per cell."""
-    counts = C.count_pair_events(proxy_reports(spark, sf_dir))
+def signals_pruned(spark, sf_dir):
+    """The signal table with a count-min sketch dropping rare triples before their shuffle."""
+    counts = C.count_frequent(proxy_reports(spark, sf_dir), MIN_SUPPORT)
+    return round_doubles(S.signals(counts, min_support=MIN_SUPPORT))
+
+
+def signals_pruned_small_sketch(spark, sf_dir):
+    """The same with so small a sketch (2^16 buckets) that many rare triples pass it."""
+    counts = C.count_frequent(proxy_reports(spark, sf_dir), MIN_SUPPORT, SketchSize(16, 1))
     return round_doubles(S.signals(counts, min_support=MIN_SUPPORT))
 
 
@@ -548,14 +555,6 @@ def pair_counts_factored(spark, sf_dir):
     return C.pair_totals_factored(proxy_reports(spark, sf_dir))
 
 
-def event_counts_factored(spark, sf_dir):
-    return C.event_totals_factored(proxy_reports(spark, sf_dir))[0]
-
-
-def total_rows_factored(spark, sf_dir):
-    return spark.range(1).select(C.event_totals_factored(proxy_reports(spark, sf_dir))[1].alias("n"))
-
-
 def drug_encoders(spark, sf_dir):
     return round_doubles(FE.drug_encoders(stage_signals(spark, sf_dir)))
 
@@ -619,12 +618,11 @@ QUERIES: dict[str, Query] = {
     "signals_from_text": signals_from_text,
     "signals_from_pair_event_files": signals_from_pair_event_files,
     "streamed_counters": streamed_counters,
-    "signals_auto_strategy": signals_auto_strategy,
+    "signals_pruned": signals_pruned,
+    "signals_pruned_small_sketch": signals_pruned_small_sketch,
     "signals_split_cells": signals_split_cells,
     "pair_events_split_cells": pair_events_split_cells,
     "pair_counts_factored": pair_counts_factored,
-    "event_counts_factored": event_counts_factored,
-    "total_rows_factored": total_rows_factored,
     "drug_encoders": drug_encoders,
     "neighbor_mean_3hop": neighbor_mean_3hop,
     "feature_importances": feature_importances,

@@ -377,12 +377,11 @@ ORACLE.update({
     "signals_from_text": ORACLE["signals"],
     "signals_from_pair_event_files": ORACLE["signals"],
     "streamed_counters": ORACLE["pair_event_counts"],
-    "signals_auto_strategy": ORACLE["signals"],
+    "signals_pruned": ORACLE["signals"],
+    "signals_pruned_small_sketch": ORACLE["signals"],
     "signals_split_cells": ORACLE["signals"],
     "pair_events_split_cells": ORACLE["pair_events"],
     "pair_counts_factored": ORACLE["pair_counts"],
-    "event_counts_factored": ORACLE["event_counts"],
-    "total_rows_factored": ORACLE["total_rows"],
     "drug_encoders": with_learn("SELECT coalesce(f.drug, m.drug) AS drug, f.freq, round(m.mean_risk, 6) AS mean_risk "
                                 "FROM dfreq f FULL OUTER JOIN dmean m ON f.drug = m.drug"),
     "neighbor_mean_3hop": with_learn(

@@ -62,7 +62,9 @@ def test_any_budget_gives_the_same_rows(spark, sf_dir):
 def test_hot_report_is_spread(spark):
     """One report with 40 drugs and 20,000 events: its 15.6 million rows come from many cells,
     none much over the budget, and the sums are exact."""
+    from cosignal.operators import cells as CE
     from cosignal.operators import pairs as P
+    from cosignal.operators.dictionary import build_dictionary
     from cosignal.sources.reports import Reports
     drug = spark.range(40).select(F.lit("q").alias("quarter"), F.lit(1).cast("long").alias("PRIMARYID"),
                                   F.concat(F.lit("D"), F.col("id").cast("string")).alias("DRUGNAME"))
@@ -70,14 +72,18 @@ def test_hot_report_is_spread(spark):
                                       F.concat(F.lit("E"), F.col("id").cast("string")).alias("PT"))
     demo = spark.createDataFrame([("q", 1, 40.0, "F")], "quarter string, PRIMARYID long, AGE double, SEX string")
     rep = Reports(demo=demo, drug=drug, reac=reac)
+    names = build_dictionary(rep)
+    cells = CE.store_cells(rep, names, cell_rows=100_000)
+    bound = 2 * 100_000 // CE.CELL_DRUGS ** 2 * 780          # facts of a slice x pairs of the chunk
+    sizes = [r.rows for r in cells.table.collect()]
+    assert sum(sizes) == 780 * 20_000 and max(sizes) <= bound
+    per_task = [r["count"] for r in CE.triples(cells).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 780 * 20_000 and len(per_task) >= 4
+    assert max(per_task) <= 0.5 * sum(per_task)
+    assert C.pair_event_counts(rep, cell_rows=100_000).count() == 780 * 20_000
     facts = P.event_counts_of_reports(rep)
     plan = P.cell_plan(P.clean_drugs(drug), facts, cell_rows=100_000).first()
     assert plan.g == 1 and plan.s == 160
-    out = P.weighted_pairs(rep, cell_rows=100_000)
-    # The last joins run on the cells' partitioning: rows by task of that stage.
-    per_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
-    assert sum(per_task) == 780 * 20_000 and len(per_task) >= 4
-    assert max(per_task) <= 0.5 * sum(per_task)
 
 
 def test_one_event_very_often(spark):
