@@ -1,6 +1,7 @@
-"""Model jobs on MLlib: the boosted-tree regressor on pair features and the edge
-regressor on propagated node embeddings. Training, prediction and evaluation all run as
-Spark jobs; only the per-iteration error list (one number per tree) reaches the driver.
+"""Model jobs: the regularised boosted trees on pair features (``boosting``) and the edge
+regressor on propagated node embeddings (MLlib). Training, prediction and evaluation all run
+as Spark jobs; the driver sees models, not rows. ``fit_tree_model`` given ``TreeParams`` fits
+MLlib's trees instead; the functions on a fitted model take either kind.
 """
 
 from __future__ import annotations
@@ -14,18 +15,21 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cosignal.operators import boosting as B
 from cosignal.operators import graph as G
 from cosignal.operators.features import FEATURES, TARGET
 from cosignal.operators.metrics import evaluation_report
 from cosignal.operators.split import hash_split
 from cosignal.session import cut_lineage
+from cosignal.sources.tables import path_exists
+
+Model = PipelineModel | B.BoostedModel
 
 
 @dataclass
 class TreeParams:
-    """Boosted-tree settings. MLlib has no L1/L2 leaf penalties; column sampling is per
-    split (``feature_subset``). Defaults are small; the reference's full-size run used
-    800 trees of depth 10 with learning rate 0.03 and 0.85 row/column sampling."""
+    """Settings of MLlib's trees (edge regressor): no L1/L2 leaf penalties, columns drawn per
+    split (``feature_subset``)."""
     max_iter: int = 20
     max_depth: int = 5
     step_size: float = 0.1
@@ -50,21 +54,26 @@ def tree_pipeline(params: TreeParams | None = None, features=FEATURES, label: st
                             _gbt(p, "features", label)])
 
 
-def fit_tree_model(features: DataFrame, params: TreeParams | None = None,
-                   train_pct: int = 80) -> tuple[PipelineModel, DataFrame, DataFrame]:
+def fit_tree_model(features: DataFrame, params: B.BoostParams | TreeParams | None = None,
+                   train_pct: int = 80) -> tuple[Model, DataFrame, DataFrame]:
     """Split by undirected pair, fit on the train part; returns (model, train, test)."""
     train, test = hash_split(features, train_pct)
-    return tree_pipeline(params).fit(train), train, test
+    if isinstance(params, TreeParams):
+        return tree_pipeline(params).fit(train), train, test
+    return B.fit(train, FEATURES, TARGET, ["drug_a", "drug_b"], params or B.BoostParams()), train, test
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Apply a fitted pipeline; drops the assembled vector, keeps ``prediction``."""
-    out = model.transform(df)
-    return out.drop("features", "edge_features", "z_a_vec", "z_b_vec")
+def predict(model: Model, df: DataFrame) -> DataFrame:
+    """``df`` with ``prediction``; a pipeline's assembled vectors are dropped."""
+    if isinstance(model, B.BoostedModel):
+        return B.predict(model, df)
+    return model.transform(df).drop("features", "edge_features", "z_a_vec", "z_b_vec")
 
 
-def per_iteration_errors(model: PipelineModel, test: DataFrame) -> DataFrame:
+def per_iteration_errors(model: Model, test: DataFrame) -> DataFrame:
     """Held-out squared error after each tree (the training log of the reference)."""
+    if isinstance(model, B.BoostedModel):
+        return B.per_tree_errors(model, test, TARGET)
     gbt = [s for s in model.stages if isinstance(s, GBTRegressionModel)][0]
     assembled = test
     for stage in model.stages:
@@ -76,16 +85,18 @@ def per_iteration_errors(model: PipelineModel, test: DataFrame) -> DataFrame:
                                  "iteration int, squared_error double")
 
 
-def feature_importances(model: PipelineModel, names=FEATURES) -> DataFrame:
+def feature_importances(model: Model, names=FEATURES) -> DataFrame:
     """name, importance of each input feature (one number per feature, from the model)."""
+    spark = SparkSession.getActiveSession()
+    if isinstance(model, B.BoostedModel):
+        return B.importances(model, spark)
     gbt = [s for s in model.stages if isinstance(s, GBTRegressionModel)][0]
     imp = gbt.featureImportances.toArray().tolist()
-    spark = SparkSession.getActiveSession()
     return spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)],
                                  "name string, importance double")
 
 
-def evaluate(model: PipelineModel, test: DataFrame, threshold: float = 5.0,
+def evaluate(model: Model, test: DataFrame, threshold: float = 5.0,
              name: str = "model", label: str = TARGET) -> DataFrame:
     """One metrics row for held-out rows (log and original scale, thresholded)."""
     return evaluation_report(predict(model, test), label, "prediction", threshold, name)
@@ -158,9 +169,16 @@ def write_graph_tables(features: DataFrame, base: str) -> tuple[DataFrame, DataF
     return nodes, spark.read.parquet(f"{base}/edges")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Model, path: str) -> None:
+    """Boosted trees as node rows (see ``boosting.BoostedModel``), pipelines in MLlib's format."""
+    if isinstance(model, B.BoostedModel):
+        model.save(SparkSession.getActiveSession(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> Model:
+    spark = SparkSession.getActiveSession()
+    if path_exists(spark, f"{path}/nodes"):
+        return B.BoostedModel.load(spark, path)
     return PipelineModel.load(path)

@@ -8,20 +8,19 @@ the evidence list per pair is bounded by k before it is collected.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cosignal.functions import presentation as X
 from cosignal.operators.features import with_encodings
-from cosignal.operators.learn import load_model, predict, with_edge_vectors
+from cosignal.operators.learn import Model, load_model, predict, with_edge_vectors
 from cosignal.operators.report import model_agreement, rank_events, request_status
 from cosignal.session import cut_lineage
 
 PAIR = ["drug_a", "drug_b"]
 
 
-def tree_scores(pairs: DataFrame, encoders: DataFrame, model: PipelineModel) -> DataFrame:
+def tree_scores(pairs: DataFrame, encoders: DataFrame, model: Model) -> DataFrame:
     """drug_a, drug_b, tree struct<score, label, feature_drivers>; unknown drugs encode to 0."""
     f = with_encodings(pairs.select(*PAIR).distinct(), encoders)
     scored = predict(model, f).withColumn("score", F.expm1("prediction"))
@@ -31,7 +30,7 @@ def tree_scores(pairs: DataFrame, encoders: DataFrame, model: PipelineModel) ->
         .alias("feature_drivers")).alias("tree"))
 
 
-def graph_scores(pairs: DataFrame, emb: DataFrame, model: PipelineModel) -> DataFrame:
+def graph_scores(pairs: DataFrame, emb: DataFrame, model: Model) -> DataFrame:
     """drug_a, drug_b, graph struct<score, label>; pairs with a drug outside the graph
     get score 0 and the not-found label."""
     p = pairs.select(*PAIR).distinct()
@@ -60,8 +59,8 @@ def evidence_lists(pairs: DataFrame, signals: DataFrame, k: int = 10) -> DataFra
         r["PRR"].alias("PRR"), r["risk_score"].alias("risk_score"))).alias("evidence"))
 
 
-def score_pairs(requests: DataFrame, encoders: DataFrame, tree_model: PipelineModel,
-                emb: DataFrame, edge_model: PipelineModel, signals: DataFrame,
+def score_pairs(requests: DataFrame, encoders: DataFrame, tree_model: Model,
+                emb: DataFrame, edge_model: Model, signals: DataFrame,
                 k: int = 10, mode: str = "clean") -> DataFrame:
     """Nested score record per requested pair (raw names in ``drug_a``, ``drug_b``).
 

@@ -22,6 +22,7 @@ from cosignal.operators import features as FE
 from cosignal.operators import learn as L
 from cosignal.operators import pairs as P
 from cosignal.operators import signals as S
+from cosignal.operators.boosting import BoostParams
 from cosignal.session import drop_scratch, get_spark
 from cosignal.sources import tables as T
 from cosignal.sources.reports import (Reports, complete_quarters, discover_quarters,
@@ -37,7 +38,7 @@ def artefacts(out: str) -> dict[str, str]:
 
 
 def build(spark: SparkSession, rep: Reports, out: str, min_support: int = 3,
-          tree_params: L.TreeParams | None = None, hops: int = 3, threshold: float = 5.0,
+          tree_params: BoostParams | L.TreeParams | None = None, edge_params: L.TreeParams | None = None, hops: int = 3, threshold: float = 5.0,
           write_rows: bool = False, quarters: list[str] | None = None) -> dict[str, str]:
     """Write every stage table under ``out``. The pair explosion runs once, for the counters;
     ``write_rows`` also stores the raw pair-event rows (a second, much larger explosion that
@@ -62,7 +63,7 @@ def build(spark: SparkSession, rep: Reports, out: str, min_support: int = 3,
     tree, _, ttest = L.fit_tree_model(features, tree_params)
     L.save_model(tree, paths["models/tree"])
     emb = spark.read.parquet(paths["embeddings"])
-    edge, _, etest = L.fit_edge_model(features, emb, tree_params)
+    edge, _, etest = L.fit_edge_model(features, emb, edge_params)
     L.save_model(edge, paths["models/edge"])
     T.append_metrics(L.evaluate(tree, ttest, threshold, "boosted_trees")
                      .unionByName(L.evaluate(edge, etest, threshold, "edge_regressor")),
@@ -79,10 +80,19 @@ def main() -> None:
     ap.add_argument("--write-rows", action="store_true", help="also store the raw pair-event rows")
     ap.add_argument("--require-complete", action="store_true",
                     help="fail if a quarter misses one of its three report kinds")
-    defaults = L.TreeParams()
-    ap.add_argument("--trees", type=int, default=defaults.max_iter)
-    ap.add_argument("--depth", type=int, default=defaults.max_depth)
-    ap.add_argument("--learning-rate", type=float, default=defaults.step_size)
+    ap.add_argument("--hops", type=int, default=3, help="neighbourhood hops in the embeddings")
+    ap.add_argument("--threshold", type=float, default=5.0, help="risk above which a pair counts as significant")
+    d, e = BoostParams(), L.TreeParams()
+    ap.add_argument("--trees", type=int, default=d.trees)
+    ap.add_argument("--depth", type=int, default=d.depth)
+    ap.add_argument("--learning-rate", type=float, default=d.rate)
+    ap.add_argument("--row-share", type=float, default=d.row_share)
+    ap.add_argument("--column-share", type=float, default=d.column_share)
+    ap.add_argument("--l1", type=float, default=d.l1)
+    ap.add_argument("--l2", type=float, default=d.l2)
+    ap.add_argument("--edge-trees", type=int, default=e.max_iter)
+    ap.add_argument("--edge-depth", type=int, default=e.max_depth)
+    ap.add_argument("--edge-learning-rate", type=float, default=e.step_size)
     a = ap.parse_args()
     spark = get_spark(profile="cluster")
     wanted = a.quarters.split(",") if a.quarters else discover_quarters(spark, a.raw)
@@ -91,9 +101,11 @@ def main() -> None:
         print(f"skipped quarter {q}: no {', '.join(kinds)} files")
     if skipped and a.require_complete:
         raise SystemExit("incomplete quarters")
-    params = L.TreeParams(max_iter=a.trees, max_depth=a.depth, step_size=a.learning_rate)
-    build(spark, read_quarters(spark, a.raw, found), a.out.rstrip("/"), a.min_support, params,
-          write_rows=a.write_rows, quarters=found)
+    trees = BoostParams(trees=a.trees, depth=a.depth, rate=a.learning_rate, row_share=a.row_share,
+                        column_share=a.column_share, l1=a.l1, l2=a.l2)
+    edges = L.TreeParams(max_iter=a.edge_trees, max_depth=a.edge_depth, step_size=a.edge_learning_rate)
+    build(spark, read_quarters(spark, a.raw, found), a.out.rstrip("/"), a.min_support, trees, edges,
+          a.hops, a.threshold, a.write_rows, found)
     drop_scratch(spark)
 
 

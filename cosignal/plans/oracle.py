@@ -7,7 +7,7 @@ Doubles are rounded to 6 digits, counts cast to BIGINT.
 
 from __future__ import annotations
 
-from cosignal.operators.learn import TreeParams
+from cosignal.plans.catalog import TREES
 from cosignal.sources.proxy import PROXY_SQL, REQUESTS_SQL
 from cosignal.sources.tables import EXAMPLE_PAIRS
 
@@ -161,6 +161,31 @@ def r6(x: str, alias: str | None = None) -> str:
 SIGNAL_SELECT = ("SELECT drug_a, drug_b, event, a, pair_total, event_total, "
                  + ", ".join(r6(c) for c in ["PRR", "ROR", "risk_score"]) + " FROM signals")
 
+N_TREES = TREES.trees
+
+# One split with L1 = 1 and L2 = 5 at the feature's 256-quantiles; gradients in fixed point, as
+# features that order the pairs alike tie exactly (the first one wins).
+_STUMP = """, pts AS (
+  SELECT *, round(((SELECT avg(log_max_risk) FROM feat WHERE bucket < 80) - log_max_risk) * 268435456)::BIGINT AS g
+  FROM feat WHERE bucket < 80),
+long AS (""" + " UNION ALL ".join(
+    f"SELECT {i} AS no, '{c}' AS feature, {c}::DOUBLE AS x, g FROM pts" for i, c in enumerate(FEATURE_COLS)) + """),
+cuts AS (
+  SELECT no, unnest(list_distinct(quantile_disc(x, [i / 256.0 FOR i IN range(1, 256)]))) AS cut FROM long GROUP BY no),
+total AS (SELECT sum(g)::DOUBLE AS g, count(*) AS n FROM pts),
+sides AS (
+  SELECT long.no, feature, cut, sum(long.g)::DOUBLE / 268435456 AS gl, count(*) AS nl,
+         (max(total.g) - sum(long.g)::DOUBLE) / 268435456 AS gr, max(total.n) - count(*) AS nr, max(total.g) / 268435456 AS ga
+  FROM long JOIN cuts ON long.no = cuts.no AND x <= cut, total GROUP BY long.no, feature, cut),
+judged AS (
+  SELECT *, greatest(abs(gl) - 1, 0) ^ 2 / (nl + 5) + greatest(abs(gr) - 1, 0) ^ 2 / (nr + 5)
+         - greatest(abs(ga) - 1, 0) ^ 2 / (nl + nr + 5) AS gain FROM sides WHERE nr > 0)
+SELECT feature, round(cut, 6) AS threshold, round(gain, 4) AS gain, nl + nr AS cover,
+       round(-sign(gl) * greatest(abs(gl) - 1, 0) / (nl + 5), 6) AS left_value, nl AS left_rows,
+       round(-sign(gr) * greatest(abs(gr) - 1, 0) / (nr + 5), 6) AS right_value, nr AS right_rows,
+       (SELECT round(avg(log_max_risk), 6) FROM pts) AS base
+FROM judged ORDER BY round(gain, 9) DESC, no, cut LIMIT 1"""
+
 ORACLE: dict[str, str] = {
     "clean_names": """SELECT p_partkey, """ + CLEAN.format(x="p_name") + """ AS name_clean, """
     + CLEAN.format(x="p_brand") + """ AS brand_clean FROM part""",
@@ -437,13 +462,27 @@ ORACLE.update({
         "LEFT JOIN dmean ma ON ma.drug = r.drug_a LEFT JOIN dmean mb ON mb.drug = r.drug_b "
         "LEFT JOIN summ s ON s.drug_a = r.drug_a AND s.drug_b = r.drug_b AND r.status = 'ok' "
         "LEFT JOIN (SELECT * FROM ev WHERE rank = 1) e ON e.drug_a = r.drug_a AND e.drug_b = r.drug_b AND r.status = 'ok'"),
+    "report_json_facts": with_report(
+        "SELECT r.request_id, concat_ws(',', CASE WHEN r.drug_a IS NOT NULL THEN 'drug_a' END, "
+        "CASE WHEN r.drug_b IS NOT NULL THEN 'drug_b' END, 'status', 'phase2_xgb', 'phase3_gnn', 'historical_evidence') AS keys, "
+        "r.drug_a, r.drug_b, r.status, CAST(least(coalesce(s.unique_events, 0), 10) AS BIGINT) AS evidence_count, "
+        "e.event AS top_event, e.co_occurrences AS top_co_occurrences, "
+        "CASE WHEN r.status = 'ok' THEN 1 END AS score_rounded "
+        "FROM (SELECT *, " + _STATUS.format(none="") + " FROM req r) r "
+        "LEFT JOIN summ s ON s.drug_a = r.drug_a AND s.drug_b = r.drug_b AND r.status = 'ok' "
+        "LEFT JOIN (SELECT * FROM ev WHERE rank = 1) e ON e.drug_a = r.drug_a AND e.drug_b = r.drug_b AND r.status = 'ok'"),
     "encoder_catalog": with_learn("SELECT DISTINCT drug FROM dfreq"),
     "model_facts": with_learn(
         "SELECT 'boosted_trees' AS model, count(*) AS n, count(*) AS pairs, round(sum(log_max_risk), 6) AS target_sum, "
         "count(*) AS finite FROM feat WHERE bucket >= 80 "
         "UNION ALL SELECT 'edge_regressor', 2 * count(*), 2 * count(*), round(2 * sum(log_max_risk), 6), 2 * count(*) FROM feat WHERE bucket >= 80 "
         f"UNION ALL SELECT 'importances', {len(FEATURE_COLS)}, {len(FEATURE_COLS)}, 1.0, {len(FEATURE_COLS)} "
-        f"UNION ALL SELECT 'iterations', {TreeParams().max_iter}, {TreeParams().max_iter}, 0.0, {TreeParams().max_iter}"),
+        f"UNION ALL SELECT 'iterations', {N_TREES}, {N_TREES}, 0.0, {N_TREES}"),
+    "tree_contribution_facts": with_learn("SELECT drug_a, drug_b, 1 AS sums_up, 1 AS as_predicted, 1 AS as_compiled "
+                                          "FROM feat WHERE bucket >= 80"),
+    "tree_node_facts": f"SELECT CAST(0 AS BIGINT) AS broken, CAST({N_TREES} AS BIGINT) AS trees, "
+                       f"CAST({N_TREES} AS BIGINT) AS roots, 1 AS bounded",
+    "boosted_stump": with_learn(_STUMP),
     "stored_features": with_learn("SELECT drug_a, drug_b, " + r6("max_risk") + ", total_reports, " + r6("log_max_risk")
                                   + ", 1 AS in_order FROM feat"),
     "stored_signals": with_chain(
