@@ -35,6 +35,7 @@ from cosignal.sources import reports as RS
 from cosignal.sources import tables as T
 from cosignal.sources.proxy import pair_requests, proxy_reports, table
 from cosignal.streaming import counters as R
+from cosignal.streaming import ledger as LG
 
 MIN_SUPPORT = 3
 # Risk never passes 5 on the test tables, so the thresholded reports there use 3.
@@ -561,13 +562,22 @@ def streamed_counters(spark, sf_dir):
     """Pair-event files consumed by the Structured Streaming counter job (availableNow) in
     several micro-batches, then merged; the support filter comes after the merge."""
     base = _scratch(spark, "stream")
-    T.write_pair_events(P.pair_events(proxy_reports(spark, sf_dir)), f"{base}/in", files_per_quarter=1)
+    T.write_pair_events(P.pair_events(proxy_reports(spark, sf_dir)), f"{base}/in")
     schema = T.read_pair_events(spark, f"{base}/in").schema
     R.stream_counters(spark, f"{base}/in", schema, f"{base}/counters", f"{base}/ckpt", max_files=6)
     merged = R.merge_counters(R.read_counters(spark, f"{base}/counters"))
     return merged.pair_event.filter(F.col("a") >= MIN_SUPPORT)
 
 
+def streamed_reports(spark, sf_dir):
+    """Report files as `$`-delimited text consumed by the streaming counter log in several
+    micro-batches, folded as they come, then read through the manifest."""
+    base = _scratch(spark, "ledger")
+    RS.write_quarters(proxy_reports(spark, sf_dir), f"{base}/in")
+    LG.stream_reports(spark, f"{base}/in", f"{base}/log", f"{base}/ckpt", RS.TEXT_LAYOUT, max_files=40, fan_in=3)
+    return LG.read_counts(spark, f"{base}/log").pair_event.filter(F.col("a") >= MIN_SUPPORT)
+
+
 def signals_pruned(spark, sf_dir):
     """The signal table with a count-min sketch dropping rare triples before their shuffle."""
     counts = C.count_frequent(proxy_reports(spark, sf_dir), MIN_SUPPORT)
@@ -714,6 +724,7 @@ QUERIES: dict[str, Query] = {
     "signals_from_text": signals_from_text,
     "signals_from_pair_event_files": signals_from_pair_event_files,
     "streamed_counters": streamed_counters,
+    "streamed_reports": streamed_reports,
     "signals_pruned": signals_pruned,
     "signals_pruned_small_sketch": signals_pruned_small_sketch,
     "signals_split_cells": signals_split_cells,

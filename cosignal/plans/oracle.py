@@ -402,6 +402,7 @@ ORACLE.update({
     "signals_from_text": ORACLE["signals"],
     "signals_from_pair_event_files": ORACLE["signals"],
     "streamed_counters": ORACLE["pair_event_counts"],
+    "streamed_reports": ORACLE["pair_event_counts"],
     "signals_pruned": ORACLE["signals"],
     "signals_pruned_small_sketch": ORACLE["signals"],
     "signals_split_cells": ORACLE["signals"],

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import warnings
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,25 +180,52 @@ def read_quarters(spark: SparkSession, base: str, quarters: list[str] | None = N
     comes from its file path.
     """
     qs = quarters if quarters is not None else discover_quarters(spark, base)
-    jvm = spark.sparkContext._jvm
     valid, skipped = complete_quarters(spark, base, qs, layout)
     if skipped:
         said = "; ".join(f"{q} (no {', '.join(kinds)})" for q, kinds in skipped.items())
         if require_complete:
             raise FileNotFoundError(f"incomplete quarters: {said}")
         warnings.warn(f"skipped incomplete quarters: {said}", stacklevel=2)
+    files = {q: [f for prefix, _ in KINDS.values() for f in _data_files(spark, _kind_glob(base, q, prefix, layout))]
+             for q in valid}
+    return read_files(spark, base, files, layout, sep, encoding)
+
+
+def kind_of(file: str, layout: str = DEFAULT_LAYOUT) -> tuple[str, str] | None:
+    """(kind, URI-encoded quarter folder) of a report file's path, or None."""
+    for kind, (prefix, _) in KINDS.items():
+        m = re.search(_quarter_regex(layout, prefix), file)
+        if m:
+            return kind, m.group(1)
+    return None
+
+
+def quarter_of(file: str, layout: str = DEFAULT_LAYOUT) -> str | None:
+    found = kind_of(file, layout)
+    return unquote(found[1]) if found else None
+
+
+def kinds_of(files: list[str], layout: str = DEFAULT_LAYOUT) -> set[str]:
+    return {found[0] for f in files if (found := kind_of(f, layout))}
+
+
+def read_files(spark: SparkSession, base: str, files: dict[str, list[str]], layout: str = DEFAULT_LAYOUT,
+               sep: str = "$", encoding: str = "ISO-8859-1") -> Reports:
+    """Report tables from the given files of each quarter (see ``read_quarters``)."""
     schemas = {"demo": DEMO_SCHEMA, "drug": DRUG_SCHEMA, "reac": REAC_SCHEMA}
+    jvm = spark.sparkContext._jvm
     # Encoded folder name (as it appears in file paths) -> quarter name.
-    enc = {jvm.java.net.URI(None, None, q, None).getRawPath(): q for q in valid}
+    enc = {jvm.java.net.URI(None, None, q, None).getRawPath(): q for q in files}
     out = {}
     for kind, (prefix, _) in KINDS.items():
         groups: dict[tuple, list[str]] = {}
-        for q in valid:
-            for file in _data_files(spark, _kind_glob(base, q, prefix, layout)):
-                groups.setdefault(tuple(_file_header(spark, file, sep, encoding)), []).append(file)
+        for q in files:
+            for file in files[q]:
+                if kinds_of([file], layout) == {kind}:
+                    groups.setdefault(tuple(_file_header(spark, file, sep, encoding)), []).append(file)
         acc = spark.createDataFrame([], schemas[kind])
-        for i, (header, files) in enumerate(groups.items()):
-            df = read_delimited(spark, files, sep, encoding, list(header))
+        for i, (header, some) in enumerate(groups.items()):
+            df = read_delimited(spark, some, sep, encoding, list(header))
             names = F.create_map(*[F.lit(x) for kv in enc.items() for x in kv])
             folder = F.regexp_extract(F.col("_metadata.file_path"), _quarter_regex(layout, prefix), 1)
             typed = _typed(kind, df.withColumn("_q", names[folder]), F.col("_q"))

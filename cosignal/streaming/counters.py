@@ -16,7 +16,6 @@ from cosignal.operators.pairs import DEFAULT_CELL_DRUGS
 from cosignal.session import cut_lineage
 from cosignal.sources.reports import Reports
 
-FILES_PER_BATCH = 8          # files per batch and counter table, at most
 MAX_FILES_PER_TRIGGER = 64   # input files in one micro-batch
 COUNTER_TABLES = ("pair_event_agg", "pair_agg", "event_agg", "batch_rows")
 
@@ -53,14 +52,13 @@ def write_counters(pec_by_batch: DataFrame, base: str, batches: list[str] | None
 
     ``pec_by_batch`` (see ``report_batch_counts``) is computed once, by the write of
     ``pair_event_agg``; the other tables are derived from the stored partitions: those named
-    in ``batches``, or all. Rows are dealt by batch and a hash first, so a batch gets a
-    bounded number of files.
+    in ``batches``, or all. Rows are rebalanced by batch: adaptive execution splits a large
+    batch and puts small ones into one task, so tasks and files follow the bytes.
     """
     spark = pec_by_batch.sparkSession
 
     def write(name: str, df: DataFrame) -> None:
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != "batch"]), F.lit(FILES_PER_BATCH))
-        (df.repartition(F.col("batch"), salt).write.mode("overwrite").partitionBy("batch")
+        (df.hint("rebalance", "batch").write.mode("overwrite").partitionBy("batch")
          .option("partitionOverwriteMode", "dynamic").parquet(f"{base}/{name}"))
 
     write("pair_event_agg", pec_by_batch)
