@@ -3,10 +3,13 @@ neighbourhood propagation (mean aggregation over in-edges, hop by hop)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cosignal.session import cut_lineage
+from cosignal.session import cut_lineage, scratch_path
+from cosignal.sources.buckets import Bucketed, write_bucketed
 
 STD_GUARD = 1e-6
 ROWS_PER_RANGE = 100_000
@@ -99,27 +102,38 @@ def graph_edges(features: DataFrame, nodes: DataFrame, weight: str = "log_max_ri
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
 
-def neighbour_mean(edges: DataFrame, values: DataFrame, cols: list[str]) -> DataFrame:
+def neighbour_mean(edges: DataFrame | Bucketed, values: DataFrame, cols: list[str]) -> DataFrame:
     """idx, <cols>: mean of the in-neighbours' values (0 for a node without in-edges).
 
     The aggregation is partial per task before the shuffle, so a hub node's edges are
     combined map-side rather than in one task.
     """
-    msgs = (edges.join(values.withColumnRenamed("idx", "src"), "src")
+    sources = values.withColumnRenamed("idx", "src")
+    if isinstance(edges, Bucketed):
+        edges, sources = edges.table, edges.match(sources)
+    msgs = (edges.join(sources, "src")
             .groupBy(F.col("dst").alias("idx")).agg(*[F.avg(c).alias(c) for c in cols]))
     base = values.select("idx")
     return base.join(msgs, "idx", "left").select(
         "idx", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols])
 
 
+def bucketed_edges(edges: DataFrame) -> Bucketed:
+    """The edges stored in buckets by source."""
+    stored = cut_lineage(edges, "edges")
+    return write_bucketed(stored, scratch_path(edges.sparkSession, f"edges-by-source-{uuid.uuid4().hex}"), ["src"])
+
+
 def propagate(nodes: DataFrame, edges: DataFrame, cols: list[str], hops: int = 3) -> DataFrame:
     """Own features followed by the neighbour means of each hop.
 
     Hop k averages the hop k-1 values of the in-neighbours (mean aggregation as in
     GraphSAGE; linear, without learned weights). Each hop is checkpointed into the shared
-    checkpoint folder so the plan does not grow with the number of hops.
+    checkpoint folder so the plan does not grow with the number of hops. The edges are
+    bucketed by source once, for all hops: a hop moves node values and partial sums only.
     """
     cur = nodes.select("idx", *cols)
+    edges = bucketed_edges(edges) if hops > 1 else edges
     out = nodes
     for k in range(1, hops + 1):
         cur = cut_lineage(neighbour_mean(edges, cur, cols))

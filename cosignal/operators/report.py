@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cosignal.functions import presentation as X
 from cosignal.functions.names import canonical_pair
 from cosignal.operators.graph import drug_catalog as distinct_drugs
+from cosignal.sources.buckets import Bucketed
 
 PAIR = ["drug_a", "drug_b"]
 RANK_DIGITS = 9
@@ -135,13 +136,37 @@ def of_requests(signals: DataFrame, requests: DataFrame) -> DataFrame:
     return signals.join(wanted, PAIR, "left_semi")
 
 
+FILTERED_PAIRS = 1_000       # requested pairs up to this number become a filter on the pair key
+
+
+def of_bucketed(signals: Bucketed, requests: DataFrame) -> DataFrame:
+    """As ``of_requests`` for a table of ``write_signals_bucketed``: the signal side of the join is
+    read as it lies. A request table of at most ``FILTERED_PAIRS`` pairs also becomes a filter
+    on ``pair_key``, so the scan skips row groups by their Bloom filters; the join decides."""
+    wanted = signals.match(requests.filter(F.col("status") == "ok").select(*PAIR)).distinct()
+    rows = signals.table
+    few = [r[0] for r in wanted.select(F.xxhash64(*PAIR)).limit(FILTERED_PAIRS + 1).collect()]
+    if len(few) <= FILTERED_PAIRS:
+        rows = rows.filter(F.col("pair_key").isin(few))
+    return rows.join(wanted, PAIR, "left_semi").drop("pair_key")
+
+
+def bucketed_lookup(requests: DataFrame, signals: Bucketed, mode: str = "clean") -> DataFrame:
+    """``pair_lookup`` on a bucketed signal table: only requests are shuffled."""
+    req = request_status(requests, mode=mode)
+    return _looked_up(signals.match(req), pair_summary(of_bucketed(signals, req)))
+
+
 def pair_lookup(requests: DataFrame, signals: DataFrame, mode: str = "clean") -> DataFrame:
     """Per requested pair (raw names): canonical pair, status and its summary, or the
     'no evidence' status when the pair has no signal rows. An equi-join on the canonical
     pair, never an OR of both orders. ``mode='upper_trim'`` normalises names with upper
     case and trim only."""
     req = request_status(requests, mode=mode)
-    summ = pair_summary(of_requests(signals, req))
+    return _looked_up(req, pair_summary(of_requests(signals, req)))
+
+
+def _looked_up(req: DataFrame, summ: DataFrame) -> DataFrame:
     j = req.join(summ, PAIR, "left")
     status = F.when((F.col("status") == "ok") & F.col("total_reports").isNull(), "no_evidence") \
         .otherwise(F.col("status"))

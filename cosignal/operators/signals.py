@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cosignal.functions.measures import DEFAULT_EPS, prr, risk_score, ror
 from cosignal.operators.counts import PAIR, Counts
 from cosignal.operators.dictionary import decode
+from cosignal.sources.buckets import Bucketed, write_bucketed
 
 SIGNAL_COLS = ["drug_a", "drug_b", "event", "a", "pair_total", "event_total",
                "PRR", "ROR", "risk_score"]
@@ -53,6 +54,19 @@ def top_signals(signals_df: DataFrame, k: int = 20, rank_digits: int | None = 9)
     return signals_df.orderBy(*signal_order(rank_digits)).limit(k)
 
 
+def pair_key(a: str = "drug_a", b: str = "drug_b") -> F.Column:
+    """64-bit hash of a canonical pair: one column for filters on pairs."""
+    return F.xxhash64(a, b)
+
+
+def write_signals_bucketed(signals_df: DataFrame, path: str, buckets: int | None = None, options: dict | None = None) -> Bucketed:
+    """The signal table bucketed by pair and sorted by it, with ``pair_key`` under Bloom filters:
+    joins and aggregations by pair need no exchange, short request lists skip row groups.
+    ``signals_df`` should be stored. Returns the stored table."""
+    return write_bucketed(signals_df.withColumn("pair_key", pair_key()), path, PAIR, [*PAIR, "risk_score"],
+                          buckets, "pair_key", options)
+
+
 def write_signals(signals_df: DataFrame, path: str, layout: str = "score",
                   partitions: int | None = None) -> None:
     """Write the signal table.

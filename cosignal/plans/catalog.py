@@ -273,6 +273,12 @@ def pair_lookup(spark, sf_dir):
     return round_doubles(RP.pair_lookup(pair_requests(spark, sf_dir), build_signals(spark, sf_dir)))
 
 
+def pair_lookup_bucketed(spark, sf_dir):
+    """The same lookups on the signal table stored in buckets by pair."""
+    sig = S.write_signals_bucketed(stage_signals(spark, sf_dir), _scratch(spark, "signals-bucketed"))
+    return round_doubles(RP.bucketed_lookup(pair_requests(spark, sf_dir), sig))
+
+
 def pair_report(spark, sf_dir):
     """Per requested pair: lookup status and summary, plus the sentence on its top event."""
     return round_doubles(RP.pair_reports(pair_requests(spark, sf_dir), stage_signals(spark, sf_dir)))
@@ -713,6 +719,7 @@ QUERIES: dict[str, Query] = {
     "drug_catalog": drug_catalog,
     "drug_search": drug_search,
     "pair_lookup": pair_lookup,
+    "pair_lookup_bucketed": pair_lookup_bucketed,
     "pair_report": pair_report,
     "gbt_regression": gbt_regression,
     "gbt_iteration_errors": gbt_iteration_errors,

@@ -430,6 +430,7 @@ def _example_rows() -> str:
 
 
 ORACLE.update({
+    "pair_lookup_bucketed": ORACLE["pair_lookup"],
     "pair_lookup_upper_trim": with_report(
         "SELECT r.request_id, r.drug_a, r.drug_b, " + _STATUS.format(none=_NO_EVIDENCE) + ", s.total_reports, "
         "s.unique_events, round(s.max_risk, 6) AS max_risk, s.risk_label "
