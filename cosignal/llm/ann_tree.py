@@ -254,9 +254,9 @@ def search(table: DataFrame, queries_of, k: int = K, target: float = TARGET,
     asked = stage(rows.filter(is_query).mapInArrow(
         to_shards, "id long, v array<double>, shard int, leaves array<int>"), "asked")
     # A shard that very many queries want is copied, and its queries are dealt over the copies.
-    copies = {r.shard: -(-r.n // QUERIES_PER_SHARD) for r in
-              asked.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") > QUERIES_PER_SHARD).collect()}
+    hot = stage(asked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > QUERIES_PER_SHARD)
+                .select("shard", F.ceil(F.col("n") / QUERIES_PER_SHARD).cast("int").alias("copies")), "hot-shards")
+    copies = {r.shard: r.copies for r in hot.collect()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,10 +274,8 @@ def search(table: DataFrame, queries_of, k: int = K, target: float = TARGET,
                 names=["shard", "copy", "kind", "id", "v", "leaf", "leaves"])
 
     columns = "shard int, copy int, kind byte, id long, v array<double>, leaf int, leaves array<int>"
-    copy_of = F.lit(0)
-    for s, n in copies.items():
-        copy_of = F.when(F.col("shard") == s, F.pmod(F.xxhash64("id"), F.lit(n))).otherwise(copy_of)
-    both = index.mapInArrow(place, columns).unionByName(asked.select(
+    copy_of = F.coalesce(F.pmod(F.xxhash64("id"), F.col("copies")), F.lit(0))
+    both = index.mapInArrow(place, columns).unionByName(asked.join(hot, "shard", "left").select(
         "shard", copy_of.cast("int").alias("copy"), F.lit(1).cast("byte").alias("kind"), "id", "v",
         F.lit(None).cast("int").alias("leaf"), "leaves"))
     met = (both.repartition(shuffle_partitions(spark), "shard", "copy")

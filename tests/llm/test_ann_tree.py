@@ -58,6 +58,17 @@ def test_clusters_ties_and_shards(spark, monkeypatch):
     compare(got, want, 0.9)
 
 
+def test_thousands_of_hot_shards(spark, monkeypatch):
+    """Every shard holds one vector and is wanted by more queries than one copy may serve."""
+    monkeypatch.setattr(A, "SHARD_ROWS", 1)
+    monkeypatch.setattr(A, "QUERIES_PER_SHARD", 2)
+    rng = np.random.default_rng(6)
+    x, ids = rng.normal(size=(2000, 4)), np.arange(2000)
+    df = spark.createDataFrame([(int(i), v.tolist(), "x", "y") for i, v in zip(ids, x)], SCHEMA)
+    got = A.search(df, lambda i: i % 50 == 0, k=3).collect()
+    compare(got, brute(ids, x, ids[ids % 50 == 0], 3), 0.9)
+
+
 def test_vectors_that_take_no_part(spark):
     good = [(i, [float(i % 5 + 1), 1.0]) for i in range(10)]
     bad = [(20, None), (40, [0.0, 0.0]), (60, [1.0, None]), (80, [float("nan"), 1.0]),
