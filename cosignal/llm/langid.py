@@ -28,7 +28,8 @@ SEED = 20259
 MAX_LANGS = 4096          # prototypes travel to every task, so their number is checked
 GAP = 32                  # a blank: everything that is not a letter, runs of it as one
 ROWS = 256                # texts bundled in one matrix product
-SLICE_CHARS = 4_000_000
+GRAMS = 8192              # distinct trigrams in one matrix product
+SLICE_CHARS = 1_000_000   # characters looked at together
 
 
 def letter_vectors(points: np.ndarray, dim: int = DIM) -> np.ndarray:
@@ -52,48 +53,57 @@ def trigram_vectors(a: np.ndarray, b: np.ndarray, c: np.ndarray, dim: int = DIM)
     return (np.roll(v, 2, axis=1)[at[:n]] * np.roll(v, 1, axis=1)[at[n:2 * n]] * v[at[2 * n:]])
 
 
-def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts end to end, lower-cased, every run of other characters one
-    GAP and a GAP around each text; and where each text ends in them."""
-    joined = "\x00".join(t or "" for t in texts) + "\x00"
-    raw = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
-    present = np.unique(raw)
-    size = int(present[-1]) + 1
-    become = np.full(size, GAP, np.uint32)
-    for p in present.tolist():
+Part = tuple[int, int, int]      # text number, first and last character (exclusive) counted
+
+
+def parts(texts: list[str | None]) -> Iterator[list[Part]]:
+    """The texts in lists of at most ``ROWS`` parts and ``SLICE_CHARS`` characters; a longer text
+    comes in several parts."""
+    held: list[Part] = []
+    chars = 0
+    for i, t in enumerate(texts):
+        size = len(t or "")
+        for lo in range(0, max(size, 1), SLICE_CHARS):
+            hi = min(size, lo + SLICE_CHARS)
+            if held and (len(held) >= ROWS or chars + hi - lo > SLICE_CHARS):
+                yield held
+                held, chars = [], 0
+            held.append((i, lo, hi))
+            chars += hi - lo
+    if held:
+        yield held
+
+
+def trigrams(texts: list[str | None], some: list[Part]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The trigrams around every letter of the parts: which part each is in, its number among the
+    distinct ones, and their three code points. Letters are lower-cased, everything else and the
+    text's ends are GAPs; a trigram only needs its letter's two neighbours, so parts of a text
+    add up to the whole."""
+    strings = [(texts[i] or "")[max(0, lo - 1):hi + 1].replace("\x00", " ") for i, lo, hi in some]
+    raw = np.frombuffer("\x00".join(["", *strings, ""]).encode("utf-32-le", "replace"), np.uint32)
+    present, at = np.unique(raw, return_inverse=True)
+    become = np.full(len(present), GAP, np.int64)
+    for k, p in enumerate(present.tolist()):
         ch = chr(p)
         if ch.isalpha():
             low = ch.lower()
-            become[p] = ord(low) if len(low) == 1 else p
-    ends = raw == 0
-    if ends.sum() != len(texts):          # a text holds the separator itself: go one by one
-        parts = [letters([t.replace("\x00", " ") if t else t]) for t in texts]
-        sizes = np.cumsum([len(p[0]) for p in parts])
-        return np.concatenate([p[0] for p in parts]), sizes
-    flat = become[raw]
-    # GAPs inside a text follow a letter; the one that closes a text always stays.
-    before = np.concatenate([[GAP], flat[:-1]])
-    keep = (flat != GAP) | (before != GAP) | ends
-    flat = flat[keep]
-    stop = np.flatnonzero(ends[keep]) + 1
-    return flat, stop
-
-
-def count_trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(counts [texts x trigrams] float32, a, b, c): how often each trigram of the batch is
-    in each text. A text without letters has a row of zeros."""
-    flat, stop = letters(texts)
-    begin = np.concatenate([[0], stop[:-1]])
-    points, at = np.unique(flat, return_inverse=True)
+            become[k] = ord(low) if len(low) == 1 else p
+    points, short = np.unique(become, return_inverse=True)
+    flat = short.astype(np.int32)[at]
+    sizes = np.array([len(s) for s in strings], np.int64)
+    ends = np.cumsum(sizes + 1)                                # the separator after each part
+    centre = points[flat] != GAP
+    # A neighbour taken along from the same text is no centre here.
+    for (i, lo, hi), end, size in zip(some, ends.tolist(), sizes.tolist()):
+        if lo > 0 and size:
+            centre[end - size] = False
+        if hi < len(texts[i] or "") and size:
+            centre[end - 1] = False
+    mid = np.flatnonzero(centre)
     k = len(points)
-    gap = int(np.searchsorted(points, GAP))
-    # Each text in front of its closing GAP gets one more GAP, so edges count as blanks.
-    padded = np.insert(at, begin, gap)
-    own = np.repeat(np.arange(len(texts)), stop - begin + 1)
-    code = (padded[:-2] * k + padded[1:-1]) * k + padded[2:]
-    inside = (own[:-2] == own[2:]) & (padded[1:-1] != gap)
-    code, own = code[inside], own[:-2][inside]
-    if k ** 3 <= 50_000_000:
+    code = (flat[mid - 1].astype(np.int64) * k + flat[mid]) * k + flat[mid + 1]
+    own = np.searchsorted(ends, mid).astype(np.int32)
+    if k ** 3 <= 8_000_000:
         seen = np.zeros(k ** 3, bool)
         seen[code] = True
         grams = np.flatnonzero(seen)
@@ -102,27 +112,35 @@ def count_trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.
         col = number[code]
     else:
         grams, col = np.unique(code, return_inverse=True)
-    m = max(1, len(grams))
-    counts = np.zeros((len(texts), m), np.float32)
-    split = np.searchsorted(own, np.arange(len(texts) + 1))
-    for i in range(len(texts)):
-        if split[i + 1] > split[i]:
-            counts[i] = np.bincount(col[split[i]:split[i + 1]], minlength=m)
-    if not len(grams):
-        gone = np.full(1, GAP)
-        return counts, gone, gone, gone
-    return counts, points[grams // (k * k)], points[grams // k % k], points[grams % k]
-
-
-def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    at = held = 0
-    for i, t in enumerate(texts):
-        if i > at and (i - at >= ROWS or held + len(t or "") > SLICE_CHARS):
-            yield at, i
-            at, held = i, 0
-        held += len(t or "")
-    if at < len(texts):
-        yield at, len(texts)
+    return own, col, [points[grams // (k * k)], points[grams // k % k], points[grams % k]]
+
+
+def counted(own: np.ndarray, col: np.ndarray, rows: int, grams: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """(trigram numbers, counts [rows x those trigrams]), at most ``GRAMS`` trigrams at a time."""
+    if grams > GRAMS:
+        order = np.argsort(col, kind="stable")
+        own, col = own[order], col[order]
+    cuts = np.searchsorted(col, np.arange(0, grams + GRAMS, GRAMS)) if grams > GRAMS else np.array([0, len(col)])
+    for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        lo, hi = n * GRAMS, min(grams, (n + 1) * GRAMS)
+        if hi > lo:
+            slot = own[a:b].astype(np.int64) * (hi - lo) + (col[a:b] - lo)
+            yield slice(lo, hi), np.bincount(slot, minlength=rows * (hi - lo)).reshape(rows, hi - lo)
+
+
+def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Bundled vector of every text, and whether it has a letter. Entries are whole numbers
+    summed as doubles, so how a text is cut does not matter."""
+    out, lettered = np.zeros((len(texts), DIM)), np.zeros(len(texts), bool)
+    for some in parts(texts):
+        own, col, abc = trigrams(texts, some)
+        at = np.array([i for i, _, _ in some])
+        lettered[at[np.unique(own)]] = True
+        for which, counts in counted(own, col, len(some), len(abc[0])):
+            vectors = trigram_vectors(*(x[which] for x in abc))
+            np.add.at(out, at, (counts.astype(np.float32) @ vectors).astype(float)
+                      if counts.sum() < 2 ** 24 else counts.astype(float) @ vectors)
+    return out, lettered
 
 
 def learn(texts: DataFrame) -> dict[str, np.ndarray]:
@@ -141,17 +159,18 @@ def learn(texts: DataFrame) -> dict[str, np.ndarray]:
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), object)
             body = batch.column("text").to_pylist()
-            for lo, hi in slices(body):
-                counts, a, b, c = count_trigrams(body[lo:hi])
-                for lang in dict.fromkeys(langs[lo:hi]):
-                    total = counts[langs[lo:hi] == lang].sum(axis=0, dtype=np.float64).astype(np.int64)
+            for some in parts(body):
+                own, col, (a, b, c) = trigrams(body, some)
+                of = langs[[i for i, _, _ in some]]
+                for lang in dict.fromkeys(of):
+                    total = np.bincount(col[(of == lang)[own]], minlength=len(a))
                     hit = np.flatnonzero(total)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(hit), pa.string()), *(pa.array(x[hit].astype(np.int32)) for x in (a, b, c)),
                          pa.array(total[hit])], names=["lang", "a", "b", "c", "n"])
 
-    counted = (given.mapInArrow(count, "lang string, a int, b int, c int, n long")
-               .groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n")))
+    summed = (given.mapInArrow(count, "lang string, a int, b int, c int, n long")
+              .groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n")))
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -168,8 +187,8 @@ def learn(texts: DataFrame) -> dict[str, np.ndarray]:
                 [pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))],
                 names=["lang", "v"])
 
-    parts = counted.mapInArrow(bundle, "lang string, v array<double>")
-    named = (parts.select("lang", F.posexplode("v").alias("i", "x"))
+    sums = summed.mapInArrow(bundle, "lang string, v array<double>")
+    named = (sums.select("lang", F.posexplode("v").alias("i", "x"))
              .groupBy("lang", "i").agg(F.sum("x").alias("x"))
              .groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))),
                                               lambda s: s["x"]).alias("v")))
@@ -189,7 +208,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], carry: list[str]
     was learned gets ``und`` with score 0. Repeated rows are predicted alike.
     """
     names = sorted(prototypes)
-    matrix = np.array([prototypes[n] for n in names], np.float32).reshape(len(names), DIM)
+    matrix = np.array([prototypes[n] for n in names], float).reshape(len(names), DIM)
     given = docs.select(F.struct(*[docs[c] for c in carry]).alias("doc"),
                         column(docs, "text", "string").alias("_text"))
     schema = T.StructType([given.schema["doc"]]).add("lang_pred", "string").add("score", "double")
@@ -199,16 +218,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], carry: list[str]
             texts = batch.column("_text").to_pylist()
             best = np.zeros(len(texts), np.int64)
             score = np.zeros(len(texts))
-            lettered = np.zeros(len(texts), bool)
-            for lo, hi in slices(texts):
-                counts, a, b, c = count_trigrams(texts[lo:hi])
-                bundled = counts @ trigram_vectors(a, b, c)
-                lettered[lo:hi] = counts.any(axis=1)
-                if names:
-                    size = np.linalg.norm(bundled, axis=1)
-                    cosine = (bundled @ matrix.T) / np.where(size > 0, size, 1)[:, None]
-                    best[lo:hi] = cosine.argmax(axis=1)
-                    score[lo:hi] = np.clip(cosine.max(axis=1), 0, 1)
+            bundled, lettered = bundles(texts)
+            if names:
+                size = np.linalg.norm(bundled, axis=1)
+                cosine = (bundled @ matrix.T) / np.where(size > 0, size, 1)[:, None]
+                best = cosine.argmax(axis=1)
+                score = np.clip(cosine.max(axis=1), 0, 1)
             known = lettered & bool(names)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"),

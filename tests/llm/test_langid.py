@@ -19,13 +19,55 @@ def brute_vector(text):
 
 def test_bundles_match_brute_force():
     texts = ["Hello, WORLD!", "", None, "a", "12 3", "ünï\x00cödé  x", "Straße", "日本 語", "x" * 500 + " y"]
-    counts, a, b, c = L.count_trigrams(texts)
-    got = counts @ L.trigram_vectors(a, b, c)
-    for t, g in zip(texts, got):
+    got, lettered = L.bundles(texts)
+    for t, g, has in zip(texts, got, lettered):
         want = brute_vector(t)
         assert np.allclose(g, want), t
-    counts, a, b, c = L.count_trigrams([None, "", "1"])
-    assert not counts.any()
+        assert has == bool(want.any())
+    assert not L.bundles([None, "", "1"])[1].any()
+
+
+def test_cutting_texts_and_trigrams_does_not_matter(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(chr(c) for c in rng.choice([97, 98, 65, 32, 46, 0x4E00, 0x4E01, 0xE9], n)) for n in (0, 1, 7, 300)]
+    whole, has = L.bundles(texts)
+    for chars, grams, rows in ((1, 8192, 256), (3, 2, 2), (64, 7, 1)):
+        monkeypatch.setattr(L, "SLICE_CHARS", chars)
+        monkeypatch.setattr(L, "GRAMS", grams)
+        monkeypatch.setattr(L, "ROWS", rows)
+        again, has2 = L.bundles(texts)
+        assert np.array_equal(whole, again) and np.array_equal(has, has2)
+
+
+def test_prototypes_and_labels_match_brute_force(spark):
+    docs = [r for r in messy(spark).collect()]
+    sums = {}
+    for r in docs:
+        if r.lang is not None:
+            sums[r.lang] = sums.get(r.lang, 0) + brute_vector(r.text)
+    learned = L.learn(messy(spark))
+    for lang, v in sums.items():
+        assert np.allclose(learned[lang], v / np.linalg.norm(v))
+    names = sorted(sums)
+    for r in L.predict(messy(spark), learned, ["text"]).collect():
+        v = brute_vector(r.doc.text)
+        if v.any():
+            cosine = [v @ learned[n] / np.linalg.norm(v) for n in names]
+            assert r.lang_pred == names[int(np.argmax(cosine))] and abs(r.score - max(0, max(cosine))) < 1e-6
+
+
+def test_long_text_of_many_letters_stays_small():
+    """Two million characters of varied CJK: nearly every trigram differs."""
+    import subprocess
+    import sys
+    code = ("import resource, numpy as np\n"
+            "from cosignal.llm import langid as L\n"
+            "t = ''.join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FA5, 2_000_000)))\n"
+            "base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+            "L.bundles([t])\n"
+            "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)\n")
+    used = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert used < 700
 
 
 def test_letter_vectors_are_nearly_orthogonal():
