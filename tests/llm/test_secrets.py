@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -92,6 +94,41 @@ def beside_placeholders(text):
     return sorted(out)
 
 
+def test_letters_without_word_shape_are_found(spark):
+    """Only letters: words in any usual case are no secrets, random letters are."""
+    rng = random.Random(8)
+    mixed = ["".join(rng.choice(string.ascii_letters) for _ in range(40)) for _ in range(5)]
+    words = ["internationalisationcommittee", "getUserAccountByIdentifierFromStore", "HTTPServerConnectionFactoryBean",
+             "THEQUICKBROWNFOXJUMPSOVERTHELAZYDOG", "path/to/some/other/Folder_With_Words-and-more", "x-quick-brown-fox-jumps-over-a-dog"]
+    df = spark.createDataFrame(list(enumerate(mixed + words)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in S.scan(df, ["doc_id"]).select("doc.*", "spans").collect()}
+    assert all(got[i] == brute(t) and got[i] for i, t in enumerate(mixed))
+    assert not any(got[len(mixed) + i] for i in range(len(words)))
+
+
+def test_long_texts_in_linear_time(spark):
+    """Many matches, one long blob of high entropy, and alternating hot and cold candidates: ten
+    times the text takes about ten times as long, and the spans are right."""
+    import time
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    keys = [key(32) for _ in range(50)]
+    S.scan(spark.createDataFrame([(0, "warm token=abcdef0123")], "doc_id long, text string"), ["doc_id"]).collect()
+    times = []
+    for n in (800, 8_000):
+        texts = ["token=abcdefgh " * n, key(n * 10), " ".join(keys[i % 50] if i % 2 else "plain" for i in range(n))]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        t = time.time()
+        got = {r.doc_id: [tuple(s) for s in r.spans] for r in S.scan(df, ["doc_id"]).select("doc.*", "spans").collect()}
+        times.append(time.time() - t)
+        assert got[0] == [(15 * i, 0, "assign", 15 * i + 14) for i in range(n)]
+        assert got[1] == brute(texts[1])
+        if n == 800:
+            assert got[2] == brute(texts[2])
+        assert len(got[2]) > n / 4
+    assert times[1] < 25 * times[0] + 5
+
+
 RANDOM = "a8Fk29dLx0PqRs7TuVwXyZ12bC"
 UUID = "550e8400-e29b-41d4-a716-446655440000"
 
