@@ -16,6 +16,7 @@ from cosignal.functions import presentation as X
 from cosignal.functions.names import clean_name
 from cosignal.operators import boosting as B
 from cosignal.operators import counts as C
+from cosignal.operators import encoder as EN
 from cosignal.operators import features as FE
 from cosignal.operators import graph as G
 from cosignal.operators import learn as L
@@ -359,6 +360,45 @@ def edge_regression(spark, sf_dir):
     return L.predict(model, test).select("drug_a", "drug_b", FE.TARGET, "prediction")
 
 
+def _learned(spark, sf_dir):
+    """(features, embeddings, encoder, decoder, held-out pairs) of the learned encoder."""
+    f = build_features(spark, sf_dir)
+    train, test = _hash_split(f)
+    nodes = cut_lineage(G.graph_nodes(f), "nodes")
+    edges = cut_lineage(G.graph_edges(f, nodes), "edges")
+    emb, enc = EN.encode(nodes, edges, ["freq_z", "risk_z"], 3, G.graph_edges(train, nodes))
+    emb = cut_lineage(emb, "learned")
+    return f, emb, enc, EN.fit_decoder(train, emb, L.embedding_width(emb), FE.TARGET), test
+
+
+def learned_edges(spark, sf_dir):
+    """Held-out pairs with the prediction of the learned encoder and decoder."""
+    _, emb, _, dec, test = _learned(spark, sf_dir)
+    return EN.decode(dec, test.select("drug_a", "drug_b", FE.TARGET), emb)
+
+
+def learned_edge_facts(spark, sf_dir):
+    """Rows, target and finite predictions of the learned decoder on held-out pairs, and that its
+    squared error is below that of the regressor on plain neighbour means."""
+    f, emb, _, dec, test = _learned(spark, sf_dir)
+    square = (F.col("prediction") - F.col(FE.TARGET)) ** 2
+    plain = L.predict(*_edge(spark, sf_dir, f)[2:]).agg(F.avg(square).alias("plain"))
+    made = EN.decode(dec, test.select("drug_a", "drug_b", FE.TARGET), emb).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("drug_a", "drug_b").alias("pairs"), F.sum(FE.TARGET).alias("target_sum"),
+        F.count_if(F.abs("prediction") < float("inf")).alias("finite"), F.avg(square).alias("learned"))
+    return round_doubles(made.select("n", "pairs", "target_sum", "finite",
+                                     (F.col("learned") < plain.scalar()).cast("int").alias("below_plain_means")))
+
+
+def encoder_statistics(spark, sf_dir):
+    """Batch-norm statistics of the first encoder layer: mean and standard deviation of the node
+    values and of their neighbour means."""
+    enc = _learned(spark, sf_dir)[2]
+    names = ["freq_z", "risk_z", "n_freq_z", "n_risk_z"]
+    first = enc.layers[0]
+    return round_doubles(spark.createDataFrame(list(zip(names, first.mean, first.std)), "input string, mean double, std double"))
+
+
 def model_metrics(spark, sf_dir):
     f, tree, ttest = _tree(spark, sf_dir)
     _, _, edge, etest = _edge(spark, sf_dir, f)
@@ -725,6 +765,9 @@ QUERIES: dict[str, Query] = {
     "gbt_iteration_errors": gbt_iteration_errors,
     "node_embeddings": node_embeddings,
     "edge_regression": edge_regression,
+    "learned_edges": learned_edges,
+    "learned_edge_facts": learned_edge_facts,
+    "encoder_statistics": encoder_statistics,
     "model_metrics": model_metrics,
     "score_pairs": score_pairs,
     "batch_report_json": batch_report_json,

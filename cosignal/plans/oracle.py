@@ -485,6 +485,12 @@ ORACLE.update({
     "tree_node_facts": f"SELECT CAST(0 AS BIGINT) AS broken, CAST({N_TREES} AS BIGINT) AS trees, "
                        f"CAST({N_TREES} AS BIGINT) AS roots, 1 AS bounded",
     "boosted_stump": with_learn(_STUMP),
+    "learned_edge_facts": with_learn("SELECT count(*) AS n, count(*) AS pairs, round(sum(log_max_risk), 6) AS target_sum, "
+                                     "count(*) AS finite, 1 AS below_plain_means FROM feat WHERE bucket >= 80"),
+    "encoder_statistics": with_learn(
+        " UNION ALL ".join(f"SELECT '{name}' AS input, round(avg({c}), 6) + 0.0 AS mean, round(sqrt(var_pop({c}) + 1e-5::DOUBLE), 6) AS std "
+                           f"FROM {t}" for name, c, t in (("freq_z", "freq_z", "nodes"), ("risk_z", "risk_z", "nodes"),
+                                                          ("n_freq_z", "freq_z", "hop1"), ("n_risk_z", "risk_z", "hop1")))),
     "stored_features": with_learn("SELECT drug_a, drug_b, " + r6("max_risk") + ", total_reports, " + r6("log_max_risk")
                                   + ", 1 AS in_order FROM feat"),
     "stored_signals": with_chain(
