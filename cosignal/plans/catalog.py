@@ -24,6 +24,7 @@ from cosignal.operators import metrics as M
 from cosignal.operators import pairs as P
 from cosignal.operators import report as RP
 from cosignal.operators import score as SC
+from cosignal.operators import search as SX
 from cosignal.operators import signals as S
 from cosignal.operators.boosting import BoostParams
 from cosignal.operators.iceberg import SketchSize
@@ -270,6 +271,21 @@ def drug_search(spark, sf_dir):
     return RP.drug_search(RP.drug_catalog(build_signals(spark, sf_dir)), SEARCH_TEXT)
 
 
+def drug_search_batch(spark, sf_dir):
+    """Every drug name that holds each query, through the gram index. Queries: pieces of part names
+    and brands of 0 to 6 characters in upper and mixed case, and nation names."""
+    part = table(spark, sf_dir, "part")
+
+    def cut(text):
+        return F.transform(F.sequence(F.lit(0), F.lit(6)), lambda n: F.substr(text, F.lit(2), n))
+
+    pieces = F.concat(cut(F.upper("p_name")), cut(F.col("p_name")), cut(F.col("p_brand")))
+    queries = part.select(F.explode(pieces).alias("query")).unionByName(
+        table(spark, sf_dir, "nation").select(F.col("n_name").alias("query")))
+    index = SX.build_index(RP.drug_catalog(build_signals(spark, sf_dir)), _scratch(spark, "search"))
+    return SX.search(index, queries)
+
+
 def pair_lookup(spark, sf_dir):
     return round_doubles(RP.pair_lookup(pair_requests(spark, sf_dir), build_signals(spark, sf_dir)))
 
@@ -758,6 +774,7 @@ QUERIES: dict[str, Query] = {
     "model_agreement": model_agreement,
     "drug_catalog": drug_catalog,
     "drug_search": drug_search,
+    "drug_search_batch": drug_search_batch,
     "pair_lookup": pair_lookup,
     "pair_lookup_bucketed": pair_lookup_bucketed,
     "pair_report": pair_report,

@@ -403,6 +403,11 @@ ORACLE.update({
     "signals_from_pair_event_files": ORACLE["signals"],
     "streamed_counters": ORACLE["pair_event_counts"],
     "streamed_reports": ORACLE["pair_event_counts"],
+    "drug_search_batch": with_chain(
+        "SELECT query, drug FROM (SELECT substr(x, 2, n) AS query FROM (SELECT DISTINCT x, unnest(range(0, 7)) AS n FROM ("
+        "SELECT upper(p_name) AS x FROM part UNION SELECT p_name FROM part UNION SELECT p_brand FROM part)) "
+        "UNION SELECT n_name FROM nation) q "
+        "JOIN (SELECT drug_a AS drug FROM signals UNION SELECT drug_b FROM signals) d ON contains(lower(drug), lower(query))"),
     "signals_pruned": ORACLE["signals"],
     "signals_pruned_small_sketch": ORACLE["signals"],
     "signals_split_cells": ORACLE["signals"],
