@@ -4,8 +4,9 @@ The words of many documents are laid end to end, each document closed by a mark
 occurs once, and sorted as suffixes by prefix doubling: after round k the suffixes are
 ranked by their first 2^k words, and only those whose rank is still shared are sorted
 again. Ranks start as (document, word), so suffixes of different documents never tie.
-The ranks kept from every round give the longest common prefix of neighbours in the
-suffix array by binary descent. The innermost LCP interval around a suffix has the larger
+The longest common prefix of neighbours in the suffix array comes from a binary search over
+polynomial prefix hashes (two 31-bit moduli), so no round's ranks need be kept but those of the
+shortest repeat's length. The innermost LCP interval around a suffix has the larger
 of its two neighbouring LCP values, and that prefix is a maximal repeated substring;
 the union of these spans is the repeated part of the document.
 
@@ -41,23 +42,31 @@ class Limits:
     max_longest: int = 100          # method: a longer repeated substring is rejected
 
 
-def suffix_ranks(seq: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array of ``seq`` and, per round k, the rank of every position by its first
-    2^k items. ``seq`` must end every part with an item that occurs only once."""
+PRIMES = (2_147_483_647, 2_147_483_629)     # moduli of the prefix hashes
+BASES = (1_103_515_245, 1_664_525_013)
+
+
+def suffix_ranks(seq: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray | None, int]:
+    """Suffix array of ``seq``, the rank of every position by its first 2^level items (None, if
+    all suffixes differ before), and the number of rounds. ``seq`` must end every part with an
+    item that occurs only once."""
     n = len(seq)
-    sa = np.argsort(seq, kind="stable")
+    sa = np.argsort(seq, kind="stable").astype(np.int32)
     ordered = seq[sa]
     head = np.ones(n + 1, bool)
     head[1:n] = ordered[1:] != ordered[:-1]
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(head[:n], np.arange(n), 0))
-    levels, h = [rank.copy()], 1
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(head[:n], np.arange(n, dtype=np.int32), 0))
+    kept, rounds, h = None, 0, 1
     while True:
+        if rounds == level:
+            kept = rank.copy()
+        rounds += 1
         slots = np.flatnonzero(~(head[:n] & head[1:]))   # suffixes whose rank is shared
         if not len(slots):
-            return sa, levels
+            return sa, kept, rounds
         open_ = sa[slots]
-        key = rank[open_] * n + rank[open_ + h]
+        key = rank[open_].astype(np.int64) * n + rank[open_ + h]
         order = np.argsort(key, kind="stable")
         open_, key = open_[order], key[order]
         sa[slots] = open_
@@ -65,26 +74,54 @@ def suffix_ranks(seq: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         first[1:] = key[1:] != key[:-1]
         head[slots] = first
         rank[open_] = slots[np.maximum.accumulate(np.where(first, np.arange(len(slots)), 0))]
-        levels.append(rank.copy())
         h *= 2
 
 
+class PrefixHash:
+    """Sums of item * base^place modulo a prime: equal stretches have equal differences, up to the
+    power of the base that their distance is."""
+
+    def __init__(self, seq: np.ndarray, prime: int, base: int) -> None:
+        n, self.p = len(seq), np.uint64(prime)
+        power = np.ones(n + 1, np.uint64)
+        size, step = 1, np.uint64(base)                  # step = base^size
+        while size <= n:
+            power[size:2 * size] = power[:min(size, n + 1 - size)] * step % self.p
+            step = step * step % self.p
+            size *= 2
+        self.power = power.astype(np.uint32)
+        term = (seq.astype(np.uint64) % self.p + np.uint64(1)) * power[:n] % self.p
+        del power
+        total = np.concatenate([[np.uint64(0)], np.cumsum(term)])      # below 2^31 * n
+        self.sum = (total % self.p).astype(np.uint32)
+
+    def equal(self, a: np.ndarray, b: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """Whether the ``size`` items from a and from b (a < b) hash alike."""
+        u = lambda x: self.sum[x].astype(np.uint64)
+        left = (u(a + size) + self.p - u(a)) % self.p * self.power[b - a].astype(np.uint64) % self.p
+        return left == (u(b + size) + self.p - u(b)) % self.p
+
+
 def longest_matches(seq: np.ndarray, least: int) -> np.ndarray:
     """For every position the length of the longest prefix of its suffix that occurs
     elsewhere too, 0 where that is under ``least`` (a power of two)."""
-    sa, levels = suffix_ranks(seq)
-    out = np.zeros(len(seq), np.int64)
-    at = least.bit_length() - 1
-    if at >= len(levels):
+    sa, near, rounds = suffix_ranks(seq, least.bit_length() - 1)
+    out = np.zeros(len(seq), np.int32)
+    if near is None:
         return out
-    near = levels[at][sa]
-    r = np.flatnonzero(near[1:] == near[:-1])
-    a, b = sa[r], sa[r + 1]
-    lcp = np.zeros(len(r), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        lcp += (levels[k][a + lcp] == levels[k][b + lcp]).astype(np.int64) << k
-    np.maximum.at(out, a, lcp)
-    np.maximum.at(out, b, lcp)
+    r = np.flatnonzero(near[sa[1:]] == near[sa[:-1]])
+    del near
+    a, b = np.minimum(sa[r], sa[r + 1]).astype(np.int64), np.maximum(sa[r], sa[r + 1]).astype(np.int64)
+    del sa, r
+    lcp = np.full(len(a), least, np.int64)
+    hashes = [PrefixHash(seq, p, base) for p, base in zip(PRIMES, BASES)] if len(a) else []
+    for k in range(rounds, -1, -1) if hashes else ():
+        fits = np.flatnonzero(b + lcp + (1 << k) <= len(seq))
+        x, y = a[fits] + lcp[fits], b[fits] + lcp[fits]
+        good = hashes[0].equal(x, y, 1 << k) & hashes[1].equal(x, y, 1 << k)
+        lcp[fits[good]] += 1 << k
+    np.maximum.at(out, a, lcp.astype(np.int32))
+    np.maximum.at(out, b, lcp.astype(np.int32))
     return out
 
 

@@ -63,6 +63,32 @@ def test_slices_do_not_matter(monkeypatch):
     assert all(np.array_equal(whole[k], parts[k]) for k in whole)
 
 
+def test_prefix_hashes_tell_stretches_apart():
+    rng = np.random.default_rng(5)
+    seq = rng.integers(0, 3, 400)
+    h = Q.PrefixHash(seq, Q.PRIMES[0], Q.BASES[0])
+    a, b = np.triu_indices(380, 1)
+    for size in (1, 5, 20):
+        same = (np.lib.stride_tricks.sliding_window_view(seq, size)[a]
+                == np.lib.stride_tricks.sliding_window_view(seq, size)[b]).all(1)
+        assert np.array_equal(h.equal(a, b, size), same)
+
+
+def test_long_repetitive_text_stays_small():
+    """One word 4 million times: all its suffixes share long prefixes."""
+    import subprocess
+    import sys
+    code = ("import resource\n"
+            "from cosignal.llm import quality as Q\n"
+            "t = b'x ' * 4_000_000\n"
+            "base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+            "m = Q.measure([t])\n"
+            "assert m['longest_repeat'][0] == 3_999_999 and m['n_repeat_words'][0] == 4_000_000\n"
+            "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)\n")
+    used = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert used < 700
+
+
 def test_awkward_rows(spark):
     docs = messy(spark)
     got = Q.judge(docs).collect()
