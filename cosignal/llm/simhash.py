@@ -39,8 +39,8 @@ SHINGLE = 4
 TAU = 4
 SEED = 42
 SAMPLE = 2048           # fingerprints the plan is estimated from, at most
-PARTS = 3               # parts of the bits; fixed, so probes grow in step with the rows
-MAX_PROBES = 400        # values one fingerprint may probe in one part
+PARTS = 3               # most parts of the bits, as long as such a plan exists
+MAX_PROBES = 1000       # values one fingerprint may probe in one part
 BUCKET_ROWS = 4096      # larger buckets are cut into blocks
 PAIRS_AT_ONCE = 2_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -130,29 +130,49 @@ def allocate(costs: list[list[float]], tau: int) -> tuple[float, tuple[int, ...]
     return best.get(tau + 1, (float("inf"), ()))
 
 
-def make_plan(sample: np.ndarray, total: int, tau: int = TAU, m: int = PARTS) -> Plan:
+def part_costs(bits: np.ndarray, part: list[int], total: int, tau: int) -> list[float]:
+    """Cost of the thresholds -1, 0, 1, ... in one part: values probed by ``total`` fingerprints,
+    and pairs that meet; up to the last threshold of at most ``MAX_PROBES`` values."""
+    n, x = len(bits), bits[:, part]
+    ones = x.sum(axis=1)
+    apart = (ones[:, None] + ones[None, :] - 2 * (x @ x.T)).round().astype(np.int8)
+    seen = np.bincount(apart[np.triu_indices(n, 1)], minlength=tau + 1)
+    row, probes = [0.0], 0
+    for t in range(min(tau, len(part)) + 1):
+        probes += comb(len(part), t)
+        if probes > MAX_PROBES:
+            break
+        # Pairs at most t apart in this part, never estimated below chance.
+        share = max(seen[:t + 1].sum() / max(1, n * (n - 1) / 2), probes / 2.0 ** len(part))
+        row.append(total * probes + share * total * (total - 1) / 2)
+    return row
+
+
+def make_plan(sample: np.ndarray, total: int, tau: int = TAU, m: int | None = None) -> Plan:
     """The cheapest plan for ``total`` distinct fingerprints, judged on ``sample``
-    (distinct int64 fingerprints, at most ``SAMPLE``)."""
+    (distinct int64 fingerprints, at most ``SAMPLE``), with ``m`` parts if that is given.
+
+    Fewer, longer parts cost more probes a fingerprint and fewer chance pairs, whose number grows
+    with the square of ``total``; so few parts win for many fingerprints. Up to ``PARTS``
+    parts are compared; more are tried where no threshold within ``MAX_PROBES`` does, that is
+    for large ``tau``. With more parts than that small tables would need fewer probes, but
+    the probes a fingerprint would jump as a table grows.
+    """
+    if not 0 <= tau < BITS:
+        raise ValueError(f"tau must be 0 to {BITS - 1}, not {tau}")
     raw = sample.astype("<i8").view(np.uint8).reshape(-1, 8)
     bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.float32)
-    n = len(sample)
-    parts = group_bits(bits, m) if n > 1 else [list(range(i, BITS, m)) for i in range(m)]
-    costs = []
-    for part in parts:
-        x = bits[:, part]
-        ones = x.sum(axis=1)
-        apart = (ones[:, None] + ones[None, :] - 2 * (x @ x.T)).round().astype(np.int8)
-        seen = np.bincount(apart[np.triu_indices(n, 1)], minlength=tau + 1)
-        row, probes = [0.0], 0
-        for t in range(tau + 1):
-            probes += comb(len(part), t)
-            if probes > MAX_PROBES:
-                break
-            # Pairs at most t apart in this part, never estimated below chance.
-            share = max(seen[:t + 1].sum() / max(1, n * (n - 1) / 2), probes / 2.0 ** len(part))
-            row.append(total * probes + share * total * (total - 1) / 2)
-        costs.append(row)
-    return Plan(tuple(map(tuple, parts)), allocate(costs, tau)[1])
+    few, many = range(2, PARTS + 1), range(PARTS + 1, max(PARTS, min(tau, BITS - 1) + 1) + 1)
+    for choices in ((m,),) if m else (few, many):
+        found = []
+        for k in choices:
+            parts = group_bits(bits, k) if len(sample) > 1 else [list(range(i, BITS, k)) for i in range(k)]
+            cost, chosen = allocate([part_costs(bits, p, total, tau) for p in parts], tau)
+            if chosen:
+                found.append((cost, Plan(tuple(map(tuple, parts)), chosen)))
+        if found:
+            return min(found, key=lambda x: x[0])[1]
+    raise ValueError(f"no plan for distance {tau}: every choice of parts needs more than {MAX_PROBES} probes in one of them")
 
 
 def plan(fps: DataFrame, tau: int = TAU, sample: int = SAMPLE) -> Plan:

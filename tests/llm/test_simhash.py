@@ -95,6 +95,36 @@ def test_allocation_is_the_best_sum():
         assert cost == best
 
 
+def test_every_distance_has_an_exact_plan_or_a_clear_error():
+    """All pairs within tau of a small set differ by at most t_i bits in some part."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(-2 ** 63, 2 ** 63, 60)
+    near = [b ^ np.int64(sum(1 << int(i) for i in rng.choice(62, k, replace=False))) for b in base for k in (1, 4, 9, 16)]
+    fps = np.unique(np.concatenate([base, near]))
+    bit = np.unpackbits(fps.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(int)
+    apart = (bit[:, None, :] != bit[None, :, :])
+    for tau in range(17):
+        plan = S.make_plan(fps, 10 ** 6, tau)
+        assert sorted(b for p in plan.parts for b in p) == list(range(64))
+        assert sum(plan.thresholds) == tau - len(plan.parts) + 1
+        hit = np.zeros(apart.shape[:2], bool)
+        for p, t in zip(plan.parts, plan.thresholds):
+            hit |= apart[:, :, list(p)].sum(2) <= t
+        assert hit[apart.sum(2) <= tau].all()
+    for bad in (-1, 64):
+        with pytest.raises(ValueError, match="tau"):
+            S.make_plan(fps, 100, bad)
+    with pytest.raises(ValueError, match="no plan"):
+        S.make_plan(fps, 100, 60, m=2)
+
+
+def test_few_parts_for_many_fingerprints():
+    """Chance pairs per fingerprint stay bounded as the table grows."""
+    fps = np.unique(np.random.default_rng(8).integers(-2 ** 63, 2 ** 63, 2048))
+    counts = [len(S.make_plan(fps, n).parts) for n in (10 ** 4, 10 ** 6, 10 ** 8, 10 ** 10)]
+    assert counts[:2] == [3, 3] and counts[-1] == 2
+
+
 def test_any_plan_is_exact(spark):
     fps = [r.fp for r in S.near_duplicates(messy(spark)).select("fp").distinct().collect()]
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
