@@ -7,13 +7,14 @@ events contributes only its top rows to the exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cosignal.functions import presentation as X
 from cosignal.functions.names import canonical_pair
 from cosignal.operators.graph import drug_catalog as distinct_drugs
 from cosignal.sources.buckets import Bucketed
+from cosignal.sources.tables import path_exists, read_first
 
 PAIR = ["drug_a", "drug_b"]
 RANK_DIGITS = 9
@@ -96,6 +97,16 @@ def encoder_catalog(encoders: DataFrame) -> DataFrame:
     return encoders.select("drug").distinct().dropna().orderBy("drug")
 
 
+def stored_catalog(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Sorted drug names of a build (``plans.build.artefacts``): of its encoders, or, where those
+    are missing or empty, of its signal table in either layout."""
+    if path_exists(spark, paths["encoders"]):
+        found = encoder_catalog(spark.read.parquet(paths["encoders"]))
+        if not found.isEmpty():
+            return found
+    return drug_catalog(read_first(spark, [paths["signals_by_pair"], paths["signals"]]))
+
+
 def drug_search(catalog: DataFrame, query: str) -> DataFrame:
     """Case-insensitive substring match on drug names."""
     return catalog.filter(F.lower("drug").contains(query.lower()))

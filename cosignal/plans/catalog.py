@@ -500,6 +500,20 @@ def encoder_catalog(spark, sf_dir):
     return RP.encoder_catalog(spark.read.parquet(path))
 
 
+def stored_catalog(spark, sf_dir):
+    """The catalog of two builds: one with encoders, one that only has its signal table."""
+    sig = stage_signals(spark, sf_dir)
+    out = []
+    for kind in ("encoders", "signals_by_pair"):
+        paths = artefacts(_scratch(spark, f"build-{kind}"))
+        if kind == "encoders":
+            T.write_encoders(FE.drug_encoders(sig), paths[kind])
+        else:
+            S.write_signals(sig, paths[kind], layout="pair")
+        out.append(RP.stored_catalog(spark, paths).withColumn("source", F.lit(kind)))
+    return out[0].unionByName(out[1])
+
+
 def pair_lookup_upper_trim(spark, sf_dir):
     """Lookups whose names are only upper-cased and trimmed."""
     return round_doubles(RP.pair_lookup(pair_requests(spark, sf_dir), build_signals(spark, sf_dir), "upper_trim"))
@@ -812,6 +826,7 @@ QUERIES: dict[str, Query] = {
     "score_facts": score_facts,
     "score_agreement": score_agreement,
     "encoder_catalog": encoder_catalog,
+    "stored_catalog": stored_catalog,
     "pair_lookup_upper_trim": pair_lookup_upper_trim,
     "model_facts": model_facts,
     "stored_features": stored_features,

@@ -403,6 +403,8 @@ ORACLE.update({
     "signals_from_pair_event_files": ORACLE["signals"],
     "streamed_counters": ORACLE["pair_event_counts"],
     "streamed_reports": ORACLE["pair_event_counts"],
+    "stored_catalog": with_chain("SELECT drug, source FROM (SELECT drug_a AS drug FROM signals UNION SELECT drug_b FROM signals), "
+                                 "(VALUES ('encoders'), ('signals_by_pair')) s(source)"),
     "drug_search_batch": with_chain(
         "SELECT query, drug FROM (SELECT substr(x, 2, n) AS query FROM (SELECT DISTINCT x, unnest(range(0, 7)) AS n FROM ("
         "SELECT upper(p_name) AS x FROM part UNION SELECT p_name FROM part UNION SELECT p_brand FROM part)) "

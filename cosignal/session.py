@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,7 +72,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     The shared folder named by ``spark.checkpoint.dir`` wins. Only a local-mode session
     without that setting (tests) gets a fresh scratch folder; a cluster session without
-    it is an error, because a machine-local folder would not survive a lost executor.
+    it is an error, because a machine-local folder would not survive a lost executor. Whether a
+    ``file:`` path or one without scheme is a mount that all machines share cannot be seen from
+    here, so on a cluster such a folder only draws a warning.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -80,6 +83,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if configured:
+        remote = sc.master.startswith("local-cluster") or not sc.master.startswith("local")
+        default = sc._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if remote and (configured if "://" in configured or configured.startswith("file:") else default).startswith("file:"):
+            warnings.warn(f"spark.checkpoint.dir {configured} must be a mount that all machines share", stacklevel=2)
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
     if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
