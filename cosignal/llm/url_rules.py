@@ -48,13 +48,45 @@ def host_rule(host: str, path: str, action: str) -> Rule:
 
 #: The method's own pattern rules, for urls that no host rule decides.
 DEFAULT_PATTERNS = (
-    *(Rule(f"download {x}", rf"\.{x}(?:[?#]|\Z)", "block") for x in ("exe", "zip", "apk", "iso", "dmg")),
-    *(Rule(x, rf"/{x}(?:[/?#]|\Z)", "block") for x in ("login", "signin", "checkout")),
-    Rule("session", r"[?&]sessionid=", "block"),
-    Rule("wp-admin", r"/wp-admin/", "block"),
-    Rule("casino", r"//(?:[^/?#]*\.)?casino\.", "block"),
+    *(Rule(f"download {x}", rf"(?i)\.{x}(?:[?#]|\Z)", "block") for x in ("exe", "zip", "apk", "iso", "dmg")),
+    *(Rule(x, rf"(?i)/{x}(?:[/?#]|\Z)", "block") for x in ("login", "signin", "checkout")),
+    Rule("session", r"(?i)[?&]sessionid=", "block"),
+    Rule("wp-admin", r"(?i)/wp-admin/", "block"),
+    Rule("casino", r"(?i)//(?:[^/?#]*\.)?casino\.", "block"),
 )
 
+#: Pieces of filter-list rules: the end of a name or the url; the start of a host name or of one
+#: of its domains.
+SEPARATOR = r"(?:[^0-9A-Za-z_.%-]|\Z)"
+HOST_START = r"\A[A-Za-z][0-9A-Za-z+.-]*://(?:[^/?#]*\.)?"
+
+
+def filter_rule(line: str, exception_rank: int = 1) -> Rule | None:
+    """A line of a filter list as a rule, or None for comments, empty lines and lines about page
+    elements or with options (other than ``match-case``), which do not judge urls alone.
+
+    ``||`` starts at a domain of the host, ``|`` is the url's start or end, ``*`` any characters,
+    ``^`` a separator or the end; letter case does not matter unless ``$match-case`` is given;
+    ``@@`` allows and outranks blocking rules. A line between slashes is a regular expression.
+    """
+    body, _, options = line.strip().partition("$") if not line.strip().endswith("$/") else (line.strip(), "", "")
+    if not body or body[0] in "![" or "##" in body or "#@#" in body or options not in ("", "match-case"):
+        return None
+    allow = body.startswith("@@")
+    text = body.removeprefix("@@")
+    flags = "" if options else "(?i)"
+    if len(text) > 2 and text[0] == text[-1] == "/":
+        return Rule(line, flags + text[1:-1], "allow" if allow else "block", "url", exception_rank * allow)
+    start = HOST_START if text.startswith("||") else r"\A" if text.startswith("|") else ""
+    text = text.removeprefix("||" if text.startswith("||") else "|")
+    end = r"\Z" if text.endswith("|") else ""
+    text = text.removesuffix("|")
+    parts = re.split(r"([*^])", text.strip("*") if not (start or end) else text)
+    pattern = "".join(".*" if p == "*" else SEPARATOR if p == "^" else re.escape(p) for p in parts)
+    if not pattern:
+        return None
+    return Rule(line, flags + start + pattern + end, "allow" if allow else "block", "url", exception_rank * allow)
+
 
 def literal_tokens(pattern: str) -> set[str]:
     """Lower-case letter-digit runs that are whole tokens of every match: literals in a row
@@ -70,6 +102,10 @@ def literal_tokens(pattern: str) -> set[str]:
         if kind is op.AT:
             return arg in (op.AT_BEGINNING_STRING, op.AT_END_STRING)
         if kind is op.IN:
+            if arg[0][0] is op.NEGATE:        # a class that leaves out all letters and digits
+                out = {c for k, v in arg[1:] for c in
+                       (range(v[0], v[1] + 1) if k is op.RANGE else [v] if k is op.LITERAL else ())}
+                return all(c in out for c in range(128) if alnum(c))
             return all(k is op.LITERAL and v < 128 and not alnum(v) for k, v in arg)
         if kind is op.SUBPATTERN:
             return len(arg[3]) == 1 and separator(arg[3][0])
