@@ -21,11 +21,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cosignal.llm.common import column, stage
+from cosignal.llm.common import column, shuffle_partitions, stage
 
 MAX_PASSES = 2.0        # repetition limit: passes over a source, against the least repeated
 TARGET_ENTROPY = 0.97   # wanted entropy of the weights, as a share of the largest possible
 BLOCK_DOCS = 1024       # documents wanted in a block
+PARTITION_ROWS = 20_000 # rows of the mixture a partition is meant to hold
 STEPS = 40              # halvings of the bisection
 LEVELS = 4              # halvings that one pass over the sources decides
 MIX_SEED = "mix"
@@ -177,5 +178,13 @@ def copies(docs: DataFrame, source: str = "source", target_entropy: float = TARG
 
 
 def mix_documents(docs: DataFrame, source: str = "source", **limits) -> DataFrame:
-    """The mixture's rows, a row per copy, with exactly the columns of ``docs``."""
-    return copies(docs, source, **limits).select("doc.*")
+    """The mixture's rows, a row per copy, with exactly the columns of ``docs``, in the order of
+    the mixture's permutation: every partition (their number follows from the rows) holds some ranges of positions, sorted, and so
+    does every file written from it. Positions are spread evenly over [0, 1), so equal ranges
+    are about equal in rows, and rows of any one source are dealt over all of them."""
+    made = copies(docs, source, **limits)
+    # At most about max_passes copies a row; four ranges a partition even out their hashes.
+    rows = docs.count() * limits.get("max_passes", MAX_PASSES)
+    parts = max(shuffle_partitions(docs.sparkSession), math.ceil(rows / PARTITION_ROWS))
+    return (made.select("doc", "position", "order_key", F.floor(F.col("position") * (4 * parts)).alias("range"))
+            .repartition(parts, "range").sortWithinPartitions("range", "position", "order_key").select("doc.*"))

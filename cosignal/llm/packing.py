@@ -36,7 +36,7 @@ CAPACITY = 4096
 END_ID = 2
 BLOCK = 512             # items packed together
 CACHE_WORDS = 1_000_000  # words whose ids a task remembers
-PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, doc_row long"
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -257,7 +257,9 @@ def pack(docs: DataFrame, tokenizer_path: str, carry: list[str] = ("doc_id",), t
     blank texts are one piece holding only the end id; repeated rows are packed each on
     their own; an empty table gives no rows; ``doc`` keeps carried columns apart from the
     piece's columns whatever their names. ``sequence_id`` is unique over the result
-    (input split number in the high bits) and not dense.
+    (input split number in the high bits) and not dense. ``doc_row``, unique in the same way,
+    numbers the input rows, so pieces of rows with equal ids (copies) can be told apart; the
+    input's order is kept: full pieces as they come, the others by blocks.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
@@ -272,8 +274,9 @@ def pack(docs: DataFrame, tokenizer_path: str, carry: list[str] = ("doc_id",), t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = Words(spec)
         next_id = TaskContext.get().partitionId() << 40
+        first_row = next_id          # of the batch
         docs_held: list[pa.Array] = []
-        items: list[tuple] = []      # (row in the block's docs, start, length, crc, tokens)
+        items: list[tuple] = []      # (row in the block's docs, start, length, crc, tokens, doc_row)
         rows_held = 0
 
         def out(doc, rows):
@@ -291,7 +294,7 @@ def pack(docs: DataFrame, tokenizer_path: str, carry: list[str] = ("doc_id",), t
             first = np.ones(len(order), bool)
             first[1:] = window[order][1:] != window[order][:-1]
             offset = before - np.maximum.accumulate(np.where(first, before, 0))
-            rows = [(*items[i][1:], next_id + int(window[i]), int(o)) for i, o in zip(order, offset)]
+            rows = [(*items[i][1:5], next_id + int(window[i]), int(o), items[i][5]) for i, o in zip(order, offset)]
             batch = out(doc.take(pa.array([items[i][0] for i in order])), rows)
             next_id += int(window.max()) + 1
             docs_held.clear()
@@ -300,8 +303,7 @@ def pack(docs: DataFrame, tokenizer_path: str, carry: list[str] = ("doc_id",), t
             return batch
 
         for batch in batches:
-            full, at = [], []
-            docs_held.append(batch.column("doc"))
+            full, at, before = [], [], len(items)
             for row, ids in enumerate(ids_of.whole_texts(batch.column("_text").to_pylist())):
                 total = len(ids) + 1
                 for start in range(0, total, capacity):
@@ -311,12 +313,15 @@ def pack(docs: DataFrame, tokenizer_path: str, carry: list[str] = ("doc_id",), t
                         crc, length = zlib.crc32(tail, crc), length + 1
                     piece = (start, length, crc, total)
                     if piece[1] == capacity:
-                        full.append((*piece, next_id, 0))
+                        full.append((*piece, next_id, 0, first_row + row))
                         at.append(row)
                         next_id += 1
                     else:
-                        items.append((rows_held + row, *piece))
-            rows_held += batch.num_rows
+                        items.append((rows_held + row, *piece, first_row + row))
+            first_row += batch.num_rows
+            if len(items) > before:          # a batch of full pieces only need not wait
+                docs_held.append(batch.column("doc"))
+                rows_held += batch.num_rows
             if full:
                 yield out(batch.column("doc").take(pa.array(at)), full)
             if len(items) >= block:
