@@ -36,8 +36,9 @@ def conversation_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` plus conversation -1 as reply trees: each turn answers the one
     before it (order: turn, role, text; rows that repeat stay separate turns)."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    control = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)],
-                                    "conv_id long, turn long, role string, text string")
+    control = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     placed = rows.unionByName(control).withColumn("msg_id", F.row_number().over(order).cast("long"))
     return placed.select(
