@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cosignal.functions.names import normalise
-from cosignal.operators.graph import dense_index
+from cosignal.operators.graph import ROWS_PER_RANGE, dense_index
 from cosignal.session import cut_lineage
 from cosignal.sources.reports import Reports
 
@@ -36,7 +36,8 @@ def build_dictionary(rep: Reports, mode: str = "clean") -> Dictionary:
     found = drugs.unionByName(events).filter("raw IS NOT NULL").distinct()
     clean = F.when(F.col("kind") == DRUG, normalise("raw", mode)).otherwise(F.col("raw"))
     found = cut_lineage(found.withColumn("name", clean).filter((F.col("kind") == EVENT) | (F.col("name") != "")), "names")
-    ids = dense_index(found.select("kind", "name").distinct(), ["kind", "name"], "id")
+    ranges = -(-found.count() // ROWS_PER_RANGE)             # raw names are no fewer than names
+    ids = dense_index(found.select("kind", "name").distinct(), ["kind", "name"], "id", ranges)
     ids = ids.select("kind", "name", F.col("id").cast("int").alias("id"))
     return Dictionary(raw=found.join(ids, ["kind", "name"]),
                       drugs=ids.filter(F.col("kind") == DRUG).select(F.col("name").alias("drug"), "id"),
