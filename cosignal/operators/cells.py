@@ -16,48 +16,36 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cosignal.operators.dictionary import DRUG, EVENT, Dictionary, encode_drugs, encode_events
-from cosignal.session import cut_lineage
+from cosignal.operators.dictionary import Dictionary, encode_drugs, encode_events
+from cosignal.operators.pairs import DEMO, DRUG, EVENT, ROWS_PER_PART, ROWS_PER_TASK, merged_rows, of_report, pieces
+from cosignal.session import collecting, cut_lineage
 from cosignal.sources.reports import Reports
 
 REPORT = ["quarter", "PRIMARYID"]
-DEMO = 2
 CELL_DRUGS = 64
 CELL_ROWS = 1_000_000
-ROWS_PER_TASK = 4_000_000      # exploded rows a task is meant to see
 
 
 def coded_reports(rep: Reports, d: Dictionary) -> DataFrame:
     """quarter, PRIMARYID, ds, fs, m: the distinct drug ids in order, (event, reaction rows), and
     the number of demographic rows of each report.
 
-    The three tables share both shuffles. Equal rows are merged before the second one, so a
-    report of any number of rows arrives there with at most one row per dictionary entry, and
-    the arrays are bounded by the dictionary, not by the data.
+    The three tables share both shuffles (``merged_rows``), so the arrays are bounded by the
+    dictionary, not by the data.
     """
     key = [F.col(c) for c in REPORT]
     rows = (encode_drugs(rep, d).select(*key, F.lit(DRUG).alias("kind"), F.col("drug").alias("id"))
             .unionByName(encode_events(rep, d).select(*key, F.lit(EVENT).alias("kind"), F.col("event").alias("id")))
             .unionByName(rep.demo.filter(F.col("PRIMARYID").isNotNull())
                          .select(*key, F.lit(DEMO).alias("kind"), F.lit(None).cast("int").alias("id"))))
-    merged = rows.groupBy(*REPORT, "kind", "id").agg(F.count(F.lit(1)).alias("n"))
-    of = lambda kind, value: F.when(F.col("kind") == kind, value)
-    return (merged.groupBy(*REPORT)
-            .agg(F.collect_list(of(DRUG, F.col("id"))).alias("ds"),
-                 F.collect_list(of(EVENT, F.struct(F.col("id").alias("event"), F.col("n").alias("w")))).alias("fs"),
-                 F.max(of(DEMO, F.col("n"))).alias("m"))
+    return (merged_rows(rep, rows, "kind", "id").groupBy(*REPORT)
+            .agg(F.collect_list(of_report(DRUG, F.col("id"))).alias("ds"),
+                 F.collect_list(of_report(EVENT, F.struct(F.col("id").alias("event"), F.col("n").alias("w")))).alias("fs"),
+                 F.max(of_report(DEMO, F.col("n"))).alias("m"))
             .filter((F.size("ds") >= 2) & (F.size("fs") > 0) & F.col("m").isNotNull())
             .withColumn("ds", F.sort_array("ds")))
 
 
-def pieces(array: str, size: int) -> F.Column:
-    """The array cut into pieces of ``size`` (itself, if short)."""
-    whole = F.col(array)
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / size).cast("int")),
-                      lambda i: F.slice(whole, i * size + 1, size))
-    return F.when(F.size(whole) <= size, F.array(whole)).otherwise(cut)
-
-
 def report_cells(rep: Reports, d: Dictionary, cell_drugs: int = CELL_DRUGS,
                  cell_rows: int = CELL_ROWS) -> DataFrame:
     """quarter, cell, da, db, fs, m, pairs, rows: all cells that yield a row. ``cell`` is a hash
@@ -84,7 +72,8 @@ def store_cells(rep: Reports, d: Dictionary, cell_drugs: int = CELL_DRUGS, cell_
     """The cells written once; their exploded rows are counted on the way."""
     seen = Observation()
     made = report_cells(rep, d, cell_drugs, cell_rows).observe(seen, F.sum("rows").alias("rows"))
-    return Cells(cut_lineage(made, "cells"), seen.get["rows"] or 0)
+    with collecting(made.sparkSession, ROWS_PER_PART):
+        return Cells(cut_lineage(made, "cells"), seen.get["rows"] or 0)
 
 
 def dealt(cells: Cells) -> DataFrame:

@@ -20,12 +20,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cosignal.functions.names import normalise
 from cosignal.operators import cells as CE
 from cosignal.operators.dictionary import Dictionary, build_dictionary, decode
 from cosignal.operators.iceberg import SketchSize, frequent
 from cosignal.operators.pairs import (DEFAULT_CELL_DRUGS, DEFAULT_CELL_ROWS, REPORT,
                                       clean_drugs, explode_pairs, multi_drug_reports,
-                                      report_event_weights)
+                                      merged_rows, parts_for, report_event_weights)
 from cosignal.session import cut_lineage
 from cosignal.sources.reports import Reports
 
@@ -97,13 +98,25 @@ def count_rows(pair_events: DataFrame) -> Counts:
     return totals_from_pair_events(cut_lineage(pec, "pair-event-counts"))
 
 
+def report_event_rows(rep: Reports, mode: str = "clean") -> DataFrame:
+    """quarter, PRIMARYID, event, rows: pair-event rows of every report and event. All sides are
+    dealt by report over as many tasks as the report rows ask for, so the memory of a task does not
+    grow with the input."""
+    parts, named = parts_for(rep), F.col("PRIMARYID").isNotNull()
+    drugs = rep.drug.filter(named).select(*REPORT, normalise("DRUGNAME", mode).alias("drug")).filter("drug != ''")
+    pairs = (merged_rows(rep, drugs, "drug", parts=parts).groupBy(*REPORT).agg(F.count(F.lit(1)).alias("k"))
+             .filter("k >= 2").select(*REPORT, (F.col("k") * (F.col("k") - 1) / 2).cast("bigint").alias("pairs")))
+    demo = rep.demo.filter(named).select(*REPORT).repartition(parts, *REPORT).groupBy(*REPORT).agg(F.count(F.lit(1)).alias("m"))
+    events = merged_rows(rep, rep.reac.filter(named).select(*REPORT, F.col("PT").alias("event")), "event", parts=parts)
+    return (events.join(pairs.join(demo, REPORT), REPORT)
+            .select(*REPORT, "event", (F.col("n") * F.col("m") * F.col("pairs")).alias("rows")))
+
+
 def event_totals_factored(rep: Reports, mode: str = "clean") -> tuple[DataFrame, Column]:
     """(event, event_total) and N from sums per report, without any pair explosion."""
-    weights = report_event_weights(rep, multi_drug_reports(clean_drugs(rep.drug, mode)))
-    n_pairs = (F.col("k") * (F.col("k") - 1) / 2).cast("bigint")
-    event = weights.groupBy("event").agg(
-        F.sum(F.col("w") * n_pairs).cast("bigint").alias("event_total"))
-    return event, weights.agg(F.sum(F.col("w") * n_pairs).cast("bigint")).scalar()
+    rows = report_event_rows(rep, mode)
+    event = rows.groupBy("event").agg(F.sum("rows").cast("bigint").alias("event_total"))
+    return event, rows.agg(F.sum("rows").cast("bigint")).scalar()
 
 
 def pair_totals_factored(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
@@ -126,8 +139,4 @@ def count_factored(rep: Reports, mode: str = "clean",
 
 def batch_totals(rep: Reports, mode: str = "clean") -> DataFrame:
     """Pair-event rows per quarter (the per-batch running total), without any explosion."""
-    drugs = clean_drugs(rep.drug, mode)
-    reports = multi_drug_reports(drugs)
-    weights = report_event_weights(rep, reports)
-    return weights.groupBy("quarter").agg(
-        F.sum(F.col("w") * (F.col("k") * (F.col("k") - 1) / 2).cast("bigint")).cast("bigint").alias("n"))
+    return report_event_rows(rep, mode).groupBy("quarter").agg(F.sum("rows").cast("bigint").alias("n"))

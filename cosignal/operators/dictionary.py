@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 
 from cosignal.functions.names import normalise
 from cosignal.operators.graph import ROWS_PER_RANGE, dense_index
+from cosignal.operators.pairs import DRUG, EVENT
 from cosignal.session import cut_lineage
 from cosignal.sources.reports import Reports
 
-DRUG, EVENT = 0, 1
-
-
 @dataclass
 class Dictionary:
     raw: DataFrame       # kind, raw, name, id: several raw drug names may share a name
@@ -39,7 +37,11 @@ def build_dictionary(rep: Reports, mode: str = "clean") -> Dictionary:
     ranges = -(-found.count() // ROWS_PER_RANGE)             # raw names are no fewer than names
     ids = dense_index(found.select("kind", "name").distinct(), ["kind", "name"], "id", ranges)
     ids = ids.select("kind", "name", F.col("id").cast("int").alias("id"))
-    return Dictionary(raw=found.join(ids, ["kind", "name"]),
+    # Stored, so that the planner knows the size: a small dictionary is broadcast to the report
+    # rows, which are never shuffled by name then.
+    raw = cut_lineage(found.join(ids, ["kind", "name"]), "raw-names")
+    ids = cut_lineage(ids, "name-ids") if ranges > 1 else ids
+    return Dictionary(raw=raw,
                       drugs=ids.filter(F.col("kind") == DRUG).select(F.col("name").alias("drug"), "id"),
                       events=ids.filter(F.col("kind") == EVENT).select(F.col("name").alias("event"), "id"))
 

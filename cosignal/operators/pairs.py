@@ -3,28 +3,65 @@
 A report (quarter, PRIMARYID) with ``k`` distinct drugs yields ``k(k-1)/2`` pairs; every
 pair is combined with each of the report's facts (reaction rows, or one row per event).
 
-One plan serves reports of any size. Its unit of work is a cell, (drug row, drug column,
-fact slice) of one report: drugs are dealt by hash over ``g`` rows on the left side and ``g``
-columns on the right, facts over ``s`` slices, so every (pair, fact) meets in exactly one
-cell. ``g`` and ``s`` follow from the report's product of pairs and facts: a cell holds at
-most about ``cell_drugs`` drugs a side and yields at most about ``cell_rows`` rows. An
-ordinary report is one cell; a huge one is spread over many tasks. The three sides are
-shuffled by the cell once, and both joins run on that partitioning. Everything counted per
-report is aggregated before its shuffle.
+One plan serves reports of any size. Its unit of work is a cell: two pieces of a report's drugs
+and a slice of its facts, so that every (pair, fact) lies in exactly one cell and a cell yields at
+most about ``cell_rows`` rows. An ordinary report is one cell; a huge one is spread over many tasks.
+
+* ``pair_events`` collects a report's distinct drugs, events and demographic values, cuts them
+  into cells and multiplies the cells out inside the tasks they are dealt to.
+* ``explode_pairs`` takes any facts table: drugs are dealt by hash over ``g`` rows on the left
+  side and ``g`` columns on the right, facts over ``s`` slices; ``g`` and ``s`` follow from the
+  report's product of pairs and facts. The three sides are shuffled by the cell once, and
+  both joins run on that partitioning.
+
+Everything counted per report is aggregated before its shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cosignal.functions.names import normalise
+from cosignal.session import collecting, cut_lineage
 from cosignal.sources.reports import Reports
 
 REPORT = ["quarter", "PRIMARYID"]
 CELL = REPORT + ["cell_a", "cell_b", "cell_s"]
 DEFAULT_CELL_DRUGS = 512
 DEFAULT_CELL_ROWS = 1_000_000
+DRUG, EVENT, DEMO = 0, 1, 2    # kinds of report rows
+ROWS_PER_PART = 400_000        # report rows a task is meant to merge
+ROWS_PER_TASK = 4_000_000      # exploded rows a task is meant to see
+
+
+def parts_for(rep: Reports) -> int:
+    """Tasks for the report rows: these are counted (a look at the footers of stored tables),
+    because adaptive execution sees their compressed bytes only, and the memory of a task follows
+    its rows."""
+    rows = sum(df.count() for df in (rep.demo, rep.drug, rep.reac))
+    return max(rep.drug.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_PART))
+
+
+def merged_rows(rep: Reports, rows: DataFrame, *by: str, parts: int | None = None) -> DataFrame:
+    """Equal rows (report and ``by``) once with their number ``n``, dealt by report: a
+    report of any number of rows arrives there with its distinct rows only. Both shuffles go
+    over as many tasks as the rows ask for; aggregations by report need no other."""
+    parts = parts or parts_for(rep)
+    return (rows.repartition(parts, *REPORT, *by).groupBy(*REPORT, *by).agg(F.count(F.lit(1)).alias("n"))
+            .repartition(parts, *REPORT))
+
+
+def of_report(kind: int, value: F.Column) -> F.Column:
+    return F.when(F.col("kind") == kind, value)
+
+
+def pieces(array: str, size: int | F.Column) -> F.Column:
+    """The array cut into pieces of ``size`` (itself, if short)."""
+    whole = F.col(array)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / size).cast("int")),
+                      lambda i: F.slice(whole, i * size + 1, size))
+    return F.when(F.size(whole) <= size, F.array(whole)).otherwise(cut)
 
 
 def clean_drugs(drug: DataFrame, mode: str = "clean") -> DataFrame:
@@ -107,25 +144,72 @@ def explode_pairs(drugs: DataFrame, facts: DataFrame, deal_by: list[str],
     return pairs.join(dealt, CELL).select(*REPORT, "drug_a", "drug_b", *payload)
 
 
+def report_facts(rep: Reports, mode: str = "clean") -> DataFrame:
+    """quarter, PRIMARYID, ds, es, gs: the distinct drugs in order, (event, reaction rows) and
+    (age, gender, demographic rows) of each report with two drugs, a reaction and a
+    demographic row at least."""
+    key = [F.col(c) for c in REPORT]
+    none = F.lit(None).cast("string")
+    rows = (rep.drug.select(*key, F.lit(DRUG).alias("kind"), normalise("DRUGNAME", mode).alias("name"), none.alias("gender"))
+            .filter(F.col("name") != "")
+            .unionByName(rep.reac.select(*key, F.lit(EVENT).alias("kind"), F.col("PT").alias("name"), none.alias("gender")))
+            # The age travels as text, exactly: a floating-point key would be shuffled once more.
+            .unionByName(rep.demo.select(*key, F.lit(DEMO).alias("kind"), (F.col("AGE") + 0.0).cast("string").alias("name"),
+                                         F.col("SEX").alias("gender")))
+            .filter(F.col("quarter").isNotNull() & F.col("PRIMARYID").isNotNull()))
+    n = F.col("n")
+    return (merged_rows(rep, rows, "kind", "name", "gender").groupBy(*REPORT)
+            .agg(F.sort_array(F.collect_list(of_report(DRUG, F.col("name")))).alias("ds"),
+                 F.collect_list(of_report(EVENT, F.struct(F.col("name").alias("event"), n.alias("r")))).alias("es"),
+                 F.collect_list(of_report(DEMO, F.struct(F.col("name").cast("double").alias("age"), "gender", n.alias("m")))).alias("gs"))
+            .filter((F.size("ds") >= 2) & (F.size("es") > 0) & (F.size("gs") > 0)))
+
+
+def pair_event_cells(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
+                     cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
+    """quarter, cell, da, db, age, gender, fs, rows: the cells of all reports that yield a row
+    (two chunks of drugs, a slice of facts (event, n) and a demographic value), each of at most
+    about ``cell_rows`` rows. ``cell`` is a hash to deal them by."""
+    chunked = report_facts(rep, mode).withColumn("chunks", pieces("ds", cell_drugs)).drop("ds")
+    sides = (chunked.select(*REPORT, "es", "gs", "chunks", F.posexplode("chunks").alias("ca", "da"))
+             .select(*REPORT, "es", "gs", "ca", "da", F.posexplode("chunks").alias("cb", "db")).filter("ca <= cb"))
+    n, k = F.size("da").cast("long"), F.size("db").cast("long")
+    pairs = F.when(F.col("ca") < F.col("cb"), n * k).otherwise((n * (n - 1) / 2).cast("long"))
+    # ``most``: times a pair may meet a fact in one cell; more of them are cut into chunks.
+    sized = (sides.withColumn("pairs", pairs).filter("pairs > 0")
+             .withColumn("most", F.greatest(F.lit(1), F.floor(F.lit(cell_rows) / F.col("pairs"))).cast("long"))
+             .select(*REPORT, "es", "ca", "da", "cb", "db", "pairs", "most", F.posexplode("gs").alias("g", "who")))
+    m, most = F.col("who.m"), F.col("most")
+    facts = F.flatten(F.transform("es", lambda e: F.transform(
+        F.sequence(F.lit(0).cast("long"), F.floor((e["r"] * m - 1) / most)),
+        lambda c: F.struct(e["event"].alias("event"), F.least(most, e["r"] * m - c * most).cast("int").alias("n")))))
+    largest = F.array_max(F.transform("fs", lambda f: f["n"]))
+    slices = pieces("fs", F.greatest(F.lit(1), F.floor(most / largest)).cast("int"))
+    return (sized.withColumn("fs", facts)
+            .select(*REPORT, "ca", "da", "cb", "db", "pairs", "g", "who", F.posexplode(slices).alias("slice", "fs"))
+            .select("quarter", F.xxhash64(*REPORT, "ca", "cb", "g", "slice").alias("cell"), "da", "db",
+                    F.col("who.age").alias("age"), F.col("who.gender").alias("gender"), "fs",
+                    (F.col("pairs") * F.aggregate("fs", F.lit(0).cast("long"), lambda s, f: s + f["n"])).alias("rows")))
+
+
 def pair_events(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
                 cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
     """The pair-event rows: drug_a, drug_b, event, age, gender, quarter.
 
     One row per (pair of distinct drugs, reaction row, demographic row) of a report;
     reactions and demographics are not de-duplicated; reports without a reaction or
-    demographic row drop out (inner joins). Equal reaction and demographic rows of a report
-    travel once with their number, in chunks of at most ``cell_rows``, and are multiplied
-    out after the joins.
+    demographic row drop out. Equal reaction and demographic rows of a report travel once with
+    their number. Cells are stored, dealt to tasks by their hash (as many tasks as the rows
+    they yield ask for) and multiplied out inside the task.
     """
-    drugs = clean_drugs(rep.drug, mode)
-    demo = (rep.demo.filter(F.col("PRIMARYID").isNotNull())
-            .groupBy(*REPORT, F.col("AGE").alias("age"), F.col("SEX").alias("gender"))
-            .agg(F.count(F.lit(1)).alias("m")))
-    facts = event_counts_of_reports(rep).join(demo, REPORT).withColumn("n", F.col("r") * F.col("m"))
-    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / cell_rows)))
-    facts = facts.withColumn("chunk", chunk).select(
-        *REPORT, "event", "age", "gender", "chunk",
-        F.least(F.lit(cell_rows), F.col("n") - F.col("chunk") * cell_rows).cast("int").alias("n"))
-    out = explode_pairs(drugs, facts, ["event", "age", "gender", "chunk"], cell_drugs, cell_rows)
-    return (out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-            .select("drug_a", "drug_b", "event", "age", "gender", "quarter"))
+    seen = Observation()
+    made = pair_event_cells(rep, mode, cell_drugs, cell_rows).observe(seen, F.sum("rows").alias("rows"))
+    with collecting(made.sparkSession, ROWS_PER_PART):
+        cells = cut_lineage(made, "pair-event-cells")
+    n = max(cells.sparkSession.sparkContext.defaultParallelism, -(-(seen.get["rows"] or 0) // ROWS_PER_TASK))
+    events = F.flatten(F.transform("fs", lambda f: F.array_repeat(f["event"], f["n"])))
+    who = ["age", "gender", "quarter"]
+    return (cells.repartition(n, "cell").select("da", "db", events.alias("events"), *who)
+            .select(F.explode("da").alias("drug_a"), "db", "events", *who)
+            .select("drug_a", F.explode("db").alias("drug_b"), "events", *who).filter("drug_a < drug_b")
+            .select("drug_a", "drug_b", F.explode("events").alias("event"), *who))

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cosignal.session import cut_lineage
 from cosignal.sources.reports import Reports
 
 
@@ -40,7 +41,10 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("PRIMARYID"), F.col("l_partkey").alias("p_partkey"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     quarters = _orders(spark, sf_dir).select("PRIMARYID", "quarter")
-    return li.join(part, "p_partkey").join(quarters, "PRIMARYID")
+    # The narrow columns meet the orders first, names come last; stored, because every operator
+    # reads the drugs and the reactions several times.
+    lines = li.join(quarters, "PRIMARYID").join(part, "p_partkey")
+    return cut_lineage(lines.select("quarter", "PRIMARYID", "p_name", "p_brand", "p_type"), "lines")
 
 
 def proxy_reports(spark: SparkSession, sf_dir: str) -> Reports:
