@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cosignal.session import cut_lineage
+
 # Strings that the reports' original reader turns into a missing value
 # (pandas' default NA list), in natural order.
 NA_STRINGS = [
@@ -234,6 +236,12 @@ def read_files(spark: SparkSession, base: str, files: dict[str, list[str]], layo
     return Reports(**out)
 
 
+def stored(rep: Reports) -> Reports:
+    """The three tables stored, typed and columnar: the counters read each of them several times,
+    and text would be parsed every time."""
+    return Reports(demo=cut_lineage(rep.demo, "demo"), drug=cut_lineage(rep.drug, "drug"), reac=cut_lineage(rep.reac, "reac"))
+
+
 def reports_from_tables(demo: DataFrame, drug: DataFrame, reac: DataFrame) -> Reports:
     """Wrap already-typed tables (Parquet, Delta, a proxy) that carry the same columns."""
     return Reports(demo=demo.select("quarter", "PRIMARYID", "AGE", "SEX"),
@@ -247,10 +255,11 @@ TEXT_LAYOUT = "{base}/{prefix}/quarter={quarter}/*.csv"
 
 def write_quarters(rep: Reports, base: str, sep: str = "$", encoding: str = "ISO-8859-1") -> None:
     """Write report tables as delimited text files with a header line, in
-    ``TEXT_LAYOUT`` (one partitioned write per kind)."""
+    ``TEXT_LAYOUT`` (one partitioned write per kind). Rows are rebalanced by quarter: the
+    number of files follows their bytes, not the number of tasks that made the rows."""
     for kind, df in (("demo", rep.demo), ("drug", rep.drug), ("reac", rep.reac)):
         prefix, cols = KINDS[kind]
-        (df.select("quarter", *cols).write.mode("overwrite").partitionBy("quarter")
+        (df.select("quarter", *cols).hint("rebalance", "quarter").write.mode("overwrite").partitionBy("quarter")
          .option("header", True).option("sep", sep).option("encoding", encoding)
          .csv(f"{base.rstrip('/')}/{prefix}"))
 

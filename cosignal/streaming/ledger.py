@@ -103,13 +103,30 @@ def read_counts(spark: SparkSession, base: str) -> Counts:
     return merge_counters(read_runs(spark, base, list(read_manifest(spark, base).runs)))
 
 
-def quarter_counts(spark: SparkSession, source: str, files: dict[str, list[str]], layout: str) -> DataFrame | None:
+def whole_quarters(files: dict[str, list[str]], layout: str) -> dict[str, list[str]]:
+    """The quarters with files of all three kinds; the others count nothing."""
+    return {q: fs for q, fs in files.items() if RS.kinds_of(fs, layout) == set(RS.KINDS)}
+
+
+def quarter_counts(spark: SparkSession, source: str, files: dict[str, list[str]], layout: str,
+                   touched: DataFrame | None = None) -> DataFrame | None:
     """Summed pair-event counts of the quarters, from exactly these files; quarters that lack a
-    kind count nothing. None if there is no quarter to count."""
-    whole = {q: fs for q, fs in files.items() if RS.kinds_of(fs, layout) == set(RS.KINDS)}
+    kind count nothing. With ``touched`` (quarter, PRIMARYID) only those reports count. None if
+    there is no quarter to count."""
+    whole = whole_quarters(files, layout)
     if not whole:
         return None
-    return pair_event_counts(RS.read_files(spark, source, whole, layout))
+    rep = RS.read_files(spark, source, whole, layout)
+    if touched is not None:
+        rep = RS.Reports(*(df.join(touched, ["quarter", "PRIMARYID"], "left_semi") for df in (rep.demo, rep.drug, rep.reac)))
+    return pair_event_counts(RS.stored(rep))
+
+
+def reports_in(spark: SparkSession, source: str, files: dict[str, list[str]], layout: str) -> DataFrame:
+    """quarter, PRIMARYID of the reports that have a row in these files, stored."""
+    rep = RS.read_files(spark, source, files, layout)
+    keys = [df.select("quarter", "PRIMARYID") for df in (rep.demo, rep.drug, rep.reac)]
+    return cut_lineage(keys[0].unionByName(keys[1]).unionByName(keys[2]).distinct(), "touched-reports")
 
 
 def commit_files(spark: SparkSession, base: str, source: str, new_files: list[str], batch_id: int,
@@ -126,13 +143,22 @@ def commit_files(spark: SparkSession, base: str, source: str, new_files: list[st
     before = {q: m.files.get(q, []) for q in arrived}
     after = {q: before[q] + fs for q, fs in arrived.items()}
     runs = dict(m.runs)
-    added = quarter_counts(spark, source, after, layout)
-    if added is not None:
-        old = quarter_counts(spark, source, before, layout)
-        if old is not None:
-            keys = [*PAIR, "event"]
-            added = (added.unionByName(old.withColumn("a", -F.col("a"))).groupBy(*keys)
-                     .agg(F.sum("a").cast("bigint").alias("a")).filter("a != 0"))
+    # A quarter counted before changes by the reports that the new files hold rows of, and by
+    # no other: those are counted with and without the new files.
+    late = {q: fs for q, fs in after.items() if q in whole_quarters(before, layout)}
+    counts = [quarter_counts(spark, source, {q: fs for q, fs in after.items() if q not in late}, layout)]
+    if late:
+        touched = reports_in(spark, source, {q: arrived[q] for q in late}, layout)
+        counts.append(quarter_counts(spark, source, late, layout, touched))
+        old = quarter_counts(spark, source, {q: before[q] for q in late}, layout, touched)
+        counts.append(old.withColumn("a", -F.col("a")))
+    counts = [c for c in counts if c is not None]
+    if counts:
+        added = counts[0]
+        if len(counts) > 1:
+            for c in counts[1:]:
+                added = added.unionByName(c)
+            added = added.groupBy(*PAIR, "event").agg(F.sum("a").cast("bigint").alias("a")).filter("a != 0")
         run, rows = write_run(spark, base, added)
         runs[run] = rows
     done = Manifest(m.version + 1, runs, {**m.files, **after}, batch_id)
