@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cosignal.functions import presentation as X
 from cosignal.functions.names import canonical_pair
 from cosignal.operators.graph import drug_catalog as distinct_drugs
+from cosignal.session import cut_lineage
 from cosignal.sources.buckets import Bucketed
 from cosignal.sources.tables import path_exists, read_first
 
@@ -154,7 +155,9 @@ def of_bucketed(signals: Bucketed, requests: DataFrame) -> DataFrame:
     """As ``of_requests`` for a table of ``write_signals_bucketed``: the signal side of the join is
     read as it lies. A request table of at most ``FILTERED_PAIRS`` pairs also becomes a filter
     on ``pair_key``, so the scan skips row groups by their Bloom filters; the join decides."""
-    wanted = signals.match(requests.filter(F.col("status") == "ok").select(*PAIR)).distinct()
+    # Merged in the tasks that read the requests before they are dealt like the buckets: there may
+    # be one bucket only.
+    wanted = signals.match(requests.filter(F.col("status") == "ok").select(*PAIR).distinct())
     rows = signals.table
     few = [r[0] for r in wanted.select(F.xxhash64(*PAIR)).limit(FILTERED_PAIRS + 1).collect()]
     if len(few) <= FILTERED_PAIRS:
@@ -163,9 +166,10 @@ def of_bucketed(signals: Bucketed, requests: DataFrame) -> DataFrame:
 
 
 def bucketed_lookup(requests: DataFrame, signals: Bucketed, mode: str = "clean") -> DataFrame:
-    """``pair_lookup`` on a bucketed signal table: only requests are shuffled."""
-    req = request_status(requests, mode=mode)
-    return _looked_up(signals.match(req), pair_summary(of_bucketed(signals, req)))
+    """``pair_lookup`` on a bucketed signal table: the distinct requested pairs meet the buckets, the
+    requests only the summaries, which are stored so that few of them are broadcast."""
+    req = cut_lineage(request_status(requests, mode=mode), "requests")
+    return _looked_up(req, cut_lineage(pair_summary(of_bucketed(signals, req)), "summaries"))
 
 
 def pair_lookup(requests: DataFrame, signals: DataFrame, mode: str = "clean") -> DataFrame:
@@ -187,6 +191,8 @@ def _looked_up(req: DataFrame, summ: DataFrame) -> DataFrame:
 def pair_reports(requests: DataFrame, signals: DataFrame, mode: str = "clean") -> DataFrame:
     """``pair_lookup`` plus the sentence on each pair's top event; only requested pairs are
     ranked."""
-    req = request_status(requests, mode=mode)
-    return pair_lookup(requests, signals, mode).join(
-        explanations(of_requests(signals, req)), PAIR, "left")
+    req = cut_lineage(request_status(requests, mode=mode), "requests")
+    rows = cut_lineage(of_requests(signals, req), "requested-signals")
+    # One record a pair, stored: the requests meet them in one join.
+    records = cut_lineage(pair_summary(rows).join(explanations(rows), PAIR, "left"), "pair-reports")
+    return _looked_up(req, records)
