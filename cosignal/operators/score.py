@@ -67,17 +67,19 @@ def score_pairs(requests: DataFrame, encoders: DataFrame, tree_model: Model,
     ``mode='upper_trim'`` normalises names with upper case and trim only, as the
     reference's service did; the default uses the full name cleaner.
     """
-    # The canonical requests feed four branches (tree, graph, evidence, final join);
-    # store them once instead of recomputing the request table for each.
+    # The canonical requests feed the distinct pairs and the final join, the pairs three
+    # branches (tree, graph, evidence); both are stored once. The record of a pair is made
+    # once and stored too: the requests, many a pair, meet the records in one join that
+    # broadcasts them when their stored size allows.
     req = cut_lineage(request_status(requests, mode=mode), "requests")
-    ok = req.filter(F.col("status") == "ok").select(*PAIR).distinct()
+    ok = cut_lineage(req.filter(F.col("status") == "ok").select(*PAIR).distinct(), "requested-pairs")
     tree = tree_scores(ok, encoders, tree_model)
     graph = graph_scores(ok, emb, edge_model)
     ev = evidence_lists(ok, signals, k)
-    out = (req.join(tree, PAIR, "left").join(graph, PAIR, "left").join(ev, PAIR, "left")
-           .withColumn("evidence", F.coalesce("evidence", F.array().cast(
-               "array<struct<event:string,co_occurrences:bigint,PRR:double,risk_score:double>>"))))
-    return out
+    records = tree.join(graph, PAIR, "left").join(ev, PAIR, "left")
+    return (req.join(cut_lineage(records, "pair-records"), PAIR, "left")
+            .withColumn("evidence", F.coalesce("evidence", F.array().cast(
+                "array<struct<event:string,co_occurrences:bigint,PRR:double,risk_score:double>>"))))
 
 
 def score_stored(requests: DataFrame, paths: dict[str, str], k: int = 10, mode: str = "clean") -> DataFrame:
