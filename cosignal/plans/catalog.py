@@ -337,10 +337,19 @@ def _once(spark, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
     return _STORED[key]
 
 
+def _signals_by_pair(spark, sf_dir) -> str:
+    """The signal table in pair layout, written once per session: the tree's features and the
+    scorer's artefacts come from the same table."""
+    def write(path):
+        S.write_signals(stage_signals(spark, sf_dir), f"{path}/signals", layout="pair")
+
+    return f"{_once(spark, sf_dir, 'signals-by-pair', write)}/signals"
+
+
 def _tree(spark, sf_dir):
     """(features, boosted model, held-out pairs); fitted once per session."""
     def write(path):
-        T.write_features(FE.pair_features(stage_signals(spark, sf_dir)), f"{path}/features")
+        T.write_features(FE.pair_features(spark.read.parquet(_signals_by_pair(spark, sf_dir))), f"{path}/features")
         L.save_model(L.fit_tree_model(spark.read.parquet(f"{path}/features"), TREES)[0], f"{path}/model")
 
     path = _once(spark, sf_dir, "tree", write)
@@ -426,7 +435,7 @@ def store_artefacts(spark, sf_dir) -> dict[str, str]:
     """What the scorer loads (tables and fitted models), written once per session."""
     def write(out):
         paths = artefacts(out)
-        S.write_signals(build_signals(spark, sf_dir), paths["signals_by_pair"], layout="pair")
+        T.write_table(spark.read.parquet(_signals_by_pair(spark, sf_dir)), paths["signals_by_pair"])
         sig = spark.read.parquet(paths["signals_by_pair"])
         T.write_features(FE.pair_features(sig), paths["features"])
         T.write_encoders(FE.drug_encoders(sig), paths["encoders"])
@@ -622,7 +631,7 @@ def signals_from_text(spark, sf_dir):
     read back through the text reader, then the whole signal computation."""
     base = _scratch(spark, "reports-text")
     RS.write_quarters(proxy_reports(spark, sf_dir), base)
-    rep = RS.read_quarters(spark, base, RS.written_quarters(spark, base), layout=RS.TEXT_LAYOUT)
+    rep = RS.stored(RS.read_quarters(spark, base, RS.written_quarters(spark, base), layout=RS.TEXT_LAYOUT))
     return round_doubles(S.signals(C.count_pair_events(rep), min_support=MIN_SUPPORT))
 
 
