@@ -192,7 +192,6 @@ def pair_reports(requests: DataFrame, signals: DataFrame, mode: str = "clean") -
     """``pair_lookup`` plus the sentence on each pair's top event; only requested pairs are
     ranked."""
     req = cut_lineage(request_status(requests, mode=mode), "requests")
-    rows = cut_lineage(of_requests(signals, req), "requested-signals")
-    # One record a pair, stored: the requests meet them in one join.
-    records = cut_lineage(pair_summary(rows).join(explanations(rows), PAIR, "left"), "pair-reports")
-    return _looked_up(req, records)
+    rows = of_requests(signals, req)
+    # One record a pair: the requests, stored once, meet them in one join.
+    return _looked_up(req, pair_summary(rows).join(explanations(rows), PAIR, "left"))
