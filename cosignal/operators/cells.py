@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cosignal.operators.dictionary import Dictionary, encode_drugs, encode_events
-from cosignal.operators.pairs import DEMO, DRUG, EVENT, ROWS_PER_PART, ROWS_PER_TASK, merged_rows, of_report, pieces
+from cosignal.operators.pairs import DEMO, DRUG, EVENT, ORDER, ROWS_PER_TASK, of_report, pieces, sorted_rows
 from cosignal.session import collecting, cut_lineage
 from cosignal.sources.reports import Reports
 
@@ -30,15 +30,15 @@ def coded_reports(rep: Reports, d: Dictionary) -> DataFrame:
     """quarter, PRIMARYID, ds, fs, m: the distinct drug ids in order, (event, reaction rows), and
     the number of demographic rows of each report.
 
-    The three tables share both shuffles (``merged_rows``), so the arrays are bounded by the
-    dictionary, not by the data.
+    The three tables share one shuffle (``sorted_rows``), and equal rows are merged before they
+    are collected, so the arrays are bounded by the dictionary, not by the data.
     """
     key = [F.col(c) for c in REPORT]
     rows = (encode_drugs(rep, d).select(*key, F.lit(DRUG).alias("kind"), F.col("drug").alias("id"))
             .unionByName(encode_events(rep, d).select(*key, F.lit(EVENT).alias("kind"), F.col("event").alias("id")))
             .unionByName(rep.demo.filter(F.col("PRIMARYID").isNotNull())
                          .select(*key, F.lit(DEMO).alias("kind"), F.lit(None).cast("int").alias("id"))))
-    return (merged_rows(rep, rows, "kind", "id").groupBy(*REPORT)
+    return (sorted_rows(rep, rows, "kind", "id").groupBy(*ORDER)
             .agg(F.collect_list(of_report(DRUG, F.col("id"))).alias("ds"),
                  F.collect_list(of_report(EVENT, F.struct(F.col("id").alias("event"), F.col("n").alias("w")))).alias("fs"),
                  F.max(of_report(DEMO, F.col("n"))).alias("m"))
@@ -72,7 +72,7 @@ def store_cells(rep: Reports, d: Dictionary, cell_drugs: int = CELL_DRUGS, cell_
     """The cells written once; their exploded rows are counted on the way."""
     seen = Observation()
     made = report_cells(rep, d, cell_drugs, cell_rows).observe(seen, F.sum("rows").alias("rows"))
-    with collecting(made.sparkSession, ROWS_PER_PART):
+    with collecting(made.sparkSession):
         return Cells(cut_lineage(made, "cells"), seen.get["rows"] or 0)
 
 

@@ -20,13 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cosignal.functions.names import normalise
 from cosignal.operators import cells as CE
 from cosignal.operators.dictionary import Dictionary, build_dictionary, decode
 from cosignal.operators.iceberg import SketchSize, frequent
 from cosignal.operators.pairs import (DEFAULT_CELL_DRUGS, DEFAULT_CELL_ROWS, REPORT,
                                       clean_drugs, explode_pairs, multi_drug_reports,
-                                      merged_rows, parts_for, report_event_weights)
+                                      merged_rows, named_drugs, parts_for, report_event_weights)
 from cosignal.session import cut_lineage
 from cosignal.sources.reports import Reports
 
@@ -103,8 +102,7 @@ def report_event_rows(rep: Reports, mode: str = "clean") -> DataFrame:
     dealt by report over as many tasks as the report rows ask for, so the memory of a task does not
     grow with the input."""
     parts, named = parts_for(rep), F.col("PRIMARYID").isNotNull()
-    drugs = rep.drug.filter(named).select(*REPORT, normalise("DRUGNAME", mode).alias("drug")).filter("drug != ''")
-    pairs = (merged_rows(rep, drugs, "drug", parts=parts).groupBy(*REPORT).agg(F.count(F.lit(1)).alias("k"))
+    pairs = (merged_rows(rep, named_drugs(rep.drug, mode), "drug", parts=parts).groupBy(*REPORT).agg(F.count(F.lit(1)).alias("k"))
              .filter("k >= 2").select(*REPORT, (F.col("k") * (F.col("k") - 1) / 2).cast("bigint").alias("pairs")))
     demo = rep.demo.filter(named).select(*REPORT).repartition(parts, *REPORT).groupBy(*REPORT).agg(F.count(F.lit(1)).alias("m"))
     events = merged_rows(rep, rep.reac.filter(named).select(*REPORT, F.col("PT").alias("event")), "event", parts=parts)

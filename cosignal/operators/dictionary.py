@@ -31,7 +31,9 @@ def build_dictionary(rep: Reports, mode: str = "clean") -> Dictionary:
     """Ids of all non-empty cleaned drug names and all non-null event names of the reports."""
     drugs = rep.drug.select(F.lit(DRUG).alias("kind"), F.col("DRUGNAME").alias("raw"))
     events = rep.reac.select(F.lit(EVENT).alias("kind"), F.col("PT").alias("raw"))
-    found = drugs.unionByName(events).filter("raw IS NOT NULL").distinct()
+    # Stored before they are cleaned: the filter on the clean name would run below the distinct
+    # otherwise, on every row.
+    found = cut_lineage(drugs.unionByName(events).filter("raw IS NOT NULL").distinct(), "found-names")
     clean = F.when(F.col("kind") == DRUG, normalise("raw", mode)).otherwise(F.col("raw"))
     found = cut_lineage(found.withColumn("name", clean).filter((F.col("kind") == EVENT) | (F.col("name") != "")), "names")
     ranges = -(-found.count() // ROWS_PER_RANGE)             # raw names are no fewer than names

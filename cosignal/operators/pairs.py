@@ -27,6 +27,7 @@ from cosignal.session import collecting, cut_lineage
 from cosignal.sources.reports import Reports
 
 REPORT = ["quarter", "PRIMARYID"]
+ORDER = ["PRIMARYID", "quarter"]         # a report's key, the more telling part first
 CELL = REPORT + ["cell_a", "cell_b", "cell_s"]
 DEFAULT_CELL_DRUGS = 512
 DEFAULT_CELL_ROWS = 1_000_000
@@ -52,6 +53,17 @@ def merged_rows(rep: Reports, rows: DataFrame, *by: str, parts: int | None = Non
             .repartition(parts, *REPORT))
 
 
+def sorted_rows(rep: Reports, rows: DataFrame, *by: str) -> DataFrame:
+    """As ``merged_rows`` with one shuffle, each task's rows in the order of ``ORDER`` and ``by``.
+    While ``collecting``, this aggregation and one by ``ORDER`` above it take one group after the
+    other from the sorted rows: a task holds the distinct rows of one report only."""
+    # By number alone: the quarter is a literal where one quarter is read. A floating-point sum
+    # (exact here) depends on the order for Spark, which would drop the sort below a count.
+    return (rows.repartition(parts_for(rep), "PRIMARYID").sortWithinPartitions(*ORDER, *by)
+            .groupBy(*ORDER, *by).agg(F.sum(F.lit(1.0)).cast("bigint").alias("n"))
+            .sortWithinPartitions(*ORDER))      # they are; no second sort is run
+
+
 def of_report(kind: int, value: F.Column) -> F.Column:
     return F.when(F.col("kind") == kind, value)
 
@@ -64,6 +76,14 @@ def pieces(array: str, size: int | F.Column) -> F.Column:
     return F.when(F.size(whole) <= size, F.array(whole)).otherwise(cut)
 
 
+def named_drugs(drug: DataFrame, mode: str = "clean") -> DataFrame:
+    """quarter, PRIMARYID, drug of the rows with a name that is not empty: distinct raw names are
+    cleaned once each (stored, so that the planner knows their size)."""
+    raw = cut_lineage(drug.select("DRUGNAME").filter("DRUGNAME IS NOT NULL").distinct(), "raw-drugs")
+    names = cut_lineage(raw.select("DRUGNAME", normalise("DRUGNAME", mode).alias("drug")).filter("drug != ''"), "drug-names")
+    return drug.filter(F.col("PRIMARYID").isNotNull()).join(names, "DRUGNAME").select(*REPORT, "drug")
+
+
 def clean_drugs(drug: DataFrame, mode: str = "clean") -> DataFrame:
     """Normalise names, drop empty ones, keep one row per (report, drug)."""
     return (drug.select(*REPORT, normalise("DRUGNAME", mode).alias("drug"))
@@ -150,15 +170,14 @@ def report_facts(rep: Reports, mode: str = "clean") -> DataFrame:
     demographic row at least."""
     key = [F.col(c) for c in REPORT]
     none = F.lit(None).cast("string")
-    rows = (rep.drug.select(*key, F.lit(DRUG).alias("kind"), normalise("DRUGNAME", mode).alias("name"), none.alias("gender"))
-            .filter(F.col("name") != "")
+    rows = (named_drugs(rep.drug, mode).select(*key, F.lit(DRUG).alias("kind"), F.col("drug").alias("name"), none.alias("gender"))
             .unionByName(rep.reac.select(*key, F.lit(EVENT).alias("kind"), F.col("PT").alias("name"), none.alias("gender")))
             # The age travels as text, exactly: a floating-point key would be shuffled once more.
             .unionByName(rep.demo.select(*key, F.lit(DEMO).alias("kind"), (F.col("AGE") + 0.0).cast("string").alias("name"),
                                          F.col("SEX").alias("gender")))
             .filter(F.col("quarter").isNotNull() & F.col("PRIMARYID").isNotNull()))
     n = F.col("n")
-    return (merged_rows(rep, rows, "kind", "name", "gender").groupBy(*REPORT)
+    return (sorted_rows(rep, rows, "kind", "name", "gender").groupBy(*ORDER)
             .agg(F.sort_array(F.collect_list(of_report(DRUG, F.col("name")))).alias("ds"),
                  F.collect_list(of_report(EVENT, F.struct(F.col("name").alias("event"), n.alias("r")))).alias("es"),
                  F.collect_list(of_report(DEMO, F.struct(F.col("name").cast("double").alias("age"), "gender", n.alias("m")))).alias("gs"))
@@ -204,7 +223,7 @@ def pair_events(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CEL
     """
     seen = Observation()
     made = pair_event_cells(rep, mode, cell_drugs, cell_rows).observe(seen, F.sum("rows").alias("rows"))
-    with collecting(made.sparkSession, ROWS_PER_PART):
+    with collecting(made.sparkSession):
         cells = cut_lineage(made, "pair-event-cells")
     n = max(cells.sparkSession.sparkContext.defaultParallelism, -(-(seen.get["rows"] or 0) // ROWS_PER_TASK))
     events = F.flatten(F.transform("fs", lambda f: F.array_repeat(f["event"], f["n"])))

@@ -42,18 +42,17 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     quarters = _orders(spark, sf_dir).select("PRIMARYID", "quarter")
     # The narrow columns meet the orders first, names come last; stored, because every operator
-    # reads the drugs and the reactions several times.
+    # reads the drugs and the reactions several times. The event's name is made once, here.
     lines = li.join(quarters, "PRIMARYID").join(part, "p_partkey")
-    return cut_lineage(lines.select("quarter", "PRIMARYID", "p_name", "p_brand", "p_type"), "lines")
+    return cut_lineage(lines.select("quarter", "PRIMARYID", F.col("p_name").alias("DRUGNAME"),
+                                    F.concat_ws(" ", "p_brand", "p_type").alias("PT")), "lines")
 
 
 def proxy_reports(spark: SparkSession, sf_dir: str) -> Reports:
     lines = _lines(spark, sf_dir)
     demo = _orders(spark, sf_dir).select("quarter", "PRIMARYID", "AGE", "SEX")
-    drug = lines.select("quarter", "PRIMARYID", F.col("p_name").alias("DRUGNAME"))
-    reac = lines.select("quarter", "PRIMARYID",
-                        F.concat_ws(" ", "p_brand", "p_type").alias("PT"))
-    return Reports(demo=demo, drug=drug, reac=reac)
+    return Reports(demo=demo, drug=lines.select("quarter", "PRIMARYID", "DRUGNAME"),
+                   reac=lines.select("quarter", "PRIMARYID", "PT"))
 
 
 # The same stand-in as DuckDB views; shared by every oracle query.

@@ -5,13 +5,16 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from cosignal.operators import cells as CE
 from cosignal.operators import counts as C
+from cosignal.operators import dictionary as D
 from cosignal.operators import pairs as P
 from cosignal.operators import report as RP
 from cosignal.operators import score as SC
 from cosignal.operators import signals as S
 from cosignal.operators.dictionary import build_dictionary
 from cosignal.plans import catalog as K
+from cosignal.session import collecting, cut_lineage
 from cosignal.sources import reports as RS
 from cosignal.sources.proxy import proxy_reports
 from cosignal.streaming import ledger as LG
@@ -116,3 +119,22 @@ def test_tree_and_artefacts_share_one_signal_table(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(K, "build_signals", lambda *a: (count.append(1), made(*a))[1])
     monkeypatch.setattr(K, "_STORED", {})
     assert K._signals_by_pair(spark, sf_dir) == K._signals_by_pair(spark, sf_dir) and len(count) == 1
+
+
+def test_reports_take_one_shuffle_and_one_sort(spark):
+    rep = reports(spark)
+    with collecting(spark):
+        for made in (CE.report_cells(rep, build_dictionary(rep)), P.pair_event_cells(rep)):
+            text = made._jdf.queryExecution().executedPlan().toString()
+            assert text.count("REPARTITION_BY_NUM") == 1 and "HashAggregate" not in text and text.count("- Sort [") == 1
+    assert sum(r["rows"] for r in P.pair_event_cells(rep).collect()) == 1800      # right without it too
+
+
+def test_names_are_cleaned_once_each(spark, monkeypatch):
+    seen = []
+    for module in (D, P):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, name: (seen.append(plan(df)), cut_lineage(df, name))[1])
+    rep = reports(spark)
+    build_dictionary(rep), P.report_facts(rep)
+    assert sum("regexp_replace" in x for x in seen) == 2
+    assert not any("regexp_replace" in x and "Aggregate" in x for x in [*seen, plan(P.report_facts(rep))])
