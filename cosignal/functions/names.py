@@ -16,6 +16,10 @@ _PUNCT_CLASS = "[" + "".join("\\" + c for c in PUNCTUATION) + "]"
 _SPACE_RUN = "(?U)[\\s\\x{1c}-\\x{1f}]+"
 
 
+# A name that cleaning leaves as it is (once in upper case): most names, found by one cheap match.
+_CLEAN = "\\A[A-Z0-9]+(?: [A-Z0-9]+)*+\\z"
+
+
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -24,9 +28,8 @@ def clean_name(c) -> Column:
     """Upper-case, delete ASCII punctuation (no space inserted), collapse whitespace
     runs to one blank, trim; null becomes the empty string."""
     x = F.upper(_as_col(c))
-    x = F.regexp_replace(x, _PUNCT_CLASS, "")
-    x = F.regexp_replace(x, _SPACE_RUN, " ")
-    return F.coalesce(F.trim(x), F.lit(""))
+    cleaned = F.trim(F.regexp_replace(F.regexp_replace(x, _PUNCT_CLASS, ""), _SPACE_RUN, " "))
+    return F.coalesce(F.when(x.rlike(_CLEAN), x).otherwise(cleaned), F.lit(""))
 
 
 def upper_trim(c) -> Column:

@@ -8,7 +8,7 @@ the evidence list per pair is bounded by k before it is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cosignal.functions import presentation as X
@@ -59,14 +59,12 @@ def evidence_lists(pairs: DataFrame, signals: DataFrame, k: int = 10) -> DataFra
         r["PRR"].alias("PRR"), r["risk_score"].alias("risk_score"))).alias("evidence"))
 
 
-def score_pairs(requests: DataFrame, encoders: DataFrame, tree_model: Model,
-                emb: DataFrame, edge_model: Model, signals: DataFrame,
-                k: int = 10, mode: str = "clean") -> DataFrame:
-    """Nested score record per requested pair (raw names in ``drug_a``, ``drug_b``).
+EVIDENCE = "array<struct<event:string,co_occurrences:bigint,PRR:double,risk_score:double>>"
 
-    ``mode='upper_trim'`` normalises names with upper case and trim only, as the
-    reference's service did; the default uses the full name cleaner.
-    """
+
+def pair_records(requests: DataFrame, encoders: DataFrame, tree_model: Model, emb: DataFrame, edge_model: Model,
+                 signals: DataFrame, k: int = 10, mode: str = "clean") -> tuple[DataFrame, DataFrame]:
+    """(canonical requests with their status, one score record per requested pair), both stored."""
     # The canonical requests feed the distinct pairs and the final join, the pairs three
     # branches (tree, graph, evidence); both are stored once. The record of a pair is made
     # once and stored too: the requests, many a pair, meet the records in one join that
@@ -77,19 +75,47 @@ def score_pairs(requests: DataFrame, encoders: DataFrame, tree_model: Model,
     graph = graph_scores(ok, emb, edge_model)
     ev = evidence_lists(ok, signals, k)
     records = tree.join(graph, PAIR, "left").join(ev, PAIR, "left")
-    return (req.join(cut_lineage(records, "pair-records"), PAIR, "left")
-            .withColumn("evidence", F.coalesce("evidence", F.array().cast(
-                "array<struct<event:string,co_occurrences:bigint,PRR:double,risk_score:double>>"))))
+    return req, cut_lineage(records, "pair-records")
+
+
+def with_evidence(records: DataFrame) -> DataFrame:
+    """Records with an empty evidence list in place of none."""
+    return records.withColumn("evidence", F.coalesce("evidence", F.array().cast(EVIDENCE)))
+
+
+def score_pairs(requests: DataFrame, encoders: DataFrame, tree_model: Model,
+                emb: DataFrame, edge_model: Model, signals: DataFrame,
+                k: int = 10, mode: str = "clean") -> DataFrame:
+    """Nested score record per requested pair (raw names in ``drug_a``, ``drug_b``).
+
+    ``mode='upper_trim'`` normalises names with upper case and trim only, as the
+    reference's service did; the default uses the full name cleaner.
+    """
+    req, records = pair_records(requests, encoders, tree_model, emb, edge_model, signals, k, mode)
+    return with_evidence(req.join(records, PAIR, "left"))
+
+
+def stored(spark: SparkSession, paths: dict[str, str]) -> tuple:
+    """What a build stored (``plans.build`` returns the paths), as the scorer takes it: models,
+    encoders, embeddings and the signal table in pair layout are loaded, nothing is fitted."""
+    return (spark.read.parquet(paths["encoders"]), load_model(paths["models/tree"]),
+            spark.read.parquet(paths["embeddings"]), load_model(paths["models/edge"]),
+            spark.read.parquet(paths["signals_by_pair"]))
 
 
 def score_stored(requests: DataFrame, paths: dict[str, str], k: int = 10, mode: str = "clean") -> DataFrame:
-    """Score a request table from what a build stored (``plans.build`` returns the paths):
-    models, encoders, embeddings and the signal table in pair layout are loaded, nothing is
-    fitted."""
-    spark = requests.sparkSession
-    return score_pairs(requests, spark.read.parquet(paths["encoders"]), load_model(paths["models/tree"]),
-                       spark.read.parquet(paths["embeddings"]), load_model(paths["models/edge"]),
-                       spark.read.parquet(paths["signals_by_pair"]), k, mode)
+    """Score a request table from what a build stored."""
+    return score_pairs(requests, *stored(requests.sparkSession, paths), k, mode)
+
+
+def report_stored(requests: DataFrame, paths: dict[str, str], k: int = 10, mode: str = "clean") -> DataFrame:
+    """``score_report`` of ``score_stored``: the report is made once per pair, from its record, and
+    stored; the requests, many a pair, meet its few plain columns and not the evidence lists."""
+    req, records = pair_records(requests, *stored(requests.sparkSession, paths), k, mode)
+    # Only pairs of requests with status ok have a record; the others keep nulls.
+    report = cut_lineage(score_report(with_evidence(records).withColumn("status", F.lit("ok"))).drop("status"), "pair-reports")
+    keep = [c for c in ("request_id",) if c in req.columns]
+    return req.select(*keep, *PAIR, "status").join(report, PAIR, "left").select(*keep, *PAIR, "status", *report.columns[2:])
 
 
 def score_report(scored: DataFrame, k: int = 10) -> DataFrame:

@@ -459,7 +459,7 @@ def score_pairs(spark, sf_dir):
 
 def score_report(spark, sf_dir):
     """Composite, advice, agreement, top event and evidence count on the model scores."""
-    return round_doubles(SC.score_report(_scored(spark, sf_dir)))
+    return round_doubles(SC.report_stored(pair_requests(spark, sf_dir), store_artefacts(spark, sf_dir)))
 
 
 def score_facts(spark, sf_dir):
@@ -481,7 +481,7 @@ def score_facts(spark, sf_dir):
 
 
 def score_agreement(spark, sf_dir):
-    return SC.score_agreement(SC.score_report(_scored(spark, sf_dir)))
+    return SC.score_agreement(SC.report_stored(pair_requests(spark, sf_dir), store_artefacts(spark, sf_dir)))
 
 
 def batch_report_json(spark, sf_dir):

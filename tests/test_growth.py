@@ -138,3 +138,16 @@ def test_names_are_cleaned_once_each(spark, monkeypatch):
     build_dictionary(rep), P.report_facts(rep)
     assert sum("regexp_replace" in x for x in seen) == 2
     assert not any("regexp_replace" in x and "Aggregate" in x for x in [*seen, plan(P.report_facts(rep))])
+
+
+def test_report_is_made_once_a_pair(spark, monkeypatch):
+    req = spark.createDataFrame([(1, "a", "b"), (2, "B", "A"), (3, "a", "zz"), (4, "a", ""), (5, "a", "a-")],
+                                "request_id long, drug_a string, drug_b string")
+    score = F.struct(F.lit(8.0).alias("score"), F.lit("LOW").alias("label"))
+    monkeypatch.setattr(SC, "tree_scores", lambda p, *_: p.withColumn("tree", score))
+    monkeypatch.setattr(SC, "graph_scores", lambda p, *_: p.withColumn("graph", score))
+    monkeypatch.setattr(SC, "stored", lambda s, _: (None, None, None, None, signal_rows(s)))
+    made, whole = SC.report_stored(req, {}), SC.score_report(SC.score_stored(req, {}))
+    assert joins(made) == 1 and "evidence#" not in plan(made) and made.dtypes == whole.dtypes
+    assert sorted(map(str, made.collect())) == sorted(map(str, whole.collect()))
+    assert [r.evidence_count for r in made.orderBy("request_id").collect()] == [2, 2, 0, None, None]

@@ -43,3 +43,9 @@ def test_canonical_pair_and_upper_trim(spark):
     assert [tuple(r) for r in df.select(a, b).collect()] == [("ASPIRIN", "WARFARIN"), ("A", "B")]
     got = spark.createDataFrame([(" x-y ",)], "x string").select(upper_trim("x")).first()[0]
     assert got == "X-Y"
+
+
+def test_plain_names_take_the_short_way(spark):
+    names = ["a b", "A1", "a  b", "ab\n", "\nab", "a\tb", " a", "a ", "", " ", "a-b", "é 1", "ß", None]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(clean_name("n").alias("c")).collect()
+    assert [r.c for r in got] == ["A B", "A1", "A B", "AB", "AB", "A B", "A", "A", "", "", "AB", "É 1", "SS", ""]
