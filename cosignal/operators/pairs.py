@@ -8,7 +8,8 @@ and a slice of its facts, so that every (pair, fact) lies in exactly one cell an
 most about ``cell_rows`` rows. An ordinary report is one cell; a huge one is spread over many tasks.
 
 * ``pair_events`` collects a report's distinct drugs, events and demographic values, cuts them
-  into cells and multiplies the cells out inside the tasks they are dealt to.
+  into cells and multiplies the cells out inside the tasks; those of reports that yield many rows
+  are dealt to tasks first, and cells of a small budget are cut inside the task.
 * ``explode_pairs`` takes any facts table: drugs are dealt by hash over ``g`` rows on the left
   side and ``g`` columns on the right, facts over ``s`` slices; ``g`` and ``s`` follow from the
   report's product of pairs and facts. The three sides are shuffled by the cell once, and
@@ -184,20 +185,36 @@ def report_facts(rep: Reports, mode: str = "clean") -> DataFrame:
             .filter((F.size("ds") >= 2) & (F.size("es") > 0) & (F.size("gs") > 0)))
 
 
+def counted_sides(sides: DataFrame, same: F.Column, cell_rows: int) -> DataFrame:
+    """Sides (two chunks of drugs, ``da`` and ``db``; ``same``: one chunk twice) that yield a pair, with
+    the number of their ``pairs`` and ``most``: facts that the pairs may meet in one cell."""
+    n, k = F.size("da").cast("long"), F.size("db").cast("long")
+    return (sides.withColumn("pairs", F.when(same, (n * (n - 1) / 2).cast("long")).otherwise(n * k)).filter("pairs > 0")
+            .withColumn("most", F.greatest(F.lit(1), F.floor(F.lit(cell_rows) / F.col("pairs"))).cast("long")))
+
+
+def yields_many(ds: str, es: str, gs: str) -> F.Column:
+    """Whether a report yields more rows for each of its own than tasks that merge ``ROWS_PER_PART``
+    and see ``ROWS_PER_TASK`` rows are meant to."""
+    reactions = F.aggregate(es, F.lit(0.0), lambda s, e: s + e["r"])
+    people = F.aggregate(gs, F.lit(0.0), lambda s, g: s + g["m"])
+    k = F.size(ds).cast("double")
+    return k * (k - 1) / 2 * reactions * people > (k + F.size(es) + F.size(gs)) * (ROWS_PER_TASK / ROWS_PER_PART)
+
+
 def pair_event_cells(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
                      cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
-    """quarter, cell, da, db, age, gender, fs, rows: the cells of all reports that yield a row
+    """quarter, cell, many, da, db, age, gender, fs, rows: the cells of all reports that yield a row
     (two chunks of drugs, a slice of facts (event, n) and a demographic value), each of at most
-    about ``cell_rows`` rows. ``cell`` is a hash to deal them by."""
-    chunked = report_facts(rep, mode).withColumn("chunks", pieces("ds", cell_drugs)).drop("ds")
-    sides = (chunked.select(*REPORT, "es", "gs", "chunks", F.posexplode("chunks").alias("ca", "da"))
-             .select(*REPORT, "es", "gs", "ca", "da", F.posexplode("chunks").alias("cb", "db")).filter("ca <= cb"))
-    n, k = F.size("da").cast("long"), F.size("db").cast("long")
-    pairs = F.when(F.col("ca") < F.col("cb"), n * k).otherwise((n * (n - 1) / 2).cast("long"))
-    # ``most``: times a pair may meet a fact in one cell; more of them are cut into chunks.
-    sized = (sides.withColumn("pairs", pairs).filter("pairs > 0")
-             .withColumn("most", F.greatest(F.lit(1), F.floor(F.lit(cell_rows) / F.col("pairs"))).cast("long"))
-             .select(*REPORT, "es", "ca", "da", "cb", "db", "pairs", "most", F.posexplode("gs").alias("g", "who")))
+    about ``cell_rows`` rows. ``cell`` is a hash to deal them by, ``many`` whether their report asks
+    for that (``yields_many``)."""
+    chunked = (report_facts(rep, mode).withColumn("many", yields_many("ds", "es", "gs"))
+               .withColumn("chunks", pieces("ds", cell_drugs)).drop("ds"))
+    sides = (chunked.select(*REPORT, "many", "es", "gs", "chunks", F.posexplode("chunks").alias("ca", "da"))
+             .select(*REPORT, "many", "es", "gs", "ca", "da", F.posexplode("chunks").alias("cb", "db")).filter("ca <= cb"))
+    # More facts than ``most`` are cut into slices, and one that is there more often into chunks.
+    sized = (counted_sides(sides, F.col("ca") == F.col("cb"), cell_rows)
+             .select(*REPORT, "many", "es", "ca", "da", "cb", "db", "pairs", "most", F.posexplode("gs").alias("g", "who")))
     m, most = F.col("who.m"), F.col("most")
     facts = F.flatten(F.transform("es", lambda e: F.transform(
         F.sequence(F.lit(0).cast("long"), F.floor((e["r"] * m - 1) / most)),
@@ -205,12 +222,33 @@ def pair_event_cells(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAUL
     largest = F.array_max(F.transform("fs", lambda f: f["n"]))
     slices = pieces("fs", F.greatest(F.lit(1), F.floor(most / largest)).cast("int"))
     return (sized.withColumn("fs", facts)
-            .select(*REPORT, "ca", "da", "cb", "db", "pairs", "g", "who", F.posexplode(slices).alias("slice", "fs"))
-            .select("quarter", F.xxhash64(*REPORT, "ca", "cb", "g", "slice").alias("cell"), "da", "db",
+            .select(*REPORT, "many", "ca", "da", "cb", "db", "pairs", "g", "who", F.posexplode(slices).alias("slice", "fs"))
+            .select("quarter", F.xxhash64(*REPORT, "ca", "cb", "g", "slice").alias("cell"), "many", "da", "db",
                     F.col("who.age").alias("age"), F.col("who.gender").alias("gender"), "fs",
                     (F.col("pairs") * F.aggregate("fs", F.lit(0).cast("long"), lambda s, f: s + f["n"])).alias("rows")))
 
 
+def split_cells(cells: DataFrame, cell_drugs: int, cell_rows: int) -> DataFrame:
+    """Cells da, db, events (as often as they count) and any other columns, cut into cells of at most
+    ``cell_drugs`` drugs a side and ``cell_rows`` rows (or one event) where they lie. Pieces are taken by
+    their number, without functions of a lambda, so that Spark compiles all of it into one loop."""
+    others = [c for c in cells.columns if c not in ("da", "db", "events")]
+
+    def numbers(array: str, size: int | F.Column, first: F.Column) -> F.Column:
+        return F.explode(F.sequence(first, F.floor((F.size(array) - 1) / size).cast("int")))
+
+    def piece(array: str, size: int | F.Column, number: str) -> F.Column:
+        return F.slice(array, (F.col(number) * size + 1).cast("int"), F.lit(size).cast("int")).alias(array)
+
+    none, same = F.lit(0), F.col("da")[0] == F.col("db")[0]          # the chunks of a report share no drug
+    sides = (cells.select("*", same.alias("same"), numbers("da", cell_drugs, none).alias("ca"))
+             .select("*", numbers("db", cell_drugs, F.when(F.col("same"), F.col("ca")).otherwise(none)).alias("cb"))
+             .select(*others, "events", "same", "ca", "cb", piece("da", cell_drugs, "ca"), piece("db", cell_drugs, "cb")))
+    return (counted_sides(sides, F.col("same") & (F.col("ca") == F.col("cb")), cell_rows)
+            .select("*", numbers("events", F.col("most"), none).alias("cs"))
+            .select("da", "db", piece("events", F.col("most"), "cs"), *others))
+
+
 def pair_events(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CELL_DRUGS,
                 cell_rows: int = DEFAULT_CELL_ROWS) -> DataFrame:
     """The pair-event rows: drug_a, drug_b, event, age, gender, quarter.
@@ -218,17 +256,24 @@ def pair_events(rep: Reports, mode: str = "clean", cell_drugs: int = DEFAULT_CEL
     One row per (pair of distinct drugs, reaction row, demographic row) of a report;
     reactions and demographics are not de-duplicated; reports without a reaction or
     demographic row drop out. Equal reaction and demographic rows of a report travel once with
-    their number. Cells are stored, dealt to tasks by their hash (as many tasks as the rows
-    they yield ask for) and multiplied out inside the task.
+    their number. Cells are stored and multiplied out inside the task. Those of reports that yield
+    many rows are dealt to tasks by their hash first (as many tasks as these rows ask for); the
+    others stay where they are stored, in files of a bounded number of report rows. Cells of a smaller
+    budget than the default are cut from these in the task: stored or dealt one by one they
+    would repeat a report's names in nearly every row.
     """
     seen = Observation()
-    made = pair_event_cells(rep, mode, cell_drugs, cell_rows).observe(seen, F.sum("rows").alias("rows"))
+    made = (pair_event_cells(rep, mode, max(cell_drugs, DEFAULT_CELL_DRUGS), max(cell_rows, DEFAULT_CELL_ROWS))
+            .observe(seen, F.sum(F.when(F.col("many"), F.col("rows"))).alias("rows")))
     with collecting(made.sparkSession):
         cells = cut_lineage(made, "pair-event-cells")
     n = max(cells.sparkSession.sparkContext.defaultParallelism, -(-(seen.get["rows"] or 0) // ROWS_PER_TASK))
     events = F.flatten(F.transform("fs", lambda f: F.array_repeat(f["event"], f["n"])))
     who = ["age", "gender", "quarter"]
-    return (cells.repartition(n, "cell").select("da", "db", events.alias("events"), *who)
-            .select(F.explode("da").alias("drug_a"), "db", "events", *who)
+    cells = (cells.filter("not many").unionByName(cells.filter("many").repartition(n, "cell"))
+             .select("da", "db", events.alias("events"), *who))
+    if cell_drugs < DEFAULT_CELL_DRUGS or cell_rows < DEFAULT_CELL_ROWS:
+        cells = split_cells(cells, cell_drugs, cell_rows)
+    return (cells.select(F.explode("da").alias("drug_a"), "db", "events", *who)
             .select("drug_a", F.explode("db").alias("drug_b"), "events", *who).filter("drug_a < drug_b")
             .select("drug_a", "drug_b", F.explode("events").alias("event"), *who))

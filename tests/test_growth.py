@@ -59,6 +59,37 @@ def test_pair_events_need_no_join(spark):
     assert rows.select("drug_a", "drug_b", "age", "gender", "quarter").distinct().count() == 3
 
 
+def test_small_budgets_store_no_more_cells(spark, monkeypatch):
+    rep, kept = reports(spark), {}
+    monkeypatch.setattr(P, "cut_lineage", lambda df, name: kept.setdefault(name, cut_lineage(df, name)))
+    rows = P.pair_events(rep, cell_drugs=2, cell_rows=2)
+    assert kept["pair-event-cells"].count() == 200 and rows.count() == 1800
+    cells = P.split_cells(kept["pair-event-cells"].select("da", "db", F.expr("flatten(transform(fs, f -> array_repeat(f.event, f.n)))")
+                                                          .alias("events")), 2, 2).collect()
+    sizes = [sum(a < b for a in c.da for b in c.db) * len(c.events) for c in cells]
+    assert (len(cells), max(sizes), sum(sizes), max(len(c.da) for c in cells)) == (200 * 5, 2, 1800, 2)
+    assert dict(map(tuple, rows.groupBy("event").count().collect())) == {"Pain": 1200, "Rash": 600}
+
+
+def test_only_reports_of_many_rows_are_dealt(spark, monkeypatch):
+    """One report yields 435 pairs x 400 events, 200 others nine rows each."""
+    rep, key = reports(spark), [F.lit("1999q1").alias("quarter"), F.lit(-1).cast("long").alias("PRIMARYID")]
+    rep = RS.Reports(rep.demo.unionByName(spark.range(1).select(*key, F.lit(40.0).alias("AGE"), F.lit("F").alias("SEX"))),
+                     rep.drug.unionByName(spark.range(30).select(*key, F.concat(F.lit("D"), "id").alias("DRUGNAME"))),
+                     rep.reac.unionByName(spark.range(400).select(*key, F.concat(F.lit("E"), "id").alias("PT"))))
+    monkeypatch.setattr(P, "DEFAULT_CELL_ROWS", 4_000)
+    rows, small = P.pair_events(rep, cell_rows=4_000), P.pair_events(rep, cell_drugs=4, cell_rows=50)
+    by_many = {r.many: (r.n, r.most) for r in P.pair_event_cells(rep, cell_rows=4_000).groupBy("many").agg(
+        F.sum("rows").alias("n"), F.max("rows").alias("most")).collect()}
+    assert by_many == {False: (1800, 9), True: (174_000, 435 * 9)}
+    for made in (rows, small):
+        assert len(re.findall("RepartitionByExpression", plan(made))) == 1 and "many#" in plan(made)
+        per_task = [r["count"] for r in made.filter("drug_a like 'D%'").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per_task) == 174_000 and len(per_task) >= 4 and max(per_task) <= 0.5 * sum(per_task)
+        assert made.filter("drug_a not like 'D%'").count() == 1800
+    assert rows.exceptAll(small).isEmpty() and small.exceptAll(rows).isEmpty()
+
+
 def signal_rows(spark):
     return spark.createDataFrame([("A", "B", "Pain", 5, 9, 7, 2.0, 2.0, 1.5), ("A", "B", "Rash", 4, 9, 7, 2.0, 2.0, 1.0)],
                                  "drug_a string, drug_b string, event string, a long, pair_total long, event_total long, "
