@@ -118,6 +118,14 @@ def report_stored(requests: DataFrame, paths: dict[str, str], k: int = 10, mode:
     return req.select(*keep, *PAIR, "status").join(report, PAIR, "left").select(*keep, *PAIR, "status", *report.columns[2:])
 
 
+def documents_stored(requests: DataFrame, paths: dict[str, str], k: int = 10, mode: str = "clean") -> tuple[DataFrame, DataFrame]:
+    """(canonical requests with their status, stored; ``score_json`` of each pair they ask for). A document
+    says its pair, the status, which follows from the pair, and the pair's record: it is the same for all
+    requests of a pair. So what is read from documents can be read once a pair and meet the requests last."""
+    req, records = pair_records(requests, *stored(requests.sparkSession, paths), k, mode)
+    return req, score_json(with_evidence(req.select(*PAIR, "status").distinct().join(records, PAIR, "left")))
+
+
 def score_report(scored: DataFrame, k: int = 10) -> DataFrame:
     """The report on the two model scores of every scored pair: composite score with label,
     colour and advice, whether both models give the same label, the top event and the
@@ -157,3 +165,20 @@ def score_json(scored: DataFrame) -> DataFrame:
                    graph.alias("phase3_gnn"), F.col("evidence").alias("historical_evidence"))
     keep = [c for c in ("request_id",) if c in scored.columns]
     return scored.select(*keep, *PAIR, F.to_json(doc).alias("json"))
+
+
+# What ``document_facts`` reads of a document.
+DOCUMENT = ("drug_a string, drug_b string, status string, phase2_xgb struct<score:double>, "
+            "historical_evidence array<struct<event:string,co_occurrences:bigint>>")
+
+
+def document_facts(documents: DataFrame) -> DataFrame:
+    """What documents (drug_a, drug_b, json) say besides the learned numbers, by the pair they were made
+    for (``of_a``, ``of_b``). The text is parsed once, and once more for its keys."""
+    score, evidence = F.col("said.phase2_xgb.score"), F.col("said.historical_evidence")
+    first = F.get(evidence, F.lit(0))
+    return documents.withColumn("said", F.from_json("json", DOCUMENT)).select(
+        F.col("drug_a").alias("of_a"), F.col("drug_b").alias("of_b"),
+        F.array_join(F.json_object_keys("json"), ",").alias("keys"), "said.drug_a", "said.drug_b", "said.status",
+        F.size(evidence).cast("bigint").alias("evidence_count"), first["event"].alias("top_event"),
+        first["co_occurrences"].alias("top_co_occurrences"), (score == F.round(score, 2)).cast("int").alias("score_rounded"))

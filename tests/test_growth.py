@@ -182,3 +182,32 @@ def test_report_is_made_once_a_pair(spark, monkeypatch):
     assert joins(made) == 1 and "evidence#" not in plan(made) and made.dtypes == whole.dtypes
     assert sorted(map(str, made.collect())) == sorted(map(str, whole.collect()))
     assert [r.evidence_count for r in made.orderBy("request_id").collect()] == [2, 2, 0, None, None]
+
+
+def test_documents_are_read_once_a_pair(spark, monkeypatch):
+    req = spark.createDataFrame([(1, "a", "b"), (2, "B", "A"), (3, "a", 'zz"\\'), (4, "a", ""), (5, "a", "a-"), (6, "a", None), (6, "b", "a")],
+                                "request_id long, drug_a string, drug_b string")
+    score = F.struct(F.lit(8.125).alias("score"), F.lit("LOW").alias("label"))
+    tree = F.struct("score.*", F.array().cast("array<string>").alias("feature_drivers"))
+    monkeypatch.setattr(SC, "tree_scores", lambda p, *_: p.withColumn("score", score).withColumn("tree", tree).drop("score"))
+    monkeypatch.setattr(SC, "graph_scores", lambda p, *_: p.withColumn("graph", score))
+    monkeypatch.setattr(SC, "stored", lambda s, _: (None, None, None, None, signal_rows(s)))
+    monkeypatch.setattr(K, "pair_requests", lambda *_: req)
+    monkeypatch.setattr(K, "store_artefacts", lambda *_: {})
+    kept = {}
+    monkeypatch.setattr(K, "cut_lineage", lambda df, name: kept.setdefault(name, cut_lineage(kept.setdefault("text", df), name)))
+    made = K.report_json_facts(spark, "")
+    assert kept["document-facts"].count() == 4                  # pairs (A, B), (A, ZZ), ("", A), (A, A) of seven requests
+    assert len(re.findall("from_json", plan(kept["text"]))) == 1 and "json" not in plan(made) and joins(made) == 1
+    at = lambda path, kind="string": F.get_json_object("json", path).cast(kind)
+    whole = SC.score_json(SC.score_stored(req, {})).select(
+        "request_id", F.array_join(F.json_object_keys("json"), ",").alias("keys"), at("$.drug_a").alias("drug_a"),
+        at("$.drug_b").alias("drug_b"), at("$.status").alias("status"),
+        F.json_array_length(at("$.historical_evidence")).cast("bigint").alias("evidence_count"),
+        at("$.historical_evidence[0].event").alias("top_event"),
+        at("$.historical_evidence[0].co_occurrences", "bigint").alias("top_co_occurrences"),
+        (at("$.phase2_xgb.score", "double") == F.round(at("$.phase2_xgb.score", "double"), 2)).cast("int").alias("score_rounded"))
+    assert made.dtypes == whole.dtypes and made.count() == 7
+    assert sorted(map(str, made.collect())) == sorted(map(str, whole.collect()))
+    assert sorted((r.request_id, r.status, r.top_event) for r in made.collect())[:3] == [
+        (1, "ok", "Pain"), (2, "ok", "Pain"), (3, "ok", None)]
